@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, mixing, secrets_scan, simhash, token_files, url_filter
+from . import bpe, exact_dedup, language_id, mixing, secrets_scan, simhash, suffix_dedup, token_files, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_language_id, op4_exact_dedup, op5_token_files, op6_secrets, op8_bpe, op9_mixing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_simhash, op3_language_id, op4_exact_dedup, op5_token_files, op6_secrets, op7_suffix_dedup, op8_bpe, op9_mixing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

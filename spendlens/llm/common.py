@@ -24,3 +24,28 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def text_of(name: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Rows of a key filter: 16 bytes each, so that its broadcast has a bound.
+FILTER_WORDS = 1 << 20
+
+
+class KeyFilter:
+    """A blocked Bloom filter of 64-bit keys as a table of at most FILTER_WORDS words; what misses it is surely no key."""
+
+    def __init__(self, keys: DataFrame, key: str, n: int):
+        self.words = 1 << max(4, min((FILTER_WORDS - 1).bit_length(), (max(1, n) // 4).bit_length()))
+        cells = keys.select(self._word(key).alias("__w"), self._mask(key).alias("__m"))
+        self.table = F.broadcast(cells.groupBy("__w").agg(F.expr("bit_or(__m)").alias("__b")))
+
+    def _word(self, key: str) -> Column:
+        return F.expr(f"{key} & {self.words - 1}L")
+
+    @staticmethod
+    def _mask(key: str) -> Column:
+        return F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned({key}, {n}) & 63 as int))" for n in (40, 47, 54)))
+
+    def flag(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` with a boolean column: whether the key may be among the filter's."""
+        marked = df.withColumn("__w", self._word(key)).join(self.table, "__w", "left")
+        return marked.withColumn(name, F.col("__b").isNotNull() & ((F.col("__b").bitwiseAND(self._mask(key))) == self._mask(key))).drop("__w", "__b")
