@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, mixing, secrets_scan, simhash, suffix_dedup, token_files, url_filter
+from . import ann, bpe, exact_dedup, language_id, mixing, secrets_scan, simhash, suffix_dedup, token_files, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.digest(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_language_id, op4_exact_dedup, op5_token_files, op6_secrets, op7_suffix_dedup, op8_bpe, op9_mixing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_simhash, op2_ann, op3_language_id, op4_exact_dedup, op5_token_files, op6_secrets, op7_suffix_dedup, op8_bpe, op9_mixing, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
