@@ -22,9 +22,15 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from . import signal_queries, table_queries  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
