@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 from .ids import normalize_tax_id, referenced_adas
-from .text import canonical_supplier_name, canonical_text, contains_any, first_containing, normalize_text, starts_word
+from .text import bound, canonical_supplier_name, canonical_text, contains_any, first_containing, normalize_text, starts_word
 
 MOST_AMOUNT = 10_000_000
 
@@ -32,9 +32,11 @@ def procurement_stage(text: Column) -> Column:
 
 def is_procurement(decision_type_: Column, subject: Column, amount: Column, supplier_key: Column) -> Column:
     """Not ruled out by a phrase or an amount above 10 million, and with a supplier, an amount or a word of procurement."""
-    text = joined(decision_type_, subject)
-    out = starts_word(text, (*V.NOT_PROCUREMENT, *V.PERSONNEL_PHRASES)) | F.coalesce(amount > MOST_AMOUNT, F.lit(False))
-    return ~out & (supplier_key.isNotNull() | amount.isNotNull() | contains_any(text, V.PROCUREMENT_WORDS))
+    def kept(text: Column) -> Column:
+        out = starts_word(text, (*V.NOT_PROCUREMENT, *V.PERSONNEL_PHRASES)) | F.coalesce(amount > MOST_AMOUNT, F.lit(False))
+        return ~out & (supplier_key.isNotNull() | amount.isNotNull() | contains_any(text, V.PROCUREMENT_WORDS))
+
+    return bound(joined(decision_type_, subject), kept)
 
 
 def lifecycle_role(raw_type: Column, title: Column, type_label: Column) -> Column:
@@ -71,10 +73,12 @@ def is_emergency(subject: Column) -> Column:
 
 def detail_score(raw_type: Column, subject: Column, has_amount: Column, has_supplier: Column) -> Column:
     """How much a decision is worth a look at its record: -10 for noise; 3 for its type, 1 for each of up to three words, 2 less if complete."""
-    text = joined(raw_type, subject)
-    hits = functools.reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in V.DETAIL_WORDS])
-    score = F.when(raw_type.isin(*V.DETAIL_TYPES), 3).otherwise(0) + F.least(hits, F.lit(3)) - F.when(has_amount & has_supplier, 2).otherwise(0)
-    return F.when(starts_word(text, V.DETAIL_NOISE), -10).otherwise(score)
+    def score(text: Column) -> Column:
+        hits = functools.reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in V.DETAIL_WORDS])
+        points = F.when(raw_type.isin(*V.DETAIL_TYPES), 3).otherwise(0) + F.least(hits, F.lit(3)) - F.when(has_amount & has_supplier, 2).otherwise(0)
+        return F.when(starts_word(text, V.DETAIL_NOISE), -10).otherwise(points)
+
+    return bound(joined(raw_type, subject), score)
 
 
 def should_hydrate(raw_type: Column, subject: Column) -> Column:
@@ -90,7 +94,10 @@ def missing_fields(*names: str) -> Column:
 
 def supplier_type(name: Column, tax_id: Column) -> Column:
     """Kind of a counterparty by the words of its name."""
-    key = canonical_text(canonical_supplier_name(name))
+    return bound(canonical_text(canonical_supplier_name(name)), lambda key: _kind(key, tax_id))
+
+
+def _kind(key: Column, tax_id: Column) -> Column:
     words, whole = F.split(key, " "), F.replace(key, F.lit(" "), F.lit(""))
     has = lambda *ws: functools.reduce(lambda a, b: a & b, [F.array_contains(words, w) for w in ws])
     any_of = lambda ws: F.arrays_overlap(words, F.array(*[F.lit(w) for w in ws]))

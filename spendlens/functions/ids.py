@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import canonical_supplier_name, canonical_text, supplier_name_normalized
+from .text import bound, canonical_supplier_name, canonical_text, supplier_name_normalized
 
 DETAIL_URL = "https://diavgeia.gov.gr/opendata/decisions/"
 
 
 def normalize_tax_id(text: Column, embedded: bool = True) -> Column:
     """Nine digits, `EL` before them or not; EL and nine digits inside other text if ``embedded``; or the text's only run of digits, if of nine."""
-    t = text.cast("string")
+    return bound(text.cast("string"), lambda t: _tax_id(t, embedded))
+
+
+def _tax_id(t: Column, embedded: bool) -> Column:
     compact = F.upper(F.regexp_replace(t, "[^0-9A-Za-z]", ""))
     runs = F.regexp_extract_all(t, F.lit(r"(\d+)"), F.lit(1))
     found = [F.nullif(F.regexp_extract(compact, r"^(?:EL)?(\d{9})$", 1), F.lit(""))]

@@ -186,8 +186,8 @@ def subject(record: Column) -> Column:
     return F.coalesce(normalize_text(first_present(record, V.SUBJECT_KEYS)), normalize_text(first_present(extra, V.SUBJECT_KEYS)))
 
 
-PERSON = "array<struct<afm:string,AFM:string,name:string>>"
-SPONSOR = "array<struct<expenseAmount:string,sponsorAFMName:struct<afm:string,AFM:string,name:string>>>"
+PERSON = "array<map<string,string>>"
+SPONSOR = "array<struct<expenseAmount:string,sponsorAFMName:map<string,string>>>"
 
 
 def typed_fields(detail: Column) -> dict[str, Column]:

@@ -67,14 +67,17 @@ def supplier_name_normalized(name: Column) -> Column:
 
 def canonical_supplier_name(name: Column, aliases: dict[str, str] | None = None) -> Column:
     """Upper-case canonical name without legal forms and `and`; of nothing but those, the name as it is. aliases: canonical name to name."""
-    text = canonical_text(name)
+    return bound(canonical_text(name), lambda text: _without_forms(text, name, aliases or {}))
+
+
+def _without_forms(text: Column, name: Column, aliases: dict[str, str]) -> Column:
     bare = text
     forms = [r"\s*".join(f.split()) for f in V.LEGAL_LETTERS] + [r"\s+".join(f.split()) for f in V.LEGAL_WORDS] + ["και"]
     for form in forms:
         bare = F.regexp_replace(bare, rf"(?<![0-9a-zα-ω]){form}(?![0-9a-zα-ω])", " ")
     bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
     found = F.when(text == "", None).when(bare != "", F.upper(bare)).otherwise(F.upper(F.trim(name)))
-    for known, name_ in (aliases or {}).items():
+    for known, name_ in aliases.items():
         found = F.when(text == known, F.lit(name_)).otherwise(found)
     return found
 
@@ -95,9 +98,14 @@ def contains_any(text: Column, words) -> Column:
     return text.rlike("|".join(re.escape(w) for w in words))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def first_containing(text: Column, ladder, otherwise: str | None) -> Column:
     """The name of the first (name, words) of which the text contains a word."""
-    return F.coalesce(*[F.when(contains_any(text, words), F.lit(name)) for name, words in ladder], F.lit(otherwise))
+    return bound(text, lambda t: F.coalesce(*[F.when(contains_any(t, words), F.lit(name)) for name, words in ladder], F.lit(otherwise)))
 
 
 def starts_word(text: Column, phrases) -> Column:

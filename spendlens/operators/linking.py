@@ -96,14 +96,17 @@ def savings(members: DataFrame, made: DataFrame) -> DataFrame:
     return one.withColumn("removed_pct", F.try_divide((F.col("raw_spend") - F.col("clean_spend")) * 100, "raw_spend"))
 
 
-@F.pandas_udf("double")
-def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two canonical titles; 0 if one is empty. For pairs that meet by a key only."""
+def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)])
 
 
+def title_ratio(left: Column | str, right: Column | str) -> Column:
+    """Ratcliff-Obershelp similarity of two canonical titles; 0 if one is empty. For pairs that meet by a key only."""
+    return F.pandas_udf(_ratios, "double")(left, right)
+
+
 def _sides(d: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of rows that agree in ``on``, each pair once; columns l_* and r_*."""
     a = d.select(*[F.col(c).alias(c if c in on else f"l_{c}") for c in d.columns])

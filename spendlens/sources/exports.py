@@ -30,12 +30,12 @@ def unwrap_detail(text):
     return F.coalesce(*[F.when(F.startswith(m[k], F.lit("{")), m[k]) for k in WRAPPERS], text)
 
 
-def read_exports(spark: SparkSession, root: str) -> DataFrame:
+def read_exports(spark: SparkSession, root: str, files: str = "search_export.json") -> DataFrame:
     """(org, year, month, ada, record): one row for each decision of all organisations' monthly exports below ``root``.
 
     Layout: organization_uid=<o>/year=<y>/month=<m>/search_export.json; organisation and months are partition columns, so filters on them prune files.
     """
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "search_export.json").option("recursiveFileLookup", False).option("basePath", root).text(f"{root}/organization_uid=*/year=*/month=*/")
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", files).option("basePath", root).text(f"{root}/organization_uid=*/year=*/month=*/")
     rows = raw.select(F.col("organization_uid").cast("string").alias("org"), F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"), F.posexplode(unwrap_envelope(F.col("value"))).alias("pos", "record"))
     return rows.withColumn("ada", as_map(F.col("record"))["ada"])
 
