@@ -26,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, cut, text_of
+from .common import KeyFilter, cut, small_batches, text_of
 
 LENGTH = 400
 GRAM = 200
 SHALLOW = 32
 STEP = 8
 PAIRWISE = 6
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 256 << 10
+ROWS_OUT = 4096
 #: Rows of a run pack its first start, its number of starts and its anchor's offset: the last two are below 256.
 PACK = 16
 
@@ -175,17 +176,24 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each run to sort the bytes before its anchor, backwards, and those behind it."""
+    kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "kind", "d", "h", "pos", "before", "behind"])
+
+    rows: list[tuple] = []
     for b in batches:
-        rows = []
-        for d, h, text, wanted in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            raw = text.encode("utf-8")
-            for w in wanted:
+        for d, h, text, wanted in zip(*(b.column(k) for k in range(4)), strict=True):
+            raw = text.as_py().encode("utf-8")
+            for w in wanted.as_py():
                 start, count, offset = w["a"] >> PACK, (w["a"] >> 8) & 255, w["a"] & 255
                 anchor = start + offset
-                rows.append((w["b"], w["kind"], d, h, w["a"], raw[start:anchor][::-1], raw[anchor + GRAM : start + count - 1 + LENGTH]))
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64()] * 5 + [pa.binary()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "kind", "d", "h", "pos", "before", "behind"])
+                rows.append((w["b"], w["kind"], d.as_py(), h.as_py(), w["a"], raw[start:anchor][::-1], raw[anchor + GRAM : start + count - 1 + LENGTH]))
+            if len(rows) >= ROWS_OUT:
+                yield out(rows)
+                rows = []
+    if rows:
+        yield out(rows)
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -314,20 +322,29 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    rows: list[tuple] = []
+    size = 0
     for b in batches:
-        rows = []
-        for i, text, spans in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            raw = text.encode("utf-8")
+        for i, text, spans in zip(*(b.column(k) for k in range(3)), strict=True):
+            raw = text.as_py().encode("utf-8")
             edge = np.zeros(len(raw) + 1, np.int64)
-            if spans:
-                np.add.at(edge, [s["a"] for s in spans], 1)
-                np.add.at(edge, [s["b"] + LENGTH for s in spans], -1)
+            if found := spans.as_py():
+                np.add.at(edge, [s["a"] for s in found], 1)
+                np.add.at(edge, [s["b"] + LENGTH for s in found], -1)
             gone = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            rows.append((i, len(raw), len(raw) - len(kept), int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1)), hashlib.sha256(kept).hexdigest(), kept))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            rows.append((i.as_py(), len(raw), len(raw) - len(kept), int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1)), hashlib.sha256(kept).hexdigest(), kept))
+            size += len(raw)
+            if size >= 4 * BLOCK_BYTES:
+                yield out(rows)
+                rows, size = [], 0
+    if rows:
+        yield out(rows)
 
 
 def remove_repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -337,7 +354,7 @@ def remove_repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     document count. Texts under LENGTH bytes keep everything; of repeated rows each loses what the others have. Ids may be null
     or repeat. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text).alias("text"))
     # A row is known by its id and a hash of its text; rows alike in both have the same strings.
     rows = rows.withColumns({"d": F.coalesce("id", F.lit(-(1 << 63))), "h": F.xxhash64("text")})
     anchored = rows.filter(F.octet_length("text") >= LENGTH).select("d", "h", "text").mapInArrow(_anchored, "key long, r1 long, r2 long, d long, h long, pos long")
