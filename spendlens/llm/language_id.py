@@ -20,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 FEATURES = 4096
-SAMPLE_ROWS = 2400
+SAMPLE_ROWS = 1200
 UNDETERMINED = "und"
+BIAS = 0.3
 #: ISO 639-1 codes of language families. A code not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi",
@@ -57,17 +60,20 @@ def features(text: str) -> np.ndarray:
 class Linear:
     """A linear support vector machine with squared hinge loss, fitted by dual coordinate descent."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, c: float = 20.0, rounds: int = 30, seed: int = 7):
-        x = np.hstack([x, np.full((len(x), 1), 0.3)])
-        w, a, own = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(axis=1) + 1 / (2 * c)
+    def __init__(self, x: np.ndarray, which: np.ndarray, positive: np.ndarray, c: float = 20.0, rounds: int = 30, seed: int = 7):
+        """The rows ``which`` of x, unit vectors; positive: those of one side. No copy of x is made."""
+        w, bias, a, own = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), 1 + BIAS * BIAS + 1 / (2 * c)
+        y = np.where(positive, 1.0, -1.0)
         order = np.random.default_rng(seed)
         for _ in range(rounds):
-            for i in order.permutation(len(x)):
-                step = max(0.0, a[i] - (y[i] * (w @ x[i]) - 1 + a[i] / (2 * c)) / own[i]) - a[i]
+            for i in order.permutation(which):
+                margin = y[i] * (w @ x[i] + BIAS * bias)
+                step = max(0.0, a[i] - (margin - 1 + a[i] / (2 * c)) / own) - a[i]
                 if step:
                     a[i] += step
                     w += step * y[i] * x[i]
-        self.w, self.b = w[:-1], 0.3 * w[-1]
+                    bias += step * y[i] * BIAS
+        self.w, self.b = w, BIAS * bias
 
     def __call__(self, v: np.ndarray) -> float:
         return float(v @ self.w) + self.b
@@ -85,7 +91,7 @@ class Model:
         for lang in sorted(set(langs)):
             self.members.setdefault(FAMILY.get(lang, lang), []).append(lang)
         family = np.array([FAMILY.get(lang, lang) for lang in langs])
-        one = lambda mask, of: Linear(x[of], np.where(mask[of], 1.0, -1.0))
+        one = lambda mask, of: Linear(x, np.flatnonzero(of), mask)
         every = np.ones(len(x), bool)
         self.families = {f: one(family == f, every) for f in self.members} if len(self.members) > 1 else {}
         self.pairs = {(a, b): one(labels == a, (labels == a) | (labels == b)) for m in self.members.values() for a, b in combinations(m, 2)}
@@ -123,7 +129,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
 
     Rows are drawn by a hash of the id at a share that gives each language an equal part of SAMPLE_ROWS, or all its rows.
     """
-    known = docs.filter(~held_out(id_col) & F.col(lang).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = small_batches(docs).filter(~held_out(id_col) & F.col(lang).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS // 8).collect()}
     if not counts:
         return None
@@ -134,7 +140,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.v)))
-    return Model(np.array([np.frombuffer(r.v, np.float32) for r in rows], dtype=np.float64), [r.lang for r in rows])
+    return Model(np.stack([np.frombuffer(r.v, np.float32) for r in rows]), [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -143,7 +149,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     lang_pred is a learned language, or `und` (score 0) where the text is null, empty or without a letter, or where
     nothing was learned; score is in 0..1. Other columns pass through; those of the added names are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = small_batches(docs).drop("lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     use = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers for each machine
@@ -153,7 +159,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             yield pd.DataFrame([use.value.predict(t) if t is not None else (UNDETERMINED, 0.0) for t in batch], columns=["lang_pred", "score"])
 
     found = F.pandas_udf(predict, "lang_pred string, score double")(F.when(has_letter(text), F.col(text)))
-    return docs.withColumn("__p", found).withColumns({"lang_pred": F.col("__p.lang_pred"), "score": F.col("__p.score")}).drop("__p")
+    return docs.select(F.struct("*").alias("row"), found.alias("found")).select("row.*", "found.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
