@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
+from .common import cut, small_batches
 from .pretokens import gather
 
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 100_000
 
 
 def default_tokenizer() -> str:
@@ -324,12 +325,24 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             block = pretokens.pretokenize(texts)
             yield pa.RecordBatch.from_arrays([pa.array(block.words(), pa.binary()), pa.array(block.counts.astype(np.int64))], ["word", "n"])
 
-    return docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, text: str = "text", tokenizer: str | None = None, words: int = LEXICON_WORDS) -> Transducer:
-    """The transducer of the ``words`` most frequent pre-tokens (ties by bytes); that many reach the driver."""
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    """The transducer of the most frequent pre-tokens, ``words`` of them at most; only those reach the driver.
+
+    A histogram of the counts (in bins of three digits, so of bounded size) gives the count from which on they are few enough.
+    """
+    counts = cut(word_counts(docs, text).filter("n > 1"))
+    digits = F.expr("cast(power(10, greatest(0, length(cast(n as string)) - 3)) as long)")
+    bins = counts.groupBy((F.floor(F.col("n") / digits) * digits).alias("low")).count().orderBy(F.desc("low")).collect()
+    least, total = None, 0
+    for b in bins:
+        total += b["count"]
+        if total > words:
+            break
+        least = b.low
+    top = [] if least is None else counts.filter(F.col("n") >= int(least)).select("word").collect()
     return Transducer.compile([bytes(r.word) for r in top], vocabulary(tokenizer or default_tokenizer()))
 
 
@@ -353,7 +366,7 @@ def encode_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(hashes), pa.array(decoded)], ["id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(encode, "id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 

@@ -19,7 +19,7 @@ import regex
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Fixed value: what may follow the apostrophe of a contraction.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 @functools.cache
