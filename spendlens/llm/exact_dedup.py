@@ -89,9 +89,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     An empty table gives an empty result. Columns of the added names are replaced.
     """
     docs = without(docs, *ADDED)
-    rows = keyed(docs, text).withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    narrow = cut(rows.select(id_col, "text_sha256", "__points", "__tie"))
-    return resolve(rows, narrow, id_col)
+    # The row as it is travels in one column, so that its names meet none of ours.
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = keyed(packed).withColumn("__tie", F.xxhash64("row")).drop("text")
+    narrow = cut(rows.select("id", "text_sha256", "__points", "__tie"))
+    return resolve(rows, narrow, "id").select("row.*", *ADDED)
 
 
 def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -101,13 +101,14 @@ def due(words):
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The mix itself: every document as often as at least half of it is taken, in training order, with the columns of ``docs``."""
-    rows = sized(docs, text)
-    sizes = cut(rows.select(source, "size", id_col))
-    df = mix(rows, sizes, source, id_col).filter((F.col("taken") > 0) & (F.col("taken") * 2 >= F.col("size")))
+    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(id_col).alias("id"))
+    rows = sized(packed).drop("text")
+    sizes = cut(rows.select("source", "size", "id"))
+    df = mix(rows, sizes, "source", "id").filter((F.col("taken") > 0) & (F.col("taken") * 2 >= F.col("size")))
     copies = F.sequence(F.lit(0), F.round(F.col("taken") / F.col("size")).cast("int") - 1)
     df = df.withColumn("__copy", F.explode(copies))
     df = df.withColumn("__at", due(F.col("__before") + F.col("__copy") * F.col("source_size") + F.col("size") / 2))
-    return df.orderBy("__at", id_col, "__copy").select(docs.columns)
+    return df.orderBy("__at", "id", "__copy").select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

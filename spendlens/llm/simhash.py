@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from spendlens.operators.components import connected_components
 
-from .common import cut
+from .common import cut, small_batches
 
 WORDS = 4
 SEED = 42
@@ -88,7 +88,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return small_batches(rows).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _close(one: np.uint64, others: np.ndarray) -> np.ndarray:
@@ -147,16 +147,22 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(x):
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.arange(len(x)) >= len(x) - sum(map(len, long)))], ["src", "dst", "long"])
 
-    keys, prints = np.empty(0, np.int64), np.empty(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # the last key's rows so far, and smaller keys before them
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from out(np.concatenate([k for k, _ in held]), np.concatenate([p for _, p in held]))
+
     for batch in batches:
-        keys = np.concatenate([keys, batch.column(0).to_numpy()])
-        prints = np.concatenate([prints, batch.column(1).to_numpy().view(np.uint64)])
-        done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if done:
-            yield from out(keys[:done], prints[:done])
-            keys, prints = keys[done:], prints[done:]
-    if len(keys):
-        yield from out(keys, prints)
+        if batch.num_rows:
+            keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            last = int(np.searchsorted(keys, keys[-1]))
+            if last or (held and held[-1][0][-1] != keys[0]):
+                held.append((keys[:last], prints[:last]))
+                yield from close()
+                held = []
+            held.append((keys[last:], prints[last:]))
+    yield from close()
 
 
 def _neighbours() -> list[int]:
@@ -208,6 +214,6 @@ def representatives(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     """
     drop = near_duplicates(docs, text, id_col).filter("component_id is not null and doc_id <> component_id")
     drop = drop.select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(drop, id_col, "left_anti").select(docs.columns)
-    named = named.withColumn("__text", F.xxhash64(text)).dropDuplicates([id_col, "__text"]).drop("__text")
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.struct("*").alias("row"))
+    named = named.join(drop.withColumnRenamed(id_col, "id"), "id", "left_anti").dropDuplicates(["id", "hash"])
+    return named.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))

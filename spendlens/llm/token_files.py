@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bpe, pretokens
-from .common import cut, shared_dir
+from .common import cut, shared_dir, small_batches
 from .wavelet import WaveletMatrix
 
 END_ID = 2
 SHARD_TOKENS = 1 << 21
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class LibraryEncoder(bpe.Encoder):
@@ -107,7 +107,7 @@ def write_shards(docs: DataFrame, folder: str, text: str = "text", id_col: str =
         if rows:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
     files = cut(ordered.mapInArrow(write, "part long, seq long, path string, n_docs long, n_tokens long"))
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
