@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import bound, canonical_supplier_name, canonical_text, supplier_name_normalized
 
+#: Fixed value: where the public register shows a decision.
 DETAIL_URL = "https://diavgeia.gov.gr/opendata/decisions/"
 
 

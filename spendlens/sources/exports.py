@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.ids import detail_url
 from ..functions.json_fields import as_list, as_map
 
+#: The envelopes and wrappers in which records come.
 ENVELOPES = ("decisionResultList", "decisions", "diavgeia_decisions")
 WRAPPERS = ("decision", "decisionResult", "data")
 DECISIONS = "org string, year int, month int, procurement_stage string, ada string, issue_date string, decision_type string, subject string, url string, amount double, amount_source string, supplier_name string, supplier_tax_id string, signer string, unit string"
