@@ -130,7 +130,11 @@ def lifecycle_pairs(d: DataFrame) -> DataFrame:
     role = lifecycle_role(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"))
     rows = d.filter(is_lifecycle_decision(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"), F.col("supplier_key")) & F.col("issue_date").isNotNull())
     rows = rows.select("id", F.coalesce("supplier_key", F.lit("unknown-supplier")).alias("supplier"), F.date_format("issue_date", "yyyy-MM").alias("month"), "issue_date", cents(F.col("amount")).alias("cents"), role.alias("role"), canonical_text(F.col("title")).alias("title"), text_tokens(F.col("title")).alias("tokens"))
-    pairs = _sides(rows, ["supplier", "month"])
+    # Without a supplier only equal cents can match, so those rows meet by cents too and make no pairs of a whole month.
+    unknown = F.col("supplier") == "unknown-supplier"
+    pairs = _sides(rows.filter(~unknown), ["supplier", "month"])
+    rest = rows.filter(unknown & F.col("cents").isNotNull()).withColumn("__cents", F.col("cents"))
+    pairs = pairs.unionByName(_sides(rest, ["supplier", "month", "__cents"]).drop("__cents"))
     no = F.lit(False)
     other_role = F.coalesce(F.col("l_role") != F.col("r_role"), no)
     same_cents = F.coalesce(F.col("l_cents") == F.col("r_cents"), no)
