@@ -44,8 +44,9 @@ def tolerance_pairs(rows: DataFrame, tolerance: float = TOLERANCE, days: int = W
     dated = right.filter("r_w is not null").withColumn("l_w", F.explode(F.array(*[F.col("r_w") + i for i in (-1, 0, 1)])))
     both = left.filter("l_w is not null").join(dated, ["l_k", "l_w"]).filter(match)
     # Rows without a date match in any period.
-    undated = left.join(right, "l_k").filter((F.col("l_w").isNull() | F.col("r_w").isNull()) & match)
-    pairs = both.select("l_first", "r_first").unionByName(undated.select("l_first", "r_first"))
+    undated = left.filter("l_w is null").join(right, "l_k").filter(match)
+    half = left.filter("l_w is not null").join(right.filter("r_w is null"), "l_k").filter(match)
+    pairs = both.select("l_first", "r_first").unionByName(undated.select("l_first", "r_first")).unionByName(half.select("l_first", "r_first"))
     return pairs.select(F.col("l_first").alias("src"), F.col("r_first").alias("dst"))
 
 
