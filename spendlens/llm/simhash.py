@@ -59,20 +59,28 @@ def triples() -> list[tuple[int, int, int]]:
 TRIPLES = triples()
 
 
-def fingerprint(text: str | None) -> int:
-    """The SimHash of a text: A-Z lower-cased, words split at ASCII white space, XXH64 of each 4-word shingle.
+def shingle_hashes(text: str | None, n: int) -> np.ndarray:
+    """XXH64 of each shingle of ``n`` words, in order: A-Z lower-cased, words split at ASCII white space.
 
-    A text of fewer words counts as one shingle; one without words, or null, has fingerprint 0.
+    A text of fewer words counts as one shingle; one without words, or null, has none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     joined, of = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= WORDS:
-        return of(joined, SEED)
+    if len(words) <= n:
+        return np.array([of(joined, SEED)] if words else [], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[: -WORDS].tolist()]
-    hashes = np.array([of(joined[a:b], SEED) for a, b in zip(starts, (ends[WORDS - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+    starts = [0, *ends[:-n].tolist()]
+    return np.array([of(joined[a:b], SEED) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """The SimHash of a text: A-Z lower-cased, words split at ASCII white space, XXH64 of each 4-word shingle.
+
+    A text of fewer words counts as one shingle; one without words, or null, has fingerprint 0.
+    """
+    hashes = shingle_hashes(text, WORDS)
+    if len(hashes) <= 1:
+        return int(hashes[0]) if len(hashes) else 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -207,13 +215,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id, with the columns of ``docs``.
+def without_copies(docs: DataFrame, members: DataFrame, text: str, id_col: str) -> DataFrame:
+    """The rows of ``docs`` but for those that ``members`` (doc_id, component_id) gives another id.
 
     Of rows alike in id and text one stays; rows without an id stay.
     """
-    drop = near_duplicates(docs, text, id_col).filter("component_id is not null and doc_id <> component_id")
+    drop = members.filter("component_id is not null and doc_id <> component_id")
     drop = drop.select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), F.struct("*").alias("row"))
     named = named.join(drop.withColumnRenamed(id_col, "id"), "id", "left_anti").dropDuplicates(["id", "hash"])
     return named.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+def representatives(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest id, with the columns of ``docs``.
+
+    Of rows alike in id and text one stays; rows without an id stay.
+    """
+    return without_copies(docs, near_duplicates(docs, text, id_col), text, id_col)
