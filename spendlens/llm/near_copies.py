@@ -10,7 +10,8 @@ last, all others by their hash.
 
 What meets in a list is filtered by what its rows carry and no similar pair can
 fail: the sizes, and a sketch of 128 parities, of which no more differ than the
-sets have elements apart. Pairs that stay are verified on their whole sets.
+sets have elements apart; pairs that stay are sifted by sketches as wide as the sets are
+large, and then verified on the whole sets.
 
 Only components are asked for, so a long list does not make all its pairs: its
 members are first linked along random orders, and then only pairs from
@@ -64,6 +65,20 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<u8")
 
 
+def _wide_sketch(hashes: np.ndarray) -> bytes:
+    """A sketch of as many parities as there are hashes at least."""
+    bits = 1 << max(7, len(hashes).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """In how many parities two wide sketches differ; the longer one is folded to the other's length."""
+    x, y = (np.frombuffer(z, np.uint8) for z in (a, b))
+    x, y = (z.reshape(-1, min(len(x), len(y))) for z in (x, y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x) ^ np.bitwise_xor.reduce(y)).sum())
+
+
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that are common in a sample, ascending, and their counts; MAX_COMMON at most."""
     every = max(1, docs.count() // SAMPLE_ROWS)
@@ -83,12 +98,12 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _posted(docs: DataFrame) -> DataFrame:
-    """(id, th, node, n, p, q, keys) of every row of (id, th, text)."""
+    """(id, th, node, n, p, q, sketch, keys) of every row of (id, th, text)."""
     common, counts = _common(docs)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, keys = [], []
+            rows, keys, wide = [], [], []
             for t in b.column(2):
                 s = shingle_set(t.as_py())
                 level = np.zeros(len(s), np.int64)
@@ -96,13 +111,14 @@ def _posted(docs: DataFrame) -> DataFrame:
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     level = np.where(common[at] == s, counts[at], 0)
                 keys.append(s[np.lexsort((s, level))][: prefix_length(len(s))].view(np.int64))
+                wide.append(_wide_sketch(s))
                 rows.append((_node(s), len(s), *_sketch(s)))
             node, n, p, q = (pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in zip(*rows, strict=True))
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, n, p, q, lists], ["id", "th", "node", "n", "p", "q", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, n, p, q, pa.array(wide, pa.binary()), lists], ["id", "th", "node", "n", "p", "q", "sketch", "keys"])
 
-    return small_batches(docs).mapInArrow(lambda bs: post(b for b in bs if b.num_rows), "id long, th long, node long, n long, p long, q long, keys array<long>")
+    return small_batches(docs).mapInArrow(lambda bs: post(b for b in bs if b.num_rows), "id long, th long, node long, n long, p long, q long, sketch binary, keys array<long>")
 
 
 class _List:
@@ -196,8 +212,22 @@ def _meet(posts: DataFrame, salt: int, whole: bool) -> DataFrame:
 
 def _verified(docs: DataFrame, posted: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, dst) of the ``pairs`` (a, b) whose sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = cut(posted.select("node", "th").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th").distinct())
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    marks = cut(posted.select("node", "th", "n", "sketch").join(ends(pairs), "node", "left_semi").dropDuplicates(["node"]))
+    side = lambda df, end, **names: df.select(F.col("node").alias(end), *[F.col(c).alias(n) for n, c in names.items()])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, t = SHARE
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            keep = pa.array(apart * (t + s) <= sizes * (t - s))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    sketched = pairs.join(side(marks, "a", m="n", x="sketch"), "a").join(side(marks, "b", n="n", y="sketch"), "b")
+    pairs = cut(small_batches(sketched.select("a", "b", "m", "n", "x", "y")).mapInArrow(sift, "a long, b long"))
+    nodes = cut(ends(pairs))
+    texts = cut(marks.join(nodes, "node", "left_semi").select("th").distinct())
     filtered = KeyFilter(texts, "th", texts.count())
     some = filtered.flag(docs.select("th", "text"), "th", "__may").filter("__may").select("text")
 
@@ -210,7 +240,7 @@ def _verified(docs: DataFrame, posted: DataFrame, pairs: DataFrame) -> DataFrame
 
     sets = small_batches(some).mapInArrow(hashes, "node long, hashes array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
     sets = cut(sets)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    both = pairs.join(side(sets, "a", x="hashes"), "a").join(side(sets, "b", y="hashes"), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, t = SHARE
