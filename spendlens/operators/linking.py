@@ -58,6 +58,21 @@ def same_rows(rows: DataFrame) -> DataFrame:
     return rows.join(first, alike).select(F.col("id").alias("src"), "dst").filter("src <> dst")
 
 
+def all_tolerance_pairs(rows: DataFrame, strict_supplier: bool = False, **options) -> DataFrame:
+    """(src, dst), src the smaller: every pair that ``tolerance_pairs`` speaks of, those of rows alike in amount, date and supplier too.
+
+    As many rows as there are pairs, so a group of n alike rows makes n (n - 1) / 2. ids are unique.
+    """
+    firsts = rows.filter("amount > 0").groupBy("amount", "issue_date", "supplier_tax_id").agg(F.min("id").alias("id"))
+    member = same_rows(rows).unionByName(firsts.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    of = lambda end: member.select(F.col("src").alias(f"m_{end}"), F.col("dst").alias(end))
+    across = tolerance_pairs(rows, strict_supplier=strict_supplier, **options).join(of("src"), "src").join(of("dst"), "dst")
+    known = firsts.filter("supplier_tax_id is not null") if strict_supplier else firsts
+    inside = known.select(F.col("id").alias("src")).join(of("src"), "src").withColumnRenamed("m_src", "a").join(of("src"), "src").filter("a < m_src")
+    pairs = across.select(F.col("m_src").alias("a"), F.col("m_dst").alias("b")).unionByName(inside.select("a", F.col("m_src").alias("b")))
+    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+
+
 def contract_members(rows: DataFrame, **options) -> DataFrame:
     """rows with component: the smallest id of those linked, its own where none is (rows without an amount always)."""
     edges = tolerance_pairs(rows, **options).unionByName(same_rows(rows))

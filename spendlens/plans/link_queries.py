@@ -26,8 +26,7 @@ def members(spark, sf_dir):
 
 @query("join4_tolerance_pairs", f"WITH {PAIRS} SELECT src, dst FROM e")
 def tolerance_pairs(spark, sf_dir):
-    p = L.tolerance_pairs(orders(spark, sf_dir))
-    return p.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return L.all_tolerance_pairs(orders(spark, sf_dir))
 
 
 @query("join7_components", f"WITH RECURSIVE {COMPONENTS} SELECT id, component FROM g")
