@@ -1,11 +1,12 @@
 """Secret scans by a battery of randomness tests, in DataFrame functions only.
 
 Base spans are those of three fixed patterns. Beyond them, every run of token
-characters that is long enough is a candidate: its encoding is inferred (hex,
-base32, base36, base64), its characters become numbers in that alphabet, and
-three tests ask whether they look uniformly random: chi-squared uniformity of
-the alphabet, runs about the middle of the alphabet, and lag-one serial
-correlation. Their p-values are combined (Fisher). A candidate whose randomness
+characters that is long enough is a candidate: its encoding is inferred (digits,
+letters, hex, base32, base36, base64), its characters become numbers in that
+alphabet, and four tests ask whether they look uniformly random: chi-squared
+uniformity of the alphabet, runs about the middle of the alphabet, lag-one serial
+correlation, and chi-squared of the mixture of lower case, upper case, digits and
+signs against their shares of the alphabet. Their p-values are combined (Fisher). A candidate whose randomness
 is rejected is ordinary text. Rejection is by Benjamini-Hochberg inside each
 band of lengths, over all candidates of the corpus, because the power of the
 tests grows with the length: of the candidates rejected in a band, at most a
@@ -33,9 +34,15 @@ KINDS = (*(b[0] for b in BASE), "random")
 BANDS = (20, 24, 32, 40, 48, 64, 96)
 ALPHA = 0.05
 BINS = 1600
+#: Signs of padding at most at the end of base64.
+PADDING = 2
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encoding: what the token consists of, and its alphabet in order.
 ENCODINGS = (
+    ("^[0-9]+$", DIGITS),
+    ("^[a-z]+$", LOWER),
+    ("^[A-Z]+$", UPPER),
+    ("^[A-Za-z]+$", UPPER + LOWER),
     ("^[0-9a-f]+$", DIGITS + LOWER[:6]),
     ("^[0-9A-F]+$", DIGITS + UPPER[:6]),
     ("^[A-Z2-7]+$", UPPER + "234567"),
@@ -109,19 +116,32 @@ def p_serial(x: Column) -> Column:
     return F.when(var > 1e-9, _two_sided((r + 1 / n) * F.sqrt(n))).otherwise(1e-12)
 
 
+def p_mixture(core: Column, alphabet: Column) -> Column:
+    """Chi-squared test of the kinds of characters (lower, upper, digits, signs) against their shares of the alphabet; 1 if that has one kind."""
+    kinds = F.array(*[F.lit(k) for k in ("[^a-z]", "[^A-Z]", "[^0-9]", "[A-Za-z0-9]")])
+    n = F.length(core).cast("double")
+    count = lambda t: F.transform(kinds, lambda k: F.length(F.regexp_replace(t, k, "")).cast("double"))
+    shares = F.transform(count(alphabet), lambda c: c / F.length(alphabet))
+    parts = F.zip_with(count(core), shares, lambda c, s: F.when(s > 0, (c - n * s) * (c - n * s) / (n * s)).otherwise(0.0))
+    chi2 = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    df = (F.size(F.filter(shares, lambda s: s > 0)) - 1).cast("double")
+    spread = 2 / (9 * F.greatest(df, F.lit(1.0)))
+    p = _upper_tail((F.pow(chi2 / F.greatest(df, F.lit(1.0)), 1 / 3) - (1 - spread)) / F.sqrt(spread))
+    return F.when(df > 0, p).otherwise(1.0)
+
+
 def battery(token: Column) -> Column:
-    """The combined p-value of a token's randomness, or null where it has no encoding or no mixture of letters and digits."""
+    """The combined p-value of a token's randomness, or null where it has no encoding or is too short without its padding."""
 
     def combined(ps: list[Column]) -> Column:
-        half = -sum((F.log(p) for p in ps[1:]), F.log(ps[0]))  # half of Fisher's chi-squared with 6 degrees of freedom
-        return F.exp(-half) * (1 + half + half * half / 2)
+        half = -sum((F.log(p) for p in ps[1:]), F.log(ps[0]))  # half of Fisher's chi-squared with 8 degrees of freedom
+        return F.exp(-half) * (1 + half + half * half / 2 + half * half * half / 6)
 
     def tests(core: Column) -> Column:
         alphabet = F.coalesce(*[F.when(core.rlike(p), F.lit(a)) for p, a in ENCODINGS])
-        mixed = (F.length(F.regexp_replace(core, "[^0-9]", "")) >= 3) & (F.length(F.regexp_replace(core, "[^A-Za-z]", "")) >= 3) & (F.length(core) >= BANDS[0])
         numbers = F.transform(F.split(core, ""), lambda c: F.instr(alphabet, c) - 1)
-        p = _bind(numbers, lambda x: _bind(F.length(alphabet), lambda a: combined([p_uniform(x, a), p_runs(x, a), p_serial(x)])))
-        return F.when(mixed & alphabet.isNotNull(), p)
+        p = _bind(numbers, lambda x: _bind(F.length(alphabet), lambda a: combined([p_uniform(x, a), p_runs(x, a), p_serial(x), p_mixture(core, alphabet)])))
+        return F.when(alphabet.isNotNull() & (F.length(core) >= BANDS[0] - PADDING), p)
 
     return _bind(F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", ""), tests)
 
