@@ -8,12 +8,21 @@ place, and only strings with equal anchors need comparing. Strings that start
 next to one another mostly share an anchor: such a run of starts is one row (its
 anchor's hash, and a 128-bit hash of all the bytes its strings cover).
 
-Rows meet by anchor. Runs equal in all bytes are repeated whole. Where an anchor
-has different runs, one of each is sorted: the suffixes behind the anchor and, read
-backwards, the prefixes before it. Sorting is deep-shallow: multikey quicksort
-by groups of characters to ``SHALLOW`` bytes, then a blind trie for each group
-that shares those. From the order and the common prefixes of neighbours follows for
-every start whether another run has the same LENGTH bytes there.
+Rows that are alone with their anchor repeat nothing. Of the others, runs equal
+in all bytes are counted together before anything meets in a task, and those
+counted twice are repeated whole. Where an anchor has different runs, one of each is
+sorted: the suffixes behind the anchor and, read backwards, the prefixes before
+it. Sorting is deep-shallow: multikey quicksort by groups of characters to
+``SHALLOW`` bytes, then a blind trie for each group that shares those. From the
+order and the common prefixes of neighbours follows for every start whether
+another run has the same LENGTH bytes there.
+
+An anchor with more than ``GROUP_ROWS`` different runs is divided first: of the
+places before the anchor at which a string may start, one half is taken at a
+time. Strings that start in one half share bytes before and behind the anchor
+that the half fixes, so runs meet only where those bytes are equal; halving goes
+on until groups are small, at the latest at single starts, where a group is
+one repeated string. So no group is larger than GROUP_ROWS in any task.
 """
 
 from __future__ import annotations
@@ -26,17 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, cut, small_batches, text_of
+from .common import KeyFilter, cut, small_batches, stored, text_of
 
 LENGTH = 400
 GRAM = 200
 SHALLOW = 32
 STEP = 8
-PAIRWISE = 6
+#: Different runs of one group that are sorted in one task; up to FEW of them the common prefixes of all pairs are read off the order.
+GROUP_ROWS = 4096
+FEW = 16
 BLOCK_BYTES = 256 << 10
 ROWS_OUT = 4096
 #: Rows of a run pack its first start, its number of starts and its anchor's offset: the last two are below 256.
 PACK = 16
+#: A run to sort: its group, which starts before the anchor count there, whether it is repeated itself, its text and place, and the bytes around the anchor.
+RUN = ["group", "low", "high", "itself", "d", "h", "pos", "before", "behind"]
+RUN_TYPE = "group string, low int, high int, itself int, d long, h long, pos long, before binary, behind binary"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -137,8 +151,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[list[n
     for b in batches:
         if not b.num_rows:
             continue
-        k = b.column(key).to_numpy()
-        done = int(np.searchsorted(k, k[-1])) if k[0] != k[-1] else 0
+        k = b.column(key).to_numpy(zero_copy_only=False)
+        done = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
         if done:
             yield _columns([*held, b.slice(0, done)])
             held = [b.slice(done)]
@@ -156,42 +170,25 @@ def _columns(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) if hasattr(c, "to_numpy") else np.array(c) for c in (x.combine_chunks() for x in t.columns)]
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, r1, r2) to repeated starts (kind 0: d, h, first, last) and runs to sort (kind 1: d, h, pos, key; kind 2: the same for a run that is repeated itself)."""
-    for key, r1, r2, d, h, pos in _grouped(batches):
-        new_key = np.r_[True, key[1:] != key[:-1]]
-        new_run = new_key | np.r_[True, (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])]
-        run = np.cumsum(new_run) - 1
-        heads = np.flatnonzero(new_run)
-        copies = np.diff(np.r_[heads, len(key)])
-        group = np.cumsum(new_key)[heads] - 1  # of each run
-        several = np.bincount(group)[group] > 1
-        start, count, _ = _unpack(pos)
-        rows = np.flatnonzero(copies[run] > 1)
-        out = [(np.zeros(len(rows), np.int32), d[rows], h[rows], start[rows], start[rows] + count[rows] - 1)]
-        rep = heads[several]
-        out.append((1 + (copies[several] > 1).astype(np.int32), d[rep], h[rep], pos[rep], key[rep]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(5)], ["kind", "d", "h", "a", "b"])
-
-
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each run to sort the bytes before its anchor, backwards, and those behind it."""
-    kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "kind", "d", "h", "pos", "before", "behind"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], RUN)
 
     rows: list[tuple] = []
     for b in batches:
         for d, h, text, wanted in zip(*(b.column(k) for k in range(4)), strict=True):
             raw = text.as_py().encode("utf-8")
             for w in wanted.as_py():
-                start, count, offset = w["a"] >> PACK, (w["a"] >> 8) & 255, w["a"] & 255
+                pos = w["pos"]
+                start, count, offset = pos >> PACK, (pos >> 8) & 255, pos & 255
                 anchor = start + offset
-                rows.append((w["b"], w["kind"], d.as_py(), h.as_py(), w["a"], raw[start:anchor][::-1], raw[anchor + GRAM : start + count - 1 + LENGTH]))
-            if len(rows) >= ROWS_OUT:
-                yield out(rows)
-                rows = []
+                rows.append((str(w["key"]), 0, LENGTH - GRAM, w["itself"], d.as_py(), h.as_py(), pos, raw[start:anchor][::-1], raw[anchor + GRAM : start + count - 1 + LENGTH]))
+                if len(rows) >= ROWS_OUT:
+                    yield out(rows)
+                    rows = []
     if rows:
         yield out(rows)
 
@@ -265,34 +262,52 @@ def deep_shallow_order(strings: list[bytes]) -> list[int]:
     return order
 
 
+def _ordered(strings: list[bytes]) -> tuple[list[int], list[int]]:
+    """The order of strings, and the common prefix of each place with the one before."""
+    order = deep_shallow_order(strings)
+    return order, [0, *(common(strings[a], strings[b]) for a, b in zip(order, order[1:]))]
+
+
 def _ranks(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Each string's place in the order, and the common prefix of each place with the one before."""
-    order = deep_shallow_order(strings)
+    order, lcp = _ordered(strings)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return rank, np.array([0, *(common(strings[a], strings[b]) for a, b in zip(order, order[1:]))])
+    return rank, np.array(lcp)
+
+
+def _all_common(strings: list[bytes]) -> dict[tuple[int, int], int]:
+    """The common prefix of each pair: the least of those between their places in the order."""
+    order, lcp = _ordered(strings)
+    found = {}
+    for a, x in enumerate(order):
+        least = len(strings[x])
+        for b in range(a + 1, len(order)):
+            least, y = min(least, lcp[b]), order[b]
+            found[min(x, y), max(x, y)] = least
+    return found
 
 
-def repeated_starts(before: list[bytes], behind: list[bytes], itself: list[bool]) -> list[list[tuple[int, int]]]:
-    """Of each run the intervals j..k of bytes before the anchor at which a string starts that another run has too.
+def repeated_starts(before: list[bytes], behind: list[bytes], itself: list[bool], low: int = 0, high: int = LENGTH - GRAM) -> list[list[tuple[int, int]]]:
+    """Of each run the intervals j..k of bytes before the anchor, within low..high, at which a string starts that another run has too.
 
     A run's strings start jmin..jmax bytes before the anchor: jmax bytes are before it and GRAM - jmin behind. Runs that are
     repeated themselves take part in the comparing but need no answer.
     """
     m, most = len(before), LENGTH - GRAM
     found: list[list[tuple[int, int]]] = [[] for _ in range(m)]
-    if m <= PAIRWISE:
-        for x in range(m):
-            for y in range(x + 1, m):
-                low, high = most - common(behind[x], behind[y]), common(before[x], before[y])
-                if low <= high:
-                    found[x].append((low, high))
-                    found[y].append((low, high))
+    if m <= FEW:
+        left = _all_common(before)
+        for (x, y), right in _all_common(behind).items():
+            a, b = max(low, most - right), min(high, left[x, y])
+            if a <= b:
+                found[x].append((a, b))
+                found[y].append((a, b))
         return found
     (left, lcp_l), (right, lcp_r) = _ranks(before), _ranks(behind)
     jmax, jmin = np.fromiter(map(len, before), np.int64, m), most - np.fromiter(map(len, behind), np.int64, m)
     wanted = ~np.array(itself)
-    for j in range(most + 1):
+    for j in range(low, high + 1):
         here = np.flatnonzero((jmin <= j) & (j <= jmax))
         if len(here) < 2:
             continue
@@ -307,20 +322,54 @@ def repeated_starts(before: list[bytes], behind: list[bytes], itself: list[bool]
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by key to repeated starts (d, h, first, last)."""
-    for key, kind, d, h, pos, before, behind in _grouped(batches):
+    """Runs sorted by group to repeated starts (d, h, first, last)."""
+    for group, low, high, itself, d, h, pos, before, behind in _grouped(batches):
         out = []
-        bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
+        bounds = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]).tolist()
         start, _, offset = (x.tolist() for x in _unpack(pos))
-        dl, hl, itself = d.tolist(), h.tolist(), (kind == 2).tolist()
+        dl, hl, itself = d.tolist(), h.tolist(), itself.astype(bool).tolist()
         for a, b in zip(bounds, bounds[1:]):
-            for i, spans in enumerate(repeated_starts(list(before[a:b]), list(behind[a:b]), itself[a:b]), a):
+            if b - a == 1:
+                continue
+            for i, spans in enumerate(repeated_starts(list(before[a:b]), list(behind[a:b]), itself[a:b], int(low[a]), int(high[a])), a):
                 if not itself[i]:
                     out += [(dl[i], hl[i], start[i] + offset[i] - k, start[i] + offset[i] - j) for j, k in spans]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["d", "h", "a", "b"])
 
 
+def _halved(runs: DataFrame) -> DataFrame:
+    """Rows of large groups by the two halves of their starts; each half's group adds the bytes that all its strings share."""
+    mid = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    most = LENGTH - GRAM
+    parts = runs.withColumn("part", F.explode(F.array(F.struct(F.col("low").alias("low"), mid.alias("high")), F.struct((mid + 1).alias("low"), F.col("high").alias("high")))))
+    parts = parts.withColumns({"low": F.col("part.low"), "high": F.col("part.high")}).drop("part")
+    parts = parts.filter((F.octet_length("before") >= F.col("low")) & (most - F.octet_length("behind") <= F.col("high")))
+    same = F.sha2(F.concat(F.substring("before", F.lit(1), F.col("low")), F.substring("behind", F.lit(1), most - F.col("high"))), 256)
+    return parts.withColumn("group", F.concat_ws(":", F.substring_index("group", ":", 1), "low", same))
+
+
+def sorted_starts(around: DataFrame) -> DataFrame:
+    """(d, h, a, b): the repeated starts among different runs of (group, low, high, itself, d, h, pos, before, behind), groups divided until they are small."""
+    out, left = [], around
+    while True:
+        large = cut(left.groupBy("group").agg(F.count("*").alias("n"), F.first("low").alias("l"), F.first("high").alias("t")).filter(F.col("n") > GROUP_ROWS))
+        if large.isEmpty():
+            out.append(left)
+            break
+        out.append(left.join(large.select("group"), "group", "left_anti"))
+        # A group of a single start holds one string, as often as it has rows.
+        whole = left.join(large.filter("l = t").select("group"), "group", "left_semi").withColumn("at", F.shiftright("pos", PACK) + F.col("pos").bitwiseAND(255) - F.col("low"))
+        out.append(whole.filter("itself = 0").select("d", "h", F.col("at").alias("a"), F.col("at").alias("b")))
+        left = cut(_halved(left.join(large.filter("l < t").select("group"), "group", "left_semi")))
+    starts = None
+    for part in out:
+        if "group" in part.columns:
+            part = part.repartition("group").sortWithinPartitions("group").mapInArrow(_sorted, "d long, h long, a long, b long")
+        starts = part if starts is None else starts.unionByName(part)
+    return starts
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
 
@@ -358,16 +407,22 @@ def remove_repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     # A row is known by its id and a hash of its text; rows alike in both have the same strings.
     rows = rows.withColumns({"d": F.coalesce("id", F.lit(-(1 << 63))), "h": F.xxhash64("text")})
     anchored = rows.filter(F.octet_length("text") >= LENGTH).select("d", "h", "text").mapInArrow(_anchored, "key long, r1 long, r2 long, d long, h long, pos long")
-    met = anchored.repartition("key").sortWithinPartitions("key", "r1", "r2")
-    compared = cut(met.mapInArrow(_compared, "kind long, d long, h long, a long, b long"))
-
-    to_sort = compared.filter("kind > 0").groupBy("d", "h").agg(F.collect_list(F.struct("kind", "a", "b")).alias("wanted"))
+    anchored = stored(anchored, "runs")
+    keys = cut(anchored.groupBy("key").count().filter("count > 1").select("key"))
+    met = cut(KeyFilter(keys, "key", keys.count()).flag(anchored, "key", "__maybe").filter("__maybe").drop("__maybe").join(keys, "key"))
+    run = ["key", "r1", "r2"]
+    counted = cut(met.groupBy(*run).agg(F.count("*").alias("n"), F.first("d").alias("d"), F.first("h").alias("h"), F.first("pos").alias("pos")))
+    start, last = F.shiftright("pos", PACK), F.shiftright("pos", PACK) + F.shiftright("pos", 8).bitwiseAND(255) - 1
+    repeated = met.join(counted.filter("n > 1").select(*run), run).select("d", "h", start.alias("a"), last.alias("b"))
+
+    several = counted.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    to_sort = cut(counted.join(several, "key").select("d", "h", F.struct("key", "pos", (F.col("n") > 1).cast("int").alias("itself")).alias("run")))
     texts = rows.select("d", "h", "text")
-    wanted = _flagged(texts, compared.filter("kind > 0")).filter("__maybe").drop("__maybe", "__k").join(to_sort, ["d", "h"])
-    # One text serves rows alike in id and text.
-    around = wanted.select("d", "h", "text", "wanted").mapInArrow(_around, "key long, kind long, d long, h long, pos long, before binary, behind binary")
-    ordered = around.repartition("key").sortWithinPartitions("key")
-    starts = compared.filter("kind = 0").select("d", "h", "a", "b").unionByName(ordered.mapInArrow(_sorted, "d long, h long, a long, b long"))
+    listed = to_sort.groupBy("d", "h").agg(F.collect_list("run").alias("wanted"))
+    wanted = _flagged(texts, to_sort).filter("__maybe").drop("__maybe", "__k").join(listed, ["d", "h"])
+    # Rows alike in id and text each bring their runs, which are repeated themselves (itself = 1) and so need no answer.
+    around = cut(wanted.select("d", "h", "text", "wanted").mapInArrow(_around, RUN_TYPE))
+    starts = repeated.unionByName(sorted_starts(around))
     spans = cut(starts.groupBy("d", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
 
     flagged = _flagged(rows, spans)
@@ -386,5 +441,5 @@ def _flagged(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    return remove_repeated(docs.select("doc_id", "text")).drop("kept")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text, the bytes that stay as text, of every document; a character cut in two shows as U+FFFD."""
+    return remove_repeated(docs.select("doc_id", "text")).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")

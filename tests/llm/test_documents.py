@@ -279,7 +279,10 @@ def removed(texts):
     return gone
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("group_rows, few", [(suffix_dedup.GROUP_ROWS, suffix_dedup.FEW), (3, 2), (1, 1)])
+def test_suffix_dedup(spark, monkeypatch, group_rows, few):
+    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(suffix_dedup, "FEW", few)
     r = random.Random(5)
     base = [prose(k, 300) for k in range(10)]
     texts = [None, "", "short", "z" * 399, "z" * 400, "z" * 900, "ab" * 450, "é" * 600]
@@ -299,7 +302,10 @@ def test_suffix_dedup(spark):
         kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
         want.append((i, len(t), int(gone.sum()), int((np.diff(np.r_[False, gone].astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
-    same([(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digest(df).collect()], want)
+    got = suffix_dedup.digest(df).collect()
+    same([(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got], want)
+    whole = {i: t or "" for i, t in zip(ids, texts, strict=True)}
+    assert all(x.text == whole[x.doc_id] if not x.n_removed else hashlib.sha256(x.text.encode()).hexdigest() == x.kept_sha256 or "\ufffd" in x.text for x in got)
 
 
 def test_suffix_dedup_across_pieces(spark, monkeypatch):
