@@ -1,19 +1,21 @@
-"""Searching records of changing shape: JSON text flattened level by level, candidates ranked in the order of the document."""
+"""Searching records of changing shape inside their row: JSON text flattened to an array of its values, candidates ranked in the order of the document.
+
+Nothing here joins or shuffles: a record's values are an array column, however deep they nest, and a search is an expression over it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
 from .ids import normalize_tax_id
 from .numbers import euro_amount, parse_amount, plain_amount
-from .text import clean_person_name, contains_any, normalize_label, normalize_text
+from .text import bound, clean_person_name, contains_any, normalize_label, normalize_text
 
-DEPTH = 6
 EXTRA = "extraFieldValues"
 #: Steps of the order inside an object: keys asked for, labelled values, extra fields, keys with a label's word, nested values.
-KEYS, LABELLED, EXTRAS, WORDS, NESTED = 0, 1_000, 2_000, 1_000_000, 2_000_000
+KEYS, LABELLED, EXTRAS, WORDS, NESTED = 0, 1_000, 500_000, 1_000_000, 2_000_000
 
 
 def first_present(record: Column, keys) -> Column:
@@ -30,148 +32,202 @@ def as_list(text: Column) -> Column:
     return F.from_json(text, "array<string>")
 
 
-def _named(text: Column, depth: int) -> Column:
-    m = as_map(text)
-    if depth == 0:
-        return F.when(~text.rlike(r"^[\[{]"), normalize_text(text))
-    person = F.nullif(F.concat_ws(" ", normalize_text(F.coalesce(m["firstName"], m["firstname"])), normalize_text(F.coalesce(m["lastName"], m["lastname"], m["surname"]))), F.lit(""))
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.startswith(value, F.lit("{")), F.lit(False))
+
+
+def _is_scalar(value: Column) -> Column:
+    return ~value.rlike(r"^[\[{]")
+
+
+def _levels(text: Column) -> Column:
+    """1 to the number of objects and lists in a JSON text: it nests no deeper."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\[{]", ""))))
+
+
+def _name_in(record: Column) -> Column:
+    """The value that names an object: a person's first and last name, else that of the first name-like key."""
+    full = F.concat_ws(" ", normalize_text(F.coalesce(record["firstName"], record["firstname"])), normalize_text(F.coalesce(record["lastName"], record["lastname"], record["surname"])))
     keys = ("name", "label", "title", "description", "fullName", "displayName", *V.VALUE_KEYS)
-    inside = F.coalesce(person, *[_named(m[k], depth - 1) for k in keys])
-    listed = F.nullif(F.array_join(F.array_compact(F.transform(as_list(text), lambda x: F.when(~x.rlike(r"^[\[{]"), normalize_text(x)).otherwise(F.coalesce(as_map(x)["name"], as_map(x)["label"], as_map(x)["value"])))), ", "), F.lit(""))
-    return F.when(F.startswith(text, F.lit("{")), inside).when(F.startswith(text, F.lit("[")), listed).otherwise(normalize_text(text))
+    return F.coalesce(F.nullif(full, F.lit("")), *[F.when(~record[k].isin("", "[]", "{}"), record[k]) for k in keys])
 
 
 def named_text(text: Column) -> Column:
-    """The text of a value: a person's first and last name, else the first name-like key (one level down), lists joined by commas, scalars as they are."""
-    return _named(text, 1)
+    """The text of a value of any depth: objects stand for what names them, lists for their items, joined by commas; null if there is none."""
+
+    def inside(x: Column) -> Column:
+        named = F.when(_is_object(x), bound(as_map(x), lambda m: F.coalesce(F.array_compact(F.array(_name_in(m))), F.array(x))))
+        return named.when(F.startswith(x, F.lit("[")), F.coalesce(as_list(x), F.array(x))).otherwise(F.array(x))
+
+    items = F.aggregate(_levels(text), F.array(text), lambda found, _: F.flatten(F.transform(F.array_compact(found), inside)))
+    said = F.filter(F.transform(items, normalize_text), lambda t: t.isNotNull() & ~t.startswith("{"))
+    return F.when(_is_scalar(text), normalize_text(text)).otherwise(F.nullif(F.array_join(said, ", "), F.lit("")))
+
+
+STEPS = "array<struct<pos:int,key:string,label:string>>"
+VALUES = f"array<struct<steps:{STEPS},key:string,label:string,path:string,value:string,said:string,labels:array<string>,vals:array<string>>>"
+
 
+def _value(steps: Column, key: Column, label: Column, path: Column, value: Column) -> Column:
+    """A value with what it says as a labelled pair {label, value}: its first label, all labels as they are compared, and the values beside them."""
 
-def flatten(df: DataFrame, id_col: str, json: str, depth: int = DEPTH) -> DataFrame:
-    """(id, steps, key, path, value, inside): every value of a JSON column's text.
+    def pair(m: Column) -> Column:
+        labels = F.filter(F.array(*[m[k] for k in V.LABEL_KEYS]), lambda t: ~t.isin("", "[]"))
+        return F.struct(
+            steps.alias("steps"), key.alias("key"), label.alias("label"), path.alias("path"), value.alias("value"), normalize_text(F.get(labels, F.lit(0))).alias("said"),
+            F.transform(labels, normalize_label).alias("labels"), F.array(*[m[k] for k in V.VALUE_KEYS]).alias("vals"),
+        )
 
-    steps: array<struct<pos, key>> from the root; path: `a.b[0].c`; inside: the text of the object or list around it.
+    return bound(F.when(_is_object(value), as_map(value)), pair)
+
+
+def values(text: Column) -> Column:
+    """VALUES: every value of a JSON text at any depth, the record itself first.
+
+    steps: from the root; label: the key as labels are compared; path: `a.b[0].c`; value: scalars and nested text; said, labels, vals: see _value.
     """
-    root = df.select(F.col(id_col).alias("id"), F.array().cast("array<struct<pos:int,key:string>>").alias("steps"), F.lit(None).cast("string").alias("key"), F.lit("").alias("path"), F.col(json).alias("value"), F.lit(None).cast("string").alias("inside"))
-    found, level = root, root
-    for _ in range(depth):
-        entries = F.coalesce(
-            F.when(F.startswith("value", F.lit("{")), F.transform(F.map_entries(as_map(F.col("value"))), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))),
-            F.when(F.startswith("value", F.lit("[")), F.transform(as_list(F.col("value")), lambda e: F.struct(F.lit(None).cast("string").alias("k"), e.alias("v")))),
-        )
-        level = level.select("id", "steps", "path", F.col("value").alias("inside"), F.posexplode(entries).alias("pos", "e"))
-        name = F.when(F.col("e.k").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("e.k")).otherwise(F.concat_ws(".", "path", "e.k"))
-        step = F.array(F.struct(F.col("pos").alias("pos"), F.col("e.k").alias("key")))
-        level = level.select("id", F.concat("steps", step).alias("steps"), F.col("e.k").alias("key"), name.alias("path"), F.col("e.v").alias("value"), "inside")
-        found = found.unionByName(level)
-    return found
+    none = F.lit(None).cast("string")
 
+    def inside(x: Column) -> Column:
+        entries = F.when(_is_object(x["value"]), F.transform(F.map_entries(as_map(x["value"])), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
+        entries = F.coalesce(entries.when(F.startswith(x["value"], F.lit("[")), F.transform(as_list(x["value"]), lambda e: F.struct(none.alias("k"), e.alias("v")))), F.array().cast("array<struct<k:string,v:string>>"))
 
-def _labels(value: Column) -> Column:
-    """The labels of a labelled pair {label, value}."""
-    m = as_map(value)
-    return F.array_compact(F.array(*[F.when(m[k] != "", m[k]) for k in V.LABEL_KEYS]))
+        def child(e: Column, pos: Column) -> Column:
+            path = F.when(e["k"].isNull(), F.concat(x["path"], F.lit("["), pos.cast("string"), F.lit("]"))).when(x["path"] == "", e["k"]).otherwise(F.concat_ws(".", x["path"], e["k"]))
+            return bound(normalize_label(e["k"]), lambda label: _value(F.concat(x["steps"], F.array(F.struct(pos.alias("pos"), e["k"].alias("key"), label.alias("label")))), e["k"], label, path, e["v"]))
 
+        return F.transform(entries, child)
 
-def _says(labels: Column, words, but: tuple[str, ...] = ()) -> Column:
-    """Whether a label contains one of the words (and none of ``but``)."""
-    plain = [normalize_label(F.lit(w)) for w in words]
+    root = F.array(_value(F.array().cast(STEPS), none, none, F.lit(""), text))
+    start = bound(root, lambda r: F.struct(r.alias("level"), r.alias("all"))).cast(f"struct<level:{VALUES},all:{VALUES}>")
+    deeper = lambda acc, _: bound(F.flatten(F.transform(acc["level"], inside)), lambda level: F.struct(level.alias("level"), F.concat(acc["all"], level).alias("all")))
+    return F.aggregate(_levels(text), start, deeper, lambda acc: acc["all"])
 
-    def one(label: Column) -> Column:
-        text = normalize_label(label)
-        yes = F.lit(False)
-        for w in plain:
-            yes = yes | F.contains(text, w)
-        return yes & ~contains_any(text, but) if but else yes
 
-    return F.exists(labels, one)
+def _says(x: Column, words, but: tuple[str, ...] = ()) -> Column:
+    """Whether a label of a value contains one of the words (and none of ``but``)."""
+    return F.exists(x["labels"], lambda t: contains_any(t, words) & ~contains_any(t, but) if but else contains_any(t, words))
 
 
-def _is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(value, F.lit("{")), F.lit(False))
+def _first_of(found: Column) -> Column:
+    return F.get(F.array_compact(found), F.lit(0))
+
+
+def _first(hits: Column, name: str) -> Column:
+    """``name`` of the hit with the least order, of those that have it."""
+    return F.array_min(F.filter(F.transform(hits, lambda h: F.struct(h["o"].alias("o"), h[name].alias(name))), lambda h: h[name].isNotNull()))[name]
+
+
+def _hits(found: Column, *kinds) -> Column:
+    """What each of ``kinds`` makes of each value, as one array."""
+    return F.flatten(F.transform(found, lambda x: F.array(*[kind(x) for kind in kinds])))
+
+
+def _places(steps: Column, more: int = 0) -> Column:
+    return F.transform(steps, lambda s: s["pos"] + more)
+
+
+def _last(steps: Column) -> Column:
+    return F.get(steps, F.size(steps) - 1)["pos"]
 
 
-def _order(nested) -> Column:
-    """Steps as numbers, so that arrays of them sort in the order in which a search comes along."""
-    return F.transform("steps", nested)
+def _around(steps: Column) -> Column:
+    return F.slice(steps, 1, F.greatest(F.lit(0), F.size(steps) - 1))
 
 
-def amounts(flat: DataFrame) -> DataFrame:
-    """(id, amount, amount_path): the first trusted amount of each record in document order.
+def _pair_amount(x: Column) -> Column:
+    return _first_of(F.transform(x["vals"], lambda v: F.when(_is_scalar(v), parse_amount(v))))
+
+
+def amounts(found: Column) -> Column:
+    """struct<amount, path>: the first trusted amount of a record's values in document order; null if none.
 
     Trusted are values of amount keys and labelled pairs whose label says so. Nothing below subjects, urls, signers and units is trusted.
     """
     untrusted = F.array(*[normalize_label(F.lit(k)) for k in (*V.SUBJECT_KEYS, *V.URL_KEYS, *V.SIGNER_KEYS, *V.UNIT_KEYS)])
-    flat = flat.filter(~F.exists("steps", lambda s: F.coalesce(F.array_contains(untrusted, normalize_label(s["key"])), F.lit(False))))
-    order = _order(lambda s: s["pos"] + 1)
-    keyed = F.coalesce(F.col("key").isin(*V.AMOUNT_KEYS) | contains_any(normalize_label(F.col("key")), V.AMOUNT_LABELS), F.lit(False))
-    scalar = F.when(~F.col("value").rlike(r"^[\[{]"), parse_amount(F.col("value")))
-    direct = flat.filter(keyed).select("id", order.alias("o"), scalar.alias("amount"), F.col("path").alias("amount_path"))
-    m = as_map(F.col("value"))
-    labels = _labels(F.col("value"))
-    pair = F.coalesce(*[F.when(~m[k].rlike(r"^[\[{]"), parse_amount(m[k])) for k in V.VALUE_KEYS])
-    path = F.concat(F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(""), F.lit(f"{EXTRA}["), F.coalesce(normalize_text(F.get(labels, F.lit(0))), F.lit("amount")), F.lit("]"))
-    labelled = flat.filter(_is_object(F.col("value")) & _says(labels, V.AMOUNT_LABELS)).select("id", F.concat(order, F.array(F.lit(0))).alias("o"), pair.alias("amount"), path.alias("amount_path"))
-    both = direct.unionByName(labelled).filter("amount is not null")
-    return both.groupBy("id").agg(F.min_by(F.struct("amount", "amount_path"), "o").alias("a")).select("id", "a.*")
-
-
-def any_amounts(flat: DataFrame) -> DataFrame:
-    """(id, amount): as linked records look for it: extra fields first, then money keys, then a euro mark in a text."""
-    money = F.coalesce(F.col("key").isin(*V.AMOUNT_KEYS), F.lit(False))
-    extra = F.exists("steps", lambda s: F.coalesce(s["key"] == EXTRA, F.lit(False)))
-    scalar = F.when(~F.col("value").rlike(r"^[\[{]"), F.col("value"))
-    tier = F.when(money & extra, 0).when(money, 1).otherwise(2)
-    value = F.when(money, parse_amount(scalar)).otherwise(euro_amount(scalar))
-    found = flat.select("id", F.struct(tier.alias("tier"), _order(lambda s: s["pos"]).alias("o")).alias("rank"), value.alias("amount")).filter("amount is not null")
-    return found.groupBy("id").agg(F.min_by("amount", "rank").alias("amount"))
-
-
-def supplier_fields(flat: DataFrame) -> DataFrame:
-    """(id, supplier_name, supplier_tax_id), each the first found: in an object its labelled pair, then its keys, then what is nested."""
-    around = F.transform(F.slice("steps", 1, F.greatest(F.lit(0), F.size("steps") - 1)), lambda s: s["pos"] + NESTED)
-    position = F.get("steps", F.size("steps") - 1)["pos"]
+    trusted = F.filter(found, lambda x: ~F.exists(x["steps"], lambda s: F.coalesce(F.array_contains(untrusted, s["label"]), F.lit(False))))
+    hit = lambda order, amount, path: F.struct(order.alias("o"), F.when(amount.isNotNull(), F.struct(amount.alias("amount"), path.alias("path"))).alias("a"))
+
+    def keyed(x: Column) -> Column:
+        says = F.coalesce(x["key"].isin(*V.AMOUNT_KEYS) | contains_any(x["label"], V.AMOUNT_LABELS), F.lit(False))
+        return hit(_places(x["steps"], 1), F.when(says & _is_scalar(x["value"]), parse_amount(x["value"])), x["path"])
+
+    def labelled(x: Column) -> Column:
+        path = F.concat(F.when(x["path"] != "", F.concat(x["path"], F.lit("."))).otherwise(""), F.lit(f"{EXTRA}["), F.coalesce(x["said"], F.lit("amount")), F.lit("]"))
+        return hit(F.concat(_places(x["steps"], 1), F.array(F.lit(0))), F.when(_says(x, V.AMOUNT_LABELS), _pair_amount(x)), path)
+
+    return _first(_hits(trusted, keyed, labelled), "a")
+
+
+def any_amounts(found: Column) -> Column:
+    """The amount as linked records look for it; null if none.
+
+    In each object its extra fields come first, then keys that say amount, a labelled pair, a euro mark in the subject, and
+    then what is nested.
+    """
+    says = lambda x: F.coalesce(x["key"].isin(*V.AMOUNT_KEYS) | contains_any(x["label"], V.AMOUNT_LABELS), F.lit(False))
+    step = lambda s: F.when(s["key"] == EXTRA, F.lit(KEYS)).when(says(s), s["pos"] + LABELLED).otherwise(s["pos"] + NESTED)
+    hit = lambda order, amount: F.struct(order.alias("o"), amount.alias("amount"))
+
+    def keyed(x: Column) -> Column:
+        subject_turn = F.coalesce(*[F.when(x["key"] == k, F.lit(WORDS + i)) for i, k in enumerate(V.SUBJECT_KEYS)])
+        place = F.when(says(x), _last(x["steps"]) + LABELLED).otherwise(subject_turn)
+        amount = F.when(says(x), parse_amount(x["value"])).when(subject_turn.isNotNull(), euro_amount(x["value"]))
+        return hit(F.concat(F.transform(_around(x["steps"]), step), F.array(place)), F.when(_is_scalar(x["value"]), amount))
+
+    def labelled(x: Column) -> Column:
+        return hit(F.concat(F.transform(x["steps"], step), F.array(F.lit(WORDS - 1))), F.when(_says(x, V.AMOUNT_LABELS), _pair_amount(x)))
+
+    return _first(_hits(found, keyed, labelled), "amount")
+
+
+def supplier_fields(found: Column) -> Column:
+    """struct<supplier_name, supplier_tax_id>, each the first found: in an object its labelled pair, then its keys, then what is nested."""
     tax_word = lambda label: contains_any(label, V.TAX_ID_LABELS) & ~F.contains(label, F.lit("amountwithvat"))
-    label = normalize_label(F.col("key"))
-    names = contains_any(label, [w for w in V.SUPPLIER_NAME_LABELS]) & ~tax_word(label)
-    own = flat.filter("key is not null")
-    own_name = own.filter(F.col("key").isin(*V.SUPPLIER_NAME_KEYS) | names).select("id", F.concat(around, F.array(position)).alias("o"), named_text(F.col("value")).alias("name"), F.lit(None).cast("string").alias("tax"))
-    own_tax = own.filter(tax_word(label)).select("id", F.concat(around, F.array(position)).alias("o"), F.lit(None).cast("string").alias("name"), F.when(~F.col("value").rlike(r"^[\[{]"), normalize_tax_id(F.col("value"))).alias("tax"))
-    m, labels = as_map(F.col("value")), _labels(F.col("value"))
-    here = F.concat(F.transform("steps", lambda s: s["pos"] + NESTED), F.array(F.lit(-1)))
-    objects = flat.filter(_is_object(F.col("value")))
-    pair_name = F.when(_says(labels, V.SUPPLIER_NAME_LABELS, V.TAX_ID_LABELS), F.coalesce(*[named_text(m[k]) for k in V.VALUE_KEYS]))
-    pair_tax = F.when(_says(labels, V.TAX_ID_LABELS, ("amountwithvat",)), F.coalesce(*[normalize_tax_id(m[k]) for k in V.VALUE_KEYS]))
-    pairs = objects.select("id", here.alias("o"), pair_name.alias("name"), pair_tax.alias("tax"))
-    found = own_name.unionByName(own_tax).unionByName(pairs)
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("o")))
-    return found.filter("name is not null or tax is not null").groupBy("id").agg(first("name").alias("supplier_name"), first("tax").alias("supplier_tax_id"))
-
-
-def supplier_fields_in_context(flat: DataFrame) -> DataFrame:
-    """(id, supplier_name, supplier_tax_id): generic names and tax ids count only below a key that says supplier, and never below an issuer's."""
-    says = lambda s: contains_any(F.coalesce(normalize_label(s["key"]), F.lit("")), V.SUPPLIER_NAME_LABELS)
-    issuer = lambda s: contains_any(F.coalesce(normalize_label(s["key"]), F.lit("")), ("organization", "issuer", "signer", "unit"))
-    flat = flat.filter(F.col("key").isNotNull() & ~F.exists("steps", issuer)).withColumn("ctx", F.exists("steps", says))
-    label = normalize_label(F.col("key"))
-    is_tax = F.when(F.col("ctx"), contains_any(label, V.TAX_ID_LABELS)).otherwise(contains_any(label, V.SUPPLIER_NAME_LABELS) & contains_any(label, V.TAX_ID_LABELS)) & ~F.contains(label, F.lit("amountwithvat"))
-    is_name = F.col("key").isin(*V.SUPPLIER_NAME_KEYS) | (F.col("ctx") & label.isin("name", "fullname", "displayname", "επωνυμια"))
-    rows = flat.select("id", F.transform("steps", lambda s: s["pos"]).alias("o"), F.when(is_name & ~is_tax, named_text(F.col("value"))).alias("name"), F.when(is_tax, normalize_tax_id(F.col("value"))).alias("tax"))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("o")))
-    return rows.filter("name is not null or tax is not null").groupBy("id").agg(first("name").alias("supplier_name"), first("tax").alias("supplier_tax_id"))
-
-
-def labelled_text(flat: DataFrame, keys, words, name: str) -> DataFrame:
-    """(id, name): of each record the first text under one of the keys, else of a labelled pair, the extra fields, a key with one of the words, or nested."""
+
+    def own(x: Column) -> Column:
+        named = x["key"].isin(*V.SUPPLIER_NAME_KEYS) | (contains_any(x["label"], V.SUPPLIER_NAME_LABELS) & ~tax_word(x["label"]))
+        order = F.concat(_places(_around(x["steps"]), NESTED), F.array(_last(x["steps"])))
+        return F.struct(order.alias("o"), F.when(named, named_text(x["value"])).alias("name"), F.when(tax_word(x["label"]) & _is_scalar(x["value"]), normalize_tax_id(x["value"])).alias("tax"))
+
+    def pair(x: Column) -> Column:
+        name = F.when(_says(x, V.SUPPLIER_NAME_LABELS, V.TAX_ID_LABELS), _first_of(F.transform(x["vals"], named_text)))
+        tax = F.when(_says(x, V.TAX_ID_LABELS, ("amountwithvat",)), _first_of(F.transform(x["vals"], lambda v: normalize_tax_id(v))))
+        return F.struct(F.concat(_places(x["steps"], NESTED), F.array(F.lit(-1))).alias("o"), name.alias("name"), tax.alias("tax"))
+
+    return bound(_hits(found, own, pair), lambda hits: F.struct(_first(hits, "name").alias("supplier_name"), _first(hits, "tax").alias("supplier_tax_id")))
+
+
+def supplier_fields_in_context(found: Column) -> Column:
+    """struct<supplier_name, supplier_tax_id>: generic names and tax ids count only below a key that says supplier, and never below an issuer's."""
+    has = lambda s, words: contains_any(F.coalesce(s["label"], F.lit("")), words)
+
+    def hit(x: Column) -> Column:
+        label = x["label"]
+        ctx = F.exists(x["steps"], lambda s: has(s, V.SUPPLIER_NAME_LABELS))
+        open_ = ~F.exists(x["steps"], lambda s: has(s, ("organization", "issuer", "signer", "unit")))
+        tax_word = contains_any(label, V.TAX_ID_LABELS) & ~F.contains(label, F.lit("amountwithvat"))
+        is_tax = tax_word & (ctx | contains_any(label, V.SUPPLIER_NAME_LABELS))
+        is_name = x["key"].isin(*V.SUPPLIER_NAME_KEYS) | (ctx & label.isin("name", "fullname", "displayname", "επωνυμια"))
+        return F.struct(_places(x["steps"]).alias("o"), F.when(open_ & is_name & ~is_tax, named_text(x["value"])).alias("name"), F.when(open_ & is_tax, normalize_tax_id(x["value"])).alias("tax"))
+
+    return bound(_hits(found, hit), lambda hits: F.struct(_first(hits, "name").alias("supplier_name"), _first(hits, "tax").alias("supplier_tax_id")))
+
+
+def labelled_text(found: Column, keys, words) -> Column:
+    """The first text of a record under one of the keys, else of a labelled pair, the extra fields, a key with one of the words, or nested."""
     step = lambda s: F.when(s["key"] == EXTRA, F.lit(EXTRAS)).otherwise(s["pos"] + NESTED)
-    around = F.transform(F.slice("steps", 1, F.greatest(F.lit(0), F.size("steps") - 1)), step)
-    position = F.get("steps", F.size("steps") - 1)["pos"]
-    turn = F.coalesce(*[F.when(F.col("key") == k, F.lit(KEYS + i)) for i, k in enumerate(keys)])
-    worded = contains_any(normalize_label(F.col("key")), [w for w in words]) & (F.col("key") != EXTRA)
-    own = flat.filter("key is not null").select("id", F.concat(around, F.array(F.coalesce(turn, F.when(worded, position + WORDS)))).alias("o"), named_text(F.col("value")).alias(name), F.coalesce(turn, F.when(worded, F.lit(0))).alias("hit"))
-    m, labels = as_map(F.col("value")), _labels(F.col("value"))
-    pair = flat.filter(_is_object(F.col("value")) & _says(labels, words)).select("id", F.concat(F.transform("steps", step), F.array(F.lit(LABELLED))).alias("o"), F.coalesce(*[named_text(m[k]) for k in V.VALUE_KEYS]).alias(name), F.lit(0).alias("hit"))
-    both = own.unionByName(pair).filter(F.col(name).isNotNull() & F.col("hit").isNotNull())
-    return both.groupBy("id").agg(F.min_by(name, "o").alias(name))
+
+    def own(x: Column) -> Column:
+        turn = F.coalesce(*[F.when(x["key"] == k, F.lit(KEYS + i)) for i, k in enumerate(keys)])
+        worded = contains_any(x["label"], words) & (x["key"] != EXTRA)
+        place = F.coalesce(turn, F.when(worded, _last(x["steps"]) + WORDS))
+        return F.struct(F.concat(F.transform(_around(x["steps"]), step), F.array(place)).alias("o"), F.when(place.isNotNull(), named_text(x["value"])).alias("text"))
+
+    def pair(x: Column) -> Column:
+        return F.struct(F.concat(F.transform(x["steps"], step), F.array(F.lit(LABELLED))).alias("o"), F.when(_says(x, words), _first_of(F.transform(x["vals"], named_text))).alias("text"))
+
+    return _first(_hits(found, own, pair), "text")
 
 
 def id_list(text: Column) -> Column:

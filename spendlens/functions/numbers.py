@@ -29,20 +29,25 @@ def plain_amount(text: Column) -> Column:
     return F.translate(value, ",", ".").try_cast("double")
 
 
+#: Fixed value: what counts as a number in a subject.
+BUDGET_NUMBER = r"(\d{1,3}(?:[.\s]\d{3})+(?:,\d{2})?|\d+,\d{2})"
+
+
 def budget_in_subject(subject: Column) -> Column:
     """The largest amount of a subject with a mark of a budget, of those from 1 to 10 million; null if none."""
     text = F.coalesce(normalize_text(subject), F.lit(""))
-    found = F.regexp_extract_all(text, F.lit(r"(\d{1,3}(?:[.\s]\d{3})+(?:,\d{2})?|\d+,\d{2})"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(BUDGET_NUMBER), F.lit(1))
     amounts = F.filter(F.transform(found, parse_amount), lambda a: a.between(1, MOST_BUDGET))
     return F.when(contains_any(canonical_text(subject), V.BUDGET_MARKS), F.array_max(amounts))
 
 
+#: Fixed value: an amount with a euro mark behind it.
+EURO_IN_TEXT = r"(?iu)(?<!\d)(\d{1,3}(?:\.\d{3})*(?:,\d{2})|\d+(?:,\d{2})?)\s*(?:€|ευρώ|ευρω)"
+
+
 def euro_amount(text: Column) -> Column:
-    """The first amount next to a euro mark in free text; null if none."""
-    number = r"(\d{1,3}(?:\.\d{3})+(?:,\d{1,2})?|\d+(?:[.,]\d{1,2})?)"
-    before = F.regexp_extract(text, rf"(?iu)(?:€|EUR|ευρώ|ευρω)\s*{number}", 1)
-    after = F.regexp_extract(text, rf"(?iu){number}\s*(?:€|EUR|ευρώ|ευρω)", 1)
-    return parse_amount(F.coalesce(F.nullif(after, F.lit("")), F.nullif(before, F.lit(""))))
+    """The first amount of a free text with a euro mark behind it; null if none."""
+    return parse_amount(F.nullif(F.regexp_extract(text, EURO_IN_TEXT, 1), F.lit("")))
 
 
 def cents(amount: Column) -> Column:

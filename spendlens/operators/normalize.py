@@ -12,6 +12,7 @@ from ..functions.classify import decision_type, procurement_stage
 from ..functions.dates import iso_date
 from ..functions.ids import detail_url, normalize_tax_id
 from ..functions.numbers import budget_in_subject
+from ..functions.text import bound
 
 DECISION_COLUMNS = ("org", "year", "month", "procurement_stage", "ada", "issue_date", "issue_date_raw", "decision_type", "subject", "url", "amount", "amount_source", "supplier_name", "supplier_tax_id", "signer", "unit", "detail_enriched")
 
@@ -22,26 +23,24 @@ def normalize_decisions(exports: DataFrame, details: DataFrame) -> DataFrame:
     A detail goes before the export for each field; amounts are looked for in the detail, then the export, then a budget in
     the subject, and say where they come from. Rows keep apart until `keep_first` or `keep_richest`.
     """
-    rows = exports.join(details, ["org", "year", "month", "ada"], "left").withColumn("id", F.monotonically_increasing_id())
-    d, e = J.as_map(F.col("detail")), J.as_map(F.col("record"))
-    text = lambda keys: F.coalesce(J.named_text(J.first_present(d, keys)), J.named_text(J.first_present(e, keys)))
-    flat_d, flat_e = J.flatten(rows.filter("detail is not null"), "id", "detail"), J.flatten(rows, "id", "record")
-    both = J.flatten(rows.select("id", F.coalesce("detail", "record").alias("any")), "id", "any")
-
-    def pre(df: DataFrame, p: str) -> DataFrame:
-        return df.select("id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "id"])
-
-    for extra in (pre(J.amounts(flat_d), "d"), pre(J.amounts(flat_e), "e"), pre(J.supplier_fields(flat_d), "d"), pre(J.supplier_fields(flat_e), "e"), J.labelled_text(both, V.SIGNER_KEYS, V.SIGNER_LABELS, "signer"), J.labelled_text(both, V.UNIT_KEYS, V.UNIT_LABELS, "unit")):
-        rows = rows.join(extra, "id", "left")
-    subject = F.coalesce(J.subject(d), J.subject(e))
-    budget = budget_in_subject(subject)
-    dated = text(V.DATE_KEYS)
-    kind = decision_type(text(V.TYPE_KEYS), text(V.TYPE_LABEL_KEYS))
-    source = F.when(F.col("d_amount").isNotNull(), F.concat(F.lit("detail:"), "d_amount_path")).when(F.col("e_amount").isNotNull(), F.concat(F.lit("search:"), "e_amount_path")).when(budget.isNotNull(), "subject:trusted_budget_phrase")
+    rows = exports.join(details, ["org", "year", "month", "ada"], "left")
+    d, e = F.col("__dm"), F.col("__em")
+    text = lambda keys: bound(F.coalesce(J.first_present(d, keys), J.first_present(e, keys)), J.named_text)
+    # Each record is searched in its own row, so nothing has to find back to it.
+    rows = rows.withColumns({"__dm": J.as_map(F.col("detail")), "__em": J.as_map(F.col("record")), "__d": J.values(F.col("detail")), "__e": J.values(F.col("record"))})
+    both = F.when(F.col("detail").isNotNull(), F.concat("__d", "__e")).otherwise(F.col("__e"))
+    rows = rows.withColumns({
+        "__da": J.amounts(F.col("__d")), "__ea": J.amounts(F.col("__e")), "__ds": J.supplier_fields(F.col("__d")), "__es": J.supplier_fields(F.col("__e")),
+        "signer": J.labelled_text(both, V.SIGNER_KEYS, V.SIGNER_LABELS), "unit": J.labelled_text(both, V.UNIT_KEYS, V.UNIT_LABELS),
+        "subject": F.coalesce(J.subject(d), J.subject(e)), "issue_date_raw": text(V.DATE_KEYS), "decision_type": decision_type(text(V.TYPE_KEYS), text(V.TYPE_LABEL_KEYS)), "url": text(V.URL_KEYS),
+    })
+    budget = budget_in_subject(F.col("subject"))
+    of = lambda prefix, a: F.when(a.isNotNull(), F.concat(F.lit(prefix), a["path"]))
+    source = F.coalesce(of("detail:", F.col("__da")), of("search_export:", F.col("__ea")), F.when(budget.isNotNull(), F.lit("subject:trusted_budget_phrase")))
     return rows.select(
-        "org", "year", "month", procurement_stage(F.concat_ws(" ", kind, subject)).alias("procurement_stage"), "ada", iso_date(dated).alias("issue_date"), dated.alias("issue_date_raw"),
-        kind.alias("decision_type"), subject.alias("subject"), detail_url(F.col("ada"), text(V.URL_KEYS)).alias("url"), F.coalesce("d_amount", "e_amount", budget).alias("amount"), source.alias("amount_source"),
-        F.coalesce("d_supplier_name", "e_supplier_name").alias("supplier_name"), F.coalesce("d_supplier_tax_id", "e_supplier_tax_id").alias("supplier_tax_id"), "signer", "unit", F.col("detail").isNotNull().alias("detail_enriched"),
+        "org", "year", "month", procurement_stage(F.col("subject")).alias("procurement_stage"), "ada", iso_date(F.col("issue_date_raw")).alias("issue_date"), "issue_date_raw",
+        "decision_type", "subject", detail_url(F.col("ada"), F.col("url")).alias("url"), F.coalesce("__da.amount", "__ea.amount", budget).alias("amount"), source.alias("amount_source"),
+        F.coalesce("__ds.supplier_name", "__es.supplier_name").alias("supplier_name"), normalize_tax_id(F.coalesce("__ds.supplier_tax_id", "__es.supplier_tax_id")).alias("supplier_tax_id"), "signer", "unit", F.col("detail").isNotNull().alias("detail_enriched"),
     )
 
 

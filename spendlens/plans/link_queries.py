@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import json_fields as J
+from ..functions import vocabulary as V
 from ..functions.classify import is_recurring
 from ..operators import linking as L
 from ..operators import normalize, summary
@@ -127,7 +128,7 @@ def records(spark, sf_dir):
 
 @query("prj1_normalize_decisions", """WITH k AS (SELECT *, o_orderkey % 4 AS k, o_orderkey % 8 = 3 AS det FROM orders) SELECT 'O-' || o_orderkey AS ada, CAST(o_orderdate AS DATE) AS issue_date, CASE k WHEN 0 THEN 'Procurement assignment' WHEN 1 THEN 'Expenditure approval' WHEN 2 THEN 'Contract award' ELSE 'Personnel change' END AS decision_type,
 CASE k WHEN 0 THEN 'Αρ. 123456 ' WHEN 3 THEN 'Θέμα 2.000.000 ' ELSE '' END || o_orderpriority AS subject, CASE WHEN k < 3 OR det THEN o_totalprice END AS amount,
-CASE k WHEN 0 THEN 'search:amountWithVAT' WHEN 1 THEN 'search:extraFieldValues[0].extraFieldValues[Ποσό δαπάνης]' WHEN 2 THEN 'search:extraFieldValues.awardAmount.amount' ELSE CASE WHEN det THEN 'detail:amountWithVAT' END END AS amount_source,
+CASE k WHEN 0 THEN 'search_export:amountWithVAT' WHEN 1 THEN 'search_export:extraFieldValues[0].extraFieldValues[Ποσό δαπάνης]' WHEN 2 THEN 'search_export:extraFieldValues.awardAmount.amount' ELSE CASE WHEN det THEN 'detail:amountWithVAT' END END AS amount_source,
 CASE WHEN k < 3 THEN 'Customer ' || o_custkey END AS supplier_name, CASE WHEN k < 3 THEN lpad(CAST(o_custkey AS VARCHAR), 9, '0') END AS supplier_tax_id, CASE WHEN det THEN 'Ann Lee' END AS signer, CASE WHEN det THEN 'Unit 7' END AS unit, det AS detail_enriched FROM k""")
 def normalize_decisions(spark, sf_dir):
     r = records(spark, sf_dir)
@@ -136,15 +137,30 @@ def normalize_decisions(spark, sf_dir):
     return d.select("ada", "issue_date", "decision_type", "subject", "amount", "amount_source", "supplier_name", "supplier_tax_id", "signer", "unit", "detail_enriched")
 
 
-@query("jsn5_any_amounts", "SELECT 'O-' || o_orderkey AS id, o_totalprice AS amount FROM orders WHERE o_orderkey % 4 = 0")
+@query("jsn5_any_amounts", "SELECT 'O-' || o_orderkey AS id, CASE WHEN o_orderkey % 4 < 3 THEN o_totalprice END AS amount FROM orders")
 def any_amounts(spark, sf_dir):
-    r = records(spark, sf_dir).filter("record like '%amountWithVAT%'").select("ada", "record")
-    return J.any_amounts(J.flatten(r, "ada", "record"))
+    return records(spark, sf_dir).select(F.col("ada").alias("id"), J.any_amounts(J.values(F.col("record"))).alias("amount"))
 
 
-@query("jsn7_supplier_in_context", "SELECT 'O-' || o_orderkey AS id, 'Customer ' || o_custkey AS supplier_name, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS supplier_tax_id FROM orders WHERE o_orderkey % 4 IN (0, 2)")
+@query("jsn7_supplier_in_context", "SELECT 'O-' || o_orderkey AS id, CASE WHEN o_orderkey % 4 IN (0, 2) THEN 'Customer ' || o_custkey END AS supplier_name, CASE WHEN o_orderkey % 4 IN (0, 2) THEN lpad(CAST(o_custkey AS VARCHAR), 9, '0') END AS supplier_tax_id FROM orders")
 def supplier_in_context(spark, sf_dir):
-    return J.supplier_fields_in_context(J.flatten(records(spark, sf_dir).select("ada", "record"), "ada", "record"))
+    return records(spark, sf_dir).select(F.col("ada").alias("id"), J.supplier_fields_in_context(J.values(F.col("record"))).alias("s")).select("id", "s.*")
+
+
+@query("jsn3_deep_records", """SELECT o_orderkey, o_totalprice AS amount, 'search[1].batch.page[0].content.act.extraFieldValues.parts[0].award.amountWithVAT' AS path, o_totalprice AS any_amount, 'Customer ' || o_custkey AS supplier_name, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS supplier_tax_id, 'Ann Lee' AS signer, 'Unit ' || (o_custkey % 5) || ', Desk 2' AS unit FROM orders""")
+def deep_records(spark, sf_dir):
+    """Records whose amount, supplier and unit lie eight and more levels down."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    customer, tax = F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+    named = lambda c: F.struct(F.struct(F.struct(c.alias("displayName")).alias("title")).alias("label"))  # noqa: E731  a name three levels down
+    unit = F.struct(F.array(named(F.concat(F.lit("Unit "), (F.col("o_custkey") % 5).cast("string"))), named(F.lit("Desk 2"))).alias("name"))
+    award = F.struct(F.lit("77").alias("protocol"), F.col("o_totalprice").cast("string").alias("amountWithVAT"), F.struct(tax.alias("afm"), named(customer).alias("name")).alias("contractor"))
+    act = F.struct(F.struct(F.lit("5").alias("amount")).alias("subject"), F.struct(F.lit("Ann").alias("firstName"), F.lit("Lee").alias("lastName")).alias("signer"), unit.alias("unitName"), F.struct(F.array(F.struct(award.alias("award"))).alias("parts")).alias("extraFieldValues"))
+    page = F.struct(F.array(F.struct(F.struct(act.alias("act")).alias("content"))).alias("page"))
+    text = F.concat(F.lit('{"search": ["first", '), F.to_json(F.struct(page.alias("batch"))), F.lit("]}"))
+    r = o.select("o_orderkey", J.values(text).alias("v"))
+    r = r.select("o_orderkey", J.amounts(F.col("v")).alias("a"), J.any_amounts(F.col("v")).alias("any_amount"), J.supplier_fields_in_context(F.col("v")).alias("s"), J.labelled_text(F.col("v"), V.SIGNER_KEYS, V.SIGNER_LABELS).alias("signer"), J.labelled_text(F.col("v"), V.UNIT_KEYS, V.UNIT_LABELS).alias("unit"))
+    return r.select("o_orderkey", "a.amount", "a.path", "any_amount", "s.*", "signer", "unit")
 
 
 @query("jsn8_typed_fields", """SELECT 'O-' || o_orderkey AS ada, CASE o_orderkey % 4 WHEN 0 THEN o_totalprice WHEN 1 THEN round(o_totalprice + 2.5, 2) WHEN 2 THEN o_totalprice ELSE NULL END AS amount, CASE WHEN o_orderkey % 4 < 2 THEN 'Customer ' || o_custkey END AS supplier_name, CASE WHEN o_orderkey % 4 < 2 THEN lpad(CAST(o_custkey AS VARCHAR), 9, '0') END AS supplier_tax_id FROM orders""")
@@ -162,12 +178,10 @@ def typed_fields(spark, sf_dir):
 
 @query("jsn9_budget_source", "SELECT 'O-' || o_orderkey AS id, 'Budget ' || (o_custkey % 7) AS budget_source FROM orders")
 def budget_source(spark, sf_dir):
-    from ..functions import vocabulary as V
-
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     b = F.concat(F.lit("Budget "), (F.col("o_custkey") % 7).cast("string"))
     r = o.select(F.concat(F.lit("O-"), F.col("o_orderkey").cast("string")).alias("ada"), F.to_json(F.struct(F.lit("x").alias("subject"), F.struct(b.alias("fundingSource")).alias("extraFieldValues"))).alias("record"))
-    return J.labelled_text(J.flatten(r, "ada", "record"), V.BUDGET_KEYS, ("budgetsource", "fundingsource"), "budget_source")
+    return r.select(F.col("ada").alias("id"), J.labelled_text(J.values(F.col("record")), V.BUDGET_KEYS, ("budgetsource", "fundingsource")).alias("budget_source"))
 
 
 @query("jsn10_id_lists", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN o_custkey || ',7' ELSE o_custkey || ',9' END AS ids FROM orders")
@@ -189,9 +203,11 @@ def registry_records(spark, sf_dir):
 
 @query("src1_read_exports", "SELECT 'org' AS org, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, count(*) AS decisions, count(DISTINCT o_orderkey) AS adas FROM orders WHERE year(o_orderdate) * 100 + month(o_orderdate) BETWEEN 199606 AND 199905 GROUP BY ALL")
 def read_exports(spark, sf_dir):
-    """Export envelopes of up to 500 decisions written below their months, and the decisions read back."""
+    """Export envelopes of about 250 decisions, whatever a month has, written below their months, and the decisions read back."""
     folder = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
-    r = records(spark, sf_dir).withColumn("page", F.pmod(F.xxhash64("ada"), F.lit(4)))
+    r = records(spark, sf_dir)
+    pages = r.groupBy("year", "month").agg(F.ceil(F.count("*") / 250).alias("pages"))  # 250 a page on average, so that hardly any has over 500
+    r = r.join(pages, ["year", "month"]).withColumn("page", F.pmod(F.xxhash64("ada"), F.col("pages")))
     envelope = F.concat(F.lit('{"decisionResultList": ['), F.array_join(F.collect_list("record"), ", "), F.lit("]}"))
     pages = r.groupBy(F.col("org").alias("organization_uid"), "year", "month", "page").agg(envelope.alias("value")).drop("page")
     pages.repartition("year", "month").write.option("maxRecordsPerFile", 1).partitionBy("organization_uid", "year", "month").text(folder)

@@ -81,11 +81,11 @@ def budgets(spark, sf_dir):
     return o.select("o_orderkey", numbers.budget_in_subject(subject).alias("amount"))
 
 
-@query("num4_euro_amount", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_totalprice END AS amount FROM orders")
+@query("num4_euro_amount", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 1 THEN o_totalprice END AS amount FROM orders")
 def euros(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey") % 3)
     e = _european(F.col("o_totalprice"))
-    written = F.when(F.col("k") == 0, F.concat(F.lit("ΑΔΑ 77, ποσού "), e, F.lit(" €, άρθρο 3"))).when(F.col("k") == 1, F.concat(F.lit("αξίας EUR "), e)).otherwise(F.concat(F.lit("θέση "), e))
+    written = F.when(F.col("k") == 0, F.concat(F.lit("ΑΔΑ 77, ποσού "), e, F.lit(" €, άρθρο 3"))).when(F.col("k") == 1, F.concat(F.lit("αξίας EUR "), e)).otherwise(F.concat(F.lit("θέση 12 "), e, F.lit(" ΕΥΡΩ")))
     return o.select("o_orderkey", numbers.euro_amount(written).alias("amount"))
 
 
