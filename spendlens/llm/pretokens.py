@@ -34,19 +34,19 @@ def char_classes() -> np.ndarray:
 
 
 @functools.cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _powers(size: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random number for each byte, the powers of an odd base modulo 2**64, and those of its inverse."""
-    base = 0x9E3779B97F4A7C15
+    base = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[which]
     up = np.full(size, base, np.uint64)
     down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
-    return np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64), np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return np.random.default_rng(11 + which).integers(1, 1 << 63, 256, dtype=np.uint64), np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of the bytes ``data``, by its contents and length alone."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash, one of two, of each span of the bytes ``data``, by its contents and length alone."""
     size = 1 << max(16, int(len(data)).bit_length())
-    values, up, down = _powers(size)
+    values, up, down = _powers(size, which)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * up[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -91,6 +91,7 @@ class Block:
     counts: np.ndarray
     places: np.ndarray  # the distinct pre-token at each place of all texts
     bounds: np.ndarray  # where each text's places begin, and the end
+    hashes: np.ndarray  # of the distinct pre-tokens, ascending
 
     def words(self, which: Iterable[int] | None = None) -> list[bytes]:
         which = range(len(self.starts)) if which is None else which
@@ -106,7 +107,7 @@ def pretokenize(texts: list[str]) -> Block:
     where = np.r_[0, np.cumsum(sizes)]
     if not joined:
         none = np.empty(0, np.int64)
-        return Block(b"", none, none, none, none, np.zeros(len(texts) + 1, np.int64))
+        return Block(b"", none, none, none, none, np.zeros(len(texts) + 1, np.int64), none.astype(np.uint64))
     chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     begins = np.flatnonzero(_starts(chars, where[:-1][sizes > 0]))
     wide = len(data) != len(chars)
@@ -117,8 +118,8 @@ def pretokenize(texts: list[str]) -> Block:
         offsets = np.r_[0, np.cumsum(width)]
     at = offsets[begins] if wide else begins
     ends = np.r_[at[1:], len(data)]
-    _, index, inverse, counts = np.unique(span_hashes(np.frombuffer(data, np.uint8), at, ends), return_index=True, return_inverse=True, return_counts=True)
-    return Block(data, at[index], ends[index], counts, inverse, np.searchsorted(begins, where))
+    hashes, index, inverse, counts = np.unique(span_hashes(np.frombuffer(data, np.uint8), at, ends), return_index=True, return_inverse=True, return_counts=True)
+    return Block(data, at[index], ends[index], counts, inverse, np.searchsorted(begins, where), hashes)
 
 
 def blocks(rows: Iterable[tuple[object, str]], most: int = BLOCK_BYTES) -> Iterator[tuple[list, list[str]]]:

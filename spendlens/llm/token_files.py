@@ -2,9 +2,8 @@
 
 Documents are range-partitioned by id, so shard follows shard in id order. A task
 encodes its range with the tokenizers library (the library's model is asked
-once for each distinct pre-token of a block and remembers the frequent ones) and
-closes a file every ``SHARD_TOKENS`` tokens, so a task's memory has a bound whatever
-its range holds. A file's name says its range and number; a repeated task
+once for each distinct pre-token, of which up to ``REMEMBERED`` are kept) and a file every ``SHARD_TOKENS`` tokens, so a task's memory has a bound whatever its
+range holds. A file's name says its range and number; a repeated task
 writes the same file again.
 """
 
@@ -30,33 +29,56 @@ from .wavelet import WaveletMatrix
 
 END_ID = 2
 SHARD_TOKENS = 1 << 21
-REMEMBERED = 100_000
+REMEMBERED = 1_000_000
 
 
 class LibraryEncoder(bpe.Encoder):
-    """Texts to ids by the tokenizers library."""
+    """Texts to ids by the tokenizers library, whose model is asked once for each pre-token that is not remembered.
+
+    Remembered pre-tokens are arrays sorted by a 64-bit hash, with a second hash to tell apart those that share the first.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.vocab, self.model = bpe.vocabulary(path), Tokenizer.from_file(path).model
         self.letters = dict(enumerate(bpe.byte_letters()))
-        self.seen: dict[bytes, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.others = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.starts, self.sizes, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _asked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words end to end, and how many each has."""
+        tokenize, letters = self.model.tokenize, self.letters
+        found, sizes = [], []
+        for w in words:
+            got = tokenize(w.decode("latin-1").translate(letters))
+            sizes.append(len(got))
+            found += [t.id for t in got]
+        return np.array(found, np.uint32), np.array(sizes, np.int64)
 
     def _distinct(self, block: pretokens.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        seen, tokenize, letters = self.seen, self.model.tokenize, self.letters
-        found = []
-        for w, n in zip(block.words(), block.counts.tolist(), strict=True):
-            ids = seen.get(w)
-            if ids is None:
-                ids = [t.id for t in tokenize(w.decode("latin-1").translate(letters))]
-                if n > 1 or len(seen) < REMEMBERED:
-                    if len(seen) >= 2 * REMEMBERED:
-                        seen.clear()
-                    seen[w] = ids
-            found.append(ids)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes
+        hashes = block.hashes
+        others = pretokens.span_hashes(np.frombuffer(block.data, np.uint8), block.starts, block.ends, 1)
+        if len(self.hashes) + len(hashes) > REMEMBERED:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        there = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        known = there.copy()
+        known[there] = self.others[at[there]] == others[there]
+        new = np.flatnonzero(~known)
+        ids, n = self._asked(block.words(new.tolist()))
+        starts, sizes = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        starts[known], sizes[known] = self.starts[at[known]], self.sizes[at[known]]
+        starts[new], sizes[new] = len(self.ids) + np.cumsum(n) - n, n
+        self.ids = np.concatenate([self.ids, ids])
+        keep = new[~there[new]]  # hashes that are not there yet
+        place = np.searchsorted(self.hashes, hashes[keep])
+        self.hashes, self.others = np.insert(self.hashes, place, hashes[keep]), np.insert(self.others, place, others[keep])
+        self.starts, self.sizes = np.insert(self.starts, place, starts[keep]), np.insert(self.sizes, place, sizes[keep])
+        return self.ids, starts, sizes
 
 
 @functools.lru_cache(maxsize=1)
@@ -129,6 +151,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 raw = memoryview(matrix.tokens().astype("<u4").tobytes())
                 ends = np.cumsum(matrix.sizes)
                 starts = ends - matrix.sizes
+                if (matrix.access(ends - 1) != END_ID).any():
+                    raise ValueError(f"{name}: a document does not end with {END_ID}")
                 sums = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(matrix.docs, mask=~matrix.known), pa.array(first + starts), pa.array(matrix.sizes), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

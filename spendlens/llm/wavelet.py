@@ -2,14 +2,15 @@
 
 The ids' bits make one plane for each bit, the highest first; below each plane
 the ids with a 0 there come before those with a 1, each in the order they had.
-Planes are stored as bits, deflated one by one, with the number of ones before
-every 512th bit beside them, so that rank is one lookup and a few bytes' count, and
-select a binary search over that. A header holds the documents (id and ids' number).
+Planes are stored as bits, deflated one by one and inflated when first asked for,
+with the number of ones before every 512th bit beside them, so that rank is one
+lookup and a few bytes' count, and select a binary search over that. A header holds the documents (id and ids' number).
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Sequence
 
 import numpy as np
 import zstandard
@@ -18,10 +19,25 @@ MAGIC = b"WVM1"
 STEP = 512
 
 
+class _Planes:
+    """Deflated planes, each inflated when it is first asked for."""
+
+    def __init__(self, parts: list[bytes]):
+        self.parts, self.found = parts, {}
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def __getitem__(self, level: int) -> np.ndarray:
+        if level not in self.found:
+            self.found[level] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.parts[level]), np.uint8)
+        return self.found[level]
+
+
 class WaveletMatrix:
     """Token ids of some documents end to end."""
 
-    def __init__(self, docs: np.ndarray, known: np.ndarray, sizes: np.ndarray, n: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, docs: np.ndarray, known: np.ndarray, sizes: np.ndarray, n: int, planes: Sequence[np.ndarray], zeros: list[int]):
         self.docs, self.known, self.sizes, self.n = docs, known, sizes, n
         self.planes, self.zeros = planes, zeros  # planes: packed bits, the lowest bit of a byte first
         self._ones: list[np.ndarray | None] = [None] * len(planes)
@@ -57,12 +73,9 @@ class WaveletMatrix:
         at += 8 * levels
         sizes = struct.unpack_from(f"<{3 + 2 * levels}Q", data, at)
         at += 8 * len(sizes)
-        parts, open_ = [], zstandard.ZstdDecompressor().decompress
-        for s in sizes:
-            parts.append(open_(data[at : at + s]))
-            at += s
-        of = lambda k, t: np.frombuffer(parts[k], t)
-        found = cls(of(0, "<i8"), of(1, "u1").astype(bool), of(2, "<i8"), n, [of(3 + k, np.uint8) for k in range(levels)], zeros)
+        parts = [data[e - s : e] for s, e in zip(sizes, np.cumsum(sizes) + at, strict=True)]
+        of = lambda k, t: np.frombuffer(zstandard.ZstdDecompressor().decompress(parts[k]), t)
+        found = cls(of(0, "<i8"), of(1, "u1").astype(bool), of(2, "<i8"), n, _Planes(parts[3 : 3 + levels]), zeros)
         found._ones = [of(3 + levels + k, "<u4").astype(np.int64) for k in range(levels)]
         return found
 
@@ -109,6 +122,21 @@ class WaveletMatrix:
             i = self.zeros[level] + ones if b else i - ones
         return token
 
+    def access(self, places: np.ndarray) -> np.ndarray:
+        """The tokens at many places."""
+        at, token = np.asarray(places, np.int64), np.zeros(len(places), np.int64)
+        for level in range(len(self.planes)):
+            plane, block = self.planes[level], at // STEP
+            one = plane[at >> 3] >> (at & 7).astype(np.uint8) & 1
+            # Ones of the 64 bytes of each place's block, those at and behind it masked out.
+            inside = block[:, None] * (STEP // 8) + np.arange(STEP // 8)
+            bits = np.where(inside < (at >> 3)[:, None], plane[np.minimum(inside, len(plane) - 1)], np.uint8(0))
+            ones = self.samples(level)[block] + np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            ones += np.bitwise_count(plane[at >> 3] & ((1 << (at & 7)) - 1).astype(np.uint8))
+            token = token << 1 | one
+            at = np.where(one == 1, self.zeros[level] + ones, at - ones)
+        return token
+
     def _range(self, token: int, start: int, end: int) -> tuple[int, int]:
         """Where the occurrences of a token among places start..end-1 lie below the last plane."""
         if token >> len(self.planes):

@@ -214,6 +214,8 @@ def test_wavelet_matrix():
     for size, top in ((1, 1), (1, 9), (1500, 300), (4097, 60_000), (600, 70_000)):
         ids = r.integers(0, top, size)
         m = wavelet.WaveletMatrix.frombytes(wavelet.WaveletMatrix.build(np.array([7]), np.array([True]), np.array([size]), ids).tobytes())
+        places = np.random.default_rng(size).integers(0, size, 50) if size else np.empty(0, np.int64)
+        assert (m.access(places) == ids[places]).all()
         assert (m.tokens() == ids).all() and all(m[i] == ids[i] for i in range(0, size, 97))
         for t in {int(ids[0]), int(ids[-1]), top}:
             at = np.flatnonzero(ids == t)
