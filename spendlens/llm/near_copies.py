@@ -1,25 +1,30 @@
-"""Near copies by the Jaccard similarity of word shingles, complete: every pair of ``SHARE`` or more is linked.
-
-A 64-bit SimHash cannot promise that: at a similarity of 0.8 two fingerprints
-differ in about ten bits, spread over all bytes, so no byte is sure to match.
-Instead the shingles of all texts stand in one global order and each text is
-posted under its first n - ceil(SHARE * n) + 1; two texts that are similar
-enough share one of these (prefix filtering). The order decides only how long
-lists get, so it may come from a sample: shingles that are common there come
-last, all others by their hash.
-
-What meets in a list is filtered by what its rows carry and no similar pair can
-fail: the sizes, and a sketch of 128 parities, of which no more differ than the
-sets have elements apart; pairs that stay are sifted by sketches as wide as the sets are
-large, and then verified on the whole sets.
-
-Only components are asked for, so a long list does not make all its pairs: its
-members are first linked along random orders, and then only pairs from
-different components are left to test, all of them.
+"""SimHash near-dedup at a Jaccard similarity of word shingles: the operator's general form, with wide fingerprints.
+
+A pair counts if its sets of ``WORDS``-word shingles share ``SHARE`` or more. At
+a similarity of 0.8 about 15 of 100 SimHash bits differ and about 27 of 100 bytes
+match, so a 64-bit fingerprint promises no match; here fingerprints have
+``WIDTH`` bytes. They are posted under tuples of positional bytes: pairs of bytes,
+and longer tuples where the texts are so many that lists of pairs would be long
+(``tuple_bytes``), always as many tuples (``tuple_count``) that a pair at the
+threshold meets in one with a probability of 0.99 or more, twice as many for
+texts of few shingles, whose bytes match less often.
+
+Members of a list are compared by the fingerprint's first 128 bits; pairs that
+stay are tallied over all WIDTH positional bytes, those with ``MIN_BYTES`` or more
+matches stay, and they are verified on the whole sets, after sketches as wide as
+the sets are large have ruled out most of the rest. So no pair below the
+threshold is linked, and the share of those above that is missed is under one in
+a hundred at 0.8 and falls quickly above (measured in the tests).
+
+Only components are asked for, so a list full of near copies does not make all
+its pairs: its members are first linked along random orders, and then only pairs
+from different components are left to test, all of them.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +37,19 @@ from pyspark.sql.window import Window
 from spendlens.operators.components import connected_components
 
 from .common import KeyFilter, cut, small_batches
-from .simhash import SEED, shingle_hashes, without_copies
+from .shingles import SEED, bit_sums, shingle_hashes
 
 WORDS = 5
 SHARE = (4, 5)
-SAMPLE_ROWS = 5_000
-COMMON_IN = 3
-MAX_COMMON = 50_000
+#: Bytes of a fingerprint; matches that a pair at the threshold surely has (ten deviations below the mean); differing bits of the first 128 that it surely has not.
+WIDTH = 128
+MIN_BYTES, MAX_APART = 10, 40
+#: The share of bytes that match at the threshold, the share of pairs there that may meet in no tuple, and members of a list by chance.
+BYTE_MATCH, MISSED, BY_CHANCE = 0.2687, 0.008, 1_000
+#: Texts of fewer shingles are posted twice as often.
+FEW_SHINGLES = 32
+#: Lists up to ALL_PAIRS are compared whole, and do without rounds if no more than SHORT_LIST pairs a member stay.
+ALL_PAIRS = 4_096
 SHORT_LIST = 16
 #: Tests a row takes part in, in one round of a long list, and rounds; what they leave is tested pair by pair.
 TESTS, ROUNDS = 3, 4
@@ -50,19 +61,33 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, WORDS))
 
 
-def prefix_length(n: int) -> int:
-    a, b = SHARE
-    return n - (n * a + b - 1) // b + 1 if n else 0
-
-
 def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
-def _sketch(hashes: np.ndarray) -> np.ndarray:
-    """128 bits: how many hashes fall to each, odd or even."""
-    odd = np.bincount((hashes >> np.uint64(9) & np.uint64(127)).astype(np.int64), minlength=128) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<u8")
+def tuple_bytes(texts: int) -> int:
+    """Bytes of a tuple, so that a list has BY_CHANCE members or fewer by chance."""
+    k = 2
+    while texts > BY_CHANCE * 256**k:
+        k += 1
+    return k
+
+
+def tuple_count(k: int) -> int:
+    return math.ceil(math.log(MISSED) / math.log(1 - BYTE_MATCH**k))
+
+
+@functools.cache
+def positions(k: int) -> np.ndarray:
+    """(tuples, k) byte positions: random orders of all positions cut into tuples, twice tuple_count(k) of them."""
+    order, each = np.random.default_rng(29), WIDTH // k
+    wanted = 2 * tuple_count(k)
+    return np.concatenate([order.permutation(WIDTH)[: each * k].reshape(each, k) for _ in range(-(-wanted // each))])[:wanted]
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of WIDTH bytes of a set of shingle hashes."""
+    return np.packbits(bit_sums(hashes, WIDTH) * 2 > len(hashes), bitorder="little")
 
 
 def _wide_sketch(hashes: np.ndarray) -> bytes:
@@ -79,95 +104,96 @@ def _apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(x) ^ np.bitwise_xor.reduce(y)).sum())
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that are common in a sample, ascending, and their counts; MAX_COMMON at most."""
-    every = max(1, docs.count() // SAMPLE_ROWS)
-    some = docs.filter(F.pmod("th", F.lit(every)) == 0).dropDuplicates(["th"]).select("text")
+def _posted(docs: DataFrame) -> DataFrame:
+    """(id, th, node, n, print, sketch) of every row of (id, th, text); node: a hash of the set of shingles, n: its size."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], ["h"])
+            if b.num_rows:
+                sets = [shingle_set(t.as_py()) for t in b.column(2)]
+                nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_print(s).tobytes() for s in sets], pa.binary()), pa.array([_wide_sketch(s) for s in sets], pa.binary())],
+                    ["id", "th", "node", "n", "print", "sketch"],
+                )
 
-    counts = small_batches(some).mapInArrow(hashes, "h long").groupBy("h").count().filter(F.col("count") >= COMMON_IN)
-    rows = counts.orderBy(F.col("count").desc(), "h").limit(MAX_COMMON).collect()
-    found = np.array([(r.h, r["count"]) for r in rows], dtype=np.int64).reshape(-1, 2)
-    hashed = np.ascontiguousarray(found[:, 0]).view(np.uint64)
-    order = np.argsort(hashed)
-    return hashed[order], found[order, 1]
+    return small_batches(docs).mapInArrow(post, "id long, th long, node long, n long, print binary, sketch binary")
 
 
-def _posted(docs: DataFrame) -> DataFrame:
-    """(id, th, node, n, p, q, sketch, keys) of every row of (id, th, text)."""
-    common, counts = _common(docs)
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
+
+
+def _posts(nodes: DataFrame, texts: int) -> DataFrame:
+    """(key, node, n, p, q): every node under its tuples of positional bytes; p and q: the first 128 bits of its fingerprint."""
+    k = tuple_bytes(texts)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = positions(k)
         for b in batches:
-            rows, keys, wide = [], [], []
-            for t in b.column(2):
-                s = shingle_set(t.as_py())
-                level = np.zeros(len(s), np.int64)
-                if len(common) and len(s):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    level = np.where(common[at] == s, counts[at], 0)
-                keys.append(s[np.lexsort((s, level))][: prefix_length(len(s))].view(np.int64))
-                wide.append(_wide_sketch(s))
-                rows.append((_node(s), len(s), *_sketch(s)))
-            node, n, p, q = (pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in zip(*rows, strict=True))
-            ends = np.cumsum([0, *map(len, keys)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, n, p, q, pa.array(wide, pa.binary()), lists], ["id", "th", "node", "n", "p", "q", "sketch", "keys"])
+            node, n, found = b.column(0).to_numpy(), b.column(1).to_numpy(), _prints(b.column(2))
+            head = np.ascontiguousarray(found[:, :16]).view(np.int64)
+            for rows, tuples in ((np.arange(len(n)), slice(0, len(at) // 2)), (np.flatnonzero(n < FEW_SHINGLES), slice(len(at) // 2, None))):
+                if not len(rows):
+                    continue
+                key = np.tile(np.arange(len(at))[tuples], (len(rows), 1))
+                for c in range(k):
+                    key = key << 8 | found[rows][:, at[tuples, c]]
+                again = np.repeat(rows, key.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(node[again]), pa.array(n[again]), pa.array(head[again, 0]), pa.array(head[again, 1])], ["key", "node", "n", "p", "q"])
 
-    return small_batches(docs).mapInArrow(lambda bs: post(b for b in bs if b.num_rows), "id long, th long, node long, n long, p long, q long, sketch binary, keys array<long>")
+    return small_batches(nodes.select("node", "n", "print")).mapInArrow(post, "key long, node long, n long, p long, q long")
 
 
 class _List:
-    """The members of one list, each once."""
+    """Rows (key, node, n, p, q, comp) of one list, or of several."""
 
     def __init__(self, columns: list[np.ndarray]):
-        _, first = np.unique(columns[1], return_index=True)
-        self.key, self.node, self.n, p, q, self.comp = (c[first] for c in columns)
+        self.key, self.node, self.n, p, q, self.comp = columns
         self.p, self.q = p.view(np.uint64), q.view(np.uint64)
 
+    def part(self, a: int, b: int) -> _List:
+        return _List([c[a:b] for c in (self.key, self.node, self.n, self.p, self.q, self.comp)])
+
     def __len__(self) -> int:
         return len(self.node)
 
     def pairs(self, a: np.ndarray | int, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of members at ``a`` and ``b`` that sizes and sketches do not rule out, smaller node first."""
+        """The pairs of members at ``a`` and ``b`` that sizes and the first 128 bits do not rule out, smaller node first."""
         x, y = SHARE
         n, m = self.n[a], self.n[b]
-        apart = sum(np.bitwise_count(z[a] ^ z[b]).astype(np.int64) for z in (self.p, self.q))
-        # Of sets this similar at most (y - x) / (y + x) of both sizes is apart.
-        may = (np.minimum(n, m) * y >= np.maximum(n, m) * x) & (apart * (y + x) <= (n + m) * (y - x)) & (self.comp[a] != self.comp[b])
+        apart = np.bitwise_count(self.p[a] ^ self.p[b]) + np.bitwise_count(self.q[a] ^ self.q[b])
+        may = (np.minimum(n, m) * y >= np.maximum(n, m) * x) & (apart <= MAX_APART) & (self.comp[a] != self.comp[b])
         one, other = np.broadcast_to(self.node[a], may.shape)[may], self.node[b][may]
         return np.minimum(one, other), np.maximum(one, other)
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[_List]:
-    """Rows sorted by key to lists; a list may run over several batches."""
-    held: list[list[np.ndarray]] = []
+    """Rows sorted by key to runs of whole lists; a list may run over several batches."""
+    held: list[list[np.ndarray]] = []  # the last key's rows so far, and smaller keys before them
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [batch.column(i).to_numpy() for i in range(6)]
-        bounds = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1], True])
-        if held and held[-1][0][-1] != columns[0][0]:
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        if last or (held and held[-1][0][-1] != columns[0][0]):
+            held.append([c[:last] for c in columns])
             yield _List([np.concatenate(c) for c in zip(*held, strict=True)])
             held = []
-        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            part = [c[i:j] for c in columns]
-            if j < batch.num_rows:
-                if held:
-                    part = [np.concatenate(c) for c in zip(*held, part, strict=True)]
-                    held = []
-                if len(part[0]) > 1:
-                    yield _List(part)
-            else:
-                held.append(part)
+        held.append([c[last:] for c in columns])
     if held:
         yield _List([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
+def _short_pairs(x: _List, short: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of all short lists among several, those whose rows are marked."""
+    for d in range(1, SHORT_LIST):
+        same = np.flatnonzero((x.key[d:] == x.key[:-d]) & short[d:])
+        if not len(same):
+            return
+        yield x.pairs(same, same + d)
+
+
 def _shuffled(x: _List, salt: int) -> np.ndarray:
     return np.random.default_rng([int(x.key[0]) & (1 << 62) - 1, salt]).permutation(len(x))
 
@@ -192,16 +218,31 @@ def _meet(posts: DataFrame, salt: int, whole: bool) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(kind)], ["a", "b", "kind"])
 
-        for x in _lists(batches):
-            if whole or len(x) <= SHORT_LIST:
-                for pair in _all_pairs(x):
-                    held.append((*pair, 0))
-                    if sum(len(h[0]) for h in held[-64:]) > OUT_ROWS or len(held) > 4096:
-                        yield out()
-            else:
-                order = _shuffled(x, salt)
-                held += [(*x.pairs(order[1:], order[:-1]), 1), (x.key[:1], x.key[:1], 2)]
-            if len(held) > 4096:
+        for lists in _lists(batches):
+            bounds = np.flatnonzero(np.r_[True, lists.key[1:] != lists.key[:-1], True])
+            sizes = np.diff(bounds)
+            held += [(*pair, 0) for pair in _short_pairs(lists, np.repeat(sizes <= SHORT_LIST, sizes))]
+            for i in np.flatnonzero(sizes > SHORT_LIST).tolist():
+                x = lists.part(bounds[i], bounds[i + 1])
+                found, kept = [], 0
+                if whole or len(x) <= ALL_PAIRS:
+                    for pair in _all_pairs(x):
+                        found.append((*pair, 0))
+                        kept += len(pair[0])
+                        if not whole and kept > SHORT_LIST * len(x):
+                            break
+                        if whole and sum(len(h[0]) for h in found[-64:]) > OUT_ROWS:
+                            held += found
+                            found = []
+                            yield out()
+                if whole or (len(x) <= ALL_PAIRS and kept <= SHORT_LIST * len(x)):
+                    held += found
+                else:
+                    order = _shuffled(x, salt)
+                    held += [(*x.pairs(order[1:], order[:-1]), 1), (x.key[:1], x.key[:1], 2)]
+                if len(held) > 4096:
+                    yield out()
+            if len(held) > 256:
                 yield out()
         if held:
             yield out()
@@ -210,24 +251,27 @@ def _meet(posts: DataFrame, salt: int, whole: bool) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long, kind long")
 
 
-def _verified(docs: DataFrame, posted: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, dst) of the ``pairs`` (a, b) whose sets are similar enough."""
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    marks = cut(posted.select("node", "th", "n", "sketch").join(ends(pairs), "node", "left_semi").dropDuplicates(["node"]))
+    marks = nodes.join(ends(pairs), "node", "left_semi")
     side = lambda df, end, **names: df.select(F.col("node").alias(end), *[F.col(c).alias(n) for n, c in names.items()])
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, t = SHARE
         for batch in batches:
             sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            apart = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
-            keep = pa.array(apart * (t + s) <= sizes * (t - s))
+            keep = (_prints(batch.column(6)) == _prints(batch.column(7))).sum(axis=1) >= MIN_BYTES
+            for i in np.flatnonzero(keep).tolist():
+                # Of sets this similar at most (t - s) / (t + s) of both sizes is apart.
+                keep[i] = _apart(batch.column(4)[i].as_py(), batch.column(5)[i].as_py()) * (t + s) <= sizes[i] * (t - s)
+            keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    sketched = pairs.join(side(marks, "a", m="n", x="sketch"), "a").join(side(marks, "b", n="n", y="sketch"), "b")
-    pairs = cut(small_batches(sketched.select("a", "b", "m", "n", "x", "y")).mapInArrow(sift, "a long, b long"))
-    nodes = cut(ends(pairs))
-    texts = cut(marks.join(nodes, "node", "left_semi").select("th").distinct())
+    sketched = pairs.join(side(marks, "a", m="n", x="sketch", u="print"), "a").join(side(marks, "b", n="n", y="sketch", v="print"), "b")
+    pairs = cut(small_batches(sketched.select("a", "b", "m", "n", "x", "y", "u", "v")).mapInArrow(sift, "a long, b long"))
+    wanted = cut(ends(pairs))
+    texts = cut(nodes.join(wanted, "node", "left_semi").select("th").distinct())
     filtered = KeyFilter(texts, "th", texts.count())
     some = filtered.flag(docs.select("th", "text"), "th", "__may").filter("__may").select("text")
 
@@ -238,7 +282,7 @@ def _verified(docs: DataFrame, posted: DataFrame, pairs: DataFrame) -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s)], pa.uint64()).view(pa.int64()), lists], ["node", "hashes"])
 
-    sets = small_batches(some).mapInArrow(hashes, "node long, hashes array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sets = small_batches(some).mapInArrow(hashes, "node long, hashes array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = cut(sets)
     both = pairs.join(side(sets, "a", x="hashes"), "a").join(side(sets, "b", y="hashes"), "b")
 
@@ -262,12 +306,12 @@ def _few(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("nth", nth).filter(f"nth <= {TESTS}").drop("nth")
 
 
-def _links(docs: DataFrame, posted: DataFrame) -> DataFrame:
-    """(src, dst) of similar nodes, that join every similar pair."""
-    posts = posted.select(F.explode("keys").alias("key"), "node", "n", "p", "q")
+def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst) of similar nodes, that join every similar pair that meets in the index."""
+    posts = _posts(nodes, nodes.count())
     met = cut(_meet(posts.withColumn("comp", F.col("node")), 0, False))
     pairs = met.filter("kind = 0").select("a", "b").distinct().unionByName(_few(met.filter("kind = 1").select("a", "b").distinct())).distinct()
-    found = _verified(docs, posted, cut(pairs))
+    found = _verified(docs, nodes, cut(pairs))
     long = met.filter("kind = 2").select(F.col("a").alias("key"))
     if long.isEmpty():
         return found
@@ -283,7 +327,7 @@ def _links(docs: DataFrame, posted: DataFrame) -> DataFrame:
         work = sizes.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()
         whole = salt == ROUNDS or work.pairs <= SHORT_LIST * work.n
         pairs = _meet(left, salt, whole).filter("kind < 2").select("a", "b").distinct()
-        found = found.unionByName(_verified(docs, posted, cut(pairs if whole else _few(pairs))))
+        found = found.unionByName(_verified(docs, nodes, cut(pairs if whole else _few(pairs))))
         posts = left.drop("comp")
     return found
 
@@ -296,17 +340,10 @@ def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     posted = cut(_posted(rows))
-    nodes = posted.groupBy("node").agg(F.min("id").alias("least"))
-    found = connected_components(_links(rows, posted)).withColumnRenamed("node", "of")
-    member = nodes.join(found, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("root"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Equal sets are one node; one of its texts serves for all.
+    nodes = cut(posted.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("th", "n", "print", "sketch")]))
+    found = connected_components(_links(rows, nodes.drop("least"))).withColumnRenamed("node", "of")
+    member = cut(nodes.select("node", "least").join(found, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("component", "node").alias("root")))
+    least = cut(member.groupBy("root").agg(F.min("least").alias("component_id")))  # stored, so that the rows of a large component can be split in the join
     label = member.join(least, "root").select("node", "component_id")
-    return posted.join(label, "node").select(F.col("id").alias("doc_id"), "component_id")
-
-
-def representatives(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id, with the columns of ``docs``.
-
-    Of rows alike in id and text one stays; rows without an id stay.
-    """
-    return without_copies(docs, near_copies(docs, text, id_col), text, id_col)
+    return posted.select("id", "node").join(label, "node").select(F.col("id").alias("doc_id"), "component_id")

@@ -25,16 +25,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendlens.operators.components import connected_components
 
+from . import near_copies
 from .common import cut, small_batches
+from .shingles import bit_sums, shingle_hashes
 
 WORDS = 4
-SEED = 42
 MAX_BITS = 4
 MIN_BYTES = 8 - MAX_BITS
 LONG_LIST = 50_000
@@ -59,32 +59,13 @@ def triples() -> list[tuple[int, int, int]]:
 TRIPLES = triples()
 
 
-def shingle_hashes(text: str | None, n: int) -> np.ndarray:
-    """XXH64 of each shingle of ``n`` words, in order: A-Z lower-cased, words split at ASCII white space.
-
-    A text of fewer words counts as one shingle; one without words, or null, has none.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined, of = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= n:
-        return np.array([of(joined, SEED)] if words else [], dtype="<u8")
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-n].tolist()]
-    return np.array([of(joined[a:b], SEED) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
-
-
 def fingerprint(text: str | None) -> int:
     """The SimHash of a text: A-Z lower-cased, words split at ASCII white space, XXH64 of each 4-word shingle.
 
     A text of fewer words counts as one shingle; one without words, or null, has fingerprint 0.
     """
     hashes = shingle_hashes(text, WORDS)
-    if len(hashes) <= 1:
-        return int(hashes[0]) if len(hashes) else 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(bit_sums(hashes) * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +190,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     prints = cut(fingerprints(docs, text, id_col))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(links(nodes.select("fp")))
-    member = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    member = cut(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    least = cut(member.groupBy("root").agg(F.min("least").alias("component_id")))  # stored, so that the rows of a large component can be split in the join
     label = member.join(least, "root").select("fp", "component_id")
     return prints.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -227,9 +208,12 @@ def without_copies(docs: DataFrame, members: DataFrame, text: str, id_col: str)
     return named.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))
 
 
-def representatives(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def representatives(docs: DataFrame, text: str = "text", id_col: str = "doc_id", verified: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id, with the columns of ``docs``.
 
+    Fingerprints of 64 bits within MAX_BITS are linked; or, if ``verified``, texts that share 0.8 or more of their five-word
+    shingles, found by wide fingerprints in the same kind of index and verified on the shingles (near_copies).
     Of rows alike in id and text one stays; rows without an id stay.
     """
-    return without_copies(docs, near_duplicates(docs, text, id_col), text, id_col)
+    members = near_duplicates(docs, text, id_col) if not verified else near_copies.near_copies(docs, text, id_col)
+    return without_copies(docs, members, text, id_col)

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from spendlens.llm import near_copies
+from spendlens.llm import near_copies, simhash
 
 from .conftest import SCHEMA, prose
 
@@ -56,16 +57,34 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize("short, common", [(near_copies.SHORT_LIST, near_copies.MAX_COMMON), (2, near_copies.MAX_COMMON), (4, 0)])
-def test_near_copies_against_brute_force(spark, monkeypatch, short, common):
+@pytest.mark.parametrize("short, all_pairs, by_chance", [(near_copies.SHORT_LIST, near_copies.ALL_PAIRS, near_copies.BY_CHANCE), (2, 3, near_copies.BY_CHANCE), (4, 8, 0.001)])
+def test_near_copies_against_brute_force(spark, monkeypatch, short, all_pairs, by_chance):
+    """Short and long lists, and tuples of two and of three bytes."""
     monkeypatch.setattr(near_copies, "SHORT_LIST", short)
-    monkeypatch.setattr(near_copies, "MAX_COMMON", common)
+    monkeypatch.setattr(near_copies, "ALL_PAIRS", all_pairs)
+    monkeypatch.setattr(near_copies, "BY_CHANCE", by_chance)
     rows = [(i * 3 % 1009, t) for i, t in enumerate(texts(1))]
     rows += [rows[5], (None, rows[9][1])]
     got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(((x.doc_id, x.component_id) for x in got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("k", [2, 3])
+def test_pairs_at_the_threshold_meet(k):
+    """Of pairs of just 0.8 and more, large and small, at least 99 of 100 share a tuple of bytes and pass the tally."""
+    r, at, met, pairs = random.Random(k), near_copies.positions(k), 0, 0
+    for n in (6, 8, 15, 30, 60, 300, 1000):
+        for _ in range(150):
+            apart = n // 10  # n - apart shared of n + apart: 0.8 or more
+            h = np.array([r.getrandbits(64) for _ in range(n + apart)], np.uint64)
+            a, b = near_copies.wide_print(h[:n]), near_copies.wide_print(h[apart:])
+            tuples = at if n < near_copies.FEW_SHINGLES else at[: len(at) // 2]
+            bits = np.bitwise_count(a[:16] ^ b[:16]).sum()
+            met += (a[tuples] == b[tuples]).all(axis=1).any() and (a == b).sum() >= near_copies.MIN_BYTES and bits <= near_copies.MAX_APART
+            pairs += 1
+    assert met >= 0.99 * pairs
+
+
 def test_pipeline_stage_drops_copies_of_four_fifths(spark, tmp_path):
     base = prose(7, 100)
     half, less = base.split(), base.split()
@@ -79,8 +98,8 @@ def test_pipeline_stage_drops_copies_of_four_fifths(spark, tmp_path):
 
 def test_representatives_on_hard_rows(hard, none):
     rows, df = hard
-    got = near_copies.representatives(df)
+    got = simhash.representatives(df, verified=True)
     assert got.columns == df.columns
     kept = [x.doc_id for x in got.collect()]
     assert kept.count(None) == 2 and {i for i in kept if i is not None} == {c for _, c in brute([r[:2] for r in rows]) if c is not None} and len(kept) == len(set(kept)) + 1
-    assert near_copies.representatives(none).collect() == []
+    assert simhash.representatives(none, verified=True).collect() == []
