@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendlens.llm import bpe, exact_dedup, language_id, mixing, near_copies
+from spendlens.llm import bpe, exact_dedup, language_id, mixing, simhash
 from spendlens.llm.common import shared_dir
 
 
@@ -22,7 +22,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (0.8 or more of their five-word shingles shared) the document with the smallest id stays."""
-    return near_copies.representatives(docs)
+    return simhash.representatives(docs, verified=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
