@@ -7,8 +7,10 @@ row that misses has a text seen once and passes straight through; the rest (true
 copies and a small share of false positives) shuffle on the exact SHA-256.
 
 The filter has at most ``MAX_WORDS`` rows of 16 bytes whatever the input, which
-is the size bound of its broadcast. Beyond about four rows a word it saturates
-and lets more rows through to the exact step; the result stays the same.
+is the size bound of its broadcast. Beyond four rows a word (4 million rows) it
+fills up and lets more rows through to the exact step, nearly all from 100 million
+rows on; the result stays the same, and the step shuffles hashes, not texts, but
+where rows themselves are asked for.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import WHITE, cut, text_of, without
 
 MAX_WORDS = 1 << 20
 ROWS_PER_WORD = 4
+#: Rows alike in all columns that one task deals out.
+BLOCK = 10_000
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -65,20 +68,22 @@ def resolve(rows: DataFrame, narrow: DataFrame, id_col: str = "doc_id", order: s
     # Rows alike in all that decides are counted together first, so that a hot text is pre-aggregated map-side.
     alike = flagged(narrow).filter("__maybe").groupBy("text_sha256", "__points", F.col(id_col).alias("__id"), order).agg(F.count("*").alias("__n"))
     best = F.min(F.struct((-F.col("__points")).alias("p"), F.col("__id").isNull().alias("u"), F.col("__id").alias("i"), F.col(order).alias("o"), F.col("__n").alias("n")))
-    groups = alike.groupBy("text_sha256").agg(F.sum("__n").alias("group_size"), best.alias("__best"))
+    # Stored, so that the copies of a hot text can be split in the join below.
+    groups = cut(alike.groupBy("text_sha256").agg(F.sum("__n").alias("group_size"), best.alias("__best")))
 
     marked = flagged(rows)
     single = marked.filter("not __maybe").withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     several = marked.filter("__maybe").join(groups, "text_sha256").withColumn("keep_id", F.col("__best.i"))
     wins = (F.col("__best.p") == -F.col("__points")) & F.col("__best.i").eqNullSafe(F.col(id_col)) & F.col("__best.o").eqNullSafe(F.col(order))
     several = several.withColumn("kept", wins)
-    # A row that is there several times over, id and all: one of the copies stays.
+    # Rows that are there several times over, id and all, are counted map-side and dealt out again, one of them as kept.
     again = (F.col("kept") & (F.col("__best.n") > 1))
-    first = F.row_number().over(Window.partitionBy("text_sha256").orderBy(order)) == 1
-    once = several.filter(~again)
-    more = several.filter(again).withColumn("kept", first)
     drop = ("__maybe", "__best", "__points", order)
-    return single.drop(*drop).unionByName(once.drop(*drop)).unionByName(more.drop(*drop))
+    once, more = several.filter(~again).drop(*drop), several.filter(again).drop(*drop)
+    more = more.groupBy(*more.columns).agg(F.count("*").alias("__n"))
+    more = more.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / BLOCK)))).repartition("text_sha256", "__block")
+    more = more.withColumn("__i", F.explode(F.sequence(F.col("__block") * BLOCK, F.least(F.col("__n"), (F.col("__block") + 1) * BLOCK) - 1))).withColumn("kept", F.col("__i") == 0)
+    return single.drop(*drop).unionByName(once).unionByName(more.drop("__n", "__block", "__i"))
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

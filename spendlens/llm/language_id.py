@@ -5,8 +5,9 @@ family; inside the family, one-versus-one linear machines vote between its
 languages. Features are the square roots of the shares of hashed byte bigrams
 and trigrams of the lower-cased letters, which have unit length.
 
-The machines are fitted on a sample of labelled rows of at most about
-``SAMPLE_ROWS`` rows, spread evenly over the languages; sampled texts are whole.
+The machines are fitted on a sample of labelled rows: of every language the same
+number, ``SAMPLE_ROWS`` together or ``LEAST_ROWS`` of each if languages are many, or
+all its rows if it has fewer. Sampled texts are whole.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import small_batches
 
 FEATURES = 4096
-SAMPLE_ROWS = 1200
+SAMPLE_ROWS, LEAST_ROWS = 1200, 8
+#: Rows are drawn by their hash so many times as often as wanted, and of those drawn the ones with the least hashes stay.
+OVER = 4
 UNDETERMINED = "und"
 BIAS = 0.3
 #: ISO 639-1 codes of language families. A code not listed is a family of its own.
@@ -116,29 +120,33 @@ class Model:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        vectors = [features(t.as_py()).astype(np.float32).tobytes() for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.binary())], ["lang", "v"])
+        vectors = [features(t.as_py()).astype(np.float32).tobytes() for t in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vectors, pa.binary())], ["lang", "h", "v"])
 
 
 def has_letter(text: str = "text") -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
+def limits(counts: dict[str, int]) -> tuple[int, dict[str, int]]:
+    """Rows wanted of each language, and of each the signed 64-bit hash below which its rows are drawn: never below one row in expectation, whatever the counts."""
+    each = max(LEAST_ROWS, SAMPLE_ROWS // max(1, len(counts)))
+    return each, {k: min((1 << 63) - 1, -(1 << 63) + (OVER * each << 64) // max(1, n)) for k, n in counts.items()}
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model | None:
-    """The machines learned from the rows not held out whose lang is not null; None if there are none.
+    """The machines learned from the rows not held out whose lang is not null and whose text has a letter; None if there are none.
 
-    Rows are drawn by a hash of the id at a share that gives each language an equal part of SAMPLE_ROWS, or all its rows.
+    Every language is learned. What goes to the driver are the languages with their counts, and the sample's vectors.
     """
-    known = small_batches(docs).filter(~held_out(id_col) & F.col(lang).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS // 8).collect()}
-    if not counts:
-        return None
-    each, parts = SAMPLE_ROWS // len(counts), 1_000_000
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(parts, each * parts // n))) for k, n in counts.items()])
-    drawn = known.filter((F.pmod(F.xxhash64("id"), F.lit(parts)) < share) & has_letter("text"))
-    rows = drawn.select("lang", "text").mapInArrow(_vectors, "lang string, v binary").collect()
-    if not rows:
+    known = small_batches(docs).filter(~held_out(id_col) & F.col(lang).isNotNull() & has_letter(text)).select(F.xxhash64(id_col).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    each, below = limits({r.lang: r["count"] for r in known.groupBy("lang").count().collect()})
+    if not below:
         return None
+    limit = F.create_map(*[F.lit(x) for pair in sorted(below.items()) for x in pair])[F.col("lang")]
+    drawn = known.filter(F.col("h") <= limit).select("lang", "h", "text").mapInArrow(_vectors, "lang string, h long, v binary")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "v"))
+    rows = drawn.withColumn("n", nth).filter(F.col("n") <= each).select("lang", "v").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.v)))
     return Model(np.stack([np.frombuffer(r.v, np.float32) for r in rows]), [r.lang for r in rows])
 

@@ -6,15 +6,20 @@ letters, hex, base32, base36, base64), its characters become numbers in that
 alphabet, and four tests ask whether they look uniformly random: chi-squared
 uniformity of the alphabet, runs about the middle of the alphabet, lag-one serial
 correlation, and chi-squared of the mixture of lower case, upper case, digits and
-signs against their shares of the alphabet. Their p-values are combined (Fisher). A candidate whose randomness
-is rejected is ordinary text. Rejection is by Benjamini-Hochberg inside each
-band of lengths, over all candidates of the corpus, because the power of the
-tests grows with the length: of the candidates rejected in a band, at most a
-share ``ALPHA`` is expected to have been random. Those not rejected are spans.
+signs against their shares of the alphabet (none if it has one kind of
+character). Fisher's method combines their p-values; that of a random token is about
+uniform in 0..1 (tested), that of ordinary text near 0.
+
+What is reported is controlled: in each band of lengths, because the power of the
+tests grows with the length, and over all candidates of the corpus. Of the
+candidates above ``SURE`` as many per width of p as uniform ones would be are taken
+for random; what lies above a threshold in excess of them are false discoveries.
+The least threshold at which those are a share of ``ALPHA`` or less of what is reported
+decides; a band without such a threshold reports nothing.
 
 Positions come from the lengths of what lies between the matches, since SQL has
 no function for them. The p-values are counted in bins of a hundredth of a
-decade, so that what decides (a threshold for each band) has a fixed size.
+decade, so that what decides (a bin for each band) has a fixed size.
 """
 
 from __future__ import annotations
@@ -32,8 +37,9 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = (*(b[0] for b in BASE), "random")
 #: Length bands of candidates: each ends before the next begins.
 BANDS = (20, 24, 32, 40, 48, 64, 96)
-ALPHA = 0.05
-BINS = 1600
+ALPHA = 0.1
+#: Bins of p, a hundredth of a decade each, from 1 downwards; those above SURE (p of 0.2) hold random tokens only, as far as can be told.
+BINS, SURE = 1600, 70
 #: Signs of padding at most at the end of base64.
 PADDING = 2
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -89,7 +95,7 @@ def _two_sided(z: Column) -> Column:
 def p_uniform(x: Column, size: Column) -> Column:
     """Chi-squared test of the counts of 0..size-1 in x against equal shares; its tail by the Wilson-Hilferty cube root."""
     n, df = F.size(x), (size - 1).cast("double")
-    squares = F.aggregate(F.transform(F.sequence(F.lit(0), size - 1), lambda a: F.size(F.filter(x, lambda v: v == a))), F.lit(0), lambda s, c: s + c * c)
+    squares = F.aggregate(F.transform(F.sequence(F.lit(0), size - 1), lambda a: F.size(F.filter(x, lambda v: v == a)).cast("double")), F.lit(0.0), lambda s, c: s + c * c)
     chi2 = squares * size / n - n
     spread = 2 / (9 * df)
     return _upper_tail((F.pow(F.greatest(chi2, F.lit(0.0)) / df, 1 / 3) - (1 - spread)) / F.sqrt(spread))
@@ -133,14 +139,15 @@ def p_mixture(core: Column, alphabet: Column) -> Column:
 def battery(token: Column) -> Column:
     """The combined p-value of a token's randomness, or null where it has no encoding or is too short without its padding."""
 
-    def combined(ps: list[Column]) -> Column:
-        half = -sum((F.log(p) for p in ps[1:]), F.log(ps[0]))  # half of Fisher's chi-squared with 8 degrees of freedom
-        return F.exp(-half) * (1 + half + half * half / 2 + half * half * half / 6)
+    def combined(ps: list[Column], mixed: Column) -> Column:
+        half = -sum((F.log(p) for p in ps[1:]), F.log(ps[0]))  # half of Fisher's chi-squared with two degrees of freedom a test
+        last = F.when(mixed, half * half * half / 6).otherwise(0.0)
+        return F.exp(-half) * (1 + half + half * half / 2 + last)
 
     def tests(core: Column) -> Column:
         alphabet = F.coalesce(*[F.when(core.rlike(p), F.lit(a)) for p, a in ENCODINGS])
         numbers = F.transform(F.split(core, ""), lambda c: F.instr(alphabet, c) - 1)
-        p = _bind(numbers, lambda x: _bind(F.length(alphabet), lambda a: combined([p_uniform(x, a), p_runs(x, a), p_serial(x), p_mixture(core, alphabet)])))
+        p = _bind(numbers, lambda x: _bind(F.length(alphabet), lambda a: combined([p_uniform(x, a), p_runs(x, a), p_serial(x), p_mixture(core, alphabet)], ~alphabet.isin(DIGITS, LOWER, UPPER))))
         return F.when(alphabet.isNotNull() & (F.length(core) >= BANDS[0] - PADDING), p)
 
     return _bind(F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", ""), tests)
@@ -154,16 +161,19 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), F.filter(tokens, lambda c: c["p"].isNotNull())).otherwise(F.array().cast("array<struct<s:int,e:int,band:int,p:double>>"))
 
 
-def thresholds(scanned: DataFrame) -> dict[int, float]:
-    """Of each length band the p-value at or below which Benjamini-Hochberg rejects randomness (-1: nowhere). At most len(BANDS) rows."""
-    c = scanned.select(F.explode("cands").alias("c")).select("c.band", F.least(F.lit(BINS), F.ceil(-100 * F.log10("c.p"))).alias("bin"))
-    counts = c.groupBy("band", "bin").count()
-    down = Window.partitionBy("band").orderBy(F.col("bin").desc())
-    ranked = counts.select("band", "bin", F.sum("count").over(down).alias("k"), F.sum("count").over(Window.partitionBy("band")).alias("m"))
-    # A bin holds p of at most 10 ** (-(bin - 1) / 100).
-    worst = F.pow(F.lit(10.0), -(F.col("bin") - 1) / 100)
-    rows = ranked.filter(worst <= ALPHA * F.col("k") / F.col("m")).groupBy("band").agg(F.max(worst).alias("p")).collect()
-    return {r.band: r.p for r in rows}
+def bin_of(p: Column) -> Column:
+    return F.least(F.lit(BINS), F.ceil(-100 * F.log10(p)))
+
+
+def thresholds(scanned: DataFrame) -> dict[int, int]:
+    """Of each length band the last bin that is reported (bands without one: none is). At most len(BANDS) rows."""
+    counts = scanned.select(F.explode("cands").alias("c")).select("c.band", bin_of(F.col("c.p")).alias("bin")).groupBy("band", "bin").count()
+    upward = Window.partitionBy("band").orderBy("bin")  # BINS rows a band at most
+    ranked = counts.select("band", "bin", F.sum("count").over(upward).alias("reported"), F.sum(F.when(F.col("bin") <= SURE, F.col("count")).otherwise(0)).over(Window.partitionBy("band")).alias("sure"))
+    width = lambda b: 1 - F.pow(F.lit(10.0), -b / 100)  # noqa: E731  of p from a bin's end to 1
+    false = F.greatest(F.lit(0.0), F.col("reported") - F.col("sure") * width(F.col("bin")) / width(F.lit(float(SURE))))
+    rows = ranked.filter(false <= ALPHA * F.col("reported")).groupBy("band").agg(F.max("bin").alias("bin")).collect()
+    return {r.band: r.bin for r in rows}
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -174,13 +184,13 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_spans(scanned: DataFrame) -> DataFrame:
-    """A stored scan with base and all: sorted array<struct<s, k, e>>; all adds the candidates that stay random and touch no base span."""
+    """A stored scan with base and all: sorted array<struct<s, k, e>>; all adds the candidates that are reported and touch no base span."""
     cut_at = thresholds(scanned)
-    limits = F.array(*[F.lit(float(cut_at.get(b, -1.0))) for b in range(len(BANDS))])
+    limits = F.array(*[F.lit(cut_at.get(b, -1)) for b in range(len(BANDS))])
     df = scanned.withColumn("base", F.array_sort(F.concat(*[b[0] for b in BASE])))
 
     def stays(c: Column) -> Column:
-        return (c["p"] > F.element_at(limits, c["band"] + 1)) & ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+        return (bin_of(c["p"]) <= F.element_at(limits, c["band"] + 1)) & ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
 
     more = F.transform(F.filter("cands", stays), lambda c: F.struct(c["s"].alias("s"), F.lit(len(KINDS)).alias("k"), c["e"].alias("e")))
     return df.withColumn("all", F.array_sort(F.concat("base", more)))

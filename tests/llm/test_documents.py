@@ -150,6 +150,60 @@ def test_language_id(spark):
     assert {g.doc_id for g in language_id.recognised(spark.createDataFrame(rows, SCHEMA)).collect()}.isdisjoint({900, 901, 902})
 
 
+def test_every_language_is_drawn_whatever_its_rows():
+    counts = {f"l{k}": 4 * 10**8 + k for k in range(200)} | {"small": 3, "huge": 10**15}
+    each, below = language_id.limits(counts)
+    assert set(below) == set(counts) and each >= language_id.LEAST_ROWS
+    for k, n in counts.items():
+        expected = n * (below[k] + (1 << 63)) / 2**64
+        assert expected >= min(n, 3.9 * each) and below[k] < 1 << 63
+        assert expected <= 4.1 * each or n <= 4 * each
+
+
+def test_many_languages_are_learned(spark):
+    r = random.Random(7)
+    words = {f"q{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for k in range(160)}
+    rows = [(k * 20 + i, " ".join(r.choice(w) for _ in range(40)), lang, "s", 1) for k, (lang, w) in enumerate(words.items()) for i in range(12)]
+    model = language_id.fit(spark.createDataFrame(rows, SCHEMA))
+    assert {x for m in model.members.values() for x in m} == set(words)
+
+
+def naive_features(text):
+    """Shares of hashed bigrams and trigrams, counted one by one."""
+    b = [c if c >= 128 or chr(c).isalpha() else 32 for c in (" " + text.lower() + " ").encode()]
+    cells = [0] * language_id.FEATURES
+    for i in range(len(b) - 1):
+        cells[((b[i] << 8 | b[i + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    for i in range(len(b) - 2):
+        cells[(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) + (1 << 24)) * 0x85EBCA6B & 0xFFFFFFFF) >> 20] += 1
+    return [(c / max(1, sum(cells))) ** 0.5 for c in cells]
+
+
+def test_language_id_against_plain_python(spark):
+    """The query's predictions are those of the fitted machines asked one by one: family by the largest margin, then a vote of pairs."""
+    vocab = {"fr": "le la de un et les", "es": "el la de un y los", "en": "the of and to in is", "de": "der die und das ist nicht"}
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(vocab[lang].split()) + r.choice(["", "a", "o"]) for _ in range(12)), lang, "s", 1) for i in range(40) for lang in [r.choice(sorted(vocab))]]
+    df = spark.createDataFrame(rows + [(99, "12 3", "en", "s", 1), (98, None, "fr", "s", 1)], SCHEMA)
+    model = language_id.fit(df)
+    for got in language_id.identify(df, model).collect():
+        if got.text is None or not any(c.isalpha() for c in got.text):
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        x = naive_features(got.text)
+        assert np.allclose(x, language_id.features(got.text))
+        margin = lambda m: sum(a * b for a, b in zip(m.w.tolist(), x)) + m.b
+        family = max(model.families, key=lambda f: margin(model.families[f]))
+        votes = Counter({k: 0 for k in model.members[family]})
+        total = Counter()
+        for (a, b), m in model.pairs.items():
+            if a in votes and b in votes:
+                votes[a if margin(m) >= 0 else b] += 1
+                total[a] += margin(m)
+                total[b] -= margin(m)
+        assert got.lang_pred == max(votes, key=lambda k: (votes[k], total[k]))
+
+
 def test_language_id_without_labels(hard, spark):
     _, df = hard
     assert {r.lang_pred for r in language_id.digest(df.selectExpr("doc_id", "text", "cast(null as string) as lang", "score")).collect()} == {"und"}

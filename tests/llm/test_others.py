@@ -33,6 +33,48 @@ def test_neighbours_against_all(spark):
     assert [i for _, i, _ in got[100]][:1] == sorted(i for _, i, s in got[100] if s == pytest.approx(got[100][0][2]))[:1]
 
 
+@pytest.mark.parametrize("structured", [True, False])
+def test_recall_on_ten_thousand(spark, monkeypatch, structured):
+    """Clustered vectors need few candidates; vectors without structure as many as it takes. Recall is 0.9 or more for both."""
+    r = np.random.default_rng(5)
+    n = 10_000
+    v = r.normal(size=(n, 24))
+    if structured:
+        v = r.normal(size=(200, 24))[np.arange(n) % 200] + 0.15 * v
+    asked = []
+    measure = ann.candidates_needed
+    monkeypatch.setattr(ann, "candidates_needed", lambda *a: asked.append(measure(*a)) or asked[-1])
+    got = {}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for x in ann.nearest(df).collect():
+        got.setdefault(x.query_id, []).append(x.score)
+    score = v[::20] @ v.T
+    score[np.arange(len(score)), np.arange(0, n, 20)] = -np.inf
+    least = np.sort(score, axis=1)[:, -20]
+    assert np.mean([np.mean(np.array(got[20 * k]) >= least[k] - 1e-9) for k in range(len(least))]) >= 0.9
+    assert all(len(s) == 20 for s in got.values()) and (asked[0] <= 1_500) == structured
+
+
+def test_odd_vectors(spark):
+    """Other dimensions are apart, the least of vectors with one id takes part, names may clash, copies tie, and tables may have nothing to compare."""
+    r = np.random.default_rng(6)
+    flat = [(i, r.normal(size=3 + i % 2).tolist()) for i in range(60)] + [(0, [9.0, 9.0, 9.0]), (100, [1.0] * 5)]
+    df = spark.createDataFrame(flat, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as v", "3 as score", "4 as tree")
+    used = {}
+    for i, x in flat:
+        used[i] = min(used.get(i, x), x)
+    want = []
+    for q, x in used.items():
+        if q % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in used.items() if i != q and len(x) == len(y))[:20]
+            want += [(q, k + 1, i) for k, (_, i) in enumerate(near)]
+    assert sorted((x.query_id, x.rank, x.vec_id) for x in ann.nearest(df).collect()) == sorted(want)
+    same = spark.createDataFrame([(i, [0.1, 0.2, 0.3]) for i in range(50)], "vec_id long, embedding array<float>")
+    assert [x.vec_id for x in sorted(ann.nearest(same).filter("query_id = 20").collect())] == [i for i in range(21) if i != 20]
+    none = spark.createDataFrame([(0, [0.0]), (20, None), (None, [1.0])], "vec_id long, embedding array<double>")
+    assert ann.nearest(none).collect() == [] and ann.nearest(none.filter("vec_id > 99")).collect() == []
+
+
 def test_few_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [0.5, 1.0])], "vec_id long, embedding array<float>")
     assert sorted((x.rank, x.vec_id, x.score) for x in ann.nearest(few).collect()) == [(1, 1, 0.5), (2, 2, 0.5)]
