@@ -100,15 +100,19 @@ def due(words):
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: every document as often as at least half of it is taken, in training order, with the columns of ``docs``."""
-    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(id_col).alias("id"))
-    rows = sized(packed).drop("text")
-    sizes = cut(rows.select("source", "size", "id"))
-    df = mix(rows, sizes, "source", "id").filter((F.col("taken") > 0) & (F.col("taken") * 2 >= F.col("size")))
+    """The mix itself: every document as often as at least half of it is taken, in training order, with the columns of ``docs``.
+
+    Positions are worked out on (source, size, id, hash of the row) alone; the rows join them once and are sorted once.
+    """
+    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(id_col).alias("id")).withColumn("hash", F.xxhash64("row", "id"))
+    sizes = cut(sized(packed.drop("row")).drop("text"))
+    df = mix(sizes, sizes, "source", "id").filter((F.col("taken") > 0) & (F.col("taken") * 2 >= F.col("size")))
     copies = F.sequence(F.lit(0), F.round(F.col("taken") / F.col("size")).cast("int") - 1)
     df = df.withColumn("__copy", F.explode(copies))
-    df = df.withColumn("__at", due(F.col("__before") + F.col("__copy") * F.col("source_size") + F.col("size") / 2))
-    return df.orderBy("__at", "id", "__copy").select("row.*")
+    df = df.select("hash", due(F.col("__before") + F.col("__copy") * F.col("source_size") + F.col("size") / 2).alias("at"), F.col("id").alias("__id"), F.col("__copy").alias("copy"))
+    # Rows alike in all columns, id and all, are one row here; each of them has its own positions.
+    rows = packed.select("hash", "row").dropDuplicates(["hash"])
+    return rows.join(df, "hash").orderBy("at", "__id", "copy").select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -11,14 +11,17 @@ texts of few shingles, whose bytes match less often.
 
 Members of a list are compared by the fingerprint's first 128 bits; pairs that
 stay are tallied over all WIDTH positional bytes, those with ``MIN_BYTES`` or more
-matches stay, and they are verified on the whole sets, after sketches as wide as
-the sets are large have ruled out most of the rest. So no pair below the
-threshold is linked, and the share of those above that is missed is under one in
-a hundred at 0.8 and falls quickly above (measured in the tests).
+matches and no more than ``MOST_APART`` differing bits stay, and they are verified on
+the whole sets, after sketches as wide as the sets are large have ruled out most
+of the rest. So no pair below the threshold is linked, and the share of those above
+that is missed is under one in a hundred at 0.8 and falls quickly above
+(measured in the tests).
 
 Only components are asked for, so a list full of near copies does not make all
-its pairs: its members are first linked along random orders, and then only pairs
-from different components are left to test, all of them.
+its pairs: each member goes to the first, in one order of all nodes, that may be
+near it, the same one in most lists. Lists with more pairs come again with another
+order, and at last with all their pairs, but only pairs of different components
+count then, and these are few.
 """
 
 from __future__ import annotations
@@ -32,7 +35,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spendlens.operators.components import connected_components
 
@@ -41,19 +43,19 @@ from .shingles import SEED, bit_sums, shingle_hashes
 
 WORDS = 5
 SHARE = (4, 5)
-#: Bytes of a fingerprint; matches that a pair at the threshold surely has (ten deviations below the mean); differing bits of the first 128 that it surely has not.
+#: Bytes of a fingerprint; what a pair at the threshold surely has (of 34 matching bytes and 155 differing bits on average, 19 of them among the first 128).
 WIDTH = 128
-MIN_BYTES, MAX_APART = 10, 40
+MIN_BYTES, MAX_APART, MOST_APART = 10, 40, 240
 #: The share of bytes that match at the threshold, the share of pairs there that may meet in no tuple, and members of a list by chance.
 BYTE_MATCH, MISSED, BY_CHANCE = 0.2687, 0.008, 1_000
 #: Texts of fewer shingles are posted twice as often.
 FEW_SHINGLES = 32
-#: Lists up to ALL_PAIRS are compared whole, and do without rounds if no more than SHORT_LIST pairs a member stay.
-ALL_PAIRS = 4_096
+#: Lists up to SHORT_LIST are compared with array operations over many lists.
 SHORT_LIST = 16
-#: Tests a row takes part in, in one round of a long list, and rounds; what they leave is tested pair by pair.
-TESTS, ROUNDS = 3, 4
-OUT_ROWS = 50_000
+#: Orders in which lists give one pair a member, before those that are left give all.
+ROUNDS = 3
+#: Members of a long list that are compared with all others at once.
+ROWS = 64
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -145,30 +147,22 @@ def _posts(nodes: DataFrame, texts: int) -> DataFrame:
     return small_batches(nodes.select("node", "n", "print")).mapInArrow(post, "key long, node long, n long, p long, q long")
 
 
-class _List:
-    """Rows (key, node, n, p, q, comp) of one list, or of several."""
+class _Lists:
+    """Rows (key, node, n, p, q, comp) of whole lists, sorted by key."""
 
     def __init__(self, columns: list[np.ndarray]):
         self.key, self.node, self.n, p, q, self.comp = columns
         self.p, self.q = p.view(np.uint64), q.view(np.uint64)
 
-    def part(self, a: int, b: int) -> _List:
-        return _List([c[a:b] for c in (self.key, self.node, self.n, self.p, self.q, self.comp)])
-
-    def __len__(self) -> int:
-        return len(self.node)
-
-    def pairs(self, a: np.ndarray | int, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of members at ``a`` and ``b`` that sizes and the first 128 bits do not rule out, smaller node first."""
+    def may(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows sizes, the first 128 bits and their components do not rule out."""
         x, y = SHARE
         n, m = self.n[a], self.n[b]
         apart = np.bitwise_count(self.p[a] ^ self.p[b]) + np.bitwise_count(self.q[a] ^ self.q[b])
-        may = (np.minimum(n, m) * y >= np.maximum(n, m) * x) & (apart <= MAX_APART) & (self.comp[a] != self.comp[b])
-        one, other = np.broadcast_to(self.node[a], may.shape)[may], self.node[b][may]
-        return np.minimum(one, other), np.maximum(one, other)
+        return (np.minimum(n, m) * y >= np.maximum(n, m) * x) & (apart <= MAX_APART) & (self.comp[a] != self.comp[b])
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[_List]:
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[_Lists]:
     """Rows sorted by key to runs of whole lists; a list may run over several batches."""
     held: list[list[np.ndarray]] = []  # the last key's rows so far, and smaller keys before them
     for batch in batches:
@@ -178,77 +172,86 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[_List]:
         last = int(np.searchsorted(columns[0], columns[0][-1]))
         if last or (held and held[-1][0][-1] != columns[0][0]):
             held.append([c[:last] for c in columns])
-            yield _List([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield _Lists([np.concatenate(c) for c in zip(*held, strict=True)])
             held = []
         held.append([c[last:] for c in columns])
     if held:
-        yield _List([np.concatenate(c) for c in zip(*held, strict=True)])
+        yield _Lists([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+def _rank(node: np.ndarray, salt: int) -> np.ndarray:
+    """An order of all nodes, the same in every list."""
+    h = (node.view(np.uint64) ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _short_pairs(x: _List, short: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of all short lists among several, those whose rows are marked."""
+def _short_pairs(x: _Lists, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs that may be near in all short lists, those whose rows are marked."""
+    found = [(np.empty(0, np.int64),) * 2]
     for d in range(1, SHORT_LIST):
         same = np.flatnonzero((x.key[d:] == x.key[:-d]) & short[d:])
         if not len(same):
-            return
-        yield x.pairs(same, same + d)
-
-
-def _shuffled(x: _List, salt: int) -> np.ndarray:
-    return np.random.default_rng([int(x.key[0]) & (1 << 62) - 1, salt]).permutation(len(x))
-
-
-def _all_pairs(x: _List) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair of members of different components: those outside the largest one are compared with all."""
-    of, sizes = np.unique(x.comp, return_inverse=True, return_counts=True)[1:]
-    order = np.argsort(of == np.argmax(sizes), kind="stable")
-    for i, a in enumerate(order[: len(x) - int(sizes.max())].tolist() if sizes.max() > 1 else order[:-1].tolist()):
-        yield x.pairs(a, order[i + 1 :])
+            break
+        same = same[x.may(same, same + d)]
+        found.append((same, same + d))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _star(x: _Lists, rank: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one long list a..b: each member that is not the first of its like, with the first that may be near it."""
+    left = order = a + np.argsort(rank[a:b])
+    ones, others = [], []
+    for at in range(0, b - a, ROWS):
+        first = order[at : at + ROWS]
+        left = left[rank[left] > rank[first[0]]]
+        if not len(left):
+            break
+        near = x.may(first[:, None], left[None, :]) & (rank[first][:, None] < rank[left][None, :])
+        hit = near.any(axis=0)
+        ones.append(first[near.argmax(axis=0)[hit]])
+        others.append(left[hit])
+        left = left[~hit]
+    return np.concatenate(ones), np.concatenate(others)
 
 
 def _meet(posts: DataFrame, salt: int, whole: bool) -> DataFrame:
-    """(a, b, kind) pairs to test, of kind 0 from short lists and 1 from long ones; of kind 2 rows (key, key) name the long lists, of which only neighbours in a random order are given, unless ``whole``."""
+    """(a, b, more) pairs to test; rows (key, key, true) name the lists that may have more pairs. whole: all pairs, else one a member."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, int]] = []
-
-        def out() -> pa.RecordBatch:
-            a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            kind = np.concatenate([np.full(len(h[0]), h[2]) for h in held])
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(kind)], ["a", "b", "kind"])
+        def out(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[pairs[0], keys]), pa.array(np.r_[pairs[1], keys]), pa.array(np.arange(pairs.shape[1] + len(keys)) >= pairs.shape[1])], ["a", "b", "more"])
 
-        for lists in _lists(batches):
-            bounds = np.flatnonzero(np.r_[True, lists.key[1:] != lists.key[:-1], True])
+        for x in _lists(batches):
+            rank = _rank(x.node, salt)
+            bounds = np.flatnonzero(np.r_[True, x.key[1:] != x.key[:-1], True])
             sizes = np.diff(bounds)
-            held += [(*pair, 0) for pair in _short_pairs(lists, np.repeat(sizes <= SHORT_LIST, sizes))]
+            one, other = _short_pairs(x, np.repeat(sizes <= SHORT_LIST, sizes))
+            many = np.empty(0, np.int64)
+            if not whole and len(one):
+                # Of each member's pairs with earlier ones that with the earliest; lists that lose pairs by that come again.
+                early, late = np.where(rank[one] < rank[other], one, other), np.where(rank[one] < rank[other], other, one)
+                order = np.lexsort((rank[early], late))
+                kept = order[np.r_[True, late[order][1:] != late[order][:-1]]]
+                lost = np.ones(len(one), bool)
+                lost[kept] = False
+                many, one, other = np.unique(x.key[one[lost]]), early[kept], late[kept]
+            yield out(x.node[one], x.node[other], many)
             for i in np.flatnonzero(sizes > SHORT_LIST).tolist():
-                x = lists.part(bounds[i], bounds[i + 1])
-                found, kept = [], 0
-                if whole or len(x) <= ALL_PAIRS:
-                    for pair in _all_pairs(x):
-                        found.append((*pair, 0))
-                        kept += len(pair[0])
-                        if not whole and kept > SHORT_LIST * len(x):
-                            break
-                        if whole and sum(len(h[0]) for h in found[-64:]) > OUT_ROWS:
-                            held += found
-                            found = []
-                            yield out()
-                if whole or (len(x) <= ALL_PAIRS and kept <= SHORT_LIST * len(x)):
-                    held += found
+                a, b = int(bounds[i]), int(bounds[i + 1])
+                if whole:
+                    for at in range(a, b, ROWS):
+                        one, other = np.arange(at, min(b, at + ROWS)), np.arange(at + 1, b)
+                        i, k = np.nonzero(x.may(one[:, None], other[None, :]) & (one[:, None] < other[None, :]))
+                        if len(i):
+                            yield out(x.node[one[i]], x.node[other[k]], many[:0])
                 else:
-                    order = _shuffled(x, salt)
-                    held += [(*x.pairs(order[1:], order[:-1]), 1), (x.key[:1], x.key[:1], 2)]
-                if len(held) > 4096:
-                    yield out()
-            if len(held) > 256:
-                yield out()
-        if held:
-            yield out()
+                    one, other = _star(x, rank, a, b)
+                    if len(one):
+                        yield out(x.node[one], x.node[other], x.key[a : a + (len(one) > 1)])
 
     dealt = posts.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(meet, "a long, b long, kind long")
+    return dealt.mapInArrow(meet, "a long, b long, more boolean")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -261,7 +264,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         s, t = SHARE
         for batch in batches:
             sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = (_prints(batch.column(6)) == _prints(batch.column(7))).sum(axis=1) >= MIN_BYTES
+            x, y = _prints(batch.column(6)), _prints(batch.column(7))
+            keep = ((x == y).sum(axis=1) >= MIN_BYTES) & (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= MOST_APART)
             for i in np.flatnonzero(keep).tolist():
                 # Of sets this similar at most (t - s) / (t + s) of both sizes is apart.
                 keep[i] = _apart(batch.column(4)[i].as_py(), batch.column(5)[i].as_py()) * (t + s) <= sizes[i] * (t - s)
@@ -300,36 +304,23 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(small_batches(both.select("a", "b", "x", "y")).mapInArrow(test, "src long, dst long"))
 
 
-def _few(pairs: DataFrame) -> DataFrame:
-    """Of each row's pairs with a greater node at most TESTS, by chance."""
-    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))
-    return pairs.withColumn("nth", nth).filter(f"nth <= {TESTS}").drop("nth")
-
-
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst) of similar nodes, that join every similar pair that meets in the index."""
     posts = _posts(nodes, nodes.count())
-    met = cut(_meet(posts.withColumn("comp", F.col("node")), 0, False))
-    pairs = met.filter("kind = 0").select("a", "b").distinct().unionByName(_few(met.filter("kind = 1").select("a", "b").distinct())).distinct()
-    found = _verified(docs, nodes, cut(pairs))
-    long = met.filter("kind = 2").select(F.col("a").alias("key"))
-    if long.isEmpty():
-        return found
-    posts = cut(posts.join(long, "key", "left_semi"))
-    for salt in range(1, ROUNDS + 1):
-        label = connected_components(found).withColumnRenamed("node", "of")
-        mixed = posts.join(label, F.col("node") == F.col("of"), "left").withColumn("comp", F.coalesce("component", "node")).drop("of", "component")
-        several = mixed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
-        left = cut(mixed.join(several, "key", "left_semi"))
-        if left.isEmpty():
+    left, found = posts.withColumn("comp", F.col("node")), None
+    for salt in range(ROUNDS + 1):
+        met = cut(_meet(left, salt, salt == ROUNDS))
+        links = _verified(docs, nodes, cut(met.filter("not more").select("a", "b").distinct()))
+        found = links if found is None else found.unionByName(links)
+        more = met.filter("more").select(F.col("a").alias("key")).distinct()
+        if salt == ROUNDS or more.isEmpty():
             return found
-        sizes = left.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("s"))
-        work = sizes.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()
-        whole = salt == ROUNDS or work.pairs <= SHORT_LIST * work.n
-        pairs = _meet(left, salt, whole).filter("kind < 2").select("a", "b").distinct()
-        found = found.unionByName(_verified(docs, nodes, cut(pairs if whole else _few(pairs))))
-        posts = left.drop("comp")
-    return found
+        # Of the lists with more pairs those that still have members of different components.
+        label = connected_components(found).withColumnRenamed("node", "of")
+        labelled = posts.join(more, "key", "left_semi").join(label, F.col("node") == F.col("of"), "left").withColumn("comp", F.coalesce("component", "node")).drop("of", "component")
+        left = cut(labelled)
+        several = left.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
+        left = left.join(several, "key", "left_semi")
 
 
 def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

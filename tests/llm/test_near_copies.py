@@ -57,11 +57,11 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize("short, all_pairs, by_chance", [(near_copies.SHORT_LIST, near_copies.ALL_PAIRS, near_copies.BY_CHANCE), (2, 3, near_copies.BY_CHANCE), (4, 8, 0.001)])
-def test_near_copies_against_brute_force(spark, monkeypatch, short, all_pairs, by_chance):
+@pytest.mark.parametrize("short, rounds, by_chance", [(near_copies.SHORT_LIST, near_copies.ROUNDS, near_copies.BY_CHANCE), (2, 1, near_copies.BY_CHANCE), (4, 2, 0.001)])
+def test_near_copies_against_brute_force(spark, monkeypatch, short, rounds, by_chance):
     """Short and long lists, and tuples of two and of three bytes."""
     monkeypatch.setattr(near_copies, "SHORT_LIST", short)
-    monkeypatch.setattr(near_copies, "ALL_PAIRS", all_pairs)
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
     monkeypatch.setattr(near_copies, "BY_CHANCE", by_chance)
     rows = [(i * 3 % 1009, t) for i, t in enumerate(texts(1))]
     rows += [rows[5], (None, rows[9][1])]
