@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bound, canonical_supplier_name, canonical_text, supplier_name_normalized
+from .text import canonical_supplier_name, canonical_text, supplier_name_normalized
 
 #: Fixed value: where the public register shows a decision.
 DETAIL_URL = "https://diavgeia.gov.gr/opendata/decisions/"
@@ -13,17 +13,13 @@ DETAIL_URL = "https://diavgeia.gov.gr/opendata/decisions/"
 
 def normalize_tax_id(text: Column, embedded: bool = True) -> Column:
     """Nine digits, `EL` before them or not; EL and nine digits inside other text if ``embedded``; or the text's only run of digits, if of nine."""
-    return bound(text.cast("string"), lambda t: _tax_id(t, embedded))
-
-
-def _tax_id(t: Column, embedded: bool) -> Column:
+    t = text.cast("string")
     compact = F.upper(F.regexp_replace(t, "[^0-9A-Za-z]", ""))
-    runs = F.regexp_extract_all(t, F.lit(r"(\d+)"), F.lit(1))
     found = [F.nullif(F.regexp_extract(compact, r"^(?:EL)?(\d{9})$", 1), F.lit(""))]
     if embedded:
         found.append(F.nullif(F.regexp_extract(compact, r"EL(\d{9})(?!\d)", 1), F.lit("")))
-    found.append(F.when((F.size(runs) == 1) & (F.length(F.get(runs, F.lit(0))) == 9), F.get(runs, F.lit(0))))
-    return F.coalesce(*found)
+    found.append(F.nullif(F.regexp_extract(t, r"^\D*(\d{9})\D*$", 1), F.lit("")))
+    return F.when(t.rlike(r"^\d{9}$"), t).otherwise(F.coalesce(*found))
 
 
 def short_hash(text: Column) -> Column:

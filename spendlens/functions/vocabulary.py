@@ -64,6 +64,8 @@ STAGE_AUTHORITY = {
 }
 #: Decision types that count as procurement, and those that are direct awards.
 PROCUREMENT_TYPES = ("ΑΝΑΘΕΣΗ ΕΡΓΩΝ / ΠΡΟΜΗΘΕΙΩΝ / ΥΠΗΡΕΣΙΩΝ / ΜΕΛΕΤΩΝ", "ΣΥΜΒΑΣΗ", "ΚΑΤΑΚΥΡΩΣΗ", "Procurement assignment", "Contract award")
+#: Types of payments, as labelled.
+PAYMENT_TYPES = ("Expenditure approval", "Payment finalization", "Payment warrant")
 DIRECT_AWARD_TYPES = ("ΑΝΑΘΕΣΗ ΕΡΓΩΝ / ΠΡΟΜΗΘΕΙΩΝ / ΥΠΗΡΕΣΙΩΝ / ΜΕΛΕΤΩΝ", "Procurement assignment")
 #: Words of procurement.
 PROCUREMENT_WORDS = ("συμβαση", "αναθεση", "προμηθεια", "δαπανη", "contract", "procurement", "award", "supplier")

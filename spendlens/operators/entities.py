@@ -108,6 +108,13 @@ def flag_totals(enriched: DataFrame) -> DataFrame:
     return enriched.agg(*[F.count_if(f).alias(f) for f in flags], F.count_if(F.expr(" or ".join(flags))).alias("flagged_suppliers"), F.count("*").alias("suppliers"))
 
 
+def subset(df: DataFrame, key: str, ids: list[str] | None = None, top: int | None = None, by: str = "total_amount") -> DataFrame:
+    """The rows with one of some ids, or the top ones by an amount, ties by key; all if neither is given."""
+    if ids is not None:
+        df = df.filter(F.col(key).isin(*ids))
+    return df if top is None else df.orderBy(F.desc_nulls_last(by), key).limit(top)
+
+
 def not_yet(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not done."""
     return wanted.join(done.select(key).distinct(), key, "left_anti")

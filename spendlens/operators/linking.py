@@ -133,7 +133,13 @@ def _sides(d: DataFrame, on: list[str]) -> DataFrame:
 def duplicate_pairs(d: DataFrame, similarity: float = DUPLICATE_SIMILARITY) -> DataFrame:
     """(src, dst, similarity): the same date and cents and titles so alike. d: id, amount, issue_date, title."""
     rows = d.filter("amount is not null and issue_date is not null").select("id", "issue_date", cents(F.col("amount")).alias("cents"), canonical_text(F.col("title")).alias("title"))
-    pairs = _sides(rows, ["issue_date", "cents"]).select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), title_ratio("l_title", "r_title").alias("similarity"))
+    pairs = _sides(rows, ["issue_date", "cents"])
+    # The ratio is twice the matching characters by all, so it cannot pass what the shorter title allows, nor the characters that both have.
+    short, both = F.least(F.length("l_title"), F.length("r_title")), F.length("l_title") + F.length("r_title")
+    letters = lambda c: F.split(c, "")
+    shared = F.aggregate(F.array_intersect(letters("l_title"), letters("r_title")), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(letters("l_title"), lambda y: y == x)), F.size(F.filter(letters("r_title"), lambda y: y == x))))
+    pairs = pairs.filter((2 * short >= similarity * both) & ((F.col("l_title") == F.col("r_title")) | (2 * shared >= similarity * both)))
+    pairs = pairs.select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), title_ratio("l_title", "r_title").alias("similarity"))
     return pairs.filter(F.col("similarity") >= similarity)
 
 
@@ -198,6 +204,20 @@ def top_events(g: DataFrame, top: int = 20) -> DataFrame:
     return e.select("canonical_id", "p.*", "lifecycle_roles", "tags", "decisions", "related_adas").orderBy(F.desc("amount"), F.desc("issue_date"), "canonical_id").limit(top)
 
 
+def exclusion_reasons(g: DataFrame, top: int = 20) -> DataFrame:
+    """Decisions with exclusion_reason, why they are not among the largest purchases; null for those that are.
+
+    g: as for top_events, each with is_lifecycle. In turn: no part of a purchase, no amount, a revocation, and a purchase beyond the top ones.
+    """
+    reason = F.when(~F.col("is_lifecycle"), "not_procurement_lifecycle").when(F.col("amount").isNull(), "missing_amount").when(F.col("is_revocation"), "revocation_decision")
+    marked = g.withColumn("exclusion_reason", reason)
+    largest = F.min_by(F.struct("amount", "issue_date"), F.struct(-F.col("amount"), ~F.col("is_canonical"), F.coalesce(F.col("issue_date").cast("string"), F.lit("")), F.coalesce("ada", F.lit(""))))
+    ranked = marked.filter("exclusion_reason is null").groupBy("canonical_id").agg(largest.alias("p"))
+    included = ranked.orderBy(F.desc("p.amount"), F.desc("p.issue_date"), "canonical_id").limit(top).select("canonical_id", F.lit(True).alias("__in"))  # ``top`` rows
+    j = marked.join(F.broadcast(included), "canonical_id", "left")
+    return j.withColumn("exclusion_reason", F.coalesce("exclusion_reason", F.when(F.col("__in").isNull(), F.lit(f"outside_top_{top}")))).drop("__in")
+
+
 def revocations(d: DataFrame, order: Column) -> DataFrame:
     """Decisions with revoked_by: the last (by ``order``) of those whose revokes_ada names them, whatever their case."""
     by = d.filter("revokes_ada is not null").groupBy(F.upper("revokes_ada").alias("__t")).agg(F.max_by("ada", order).alias("revoked_by"))

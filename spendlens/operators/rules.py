@@ -60,6 +60,69 @@ def year_end_spend(d: DataFrame, months: tuple[int, ...] = (11, 12), share: floa
     return y.withColumn("share", F.try_divide("late_spend", "spend")).filter(F.col("share") > share)
 
 
+def december_rush(d: DataFrame, first_day: int = 22, share: float = 0.3) -> DataFrame:
+    """Org years with so large a share of spend in the last ten days of December."""
+    late = (F.month("issue_date") == 12) & (F.dayofmonth("issue_date") >= first_day)
+    y = procurement_only(d).groupBy("org", "year").agg(F.sum("amount").alias("spend"), F.coalesce(F.sum(F.when(late, F.col("amount"))), F.lit(0.0)).alias("late_spend"))
+    return y.withColumn("share", F.try_divide("late_spend", "spend")).filter(F.col("share") > share)
+
+
+def election_rush(d: DataFrame, elections: list[str], months: int = 3, times: float = 2.0) -> DataFrame:
+    """Orgs whose awards a day in the months before an election are so many times those of all their other days.
+
+    elections: dates; their number is small, each adds two conditional sums to one aggregation.
+    """
+    day = F.col("issue_date").cast("date")
+    a = procurement_only(d).filter("issue_date is not null")
+    begins = {e: F.add_months(F.lit(e).cast("date"), -months) for e in elections}
+    inside = {e: (day >= b) & (day < F.lit(e).cast("date")) for e, b in begins.items()}
+    sums = [F.count_if(inside[e]).alias(f"n{i}") for i, e in enumerate(elections)]
+    o = a.groupBy("org").agg(F.count("*").alias("awards"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), *sums)
+    each = F.explode(F.array(*[F.struct(F.lit(e).cast("date").alias("election"), F.col(f"n{i}").alias("before"), F.datediff(F.lit(e).cast("date"), b).alias("days")) for i, (e, b) in enumerate(begins.items())]))
+    o = o.select("org", "awards", (F.datediff("last_day", "first_day") + 1).alias("span"), each.alias("e")).select("org", "awards", "span", "e.*")
+    base = F.try_divide(F.col("awards") - F.col("before"), F.col("span") - F.col("days"))
+    return o.withColumn("times", F.try_divide(F.col("before") / F.col("days"), base)).filter(F.col("times") > times).select("org", "election", "before", "times")
+
+
+def captured_categories(d: DataFrame, prefix: int = 8, share: float = 0.6, years: int = 3) -> DataFrame:
+    """Runs of so many years in which one supplier has so large a share of an org's spend in a category, all of it by direct award."""
+    a = procurement_only(d).withColumn("category", F.substring("cpv", 1, prefix))
+    own = a.groupBy("org", "category", "supplier_tax_id", "year").agg(F.sum("amount").alias("own"), F.count_if(~F.col("decision_type").isin(*V.DIRECT_AWARD_TYPES)).alias("open_awards"))
+    s = own.withColumn("total", F.sum("own").over(Window.partitionBy("org", "category", "year")))  # a row a supplier
+    s = s.filter(F.col("supplier_tax_id").isNotNull() & (F.col("open_awards") == 0)).withColumn("share", F.try_divide("own", "total")).filter(F.col("share") > share)
+    key = ["org", "category", "supplier_tax_id"]
+    s = s.withColumn("island", F.col("year") - F.row_number().over(Window.partitionBy(*key).orderBy("year")))
+    run = s.groupBy(*key, "island").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count("*").alias("years"), F.avg("share").alias("avg_share"))
+    return run.filter(F.col("years") >= years).drop("island")
+
+
+def orphan_payments(d: DataFrame, contracts: DataFrame, key: str = "contract_number") -> DataFrame:
+    """Payments that name a contract number which the contracts do not have; payments without a number are none of them."""
+    paid = d.filter(F.col("decision_type").isin(*V.PAYMENT_TYPES) & (F.trim(F.col(key)) != ""))
+    return paid.join(contracts.select(key).distinct(), key, "left_anti")
+
+
+def registry_red_flags(awards: DataFrame, registry: DataFrame, activity_words: DataFrame | None = None, months: int = 6) -> DataFrame:
+    """Of each award to a supplier that the registry knows: registered after it, capital below it, not active, registered less than so many months before the first award, and no activity that its subject names.
+
+    registry: supplier_tax_id, registration_date, share_capital, is_active, primary_activity_code. activity_words: code, word; a code
+    without words flags nothing. Unknown values flag nothing.
+    """
+    a = awards.withColumn("first_award", F.min("issue_date").over(Window.partitionBy("supplier_tax_id")))
+    j = a.join(registry, "supplier_tax_id")
+    words = None if activity_words is None else activity_words.groupBy(F.col("code").alias("primary_activity_code")).agg(F.collect_set(canonical_text(F.col("word"))).alias("__words"))
+    j = j.withColumn("__words", F.lit(None).cast("array<string>")) if words is None else j.join(words, "primary_activity_code", "left")
+    subject = F.concat(F.lit(" "), canonical_text(F.col("subject")))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return j.withColumns({
+        "flag_registered_after": flag(F.col("registration_date") > F.col("issue_date")),
+        "flag_undercapitalised": flag(F.col("share_capital") < F.col("amount")),
+        "flag_inactive": flag(~F.col("is_active")),
+        "flag_new_company": flag((F.col("registration_date") <= F.col("first_award")) & (F.add_months("registration_date", months) > F.col("first_award"))),
+        "flag_other_activity": flag(~F.exists("__words", lambda w: F.contains(subject, F.concat(F.lit(" "), w)))),
+    }).drop("__words", "first_award")
+
+
 def signer_links(d: DataFrame, persons: DataFrame) -> DataFrame:
     """(ada, supplier_tax_id, person): decisions signed by someone named like a person (supplier_tax_id, person) of the supplier."""
     p = persons.select("supplier_tax_id", "person", canonical_text(F.col("person")).alias("__n")).filter("__n <> ''")

@@ -15,19 +15,20 @@ CAPPED, PAGE = 490, 500
 BANDS = ((0, "<1k"), (1_000, "1k-10k"), (10_000, "10k-20k"), (20_000, "20k-30k"), (30_000, "30k-140k"), (140_000, ">140k"))
 
 
-def monthly_summary(d: DataFrame, p: DataFrame) -> DataFrame:
-    """Eleven measures of each (year, month): decisions d (with detail_enriched) and the procurements p among them.
+def monthly_summary(d: DataFrame, procurement: Column) -> DataFrame:
+    """Eleven measures of each (year, month) of decisions d (with detail_enriched); ``procurement``: which of them count as procurement.
 
-    Missing counts are decisions less procurements that have the field.
+    Missing counts are decisions less procurements that have the field. One pass over d, aggregated before its only shuffle.
     """
-    dec = d.groupBy("year", "month").agg(F.count_distinct("ada").alias("distinct_adas"), F.count("*").alias("rows"), F.count_if("detail_enriched").alias("detail_enriched_decision_count"))
-    pro = p.groupBy("year", "month").agg(F.sum("amount").alias("amount_total"), F.count_distinct("supplier_key").alias("supplier_count"), F.count("amount").alias("amount_known_count"), F.count("supplier_key").alias("supplier_known_count"))
-    m = dec.join(pro, (dec["year"].eqNullSafe(pro["year"])) & (dec["month"].eqNullSafe(pro["month"])), "left").drop(pro["year"]).drop(pro["month"])
-    zero = lambda c: F.coalesce(c, F.lit(0))
+    d = d.withColumn("__p", F.coalesce(procurement, F.lit(False)))
+    bought = lambda c: F.when(F.col("__p"), F.col(c))
+    m = d.groupBy("year", "month").agg(
+        F.count_distinct("ada").alias("distinct_adas"), F.count("*").alias("rows"), F.count_if("detail_enriched").alias("detail_enriched_decision_count"), F.coalesce(F.sum(bought("amount")), F.lit(0.0)).alias("amount_total"),
+        F.count_distinct(bought("supplier_key")).alias("supplier_count"), F.count(bought("amount")).alias("amount_known_count"), F.count(bought("supplier_key")).alias("supplier_known_count"),
+    )
     return m.select(
-        "year", "month", F.when(F.col("distinct_adas") > 0, F.col("distinct_adas")).otherwise(F.col("rows")).alias("decision_count"), F.coalesce("amount_total", F.lit(0.0)).alias("amount_total"),
-        zero("supplier_count").alias("supplier_count"), zero("amount_known_count").alias("amount_known_count"), (F.col("rows") - zero("amount_known_count")).alias("amount_missing_count"),
-        zero("supplier_known_count").alias("supplier_known_count"), (F.col("rows") - zero("supplier_known_count")).alias("supplier_missing_count"),
+        "year", "month", F.when(F.col("distinct_adas") > 0, F.col("distinct_adas")).otherwise(F.col("rows")).alias("decision_count"), "amount_total", "supplier_count",
+        "amount_known_count", (F.col("rows") - F.col("amount_known_count")).alias("amount_missing_count"), "supplier_known_count", (F.col("rows") - F.col("supplier_known_count")).alias("supplier_missing_count"),
         "detail_enriched_decision_count", (F.col("rows") - F.col("detail_enriched_decision_count")).alias("search_only_decision_count"),
     )
 

@@ -61,7 +61,7 @@ def savings(spark, sf_dir):
 @query("agg12_executive", f"WITH RECURSIVE {CONTRACTS}, y AS (SELECT count(DISTINCT ada) AS n, min(year(issue_date)) AS a, max(year(issue_date)) AS z FROM o) SELECT n AS decisions, CAST(a AS INT) AS first_year, CAST(z AS INT) AS last_year, round((SELECT sum(amount) FROM o), 2) AS raw_spend, (SELECT count(*) FROM o) AS procurements, round(sum(amount), 2) AS clean_spend, count(*) AS contracts FROM c, y GROUP BY ALL")
 def executive(spark, sf_dir):
     m = members(spark, sf_dir)
-    months = summary.monthly_summary(*[m.withColumns({"year": F.year("issue_date"), "month": F.month("issue_date"), "detail_enriched": F.lit(False)})] * 2)
+    months = summary.monthly_summary(m.withColumns({"year": F.year("issue_date"), "month": F.month("issue_date"), "detail_enriched": F.lit(False)}), F.lit(True))
     return summary.executive(months, m, L.contracts(m)).withColumns({"raw_spend": F.round("raw_spend", 2), "clean_spend": F.round("clean_spend", 2)})
 
 

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import link_queries, signal_queries, table_queries, text_queries  # noqa: F401  they register themselves
+    from . import link_queries, record_queries, rule_queries, signal_queries, table_queries, text_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable]:

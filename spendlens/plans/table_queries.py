@@ -9,7 +9,7 @@ from ..functions.classify import is_procurement
 from ..operators import entities as E
 from ..operators import kpi, normalize, peers, rules
 from ..operators import summary as M
-from ..functions.classify import confidence, is_emergency, theme
+from ..functions.classify import confidence, is_emergency, richness, theme
 from .registry import query
 from .views import D, K, KP, O, P, decisions, orders
 
@@ -18,8 +18,12 @@ def keyed(spark, sf_dir):
     return E.keyed(decisions(spark, sf_dir))
 
 
+def procurement():
+    return is_procurement(F.col("decision_type"), F.col("subject"), F.col("amount"), F.col("supplier_key"))
+
+
 def procurements(k):
-    return k.filter(is_procurement(F.col("decision_type"), F.col("subject"), F.col("amount"), F.col("supplier_key")))
+    return k.filter(procurement())
 
 
 def r2(df, *cols, n=2):
@@ -33,12 +37,13 @@ def keep_first(spark, sf_dir):
     return d.select("ada", "issue_date", "amount", "subject", "supplier_name")
 
 
-@query("set2_keep_richest", f"""WITH {D}, n AS (SELECT *, (supplier_tax_id IS NOT NULL)::INT + (publish_ts IS NOT NULL)::INT AS score FROM d),
+@query("set2_keep_richest", f"""WITH {D}, n AS (SELECT *, ((supplier_tax_id IS NOT NULL)::INT + (publish_ts IS NOT NULL)::INT) * 10000 + len(string_split(subject, ' ')) * 10 + detail_enriched::INT AS score FROM d),
 r AS (SELECT ada, first_value(supplier_tax_id IGNORE NULLS) OVER w AS supplier_tax_id, first_value(amount) OVER w AS amount, first_value(subject) OVER w AS subject, row_number() OVER (PARTITION BY ada ORDER BY score DESC, issue_date, amount, subject, supplier_name) AS k, count(*) OVER (PARTITION BY ada) AS duplicates
   FROM n WINDOW w AS (PARTITION BY ada ORDER BY score DESC, issue_date, amount, subject, supplier_name ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT ada, supplier_tax_id, amount, subject, duplicates FROM r WHERE k = 1""")
 def keep_richest(spark, sf_dir):
-    score = F.col("supplier_tax_id").isNotNull().cast("int") + F.col("publish_ts").isNotNull().cast("int")
-    d = normalize.keep_richest(decisions(spark, sf_dir), score, ["issue_date", "amount", "subject", "supplier_name"])
+    d = decisions(spark, sf_dir).withColumn("words", F.split("subject", " "))
+    score = richness(["supplier_tax_id", "publish_ts", "amount", "subject"], ["words"], F.col("detail_enriched"))
+    d = normalize.keep_richest(d, score, ["issue_date", "amount", "subject", "supplier_name"])
     return d.select("ada", "supplier_tax_id", "amount", "subject", "duplicates")
 
 
@@ -78,8 +83,7 @@ m AS (SELECT m1.year, m1.month, decision_count, coalesce(amount_total, 0) AS amo
 
 
 def months(spark, sf_dir):
-    k = keyed(spark, sf_dir)
-    return M.monthly_summary(k, procurements(k))
+    return M.monthly_summary(keyed(spark, sf_dir), procurement())
 
 
 @query("agg2_monthly_summary", f"WITH {MONTHS} SELECT * REPLACE (round(amount_total, 2) AS amount_total) FROM m")
@@ -449,10 +453,9 @@ def below_threshold(spark, sf_dir):
     return r2(rules.below_threshold(decisions(spark, sf_dir), 30_000), "share", n=6)
 
 
-@query("doc_a4_repeated_subjects", f"WITH {D}, {P} SELECT supplier_tax_id, trim(regexp_replace(strip_accents(lower(subject)), '[^0-9a-zα-ω]+', ' ', 'g')) AS subject_key, count(*) AS awards, count(DISTINCT year) AS years, round(sum(amount), 2) AS total FROM p WHERE supplier_tax_id IS NOT NULL AND NOT contains(subject, 'ΕΠΙΤΡΟΠΗ') AND NOT contains(subject, 'ς') GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT year) >= 2")
+@query("doc_a4_repeated_subjects", f"WITH {D}, {P} SELECT supplier_tax_id, trim(regexp_replace(replace(strip_accents(lower(subject)), 'ς', 'ς'), '[^0-9a-zα-ω]+', ' ', 'g')) AS subject_key, count(*) AS awards, count(DISTINCT year) AS years, round(sum(amount), 2) AS total FROM p WHERE supplier_tax_id IS NOT NULL GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT year) >= 2")
 def repeated_subjects(spark, sf_dir):
-    d = decisions(spark, sf_dir).filter(~F.contains("subject", F.lit("ΕΠΙΤΡΟΠΗ")) & ~F.contains("subject", F.lit("ς")))  # where SQL engines lower-case alike
-    return r2(rules.repeated_subjects(d), "total")
+    return r2(rules.repeated_subjects(decisions(spark, sf_dir)), "total")
 
 
 @query("doc_a6_late_publications", f"WITH {DELAYS} SELECT org, count(*) AS decisions, count(*) FILTER (delay > 15) AS late, round(count(*) FILTER (delay > 15) * 100 / count(*), 6) AS pct FROM y WHERE delay IS NOT NULL GROUP BY org")
@@ -466,11 +469,10 @@ def per_capita(spark, sf_dir):
     return r2(r2(rules.per_capita(decisions(spark, sf_dir), n), "spend"), "per_capita", n=6)
 
 
-@query("doc_a5_theme_matrix", f"""WITH {D}, t AS (SELECT org, CASE WHEN contains(subject, 'έργου') THEN 'construction / maintenance' WHEN contains(subject, 'μελέτης') THEN 'digital / IT / software' ELSE 'other' END AS theme FROM d WHERE NOT contains(subject, 'καθαρισμού'))
+@query("doc_a5_theme_matrix", f"""WITH {D}, t AS (SELECT org, CASE WHEN contains(subject, 'μελέτης') THEN 'digital / IT / software' WHEN contains(subject, 'έργου') THEN 'construction / maintenance' ELSE 'other' END AS theme FROM d)
 SELECT org, count(*) FILTER (theme = 'construction / maintenance') AS construction, count(*) FILTER (theme = 'digital / IT / software') AS digital, count(*) FILTER (theme = 'other') AS other FROM t GROUP BY org""")
 def theme_matrix(spark, sf_dir):
-    d = decisions(spark, sf_dir).filter(~F.contains("subject", F.lit("καθαρισμού")))
-    m = rules.theme_matrix(d, theme(F.col("subject")))
+    m = rules.theme_matrix(decisions(spark, sf_dir), theme(F.col("subject")))
     return m.select("org", F.col("`construction / maintenance`").alias("construction"), F.col("`digital / IT / software`").alias("digital"), "other")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.ids import detail_url
 from ..functions.json_fields import as_list, as_map
@@ -52,8 +53,6 @@ def read_details(spark: SparkSession, root: str) -> DataFrame:
 def first_months(df: DataFrame, n: int) -> DataFrame:
     """The rows of the first n months of each organisation."""
     months = df.select("org", "year", "month").distinct()
-    from pyspark.sql.window import Window
-
     kept = months.withColumn("__n", F.row_number().over(Window.partitionBy("org").orderBy("year", "month"))).filter(F.col("__n") <= n).drop("__n")
     return df.join(kept, ["org", "year", "month"], "left_semi")
 
@@ -113,6 +112,40 @@ def write_by_org(df: DataFrame, path: str, kind: str = "parquet") -> None:
     flat.write.option("partitionOverwriteMode", "dynamic").partitionBy("org").mode("overwrite").format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(path)
 
 
+#: The columns of published tables, in order.
+TABLE_COLUMNS = {
+    "supplier_clusters": ("cluster_id", "canonical_name", "supplier_tax_id", "member_keys", "decision_count", "total_amount", "first_seen", "last_seen"),
+    "contracts": ("contract_id", "amount", "issue_date", "ada", "decision_type", "subject", "supplier_key", "supplier_tax_id", "supplier_name_raw", "stage_count", "stages_seen", "all_adas"),
+    "lifecycle": ("ada", "contract_id", "decision_type", "amount", "issue_date"),
+}
+
+
+def write_columns(df: DataFrame, path: str, table: str, kind: str = "csv") -> None:
+    """A published table with its columns in their fixed order; those that are not there are null, arrays are joined by bars."""
+    kinds = dict(df.dtypes)
+    column = lambda c: F.lit(None).cast("string").alias(c) if c not in kinds else F.array_join(c, "|").alias(c) if kinds[c].startswith("array<string") else F.col(c)
+    df.select(*[column(c) for c in TABLE_COLUMNS[table]]).write.mode("overwrite").format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(path)
+
+
+def monthly_artefacts(d: DataFrame, labels: DataFrame, top: int = 10) -> dict[str, DataFrame]:
+    """Of each (org, year, month): raw_month, its decisions; outliers, those with the longest delays, each decision once; unmapped_codes, type codes without a label among its five most frequent ones.
+
+    d: org, year, month, ada, decision_type_raw, delay_days ...; labels: code, label.
+    """
+    month = ["org", "year", "month"]
+    once = d.withColumn("__n", F.row_number().over(Window.partitionBy(*month, "ada").orderBy(F.desc_nulls_last("delay_days")))).filter("__n = 1")
+    late = once.withColumn("__n", F.row_number().over(Window.partitionBy(*month).orderBy(F.desc_nulls_last("delay_days"), "ada"))).filter(F.col("__n") <= top).drop("__n")
+    codes = d.filter("decision_type_raw is not null").groupBy(*month, F.col("decision_type_raw").alias("code")).agg(F.count("*").alias("mentions"))
+    codes = codes.withColumn("__n", F.row_number().over(Window.partitionBy(*month).orderBy(F.desc("mentions"), "code"))).filter("__n <= 5").drop("__n")
+    return {"raw_month": d, "outliers": late, "unmapped_codes": codes.join(labels.filter("label <> ''").select("code"), "code", "left_anti")}
+
+
+def write_monthly_artefacts(d: DataFrame, labels: DataFrame, path: str, top: int = 10, by: tuple[str, ...] = ("org", "year", "month")) -> None:
+    """The artefacts as tables below ``path``, each partitioned by organisation and month (or ``by``); those that are not in ``d`` keep theirs."""
+    for name, df in monthly_artefacts(d, labels, top).items():
+        df.repartition(*by).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
+
+
 def write_split(df: DataFrame, good: F.Column | str, path: str, quarantine: str) -> None:
     """Rows that meet a condition to one place, the others to another."""
     condition = F.expr(good) if isinstance(good, str) else good

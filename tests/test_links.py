@@ -1,7 +1,14 @@
-"""Tolerance pairs against brute force."""
+"""Links against brute force."""
 
 import datetime
+import random
+from collections import Counter
+from difflib import SequenceMatcher
+from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from spendlens.functions import classify, text
 from spendlens.operators import linking
 
 
@@ -20,3 +27,64 @@ def test_all_pairs_of_repeated_rows(spark):
                     want += [(a[0], b[0])] * (supplier and dates)
         got = linking.all_tolerance_pairs(df, strict_supplier=strict).collect()
         assert sorted((x.src, x.dst) for x in got) == want
+
+
+def fixture_of_decisions(seed):
+    r = random.Random(seed)
+    words = "προμήθεια υλικών ανάθεση υπηρεσίας καθαρισμού σύμβαση τιμολόγιο ένταλμα πληρωμή έργο οδοποιίας δήμος μελέτη".split()
+    types = [("Δ.1", "Procurement assignment"), ("Δ.2.2", "Contract award"), ("Β.1.3", "Payment warrant"), ("Β.2.1", "Expenditure approval"), ("Γ.2", "Other")]
+    rows = []
+    for i in range(140):
+        raw, label = r.choice(types)
+        title = " ".join(r.choice(words) for _ in range(r.randint(0, 6)))
+        if rows and r.random() < 0.5:
+            title = r.choice(rows)[4] + r.choice(["", " α", " νέα"])
+        rows.append((i, f"A-{i}", r.choice([100.0, 250.5, 999.99, None]), datetime.date(2020, r.randint(1, 2), r.randint(1, 28)) if r.random() < 0.95 else None, title, raw, label, r.choice(["tax:1", "tax:2", None])))
+    return rows
+
+
+def test_duplicates_groups_and_events_against_plain_python(spark):
+    """Pairs, groups, their summary and the largest purchases of a fixture, by comparing all decisions with all."""
+    rows = fixture_of_decisions(3)
+    d = spark.createDataFrame(rows, "id long, ada string, amount double, issue_date date, title string, decision_type_raw string, decision_type string, supplier_key string")
+    role = classify.lifecycle_role(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"))
+    bought = classify.is_lifecycle_decision(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"), F.col("supplier_key"))
+    seen = {x.id: x for x in d.select("*", role.alias("role"), bought.alias("bought"), text.canonical_text(F.col("title")).alias("canon"), text.text_tokens(F.col("title")).alias("tokens")).collect()}
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    cents = lambda x: None if x.amount is None else round(x.amount * 100)
+    twice, linked = set(), set()
+    for i, j in combinations(sorted(seen), 2):
+        a, b = seen[i], seen[j]
+        if a.issue_date is None or b.issue_date is None:
+            continue
+        alike = ratio(a.canon, b.canon)
+        if a.issue_date == b.issue_date and cents(a) is not None and cents(a) == cents(b) and alike >= linking.DUPLICATE_SIMILARITY:
+            twice.add((i, j))
+        if a.bought and b.bought and a.supplier_key == b.supplier_key and a.issue_date.month == b.issue_date.month:
+            same, other = cents(a) is not None and cents(a) == cents(b), a.role is not None and b.role is not None and a.role != b.role
+            days = abs((a.issue_date - b.issue_date).days)
+            shared, union = len(set(a.tokens) & set(b.tokens)), len(set(a.tokens) | set(b.tokens))
+            overlap = shared / union if a.tokens and b.tokens else 0.0
+            if same and days <= 90 and (other or overlap >= 0.18 or alike >= 0.35) or a.supplier_key and other and days <= 45 and (overlap >= 0.12 or alike >= 0.25):
+                linked.add((i, j))
+    assert {(x.src, x.dst) for x in linking.duplicate_pairs(d).collect()} == twice and twice
+    assert {(x.src, x.dst) for x in linking.lifecycle_pairs(d).collect()} == linked and linked
+    group = {i: i for i in seen}
+    for i, j in sorted(twice | linked) * 140:
+        group[i] = group[j] = min(group[i], group[j])
+    g = linking.grouped(d)
+    got = g.collect()
+    assert {x.id: x.group for x in got} == group
+    size = Counter(group.values())
+    buying = {group[i] for i in seen if seen[i].bought}
+    summary = linking.group_summary(g).first()
+    assert (summary.groups, summary.lifecycle_groups, summary.grouped_decisions) == (len(size), sum(size[k] > 1 for k in buying), sum(n for n in size.values() if n > 1))
+    assert summary.procurement_events == len({x.canonical_id for x in got if x.group in buying})
+    events = {}
+    for x in got:
+        if x.group in buying and x.amount is not None and "ματαίωση" not in x.title:
+            events.setdefault(x.canonical_id, []).append(x)
+    best = {k: min(v, key=lambda x: (-x.amount, not x.is_canonical, str(x.issue_date or ""), x.ada)) for k, v in events.items()}
+    top = linking.top_events(g.withColumns({"tags": F.array().cast("array<string>"), "is_revocation": F.lit(False)}), 10).collect()
+    assert sorted((x.amount for x in best.values()), reverse=True)[:10] == [x.amount for x in top]
+    assert all((x.ada, x.decisions, x.related_adas) == (best[x.canonical_id].ada, len(events[x.canonical_id]), sorted(y.ada for y in events[x.canonical_id])) for x in top)
