@@ -16,6 +16,7 @@ from ..functions.ids import contract_id, hashed_id
 from ..functions.numbers import amount_bucket, cents
 from ..functions.text import canonical_text, compact_text, text_tokens, token_overlap
 from .components import connected_components
+from .durable import cut
 
 TOLERANCE, WINDOW_DAYS = 0.02, 180
 DUPLICATE_SIMILARITY = 0.82
@@ -32,22 +33,29 @@ def tolerance_pairs(rows: DataFrame, tolerance: float = TOLERANCE, days: int = W
     width = -math.log(1 - tolerance) * 1.000001
     # Rows alike in all that decides: a chain from each to the first stands for all their pairs.
     same = rows.filter("amount > 0").groupBy("amount", "issue_date", "supplier_tax_id").agg(F.min("id").alias("first"))
-    node = same.withColumns({"k": F.floor(F.log("amount") / width), "w": F.floor(F.unix_date("issue_date") / days)})
+    node = cut(same.withColumns({"k": F.floor(F.log("amount") / width), "w": F.floor(F.unix_date("issue_date") / days)}))
     left = node.select(*[F.col(c).alias(f"l_{c}") for c in node.columns])
     right = node.select(*[F.col(c).alias(f"r_{c}") for c in node.columns]).withColumn("l_k", F.explode(F.array(F.col("r_k"), F.col("r_k") + 1)))
     near = F.abs(F.col("l_amount") - F.col("r_amount")) / F.greatest("l_amount", "r_amount") <= tolerance
-    known = F.col("l_supplier_tax_id") == F.col("r_supplier_tax_id")
-    supplier = known if strict_supplier else F.coalesce(known, F.lit(True))
     # A pair whose left bucket is the lower one is seen once; of equal buckets the smaller id is left.
     once = (F.col("l_k") > F.col("r_k")) | (F.col("l_first") < F.col("r_first"))
-    match = near & supplier & once & within_days(F.col("l_issue_date"), F.col("r_issue_date"), days)
-    dated = right.filter("r_w is not null").withColumn("l_w", F.explode(F.array(*[F.col("r_w") + i for i in (-1, 0, 1)])))
-    both = left.filter("l_w is not null").join(dated, ["l_k", "l_w"]).filter(match)
-    # Rows without a date match in any period.
-    undated = left.filter("l_w is null").join(right, "l_k").filter(match)
-    half = left.filter("l_w is not null").join(right.filter("r_w is null"), "l_k").filter(match)
-    pairs = both.select("l_first", "r_first").unionByName(undated.select("l_first", "r_first")).unionByName(half.select("l_first", "r_first"))
-    return pairs.select(F.col("l_first").alias("src"), F.col("r_first").alias("dst"))
+    match = near & once & within_days(F.col("l_issue_date"), F.col("r_issue_date"), days)
+    # What both know is part of the join's key; rows that lack it meet by the amount alone.
+    ways = (("not null", "not null"), ("null", None), ("not null", "null"))
+    pairs = None
+    for l_tax, r_tax in ways[:1] if strict_supplier else ways:
+        for l_day, r_day in ways:
+            a, b, key = left, right, ["l_k"]
+            for column, l_is, r_is in (("supplier_tax_id", l_tax, r_tax), ("w", l_day, r_day)):
+                a = a.filter(f"l_{column} is {l_is}")
+                b = b if r_is is None else b.filter(f"r_{column} is {r_is}")
+                if l_is == r_is:
+                    key = [*key, f"l_{column}"]
+                    meets = F.explode(F.array(*[F.col("r_w") + i for i in (-1, 0, 1)])) if column == "w" else F.col(f"r_{column}")
+                    b = b.withColumn(f"l_{column}", meets)
+            found = a.join(b, key).filter(match).select(F.col("l_first").alias("src"), F.col("r_first").alias("dst"))
+            pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs
 
 
 def same_rows(rows: DataFrame) -> DataFrame:

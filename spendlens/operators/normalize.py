@@ -60,8 +60,8 @@ def keep_richest(d: DataFrame, score: Column, order: list[Column | str], key: st
 
 
 def merge_windows(existing: DataFrame, fetched: DataFrame, key: str = "ada") -> DataFrame:
-    """Existing rows, and the fetched ones whose key they lack, each once."""
-    new = fetched.dropDuplicates([key]).join(existing.select(key).distinct(), key, "left_anti")
+    """Existing rows, and the fetched ones whose key they lack, each once: of several the least in all columns."""
+    new = keep_first(fetched, sorted(fetched.columns), key).join(existing.select(key).distinct(), key, "left_anti")
     return existing.unionByName(new.select(existing.columns))
 
 
@@ -78,9 +78,9 @@ def assert_unique(d: DataFrame, key: str = "ada") -> DataFrame:
 
 
 def typed_patches(details: DataFrame) -> DataFrame:
-    """(ada, amount, supplier_name, supplier_tax_id) of details by their decision type, one for each decision."""
-    rows = details.select("ada", *[c.alias(n) for n, c in J.typed_fields(F.col("detail")).items()])
-    return rows.groupBy("ada").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("amount", "supplier_name", "supplier_tax_id")])
+    """(ada, amount, supplier_name, supplier_tax_id) of details by their decision type, one for each decision: of several details the least one that has the field."""
+    rows = details.select("ada", "detail", *[c.alias(n) for n, c in J.typed_fields(F.col("detail")).items()])
+    return rows.groupBy("ada").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("detail"))).alias(c) for c in ("amount", "supplier_name", "supplier_tax_id")])
 
 
 def patch(d: DataFrame, patches: DataFrame) -> DataFrame:
