@@ -19,9 +19,10 @@ that is missed is under one in a hundred at 0.8 and falls quickly above
 
 Only components are asked for, so a list full of near copies does not make all
 its pairs: each member goes to the first, in one order of all nodes, that may be
-near it, the same one in most lists. Lists with more pairs come again with another
-order, and at last with all their pairs, but only pairs of different components
-count then, and these are few.
+near it, the same one in most lists, and where lists are long one list in
+``TURNS`` is enough for that. Lists with more pairs come again with another order,
+and at last with all their pairs, but only pairs of different components count
+then, and these are few.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ BYTE_MATCH, MISSED, BY_CHANCE = 0.2687, 0.008, 1_000
 FEW_SHINGLES = 32
 #: Lists up to SHORT_LIST are compared with array operations over many lists.
 SHORT_LIST = 16
-#: Orders in which lists give one pair a member, before those that are left give all.
-ROUNDS = 3
+#: Orders in which lists give one pair a member, before those that are left give all; longer lists do so under every TURNS-th tuple.
+ROUNDS, TURNS = 2, 8
 #: Members of a long list that are compared with all others at once.
 ROWS = 64
 
@@ -214,8 +215,8 @@ def _star(x: _Lists, rank: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.n
     return np.concatenate(ones), np.concatenate(others)
 
 
-def _meet(posts: DataFrame, salt: int, whole: bool) -> DataFrame:
-    """(a, b, more) pairs to test; rows (key, key, true) name the lists that may have more pairs. whole: all pairs, else one a member."""
+def _meet(posts: DataFrame, salt: int, whole: bool, size: int) -> DataFrame:
+    """(a, b, more) pairs to test; rows (key, key, true) name the lists that may have more pairs. whole: all pairs, else one a member; size: bytes of a tuple."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
@@ -227,7 +228,7 @@ def _meet(posts: DataFrame, salt: int, whole: bool) -> DataFrame:
             bounds = np.flatnonzero(np.r_[True, x.key[1:] != x.key[:-1], True])
             sizes = np.diff(bounds)
             one, other = _short_pairs(x, np.repeat(sizes <= SHORT_LIST, sizes))
-            many = np.empty(0, np.int64)
+            many = np.empty(0, np.int64)  # lists that may have more pairs
             if not whole and len(one):
                 # Of each member's pairs with earlier ones that with the earliest; lists that lose pairs by that come again.
                 early, late = np.where(rank[one] < rank[other], one, other), np.where(rank[one] < rank[other], other, one)
@@ -245,10 +246,12 @@ def _meet(posts: DataFrame, salt: int, whole: bool) -> DataFrame:
                         i, k = np.nonzero(x.may(one[:, None], other[None, :]) & (one[:, None] < other[None, :]))
                         if len(i):
                             yield out(x.node[one[i]], x.node[other[k]], many[:0])
-                else:
+                elif int(x.key[a] >> 8 * size) % TURNS == salt % TURNS:
                     one, other = _star(x, rank, a, b)
                     if len(one):
                         yield out(x.node[one], x.node[other], x.key[a : a + (len(one) > 1)])
+                else:
+                    yield out(one[:0], one[:0], x.key[a : a + 1])
 
     dealt = posts.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(meet, "a long, b long, more boolean")
@@ -306,19 +309,22 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst) of similar nodes, that join every similar pair that meets in the index."""
-    posts = _posts(nodes, nodes.count())
+    texts = nodes.count()
+    k, posts = tuple_bytes(texts), _posts(nodes, texts)
     left, found = posts.withColumn("comp", F.col("node")), None
     for salt in range(ROUNDS + 1):
-        met = cut(_meet(left, salt, salt == ROUNDS))
+        met = cut(_meet(left, salt, salt == ROUNDS, k))
         links = _verified(docs, nodes, cut(met.filter("not more").select("a", "b").distinct()))
         found = links if found is None else found.unionByName(links)
-        more = met.filter("more").select(F.col("a").alias("key")).distinct()
-        if salt == ROUNDS or more.isEmpty():
+        more = cut(met.filter("more").select(F.col("a").alias("key"), F.xxhash64("a").alias("hash")).distinct())
+        n = more.count()
+        if salt == ROUNDS or not n:
             return found
-        # Of the lists with more pairs those that still have members of different components.
+        # Of the lists with more pairs those that still have members of different components; only rows that may be in one shuffle.
         label = connected_components(found).withColumnRenamed("node", "of")
-        labelled = posts.join(more, "key", "left_semi").join(label, F.col("node") == F.col("of"), "left").withColumn("comp", F.coalesce("component", "node")).drop("of", "component")
-        left = cut(labelled)
+        some = KeyFilter(more, "hash", n).flag(posts.withColumn("hash", F.xxhash64("key")), "hash", "__may").filter("__may").select("key", "node", "n", "p", "q")
+        some = some.join(more.select("key"), "key", "left_semi").join(label, F.col("node") == F.col("of"), "left")
+        left = cut(some.withColumn("comp", F.coalesce("component", "node")).drop("of", "component"))
         several = left.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
         left = left.join(several, "key", "left_semi")
 
