@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where that is unset (as in tests)."""
+    """The folder in spark.checkpoint.dir; one of our own where that is unset and all runs on one machine, as in tests. On a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")).rstrip("/")
 
 

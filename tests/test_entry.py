@@ -46,7 +46,7 @@ def duck():
     return con
 
 
-FAST = [n for n in registry.oracle_sql() if n.split("_")[0] in {"sig", "set2", "set3", "agg2", "agg3", "agg7", "agg26", "join4", "prj1", "jsn3", "num1", "dat2", "idn1", "jsn8", "src1", "cls12"}]
+FAST = [n for n in registry.oracle_sql() if n.split("_")[0] in {"sig", "set2", "set3", "agg2", "agg3", "agg7", "agg26", "join4", "prj1", "prj2", "jsn3", "cls10", "ord8", "doc", "num1", "dat2", "idn1", "jsn8", "src1", "cls12"}]
 
 
 @pytest.mark.parametrize("name", FAST)
