@@ -53,7 +53,7 @@ BYTE_MATCH, MISSED, BY_CHANCE = 0.2687, 0.008, 1_000
 FEW_SHINGLES = 32
 #: Lists up to SHORT_LIST are compared with array operations over many lists.
 SHORT_LIST = 16
-#: Orders in which lists give one pair a member, before those that are left give all; longer lists do so under every TURNS-th tuple.
+#: Orders in which lists give one pair a member, before those that are left give all; at first longer lists do so under every TURNS-th tuple.
 ROUNDS, TURNS = 2, 8
 #: Members of a long list that are compared with all others at once.
 ROWS = 64
@@ -128,13 +128,13 @@ def _prints(column: pa.Array) -> np.ndarray:
 
 
 def _posts(nodes: DataFrame, texts: int) -> DataFrame:
-    """(key, node, n, p, q): every node under its tuples of positional bytes; p and q: the first 128 bits of its fingerprint."""
+    """(key, node, n, p, q, comp): every node (node, n, print, comp) under its tuples of positional bytes; p and q: the first 128 bits of its fingerprint."""
     k = tuple_bytes(texts)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = positions(k)
         for b in batches:
-            node, n, found = b.column(0).to_numpy(), b.column(1).to_numpy(), _prints(b.column(2))
+            node, n, found, comp = b.column(0).to_numpy(), b.column(1).to_numpy(), _prints(b.column(2)), b.column(3).to_numpy()
             head = np.ascontiguousarray(found[:, :16]).view(np.int64)
             for rows, tuples in ((np.arange(len(n)), slice(0, len(at) // 2)), (np.flatnonzero(n < FEW_SHINGLES), slice(len(at) // 2, None))):
                 if not len(rows):
@@ -143,9 +143,9 @@ def _posts(nodes: DataFrame, texts: int) -> DataFrame:
                 for c in range(k):
                     key = key << 8 | found[rows][:, at[tuples, c]]
                 again = np.repeat(rows, key.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(node[again]), pa.array(n[again]), pa.array(head[again, 0]), pa.array(head[again, 1])], ["key", "node", "n", "p", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(node[again]), pa.array(n[again]), pa.array(head[again, 0]), pa.array(head[again, 1]), pa.array(comp[again])], ["key", "node", "n", "p", "q", "comp"])
 
-    return small_batches(nodes.select("node", "n", "print")).mapInArrow(post, "key long, node long, n long, p long, q long")
+    return small_batches(nodes.select("node", "n", "print", "comp")).mapInArrow(post, "key long, node long, n long, p long, q long, comp long")
 
 
 class _Lists:
@@ -215,6 +215,22 @@ def _star(x: _Lists, rank: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.n
     return np.concatenate(ones), np.concatenate(others)
 
 
+def _outsiders(x: _Lists, rank: np.ndarray, a: int, b: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows of one long list a..b whose members mostly are of one component: the others with the first (or, if ``whole``, with all) that may be near them, and whether there are more."""
+    values, of, sizes = np.unique(x.comp[a:b], return_inverse=True, return_counts=True)
+    rows, outside = np.arange(a, b), a + np.flatnonzero(of != np.argmax(sizes))
+    for at in range(0, len(outside) if len(values) > 1 else 0, ROWS):
+        one = outside[at : at + ROWS]
+        near = x.may(one[:, None], rows[None, :])
+        if whole:
+            i, j = np.nonzero(near)
+            yield one[i], rows[j], False
+        else:
+            first = np.where(near, rank[rows][None, :], np.iinfo(np.uint64).max).argmin(axis=1)
+            hit = near.any(axis=1)
+            yield one[hit], rows[first[hit]], bool((near.sum(axis=1) > 1).any())
+
+
 def _meet(posts: DataFrame, salt: int, whole: bool, size: int) -> DataFrame:
     """(a, b, more) pairs to test; rows (key, key, true) name the lists that may have more pairs. whole: all pairs, else one a member; size: bytes of a tuple."""
 
@@ -240,13 +256,10 @@ def _meet(posts: DataFrame, salt: int, whole: bool, size: int) -> DataFrame:
             yield out(x.node[one], x.node[other], many)
             for i in np.flatnonzero(sizes > SHORT_LIST).tolist():
                 a, b = int(bounds[i]), int(bounds[i + 1])
-                if whole:
-                    for at in range(a, b, ROWS):
-                        one, other = np.arange(at, min(b, at + ROWS)), np.arange(at + 1, b)
-                        i, k = np.nonzero(x.may(one[:, None], other[None, :]) & (one[:, None] < other[None, :]))
-                        if len(i):
-                            yield out(x.node[one[i]], x.node[other[k]], many[:0])
-                elif int(x.key[a] >> 8 * size) % TURNS == salt % TURNS:
+                if whole or salt:
+                    for one, other, several in _outsiders(x, rank, a, b, whole):
+                        yield out(x.node[one], x.node[other], x.key[a : a + several])
+                elif int(x.key[a] >> 8 * size) % TURNS == 0:
                     one, other = _star(x, rank, a, b)
                     if len(one):
                         yield out(x.node[one], x.node[other], x.key[a : a + (len(one) > 1)])
@@ -310,23 +323,20 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst) of similar nodes, that join every similar pair that meets in the index."""
     texts = nodes.count()
-    k, posts = tuple_bytes(texts), _posts(nodes, texts)
-    left, found = posts.withColumn("comp", F.col("node")), None
+    own = F.col("node").alias("comp")
+    posts, found = _posts(nodes.select("node", "n", "print", own), texts), None
     for salt in range(ROUNDS + 1):
-        met = cut(_meet(left, salt, salt == ROUNDS, k))
+        met = cut(_meet(posts, salt, salt == ROUNDS, tuple_bytes(texts)))
         links = _verified(docs, nodes, cut(met.filter("not more").select("a", "b").distinct()))
         found = links if found is None else found.unionByName(links)
-        more = cut(met.filter("more").select(F.col("a").alias("key"), F.xxhash64("a").alias("hash")).distinct())
+        more = cut(met.filter("more").select(F.xxhash64("a").alias("hash")).distinct())
         n = more.count()
         if salt == ROUNDS or not n:
             return found
-        # Of the lists with more pairs those that still have members of different components; only rows that may be in one shuffle.
+        # Every node comes again with its component, but only posts that may be in a list with more pairs are shuffled.
         label = connected_components(found).withColumnRenamed("node", "of")
-        some = KeyFilter(more, "hash", n).flag(posts.withColumn("hash", F.xxhash64("key")), "hash", "__may").filter("__may").select("key", "node", "n", "p", "q")
-        some = some.join(more.select("key"), "key", "left_semi").join(label, F.col("node") == F.col("of"), "left")
-        left = cut(some.withColumn("comp", F.coalesce("component", "node")).drop("of", "component"))
-        several = left.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
-        left = left.join(several, "key", "left_semi")
+        labelled = nodes.join(label, F.col("node") == F.col("of"), "left").select("node", "n", "print", F.coalesce("component", "node").alias("comp"))
+        posts = KeyFilter(more, "hash", n).flag(_posts(labelled, texts).withColumn("hash", F.xxhash64("key")), "hash", "__may").filter("__may").select("key", "node", "n", "p", "q", "comp")
 
 
 def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
