@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, language_id, mixing, secrets_scan, simhash, suffix_dedup, token_files, url_filter
+from . import alignment, ann, bpe, exact_dedup, language_id, mixing, ngrams, secrets_scan, simhash, spellings, suffix_dedup, token_files, url_filter
 from .common import table
 
 
@@ -51,8 +51,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_ann, op3_language_id, op4_exact_dedup, op5_token_files, op6_secrets, op7_suffix_dedup, op8_bpe, op9_mixing, op10_url_filter)}
+    made = (
+        op1_simhash, op2_ann, op3_language_id, op4_exact_dedup, op5_token_files, op6_secrets, op7_suffix_dedup, op8_bpe, op9_mixing, op10_url_filter,
+        op11_spellings, op12_ngram_scores, op13_token_alignment,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
