@@ -11,9 +11,10 @@ over the shards into a vocabulary, range-partitioned by hash and written as such
 files too.
 
 Scoring reads no model through the driver. A block looks its distinct words up in
-the vocabulary, whose files it maps into memory, sends its pairs to the shards
-that have them, with the words' own probabilities, and the shard maps its file,
-looks all pairs up by binary search and returns a sum for each document.
+the vocabulary, whose files it maps into memory, and sends its pairs to the
+shards that have them, words as their places in the vocabulary. The shard maps
+its file and the vocabulary, looks all pairs up by binary search and returns a
+sum for each document.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import cut, shared_dir, small_batches
+from .common import cut, shared_dir, small_batches, stored
 
 #: Tokens that a shard and a block shall hold, shards at most, and the least share of a block with which a word may be a hot one.
 SHARD_TOKENS, BLOCK_TOKENS, MAX_SHARDS, LEAST_SHARE = 4_000_000, 4_000_000, 1 << 16, 1 / (1 << 14)
@@ -51,8 +52,8 @@ def _constant(mark: bytes) -> np.int64:
     return pretokens.span_hashes(data, np.array([0]), np.array([1])).view(np.int64)[0]
 
 
-#: The end of a document and what stands before its first word: hashes of white space, which is no word.
-END, START = _constant(b"\n"), _constant(b"\t")
+#: The end of a document, what stands before its first word, and words that the training rows do not have: hashes of white space, which is no word.
+END, START, NO_WORD = _constant(b"\n"), _constant(b"\t"), _constant(b" ")
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +162,7 @@ class Model:
     shards: int
     hot: np.ndarray  # sorted words that are dealt out by the pair
     hot_sums: np.ndarray  # of each: total, and how many pairs have the counts 1, 2, 3 and more
-    vocabulary: tuple[tuple[int, str], ...]  # (first word, file), ascending
+    vocabulary: tuple[tuple[int, int, str], ...]  # (first word, its place, file), ascending
     tokens: int
     words: int
     pairs: int
@@ -172,18 +173,28 @@ class Model:
     def shard(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
         return _shard(before, words, self.hot, self.shards)
 
-    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, probability as the least order has it) of words, ascending."""
-        count, behind = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        edges = [*(first for first, _ in self.vocabulary), None]
-        for (first, name), last in zip(self.vocabulary, edges[1:], strict=True):
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """The place of each of some ascending words in the vocabulary; ``self.words`` where it is not there."""
+        found, edges = np.full(len(words), self.words, np.int64), [*(v[0] for v in self.vocabulary), None]
+        for (first, place, name), last in zip(self.vocabulary, edges[1:], strict=True):
             a, z = np.searchsorted(words, first), len(words) if last is None else np.searchsorted(words, last)
             if a < z:
-                arrays = _vocabulary(self.folder, name)
-                at, there = found_in(arrays["words"], words[a:z])
-                count[a:z], behind[a:z] = np.where(there, arrays["counts"][at], 0), np.where(there, arrays["behind"][at], 0)
-        own = np.maximum(behind - np.array([0.0, *self.low])[np.minimum(behind, 3)], 0) / max(1, self.pairs)
-        return count, own + self.low_left / (self.words + 1)
+                at, there = found_in(_vocabulary(self.folder, name)["words"], words[a:z])
+                found[a:z] = np.where(there, place + at, self.words)
+        return found
+
+    def at(self, places: np.ndarray, field: str) -> np.ndarray:
+        """A field (words, counts or behind) at ascending places; 0 where there is no word."""
+        found, ends = np.zeros(len(places), np.int64), [*(v[1] for v in self.vocabulary[1:]), self.words]
+        for (_, place, name), end in zip(self.vocabulary, ends, strict=False):
+            a, z = np.searchsorted(places, (place, end))
+            if a < z:
+                found[a:z] = _vocabulary(self.folder, name)[field][places[a:z] - place]
+        return found
+
+    def own(self, behind: np.ndarray) -> np.ndarray:
+        """The probability, as the least order has it, of words that stand behind so many different ones."""
+        return np.maximum(behind - np.array([0.0, *self.low])[np.minimum(behind, 3)], 0) / max(1, self.pairs) + self.low_left / (self.words + 1)
 
 
 @functools.lru_cache(maxsize=4096)
@@ -285,7 +296,7 @@ def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", out: Colu
             yield from _counted(folder, now, held, hot)
 
     dealt = rows.mapInArrow(pairs, "shard long, pairs binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    parts = cut(dealt.mapInArrow(count, PARTS))
+    parts = stored(dealt.mapInArrow(count, PARTS), "ngram-sums")
     sums = [F.sum(c).alias(c) for c in "abcd"]
     high = parts.filter("kind = 0").agg(*sums).first()
     hot_sums = {r.word: r[1:] for r in parts.filter("kind = 1").groupBy("word").agg(*sums).collect()}  # hot words only
@@ -296,7 +307,7 @@ def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", out: Colu
         if columns and len(columns[0]):
             word, n, behind = columns
             name = f"words-{TaskContext.get().partitionId():06d}"
-            write_arrays(folder, name, {"words": word, "counts": n, "behind": behind})
+            write_arrays(folder, name, {"words": word, "counts": _narrow(n), "behind": _narrow(behind)})
             times = [int((behind == i).sum()) for i in (1, 2, 3, 4)]
             yield pa.RecordBatch.from_pylist([dict(zip(("first", "name", "tokens", "words", "pairs", "n1", "n2", "n3", "n4"), (int(word[0]), name, int(n.sum()), len(word), int(behind.sum()), *times), strict=True))])
 
@@ -305,7 +316,11 @@ def build(docs: DataFrame, text: str = "text", id_col: str = "doc_id", out: Colu
     tokens, distinct, types, *times = (sum(f[i] for f in files) for i in range(2, 9))
     low = discounts(tuple(times))
     left = (low[0] * times[0] + low[1] * times[1] + low[2] * (distinct - times[0] - times[1])) / types if types else 1.0
-    return Model(folder, shards, hot, np.array([hot_sums.get(w, (0,) * 4) for w in hot.tolist()], np.int64).reshape(-1, 4), tuple((f[0], f[1]) for f in files), tokens, distinct, types, low, discounts(tuple(high[c] or 0 for c in "abcd")), left)
+    return Model(folder, shards, hot, np.array([hot_sums.get(w, (0,) * 4) for w in hot.tolist()], np.int64).reshape(-1, 4), tuple((f[0], at, f[1]) for f, at in zip(files, np.cumsum([0, *(f[3] for f in files)]).tolist(), strict=False)), tokens, distinct, types, low, discounts(tuple(high[c] or 0 for c in "abcd")), left)
+
+
+def _narrow(n: np.ndarray) -> np.ndarray:
+    return n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
 
 
 def _counted(folder: str, shard: int, packed: list[bytes], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -325,7 +340,8 @@ def _counted(folder: str, shard: int, packed: list[bytes], hot: np.ndarray) -> I
     large = np.flatnonzero(n >= 255)
     known, of = np.unique(before, return_inverse=True)
     sums = np.stack([np.bincount(of, n, len(known)), *(np.bincount(of, m, len(known)) for m in (n == 1, n == 2, n >= 3))]).astype(np.int64)
-    write_arrays(folder, f"pairs-{shard:06d}", {"keys": keys, "counts": small, "large": large, "large_counts": n[large], "before": known, "sums": sums.T.reshape(-1)})
+    often = np.flatnonzero(sums[0] >= 256)  # the other sums are no larger
+    write_arrays(folder, f"pairs-{shard:06d}", {"keys": keys, "counts": small, "large": large, "large_counts": n[large], "before": known, "sums": np.minimum(sums, 255).astype(np.uint8).T.reshape(-1), "often": often, "often_sums": sums[:, often].T.reshape(-1)})
     at, there = found_in(known, hot)
     some, of = np.unique(words, return_inverse=True)
     yield _parts(0, np.zeros(1, np.int64), *(np.array([(n == i).sum()]) for i in (1, 2, 3, 4)))
@@ -342,7 +358,7 @@ def _parts(kind: int, word: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
 
 @functools.lru_cache(maxsize=1)
 def _pairs(folder: str, shard: int) -> dict[str, np.ndarray]:
-    return map_arrays(folder, f"pairs-{shard:06d}", ("keys", "counts", "large", "large_counts", "before", "sums"))
+    return map_arrays(folder, f"pairs-{shard:06d}", ("keys", "counts", "large", "large_counts", "before", "sums", "often", "often_sums"))
 
 
 def probabilities(model: Model, shard: int, before: np.ndarray, words: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -354,13 +370,16 @@ def probabilities(model: Model, shard: int, before: np.ndarray, words: np.ndarra
     keys = pair_keys(before, words)
     asked, back = np.unique(keys, return_inverse=True)
     at, there = found_in(a["keys"], asked)
-    n = np.where(there, a["counts"][at], 0).astype(np.int64) if len(a["counts"]) else np.zeros(len(asked), np.int64)
+    n = np.where(there, a["counts"][at], 0).astype(np.int64)
     where, large = found_in(a["large"], at)
     n[there & large] = a["large_counts"][where[there & large]] if len(a["large"]) else 0
     n = n[back]
     firsts, back = np.unique(before, return_inverse=True)
     at, there = found_in(a["before"], firsts)
-    sums = np.where(there[:, None], a["sums"].reshape(-1, 4)[at], 0) if len(a["before"]) else np.zeros((len(firsts), 4), np.int64)
+    sums = np.where(there[:, None], a["sums"].reshape(-1, 4)[at].astype(np.int64), 0)
+    if len(a["often"]):
+        where, large = found_in(a["often"], at)
+        sums[there & large] = a["often_sums"].reshape(-1, 4)[where[there & large]]
     at, hot = found_in(model.hot, firsts)
     sums[hot] = model.hot_sums[at[hot]]
     total, d = np.maximum(sums[:, 0], 1), np.array([0.0, *model.high])
@@ -385,18 +404,23 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
         for rows, words, bounds in _blocks(batches):
             doc = np.repeat(np.arange(len(rows)), np.diff(bounds))
             distinct, inverse = np.unique(words, return_inverse=True)
-            count, own = model.look_up(distinct)
+            places = model.places(distinct)
+            order = np.argsort(places)  # words that are not there stand together behind the others
+            count = np.empty(len(distinct), np.int64)
+            count[order] = model.at(places[order], "counts")
+            first = np.unique(_before(words, bounds), return_inverse=True)
             base = np.log10((count + 1) / (model.tokens + model.words + 1))[inverse]
             ids = np.array([r[0] or 0 for r in rows], np.int64)
             state = np.array([2 * (r[0] is None) + bool(r[1]) for r in rows], np.int64)
             sums = np.bincount(doc, base, len(rows))
             yield _asked(row // len(rows) % model.shards, 0, pack(np.array([row]), ids, state, np.diff(bounds), np.bincount(doc, count[inverse] > 0, len(rows)).astype(np.int64), sums.view(np.int64)))
-            before = _before(words, bounds)
-            for s, at in _by_shard(model.shard(before, words), model.shards):
-                known, order, b, w = _coded(before[at], words[at])
-                chosen = np.unique(np.r_[before[at], words[at]])
-                place, there = found_in(distinct, chosen)
-                yield _asked(s, 1, pack(np.array([row]), known, np.where(there, own[place], 0.0).view(np.int64), b, w, doc[at][order]))
+            # START is no word of the vocabulary and stands behind those that are not there.
+            before_place = places[np.minimum(np.searchsorted(distinct, first[0]), len(distinct) - 1)]
+            before_place[first[0] == START] = model.words + 1
+            before, place = before_place[first[1]], places[inverse]
+            for s, at in _by_shard(model.shard(_before(words, bounds), words), model.shards):
+                known, order, b, w = _coded(before[at], place[at])
+                yield _asked(s, 1, pack(np.array([row]), known, b, w, doc[at][order]))
             row += len(rows)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,9 +431,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
                     ids, state, n, n_known, base = rest
                     columns = [row + np.arange(len(ids)), pa.array(ids, mask=state >= 2), state % 2 == 1, n, n_known, base.view(np.float64), np.zeros(len(ids))]
                 else:
-                    steps, own, b, w, doc = rest
+                    steps, b, w, doc = rest
                     known, b = np.cumsum(steps), np.cumsum(b)
-                    sums = np.bincount(doc, np.log10(probabilities(model, s, known[b], known[w], own.view(np.float64)[w])))
+                    words, own = model.at(known, "words"), model.own(model.at(known, "behind"))
+                    words[known == model.words], words[known == model.words + 1] = NO_WORD, START
+                    sums = np.bincount(doc, np.log10(probabilities(model, s, words[b], words[w], own[w])))
                     some = np.unique(doc)
                     zero, none = np.zeros(len(some), np.int64), pa.nulls(len(some), pa.int64())
                     columns = [row + some, none, pa.nulls(len(some), pa.bool_()), zero, zero, np.zeros(len(some)), sums[some]]

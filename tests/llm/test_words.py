@@ -192,8 +192,12 @@ def test_probabilities_of_all_words_add_up_to_one(spark):
     words = sorted(brute.one)
     hashes = np.array([ngrams.END if w == "\n" else ngrams.hashed_words([w])[0][0] for w in [*words, "unheard"]], np.int64)
     order = np.argsort(hashes)
+    places = model.places(hashes[order])
+    assert places.tolist() == sorted(places) or (hashes[-1] in hashes[order] and (places == len(words)).sum() == 1)
+    by_place = np.argsort(places)
     count, own = np.empty(len(hashes), np.int64), np.empty(len(hashes))
-    count[order], own[order] = model.look_up(hashes[order])
+    count[order[by_place]] = model.at(places[by_place], "counts")
+    own[order[by_place]] = model.own(model.at(places[by_place], "behind"))
     assert own.sum() == pytest.approx(1) and count.tolist() == [*(brute.one[w] for w in words), 0]
     for before in (words[3], words[7], "\t", "unheard"):
         first = ngrams.START if before == "\t" else hashes[-1] if before == "unheard" else hashes[words.index(before)]
