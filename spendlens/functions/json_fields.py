@@ -1,6 +1,7 @@
 """Searching records of changing shape inside their row: JSON text flattened to an array of its values, candidates ranked in the order of the document.
 
-Nothing here joins or shuffles: a record's values are an array column, however deep they nest, and a search is an expression over it.
+Nothing here joins or shuffles: a record's values (``record_values``, one pass over its text) are an array column, however deep they
+nest, and a search is an expression over it: a filter for what can count, by bits and labels, then the order of what is left.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 from .ids import normalize_tax_id
 from .numbers import euro_amount, parse_amount, plain_amount
-from .text import bound, clean_person_name, contains_any, normalize_label, normalize_text
+from .record_values import AMOUNT, CLOSED, NAME, SUPPLIER, TAX, UNTRUSTED, named_text, values  # noqa: F401  part of this module's interface
+from .text import bound, clean_person_name, contains_any, normalize_text
 
 EXTRA = "extraFieldValues"
 #: Steps of the order inside an object: keys asked for, labelled values, extra fields, keys with a label's word, nested values.
@@ -32,80 +34,25 @@ def as_list(text: Column) -> Column:
     return F.from_json(text, "array<string>")
 
 
-def _is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(value, F.lit("{")), F.lit(False))
-
-
 def _is_scalar(value: Column) -> Column:
     return ~value.rlike(r"^[\[{]")
 
 
-def _levels(text: Column) -> Column:
-    """1 to the number of objects and lists in a JSON text: it nests no deeper."""
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\[{]", ""))))
-
-
-def _name_in(record: Column) -> Column:
-    """The value that names an object: a person's first and last name, else that of the first name-like key."""
-    full = F.concat_ws(" ", normalize_text(F.coalesce(record["firstName"], record["firstname"])), normalize_text(F.coalesce(record["lastName"], record["lastname"], record["surname"])))
-    keys = ("name", "label", "title", "description", "fullName", "displayName", *V.VALUE_KEYS)
-    return F.coalesce(F.nullif(full, F.lit("")), *[F.when(~record[k].isin("", "[]", "{}"), record[k]) for k in keys])
-
-
-def named_text(text: Column) -> Column:
-    """The text of a value of any depth: objects stand for what names them, lists for their items, joined by commas; null if there is none."""
-
-    def inside(x: Column) -> Column:
-        named = F.when(_is_object(x), bound(as_map(x), lambda m: F.coalesce(F.array_compact(F.array(_name_in(m))), F.array(x))))
-        return named.when(F.startswith(x, F.lit("[")), F.coalesce(as_list(x), F.array(x))).otherwise(F.array(x))
-
-    items = F.aggregate(_levels(text), F.array(text), lambda found, _: F.flatten(F.transform(F.array_compact(found), inside)))
-    said = F.filter(F.transform(items, normalize_text), lambda t: t.isNotNull() & ~t.startswith("{"))
-    return F.when(_is_scalar(text), normalize_text(text)).otherwise(F.nullif(F.array_join(said, ", "), F.lit("")))
-
+def named_first(record: Column, found: Column, keys) -> Column:
+    """struct<text>: the text of the first of some keys of a record that is neither null nor empty, as ``named_text`` has it; null if there is none.
 
-STEPS = "array<struct<pos:int,key:string,label:string>>"
-VALUES = f"array<struct<steps:{STEPS},key:string,label:string,path:string,value:string,said:string,labels:array<string>,vals:array<string>>>"
-
-
-def _value(steps: Column, key: Column, label: Column, path: Column, value: Column) -> Column:
-    """A value with what it says as a labelled pair {label, value}: its first label, all labels as they are compared, and the values beside them."""
-
-    def pair(m: Column) -> Column:
-        labels = F.filter(F.array(*[m[k] for k in V.LABEL_KEYS]), lambda t: ~t.isin("", "[]"))
-        return F.struct(
-            steps.alias("steps"), key.alias("key"), label.alias("label"), path.alias("path"), value.alias("value"), normalize_text(F.get(labels, F.lit(0))).alias("said"),
-            F.transform(labels, normalize_label).alias("labels"), F.array(*[m[k] for k in V.VALUE_KEYS]).alias("vals"),
-        )
-
-    return bound(F.when(_is_object(value), as_map(value)), pair)
-
-
-def values(text: Column) -> Column:
-    """VALUES: every value of a JSON text at any depth, the record itself first.
-
-    steps: from the root; label: the key as labels are compared; path: `a.b[0].c`; value: scalars and nested text; said, labels, vals: see _value.
+    record: the record as a map; found: its values.
     """
-    none = F.lit(None).cast("string")
-
-    def inside(x: Column) -> Column:
-        entries = F.when(_is_object(x["value"]), F.transform(F.map_entries(as_map(x["value"])), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
-        entries = F.coalesce(entries.when(F.startswith(x["value"], F.lit("[")), F.transform(as_list(x["value"]), lambda e: F.struct(none.alias("k"), e.alias("v")))), F.array().cast("array<struct<k:string,v:string>>"))
-
-        def child(e: Column, pos: Column) -> Column:
-            path = F.when(e["k"].isNull(), F.concat(x["path"], F.lit("["), pos.cast("string"), F.lit("]"))).when(x["path"] == "", e["k"]).otherwise(F.concat_ws(".", x["path"], e["k"]))
-            return bound(normalize_label(e["k"]), lambda label: _value(F.concat(x["steps"], F.array(F.struct(pos.alias("pos"), e["k"].alias("key"), label.alias("label")))), e["k"], label, path, e["v"]))
+    own = F.map_from_entries(F.transform(F.filter(found, lambda x: (F.size(x["steps"]) == 1) & x["key"].isNotNull()), lambda x: F.struct(x["key"], x["named"])))
+    return bound(own, lambda n: F.coalesce(*[F.when(~record[k].isin("", "[]"), F.struct(n[k].alias("text"))) for k in keys]))
 
-        return F.transform(entries, child)
 
-    root = F.array(_value(F.array().cast(STEPS), none, none, F.lit(""), text))
-    start = bound(root, lambda r: F.struct(r.alias("level"), r.alias("all"))).cast(f"struct<level:{VALUES},all:{VALUES}>")
-    deeper = lambda acc, _: bound(F.flatten(F.transform(acc["level"], inside)), lambda level: F.struct(level.alias("level"), F.concat(acc["all"], level).alias("all")))
-    return F.aggregate(_levels(text), start, deeper, lambda acc: acc["all"])
+def _has(bits: Column, word: int) -> Column:
+    return bits.bitwiseAND(F.lit(word)) != 0
 
 
 def _says(x: Column, words, but: tuple[str, ...] = ()) -> Column:
-    """Whether a label of a value contains one of the words (and none of ``but``)."""
+    """Whether a label beside the values of x contains one of the words (and none of ``but``)."""
     return F.exists(x["labels"], lambda t: contains_any(t, words) & ~contains_any(t, but) if but else contains_any(t, words))
 
 
@@ -144,17 +91,16 @@ def amounts(found: Column) -> Column:
 
     Trusted are values of amount keys and labelled pairs whose label says so. Nothing below subjects, urls, signers and units is trusted.
     """
-    untrusted = F.array(*[normalize_label(F.lit(k)) for k in (*V.SUBJECT_KEYS, *V.URL_KEYS, *V.SIGNER_KEYS, *V.UNIT_KEYS)])
-    trusted = F.filter(found, lambda x: ~F.exists(x["steps"], lambda s: F.coalesce(F.array_contains(untrusted, s["label"]), F.lit(False))))
+    keyed_so = lambda x: _has(x["says"], AMOUNT) | F.coalesce(x["key"].isin(*V.AMOUNT_KEYS), F.lit(False))
+    trusted = F.filter(found, lambda x: ~_has(x["above"], UNTRUSTED) & (keyed_so(x) | _has(x["pair"], AMOUNT)))
     hit = lambda order, amount, path: F.struct(order.alias("o"), F.when(amount.isNotNull(), F.struct(amount.alias("amount"), path.alias("path"))).alias("a"))
 
     def keyed(x: Column) -> Column:
-        says = F.coalesce(x["key"].isin(*V.AMOUNT_KEYS) | contains_any(x["label"], V.AMOUNT_LABELS), F.lit(False))
-        return hit(_places(x["steps"], 1), F.when(says & _is_scalar(x["value"]), parse_amount(x["value"])), x["path"])
+        return hit(_places(x["steps"], 1), F.when(keyed_so(x) & _is_scalar(x["value"]), parse_amount(x["value"])), x["path"])
 
     def labelled(x: Column) -> Column:
         path = F.concat(F.when(x["path"] != "", F.concat(x["path"], F.lit("."))).otherwise(""), F.lit(f"{EXTRA}["), F.coalesce(x["said"], F.lit("amount")), F.lit("]"))
-        return hit(F.concat(_places(x["steps"], 1), F.array(F.lit(0))), F.when(_says(x, V.AMOUNT_LABELS), _pair_amount(x)), path)
+        return hit(F.concat(_places(x["steps"], 1), F.array(F.lit(0))), F.when(_has(x["pair"], AMOUNT), _pair_amount(x)), path)
 
     return _first(_hits(trusted, keyed, labelled), "a")
 
@@ -165,8 +111,9 @@ def any_amounts(found: Column) -> Column:
     In each object its extra fields come first, then keys that say amount, a labelled pair, a euro mark in the subject, and
     then what is nested.
     """
-    says = lambda x: F.coalesce(x["key"].isin(*V.AMOUNT_KEYS) | contains_any(x["label"], V.AMOUNT_LABELS), F.lit(False))
-    step = lambda s: F.when(s["key"] == EXTRA, F.lit(KEYS)).when(says(s), s["pos"] + LABELLED).otherwise(s["pos"] + NESTED)
+    says = lambda x: _has(x["says"], AMOUNT) | F.coalesce(x["key"].isin(*V.AMOUNT_KEYS), F.lit(False))
+    around = lambda s: F.coalesce(s["key"].isin(*V.AMOUNT_KEYS) | contains_any(s["label"], V.AMOUNT_LABELS), F.lit(False))
+    step = lambda s: F.when(s["key"] == EXTRA, F.lit(KEYS)).when(around(s), s["pos"] + LABELLED).otherwise(s["pos"] + NESTED)
     hit = lambda order, amount: F.struct(order.alias("o"), amount.alias("amount"))
 
     def keyed(x: Column) -> Column:
@@ -176,42 +123,40 @@ def any_amounts(found: Column) -> Column:
         return hit(F.concat(F.transform(_around(x["steps"]), step), F.array(place)), F.when(_is_scalar(x["value"]), amount))
 
     def labelled(x: Column) -> Column:
-        return hit(F.concat(F.transform(x["steps"], step), F.array(F.lit(WORDS - 1))), F.when(_says(x, V.AMOUNT_LABELS), _pair_amount(x)))
+        return hit(F.concat(F.transform(x["steps"], step), F.array(F.lit(WORDS - 1))), F.when(_has(x["pair"], AMOUNT), _pair_amount(x)))
 
-    return _first(_hits(found, keyed, labelled), "amount")
+    can = F.filter(found, lambda x: says(x) | _has(x["pair"], AMOUNT) | F.coalesce(x["key"].isin(*V.SUBJECT_KEYS), F.lit(False)))
+    return _first(_hits(can, keyed, labelled), "amount")
 
 
 def supplier_fields(found: Column) -> Column:
     """struct<supplier_name, supplier_tax_id>, each the first found: in an object its labelled pair, then its keys, then what is nested."""
-    tax_word = lambda label: contains_any(label, V.TAX_ID_LABELS) & ~F.contains(label, F.lit("amountwithvat"))
+    named_so = lambda x: F.coalesce(x["key"].isin(*V.SUPPLIER_NAME_KEYS), F.lit(False)) | (_has(x["says"], SUPPLIER) & ~_has(x["says"], TAX))
 
     def own(x: Column) -> Column:
-        named = x["key"].isin(*V.SUPPLIER_NAME_KEYS) | (contains_any(x["label"], V.SUPPLIER_NAME_LABELS) & ~tax_word(x["label"]))
         order = F.concat(_places(_around(x["steps"]), NESTED), F.array(_last(x["steps"])))
-        return F.struct(order.alias("o"), F.when(named, named_text(x["value"])).alias("name"), F.when(tax_word(x["label"]) & _is_scalar(x["value"]), normalize_tax_id(x["value"])).alias("tax"))
+        return F.struct(order.alias("o"), F.when(named_so(x), x["named"]).alias("name"), F.when(_has(x["says"], TAX) & _is_scalar(x["value"]), normalize_tax_id(x["value"])).alias("tax"))
 
     def pair(x: Column) -> Column:
-        name = F.when(_says(x, V.SUPPLIER_NAME_LABELS, V.TAX_ID_LABELS), _first_of(F.transform(x["vals"], named_text)))
-        tax = F.when(_says(x, V.TAX_ID_LABELS, ("amountwithvat",)), _first_of(F.transform(x["vals"], lambda v: normalize_tax_id(v))))
+        name = F.when(_has(x["pair"], NAME), _first_of(x["val_names"]))
+        tax = F.when(_has(x["pair"], TAX), _first_of(F.transform(x["vals"], lambda v: normalize_tax_id(v))))
         return F.struct(F.concat(_places(x["steps"], NESTED), F.array(F.lit(-1))).alias("o"), name.alias("name"), tax.alias("tax"))
 
-    return bound(_hits(found, own, pair), lambda hits: F.struct(_first(hits, "name").alias("supplier_name"), _first(hits, "tax").alias("supplier_tax_id")))
+    can = F.filter(found, lambda x: named_so(x) | _has(x["says"], TAX) | _has(x["pair"], NAME | TAX))
+    return bound(_hits(can, own, pair), lambda hits: F.struct(_first(hits, "name").alias("supplier_name"), _first(hits, "tax").alias("supplier_tax_id")))
 
 
 def supplier_fields_in_context(found: Column) -> Column:
     """struct<supplier_name, supplier_tax_id>: generic names and tax ids count only below a key that says supplier, and never below an issuer's."""
-    has = lambda s, words: contains_any(F.coalesce(s["label"], F.lit("")), words)
+    ctx, tax_word = lambda x: _has(x["above"], SUPPLIER), lambda x: _has(x["says"], TAX)
+    is_tax = lambda x: tax_word(x) & (ctx(x) | _has(x["says"], SUPPLIER))
+    is_name = lambda x: F.coalesce(x["key"].isin(*V.SUPPLIER_NAME_KEYS), F.lit(False)) | (ctx(x) & F.coalesce(x["label"].isin("name", "fullname", "displayname", "επωνυμια"), F.lit(False)))
 
     def hit(x: Column) -> Column:
-        label = x["label"]
-        ctx = F.exists(x["steps"], lambda s: has(s, V.SUPPLIER_NAME_LABELS))
-        open_ = ~F.exists(x["steps"], lambda s: has(s, ("organization", "issuer", "signer", "unit")))
-        tax_word = contains_any(label, V.TAX_ID_LABELS) & ~F.contains(label, F.lit("amountwithvat"))
-        is_tax = tax_word & (ctx | contains_any(label, V.SUPPLIER_NAME_LABELS))
-        is_name = x["key"].isin(*V.SUPPLIER_NAME_KEYS) | (ctx & label.isin("name", "fullname", "displayname", "επωνυμια"))
-        return F.struct(_places(x["steps"]).alias("o"), F.when(open_ & is_name & ~is_tax, named_text(x["value"])).alias("name"), F.when(open_ & is_tax, normalize_tax_id(x["value"])).alias("tax"))
+        return F.struct(_places(x["steps"]).alias("o"), F.when(is_name(x) & ~is_tax(x), x["named"]).alias("name"), F.when(is_tax(x), normalize_tax_id(x["value"])).alias("tax"))
 
-    return bound(_hits(found, hit), lambda hits: F.struct(_first(hits, "name").alias("supplier_name"), _first(hits, "tax").alias("supplier_tax_id")))
+    can = F.filter(found, lambda x: ~_has(x["above"], CLOSED) & (is_tax(x) | is_name(x)))
+    return bound(_hits(can, hit), lambda hits: F.struct(_first(hits, "name").alias("supplier_name"), _first(hits, "tax").alias("supplier_tax_id")))
 
 
 def labelled_text(found: Column, keys, words) -> Column:
@@ -222,12 +167,13 @@ def labelled_text(found: Column, keys, words) -> Column:
         turn = F.coalesce(*[F.when(x["key"] == k, F.lit(KEYS + i)) for i, k in enumerate(keys)])
         worded = contains_any(x["label"], words) & (x["key"] != EXTRA)
         place = F.coalesce(turn, F.when(worded, _last(x["steps"]) + WORDS))
-        return F.struct(F.concat(F.transform(_around(x["steps"]), step), F.array(place)).alias("o"), F.when(place.isNotNull(), named_text(x["value"])).alias("text"))
+        return F.struct(F.concat(F.transform(_around(x["steps"]), step), F.array(place)).alias("o"), F.when(place.isNotNull(), x["named"]).alias("text"))
 
     def pair(x: Column) -> Column:
-        return F.struct(F.concat(F.transform(x["steps"], step), F.array(F.lit(LABELLED))).alias("o"), F.when(_says(x, words), _first_of(F.transform(x["vals"], named_text))).alias("text"))
+        return F.struct(F.concat(F.transform(x["steps"], step), F.array(F.lit(LABELLED))).alias("o"), F.when(_says(x, words), _first_of(x["val_names"])).alias("text"))
 
-    return _first(_hits(found, own, pair), "text")
+    can = F.filter(found, lambda x: F.coalesce(x["key"].isin(*keys), F.lit(False)) | F.coalesce(contains_any(x["label"], words), F.lit(False)) | F.coalesce(_says(x, words), F.lit(False)))
+    return _first(_hits(can, own, pair), "text")
 
 
 def id_list(text: Column) -> Column:

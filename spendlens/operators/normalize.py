@@ -12,7 +12,6 @@ from ..functions.classify import decision_type, procurement_stage
 from ..functions.dates import iso_date
 from ..functions.ids import detail_url, normalize_tax_id
 from ..functions.numbers import budget_in_subject
-from ..functions.text import bound
 
 DECISION_COLUMNS = ("org", "year", "month", "procurement_stage", "ada", "issue_date", "issue_date_raw", "decision_type", "subject", "url", "amount", "amount_source", "supplier_name", "supplier_tax_id", "signer", "unit", "detail_enriched")
 
@@ -25,7 +24,7 @@ def normalize_decisions(exports: DataFrame, details: DataFrame) -> DataFrame:
     """
     rows = exports.join(details, ["org", "year", "month", "ada"], "left")
     d, e = F.col("__dm"), F.col("__em")
-    text = lambda keys: bound(F.coalesce(J.first_present(d, keys), J.first_present(e, keys)), J.named_text)
+    text = lambda keys: F.coalesce(J.named_first(d, F.col("__d"), keys), J.named_first(e, F.col("__e"), keys))["text"]
     # Each record is searched in its own row, so nothing has to find back to it.
     rows = rows.withColumns({"__dm": J.as_map(F.col("detail")), "__em": J.as_map(F.col("record")), "__d": J.values(F.col("detail")), "__e": J.values(F.col("record"))})
     both = F.when(F.col("detail").isNotNull(), F.concat("__d", "__e")).otherwise(F.col("__e"))

@@ -90,3 +90,46 @@ def test_supplier_from_different_nodes(spark):
     df = spark.createDataFrame(list(docs.items()), "id string, j string")
     got = {r.id: tuple(r.s) for r in df.select("id", json_fields.supplier_fields(json_fields.values(F.col("j"))).alias("s")).collect()}
     assert got == {"a": ("ALPHA", "123456789"), "b": ("BETA", "987654321")}
+
+
+def test_a_large_record_is_searched_in_linear_time(spark):
+    """5,000 values in one record, and four times as many, nested and in lists; the times of the search itself, without Spark's start."""
+    import json
+    import time
+
+    from pyspark.sql import functions as F
+
+    from spendlens.functions import record_values
+
+    def record(n):
+        items = [{"code": f"c{i}", "note": {"text": f"line {i}", "tags": ["a", "b"]}} for i in range(n)]
+        return json.dumps({"ada": "X", "items": items, "extraFieldValues": {"award": {"amountWithVAT": "1.234,56"}, "contractor": [{"name": {"label": "ACME"}, "afm": "EL123456789"}]}})
+
+    took = {}
+    for n in (1_000, 4_000):
+        began = time.perf_counter()
+        assert len(list(record_values.walked(record(n)))) > 5 * n
+        took[n] = time.perf_counter() - began
+    assert took[1_000] < 1 and took[4_000] < 10 * took[1_000]
+    df = spark.createDataFrame([(1, record(1_000))], "id int, j string").select(json_fields.values(F.col("j")).alias("v"))
+    got = df.select(json_fields.amounts(F.col("v")).alias("a"), json_fields.any_amounts(F.col("v")).alias("b"), json_fields.supplier_fields(F.col("v")).alias("s")).first()
+    assert (tuple(got.a), got.b, tuple(got.s)) == ((1234.56, "extraFieldValues.award.amountWithVAT"), 1234.56, ("ACME", "123456789"))
+
+
+def test_values_of_odd_records(spark):
+    """Text inside text, numbers of three decimals, unreadable text, nulls, deep nesting, names in lists."""
+    from pyspark.sql import functions as F
+
+    from spendlens.functions import record_values
+
+    rows = [
+        (1, '{"a": "{\\"amount\\": 12.345}"}', 12.345), (2, '{"amount": "12.345"}', 12345.0), (3, "{broken", None), (4, None, None), (5, "", None), (6, '["x", {"amount": 7}]', 7.0),
+        (7, '{"l": [' * 60 + '{"amount": 5}' + "]}" * 60, 5.0), (8, "[" * 100_000, None), (9, '{"amount": null, "x": {"label": "Ποσό", "value": "3,5"}}', 3.5),
+    ]
+    df = spark.createDataFrame(rows, "id int, j string, want double")
+    got = df.select("id", "want", json_fields.amounts(json_fields.values(F.col("j")))["amount"].alias("got")).collect()
+    assert [(r.id, r.got) for r in got] == [(r.id, r.want) for r in got]
+    named = {"plain ": "plain", '{"name": {"label": "x"}}': "x", '["a", {"firstName": "Ann", "lastName": "Lee"}, ["b", "", null]]': "a, Ann Lee, b", "{broken": None, "[broken": "[broken", '{"code": 1}': None, "": None}
+    assert {t: record_values.named(t) for t in named} == named
+    said = spark.createDataFrame([(t,) for t in named], "t string").select("t", json_fields.named_text(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in said} == named
