@@ -11,12 +11,13 @@ from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
 from ..functions.classify import is_lifecycle_decision, lifecycle_role, stage_authority
-from ..functions.dates import days_apart, within_days
+from ..functions.dates import within_days
 from ..functions.ids import contract_id, hashed_id
 from ..functions.numbers import amount_bucket, cents
 from ..functions.text import canonical_text, compact_text, text_tokens, token_overlap
 from .components import connected_components
 from .durable import cut
+from .similar import letters, links, sides, title_links, title_pairs
 
 TOLERANCE, WINDOW_DAYS = 0.02, 180
 DUPLICATE_SIMILARITY = 0.82
@@ -131,56 +132,103 @@ def title_ratio(left: Column | str, right: Column | str) -> Column:
     return F.pandas_udf(_ratios, "double")(left, right)
 
 
-def _sides(d: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of rows that agree in ``on``, each pair once; columns l_* and r_*."""
-    a = d.select(*[F.col(c).alias(c if c in on else f"l_{c}") for c in d.columns])
-    b = d.select(*[F.col(c).alias(c if c in on else f"r_{c}") for c in d.columns])
-    return a.join(b, on).filter("l_id < r_id")
+def _titled(d: DataFrame) -> DataFrame:
+    """Decisions that may have duplicates, with cents and canonical title, and the first of those alike in date, cents and title."""
+    rows = d.filter("amount is not null and issue_date is not null").select("id", "issue_date", cents(F.col("amount")).alias("cents"), canonical_text(F.col("title")).alias("title"))
+    return rows.filter("title <> ''").withColumn("first", F.min("id").over(Window.partitionBy("issue_date", "cents", "title")))
+
+
+def _title_nodes(rows: DataFrame) -> DataFrame:
+    return cut(rows.filter("id = first").drop("first").withColumn("letters", letters(F.col("title"))))
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    return rows.filter("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
 
 
 def duplicate_pairs(d: DataFrame, similarity: float = DUPLICATE_SIMILARITY) -> DataFrame:
-    """(src, dst, similarity): the same date and cents and titles so alike. d: id, amount, issue_date, title."""
-    rows = d.filter("amount is not null and issue_date is not null").select("id", "issue_date", cents(F.col("amount")).alias("cents"), canonical_text(F.col("title")).alias("title"))
-    pairs = _sides(rows, ["issue_date", "cents"])
-    # The ratio is twice the matching characters by all, so it cannot pass what the shorter title allows, nor the characters that both have.
-    short, both = F.least(F.length("l_title"), F.length("r_title")), F.length("l_title") + F.length("r_title")
-    letters = lambda c: F.split(c, "")
-    shared = F.aggregate(F.array_intersect(letters("l_title"), letters("r_title")), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(letters("l_title"), lambda y: y == x)), F.size(F.filter(letters("r_title"), lambda y: y == x))))
-    pairs = pairs.filter((2 * short >= similarity * both) & ((F.col("l_title") == F.col("r_title")) | (2 * shared >= similarity * both)))
-    pairs = pairs.select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), title_ratio("l_title", "r_title").alias("similarity"))
-    return pairs.filter(F.col("similarity") >= similarity)
+    """(src, dst, similarity, kind): the same date and cents and titles so alike. d: id, amount, issue_date, title.
 
+    kind `pair`: two different titles, each by the first of its rows. kind `member`: a row and the first of those with its date, cents and
+    title. A row has the pairs of its first. Titles that are empty are like none.
+    """
+    rows = cut(_titled(d))
+    pairs = title_pairs(_title_nodes(rows), ["issue_date", "cents"], similarity, title_ratio).withColumn("kind", F.lit("pair"))
+    return pairs.unionByName(_members(rows).withColumns({"similarity": F.lit(1.0), "kind": F.lit("member")}))
 
-def lifecycle_pairs(d: DataFrame) -> DataFrame:
-    """(src, dst): decisions of one supplier and month that belong to one purchase.
 
-    d: id, amount, issue_date, title, decision_type, decision_type_raw, supplier_key. Within 90 days and alike in cents, and in title
-    (0.35), words (0.18) or different in role; or within 45 days, of a known supplier, different in role, and alike in title (0.25) or words (0.12).
+def duplicate_links(d: DataFrame, similarity: float = DUPLICATE_SIMILARITY) -> DataFrame:
+    """(src, dst) that join all that duplicate_pairs joins, without every pair of a large block."""
+    rows = cut(_titled(d))
+    return title_links(_title_nodes(rows), ["issue_date", "cents"], similarity, title_ratio).unionByName(_members(rows))
+
+
+def _purchases(d: DataFrame) -> DataFrame:
+    """Decisions that may belong to a purchase, and the first of those alike in supplier, month, cents, role, title and tokens.
+
+    Without a supplier only equal cents can match, so those rows meet by cents too (block) and make no pairs of a whole month.
     """
     role = lifecycle_role(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"))
     rows = d.filter(is_lifecycle_decision(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"), F.col("supplier_key")) & F.col("issue_date").isNotNull())
-    rows = rows.select("id", F.coalesce("supplier_key", F.lit("unknown-supplier")).alias("supplier"), F.date_format("issue_date", "yyyy-MM").alias("month"), "issue_date", cents(F.col("amount")).alias("cents"), role.alias("role"), canonical_text(F.col("title")).alias("title"), text_tokens(F.col("title")).alias("tokens"))
-    # Without a supplier only equal cents can match, so those rows meet by cents too and make no pairs of a whole month.
-    unknown = F.col("supplier") == "unknown-supplier"
-    pairs = _sides(rows.filter(~unknown), ["supplier", "month"])
-    rest = rows.filter(unknown & F.col("cents").isNotNull()).withColumn("__cents", F.col("cents"))
-    pairs = pairs.unionByName(_sides(rest, ["supplier", "month", "__cents"]).drop("__cents"))
+    rows = rows.select("id", F.coalesce("supplier_key", F.lit("unknown-supplier")).alias("supplier"), F.date_format("issue_date", "yyyy-MM").alias("month"), cents(F.col("amount")).alias("cents"), role.alias("role"), canonical_text(F.col("title")).alias("title"), text_tokens(F.col("title")).alias("tokens"))
+    known = F.col("supplier") != "unknown-supplier"
+    rows = rows.filter(known | F.col("cents").isNotNull()).withColumn("block", F.when(known, F.lit(0).cast("long")).otherwise(F.col("cents")))
+    return rows.withColumn("first", F.min("id").over(Window.partitionBy("supplier", "month", "block", "cents", "role", "title")))
+
+
+PURCHASE = ["supplier", "month", "block"]
+
+
+def _purchase_match(pairs: DataFrame) -> DataFrame:
+    """Pairs of one supplier and month that belong to one purchase: a month is shorter than the days that each rule allows."""
     no = F.lit(False)
     other_role = F.coalesce(F.col("l_role") != F.col("r_role"), no)
     same_cents = F.coalesce(F.col("l_cents") == F.col("r_cents"), no)
     known = F.col("supplier") != "unknown-supplier"
-    days = days_apart(F.col("l_issue_date"), F.col("r_issue_date"))
     # What needs no similarity is decided first; the ratio is worked out for the remaining candidates only.
-    pairs = pairs.withColumns({"overlap": token_overlap(F.col("l_tokens"), F.col("r_tokens")), "sure": same_cents & (days <= 90) & other_role})
-    pairs = pairs.filter((same_cents & (days <= 90)) | (known & other_role & (days <= 45)))
+    pairs = pairs.withColumns({"overlap": token_overlap(F.col("l_tokens"), F.col("r_tokens")), "sure": same_cents & other_role})
+    pairs = pairs.filter(same_cents | (known & other_role))
     ratio = title_ratio("l_title", "r_title")
-    full = F.col("sure") | (same_cents & ((F.col("overlap") >= 0.18) | (ratio >= 0.35))) | (known & other_role & (days <= 45) & ((F.col("overlap") >= 0.12) | (ratio >= 0.25)))
-    return pairs.filter(full).select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"))
+    return pairs.filter(F.col("sure") | (same_cents & ((F.col("overlap") >= 0.18) | (ratio >= 0.35))) | (known & other_role & ((F.col("overlap") >= 0.12) | (ratio >= 0.25))))
+
+
+#: Whether rows alike in all that decides are linked: they need an amount, and a title to be alike in.
+_INNER = "cents is not null and title <> ''"
+
+
+def lifecycle_pairs(d: DataFrame) -> DataFrame:
+    """(src, dst, kind): decisions of one supplier and month that belong to one purchase.
+
+    d: id, amount, issue_date, title, decision_type, decision_type_raw, supplier_key. Alike in cents, and in title (0.35), words (0.18) or
+    different in role; or of a known supplier, different in role, and alike in title (0.25) or words (0.12). kind `pair`: two that differ, each by
+    the first of the rows alike in supplier, month, cents, role and title; `member`: a row linked to its first; `alike`: a row with the
+    pairs of its first that is not linked to it itself.
+    """
+    rows = cut(_purchases(d))
+    pairs = _purchase_match(sides(rows.filter("id = first").drop("first"), PURCHASE)).select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), F.lit("pair").alias("kind"))
+    more = rows.filter("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst"), F.when(F.expr(_INNER), "member").otherwise("alike").alias("kind"))
+    return pairs.unionByName(more)
+
+
+def lifecycle_links(d: DataFrame) -> DataFrame:
+    """(src, dst) that join all that lifecycle_pairs joins, without every pair of a large block."""
+    rows = cut(_purchases(d))
+    nodes = rows.filter("id = first").drop("first")
+    # Of one amount, whatever differs in role is linked: with two roles or more, all that have one hang together.
+    roles = nodes.filter("role is not null and cents is not null").groupBy(*PURCHASE, "cents").agg(F.min("id").alias("dst"), F.count_distinct("role").alias("n")).filter("n > 1")
+    sure = nodes.filter("role is not null").join(roles, [*PURCHASE, "cents"]).filter("id <> dst").select(F.col("id").alias("src"), "dst")
+    found = cut(links(nodes, PURCHASE, _purchase_match).unionByName(sure))
+    member = rows.filter("id <> first")
+    inner = member.filter(_INNER).select(F.col("id").alias("src"), F.col("first").alias("dst"))
+    # Rows that are not linked to their first share what it is linked to, if there is anything.
+    ends = found.select(F.col("src").alias("first"), "dst").unionByName(found.select(F.col("dst").alias("first"), F.col("src").alias("dst"))).groupBy("first").agg(F.min("dst").alias("dst"))
+    shared = member.filter(f"not ({_INNER})").join(ends, "first").select(F.col("id").alias("src"), "dst")
+    return found.unionByName(inner).unionByName(shared)
 
 
 def grouped(d: DataFrame) -> DataFrame:
     """Decisions with group (smallest id linked), the group's size, whether it is a purchase, its canonical decision and id."""
-    edges = duplicate_pairs(d).select("src", "dst").unionByName(lifecycle_pairs(d))
+    edges = duplicate_links(d).unionByName(lifecycle_links(d))
     found = connected_components(edges)
     role = lifecycle_role(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"))
     bought = is_lifecycle_decision(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"), F.col("supplier_key"))

@@ -6,10 +6,12 @@ from collections import Counter
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from spendlens.functions import classify, text
-from spendlens.operators import linking
+from spendlens.operators import linking, similar
+from spendlens.operators.components import connected_components
 
 
 def test_all_pairs_of_repeated_rows(spark):
@@ -43,32 +45,55 @@ def fixture_of_decisions(seed):
     return rows
 
 
-def test_duplicates_groups_and_events_against_plain_python(spark):
-    """Pairs, groups, their summary and the largest purchases of a fixture, by comparing all decisions with all."""
+def expanded(pairs):
+    """All pairs of rows that pairs of firsts and their members speak of."""
+    first = {x.src: x.dst for x in pairs if x.kind != "pair"}
+    inner = {x.dst for x in pairs if x.kind == "member"}
+    members = {}
+    for i, j in first.items():
+        members.setdefault(j, [j]).append(i)
+    of = lambda i: members.get(i, [i])
+    found = {tuple(sorted((a, b))) for x in pairs if x.kind == "pair" for a in of(x.src) for b in of(x.dst)}
+    return found | {tuple(sorted(p)) for i in inner for p in combinations(members[i], 2)}
+
+
+@pytest.mark.parametrize("large", [similar.LARGE, 3])
+def test_duplicates_groups_and_events_against_plain_python(spark, monkeypatch, large):
+    """Pairs, groups, their summary and the largest purchases of a fixture, by comparing all decisions with all; in small blocks and in large ones."""
+    monkeypatch.setattr(similar, "LARGE", large)
     rows = fixture_of_decisions(3)
+    rows += [(500 + i, f"B-{i}", *r[2:]) for i, r in enumerate(rows[:30] * 2)]
     d = spark.createDataFrame(rows, "id long, ada string, amount double, issue_date date, title string, decision_type_raw string, decision_type string, supplier_key string")
     role = classify.lifecycle_role(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"))
     bought = classify.is_lifecycle_decision(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"), F.col("supplier_key"))
     seen = {x.id: x for x in d.select("*", role.alias("role"), bought.alias("bought"), text.canonical_text(F.col("title")).alias("canon"), text.text_tokens(F.col("title")).alias("tokens")).collect()}
     ratio = lambda a, b: SequenceMatcher(None, a, b).ratio() if a and b else 0.0
     cents = lambda x: None if x.amount is None else round(x.amount * 100)
+    # A ratio may depend on the order: rows are compared as the firsts of those alike with them, the smaller id left.
+    firsts = {}
+    of_title, of_purchase = lambda x: (x.issue_date, cents(x), x.canon), lambda x: (x.supplier_key, x.issue_date.month, cents(x), x.role, x.canon, "purchase")
+    for x in (seen[i] for i in sorted(seen) if seen[i].issue_date):
+        firsts.setdefault(of_title(x), x)
+        if x.bought:
+            firsts.setdefault(of_purchase(x), x)
+    alike_by = lambda a, b, key: ratio(*(x.canon for x in sorted((firsts[key(a)], firsts[key(b)]), key=lambda x: x.id)))
     twice, linked = set(), set()
     for i, j in combinations(sorted(seen), 2):
         a, b = seen[i], seen[j]
         if a.issue_date is None or b.issue_date is None:
             continue
-        alike = ratio(a.canon, b.canon)
-        if a.issue_date == b.issue_date and cents(a) is not None and cents(a) == cents(b) and alike >= linking.DUPLICATE_SIMILARITY:
+        if a.issue_date == b.issue_date and cents(a) is not None and cents(a) == cents(b) and alike_by(a, b, of_title) >= linking.DUPLICATE_SIMILARITY:
             twice.add((i, j))
         if a.bought and b.bought and a.supplier_key == b.supplier_key and a.issue_date.month == b.issue_date.month:
+            alike = alike_by(a, b, of_purchase)
             same, other = cents(a) is not None and cents(a) == cents(b), a.role is not None and b.role is not None and a.role != b.role
             days = abs((a.issue_date - b.issue_date).days)
             shared, union = len(set(a.tokens) & set(b.tokens)), len(set(a.tokens) | set(b.tokens))
             overlap = shared / union if a.tokens and b.tokens else 0.0
             if same and days <= 90 and (other or overlap >= 0.18 or alike >= 0.35) or a.supplier_key and other and days <= 45 and (overlap >= 0.12 or alike >= 0.25):
                 linked.add((i, j))
-    assert {(x.src, x.dst) for x in linking.duplicate_pairs(d).collect()} == twice and twice
-    assert {(x.src, x.dst) for x in linking.lifecycle_pairs(d).collect()} == linked and linked
+    assert expanded(linking.duplicate_pairs(d).collect()) == twice and twice
+    assert expanded(linking.lifecycle_pairs(d).collect()) == linked and linked
     group = {i: i for i in seen}
     for i, j in sorted(twice | linked) * 140:
         group[i] = group[j] = min(group[i], group[j])
@@ -88,3 +113,40 @@ def test_duplicates_groups_and_events_against_plain_python(spark):
     top = linking.top_events(g.withColumns({"tags": F.array().cast("array<string>"), "is_revocation": F.lit(False)}), 10).collect()
     assert sorted((x.amount for x in best.values()), reverse=True)[:10] == [x.amount for x in top]
     assert all((x.ada, x.decisions, x.related_adas) == (best[x.canonical_id].ada, len(events[x.canonical_id]), sorted(y.ada for y in events[x.canonical_id])) for x in top)
+
+
+def hot_block(n):
+    """One date and amount: payments that differ in a number, far ones, two of another kind, and chains of small steps."""
+    titles = [f"πληρωμή τιμολογίου {i:06d} προμηθευτή" for i in range(n)]
+    titles += [f"{chr(945 + i % 24) * (3 + i % 40)} {chr(97 + i % 26) * (5 + i // 26)}" for i in range(n // 10)]
+    titles += ["μελέτη οδοποιίας δήμου", "μελέτη οδοποιίας δήμων"]
+    return titles + ["abcdefghij" * 2 + "z" * i for i in range(0, 12, 2)]
+
+
+def test_links_join_what_pairs_join_in_a_large_block(spark):
+    """Title links and pairs of one block against comparing all with all."""
+    titles = sorted(set(hot_block(120)))
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    want = {(i, j) for i, j in combinations(range(len(titles)), 2) if ratio(titles[i], titles[j]) >= 0.82}
+    nodes = spark.createDataFrame(list(enumerate(titles)), "id long, title string").withColumns({"letters": similar.letters(F.col("title")), "block": F.lit(1)})
+    got = similar.title_pairs(nodes, ["block"], 0.82, linking.title_ratio).collect()
+    assert {(x.src, x.dst) for x in got} == want and len(got) == len(want)
+    links = similar.title_links(nodes, ["block"], 0.82, linking.title_ratio)
+    assert links.count() < len(want) / 10
+    group = {i: i for i in range(len(titles))}
+    for _ in range(len(titles)):
+        before = dict(group)
+        for i, j in want:
+            group[i] = group[j] = min(group[i], group[j])
+        if before == group:
+            break
+    found = {x.node: x.component for x in connected_components(links).collect()}
+    assert {i: found.get(i, i) for i in group} == group
+
+
+def test_numbered_letters_bound_the_ratio():
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abcd ") for _ in range(r.randint(1, 20))) for _ in range(2))
+        shared = len(set(similar.numbered_letters(a)) & set(similar.numbered_letters(b)))
+        assert SequenceMatcher(None, a, b).ratio() <= 2 * shared / (len(a) + len(b)) + 1e-12
