@@ -87,16 +87,25 @@ def pair(a: str, b: str) -> Pair:
     return Pair(a, b)
 
 
+def _token(last: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The number of the token in which each byte lies; last: which bytes a token ends with."""
+    return np.cumsum(last, dtype=np.int64)[at] - last[at]
+
+
 class Aligned:
     """The links and groups of some documents. a, b: the ids of all of them; a_bounds, b_bounds: where each document's begin, and the end."""
 
     def __init__(self, tokenizers: Pair, a: np.ndarray, a_bounds: np.ndarray, b: np.ndarray, b_bounds: np.ndarray):
         self.a, self.b, self.a_bounds, self.b_bounds = a, b, a_bounds, b_bounds
         # Both say the same bytes in each document, so offsets run on from one document to the next.
-        self.a_ends, self.b_ends = np.cumsum(tokenizers.sizes("a")[a]), np.cumsum(tokenizers.sizes("b")[b])
+        self.a_ends, self.b_ends = (np.cumsum(tokenizers.sizes(side)[ids]) for side, ids in (("a", a), ("b", b)))
+        # Which bytes a token ends with, and how many tokens ended before each byte: the token that a byte lies in.
+        size = int(self.a_ends[-1]) if len(self.a_ends) else 0
+        self.a_last, self.b_last = np.zeros(size, bool), np.zeros(size, bool)
+        self.a_last[self.a_ends - 1] = self.b_last[self.b_ends - 1] = True
         # Each stretch between neighbouring ends, of either, lies in one token of A and one of B: it is their link.
-        ends = np.union1d(self.a_ends, self.b_ends)
-        self.link_a, self.link_b = np.searchsorted(self.a_ends, ends), np.searchsorted(self.b_ends, ends)
+        last = np.flatnonzero(self.a_last | self.b_last)
+        self.link_a, self.link_b = _token(self.a_last, last), _token(self.b_last, last)
 
     def pairs(self) -> np.ndarray:
         """The id pair of each link as one number."""
@@ -108,9 +117,10 @@ class Aligned:
 
     def groups(self) -> tuple[np.ndarray, list[bytes]]:
         """How many groups each document has, and what they are: ``a1,a2|b1;a3|b2,b3``."""
-        both = np.intersect1d(self.a_ends, self.b_ends, assume_unique=True)
-        in_a, in_b = np.searchsorted(both, self.a_ends), np.searchsorted(both, self.b_ends)
-        n_a, n_b = np.bincount(in_a, minlength=len(both)), np.bincount(in_b, minlength=len(both))
+        both = self.a_last & self.b_last
+        in_a, in_b = _token(both, self.a_ends - 1), _token(both, self.b_ends - 1)
+        n = int(np.count_nonzero(both))
+        n_a, n_b = np.bincount(in_a, minlength=n), np.bincount(in_b, minlength=n)
         first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
         at = np.r_[0, np.cumsum(2 * (n_a + n_b))]  # every id has a mark behind it
         flat, starts, sizes = _numbers(int(max(self.a.max(initial=0), self.b.max(initial=0))) + 1)
@@ -234,12 +244,15 @@ def distinct_pairs(rows: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """(key) of every id pair that is linked anywhere, each once; a task says a pair once."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, known, new = pair(*paths), np.empty(0, np.int64), []
+        both, known = pair(*paths), np.empty(0, np.uint64)
+        there = bpe.Lookup(known)
         for batch in batches:
-            new.append(np.unique(_aligned(both, batch).pairs()))
-            if sum(map(len, new)) > 4_000_000:
-                known, new = np.unique(np.concatenate([known, *new])), []
-        known = np.unique(np.concatenate([known, *new]))
+            pairs = _aligned(both, batch).pairs().astype(np.uint64)
+            new = np.unique(pairs[there(pairs) < 0] if len(known) else pairs)
+            if len(new):
+                known = np.concatenate([known, new])
+                there = bpe.Lookup(known)
+        known = known.view(np.int64)
         for i in range(0, len(known), 65_536):
             yield pa.RecordBatch.from_arrays([pa.array(known[i : i + 65_536])], ["key"])
 
@@ -338,8 +351,7 @@ def count_pairs(rows: DataFrame, paths: tuple[str, str], hashed: str, n: int) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, total, part = pair(*paths), np.zeros(n, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            keys, times = np.unique(_aligned(both, batch).pairs(), return_counts=True)
-            total[numbers(hashed, keys)] += times
+            np.add.at(total, numbers(hashed, _aligned(both, batch).pairs()), 1)
         for i in range(0, n, PIECE):
             some = total[i : i + PIECE]
             if some.any():
@@ -386,11 +398,10 @@ def align(docs: DataFrame, text: str = "text", id_col: str = "doc_id", a: str |
         counts, best = _counts(counted, hashed)
         for batch in batches:
             found = _aligned(both, batch)
-            keys, where = np.unique(found.pairs(), return_inverse=True)
-            at = numbers(hashed, keys)
+            at = numbers(hashed, found.pairs())
             if (at < 0).any():
                 raise ValueError("a pair was not counted: the documents have changed")
-            sums = [found.links_by_document(x) for x in (np.ones(len(where), np.int64), best[at].astype(np.int64)[where], counts[at][where])]
+            sums = [found.links_by_document(x) for x in (np.ones(len(at), np.int64), best[at], counts[at])]
             n_groups, groups = found.groups()
             columns = [np.diff(found.a_bounds), np.diff(found.b_bounds), n_groups, *sums]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array([g.decode() for g in groups], pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
