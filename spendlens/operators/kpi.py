@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.dates import delay_days
 from ..functions.numbers import percent_change
+from .rolling import quantiles
 
 
 def with_delay(d: DataFrame, start: str = "issue_ts", end: str = "publish_ts") -> DataFrame:
@@ -17,10 +18,17 @@ def with_delay(d: DataFrame, start: str = "issue_ts", end: str = "publish_ts") -
 
 def indicators(d: DataFrame, *by: str) -> DataFrame:
     """Count, median and 90th percentile of the delay, and shares without publication or organisation, in per cent."""
-    q = F.percentile("delay", F.array(F.lit(0.5), F.lit(0.9)))
     pct = lambda c: F.try_divide(F.count_if(F.col(c).isNull()) * 100, F.count("*"))
-    g = d.groupBy(*by).agg(F.count("*").alias("decisions"), q.alias("q"), pct("publish_ts").alias("pct_no_publication"), pct("org").alias("pct_no_org"))
-    return g.select(*by, "decisions", F.col("q")[0].alias("median_delay"), F.col("q")[1].alias("p90_delay"), "pct_no_publication", "pct_no_org")
+    g = d.groupBy(*by).agg(F.count("*").alias("decisions"), pct("publish_ts").alias("pct_no_publication"), pct("org").alias("pct_no_org"))
+    g = _beside(g, quantiles(d, list(by), "delay", {"median_delay": 0.5, "p90_delay": 0.9}), list(by))
+    return g.select(*by, "decisions", "median_delay", "p90_delay", "pct_no_publication", "pct_no_org")
+
+
+def _beside(g: DataFrame, q: DataFrame, by: list[str]) -> DataFrame:
+    """Groups with their quantiles; groups may be null."""
+    more = [c for c in q.columns if c not in by]
+    q = q.select(*[F.col(c).alias(f"__{c}") for c in by], *more)
+    return g.join(q, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] if by else F.lit(True), "left").drop(*[f"__{c}" for c in by])  # without groups one row each
 
 
 def type_mix(d: DataFrame, top: int = 5) -> DataFrame:
@@ -31,7 +39,7 @@ def type_mix(d: DataFrame, top: int = 5) -> DataFrame:
 
 def monthly_trend(d: DataFrame) -> DataFrame:
     """Of each month the count and median delay, the means of the last 6 and 12 months' counts, and the counts of the three months before."""
-    m = d.groupBy("year", "month").agg(F.count("*").alias("decisions"), F.percentile("delay", F.lit(0.5)).alias("median_delay"))
+    m = _beside(d.groupBy("year", "month").agg(F.count("*").alias("decisions")), quantiles(d, ["year", "month"], "delay", {"median_delay": 0.5}), ["year", "month"])
     w = Window.orderBy("year", "month")  # one row a month
     back = lambda n: F.avg("decisions").over(w.rowsBetween(1 - n, 0))
     return m.select("year", "month", "decisions", "median_delay", back(6).alias("mean_6"), back(12).alias("mean_12"), *[F.lag("decisions", k).over(w).alias(f"m_{k}") for k in (1, 2, 3)])
@@ -42,7 +50,11 @@ def period_comparison(d: DataFrame, year: int, month: int) -> DataFrame:
     now, at = year * 12 + month - 1, F.col("year") * 12 + F.col("month") - 1
     this_year, last_year = (F.col("year") == year) & (F.col("month") <= month), (F.col("year") == year - 1) & (F.col("month") <= month)
     scopes = {"month": at == now, "previous": at == now - 1, "year_before": at == now - 12, "ytd": this_year, "ytd_before": last_year}
-    c = d.filter(F.col("year").isin(year, year - 1)).agg(*[F.count_if(s).alias(n) for n, s in scopes.items()], F.percentile(F.when(scopes["month"], F.col("delay")), F.lit(0.5)).alias("median_delay"), F.percentile(F.when(scopes["previous"], F.col("delay")), F.lit(0.5)).alias("median_delay_previous"))
+    some = d.filter(F.col("year").isin(year, year - 1))
+    c = some.agg(*[F.count_if(s).alias(n) for n, s in scopes.items()])
+    scope = some.withColumn("__scope", F.when(scopes["month"], "median_delay").when(scopes["previous"], "median_delay_previous")).filter("__scope is not null")
+    medians = quantiles(scope, ["__scope"], "delay", {"q": 0.5}).agg(*[F.max(F.when(F.col("__scope") == n, F.col("q"))).alias(n) for n in ("median_delay", "median_delay_previous")])
+    c = c.join(medians, F.lit(True))  # one row each
     return c.withColumns({"mom_pct": percent_change(F.col("month"), F.col("previous")), "yoy_pct": percent_change(F.col("month"), F.col("year_before")), "ytd_pct": percent_change(F.col("ytd"), F.col("ytd_before"))})
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
 from ..functions.text import canonical_text
+from .rolling import daily, over_days, quantiles
 from .signals import procurement_only
 
 
@@ -28,9 +29,12 @@ def split_awards(d: DataFrame, limit: float, days: int = 90, *by: str) -> DataFr
     """Awards each below a limit that together pass it within so many days, to one supplier (and org, category ...)."""
     keys = list(by) or ["org", "supplier_tax_id"]
     a = procurement_only(d).filter((F.col("amount") < limit) & F.col("supplier_tax_id").isNotNull() & F.col("issue_date").isNotNull())
-    w = Window.partitionBy(*keys).orderBy(F.unix_date("issue_date")).rangeBetween(-days, 0)
-    a = a.withColumns({"window_total": F.sum("amount").over(w), "window_awards": F.count("*").over(w)})
-    return a.filter((F.col("window_total") > limit) & (F.col("window_awards") > 1)).select(*keys, "ada", "issue_date", "amount", "window_total", "window_awards")
+    sums = daily(a, keys, {"window_total": F.sum("amount"), "window_awards": F.count("*")})
+    sums = over_days(sums, keys, -days, 0, {"window_total": F.sum("window_total"), "window_awards": F.sum("window_awards")})
+    sums = sums.filter((F.col("window_total") > limit) & (F.col("window_awards") > 1))
+    # Back to the awards of those days; a key may be null, as in a window.
+    j = a.withColumn("day", F.unix_date("issue_date")).join(sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("day").alias("__day"), "window_total", "window_awards"), [F.col("day") == F.col("__day"), *[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]])
+    return j.select(*keys, "ada", "issue_date", "amount", "window_total", "window_awards")
 
 
 def outlier_organisations(d: DataFrame, sigmas: float = 2.0) -> DataFrame:
@@ -136,7 +140,7 @@ def absent_from(d: DataFrame, register: DataFrame, key: str, least: float = 140_
 
 def price_outliers(d: DataFrame, times: float = 2.0, by: tuple[str, ...] = ("cpv", "year")) -> DataFrame:
     """Awards so many times the median of their category and year."""
-    m = procurement_only(d).groupBy(*by).agg(F.percentile("amount", F.lit(0.5)).alias("median_amount"))
+    m = quantiles(procurement_only(d), list(by), "amount", {"median_amount": 0.5})
     j = procurement_only(d).join(m, list(by)).withColumn("times", F.try_divide("amount", "median_amount"))
     return j.filter(F.col("times") > times).select("ada", *by, "amount", "median_amount", "times")
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import vocabulary as V
 from ..functions.classify import is_emergency
 from ..functions.numbers import is_non_round
+from .rolling import daily, over_days
 
 EMERGENCY_SHARE, EMERGENCY_AMOUNT = 0.15, 60_000
 YEAR_END_FROM, YEAR_END_DAYS, REST_DAYS, YEAR_END_TIMES, LEAST_YEAR = 22, 10, 355, 3.0, 3000
@@ -112,19 +113,22 @@ def _priced(d: DataFrame) -> DataFrame:
 def copied_amounts(d: DataFrame, copies: int = LEAST_COPIES, dates: int = 5) -> DataFrame:
     """The same amount, no multiple of 100, to the same supplier again, with its first dates."""
     p = _priced(d)
-    g = p.groupBy("supplier_tax_id", "amount").agg(F.count("ada").alias("occurrences"), F.min("supplier_name").alias("supplier_name"), F.slice(F.array_sort(F.collect_list("issue_date")), 1, dates).alias("dates"))
-    return g.filter(F.col("occurrences") >= copies)
+    g = p.groupBy("supplier_tax_id", "amount").agg(F.count("ada").alias("occurrences"), F.min("supplier_name").alias("supplier_name")).filter(F.col("occurrences") >= copies)
+    # A fixed monthly fee has very many dates: only the first of them are gathered.
+    first = Window.partitionBy("supplier_tax_id", "amount").orderBy("issue_date")
+    some = p.filter("issue_date is not null").select("supplier_tax_id", "amount", "issue_date").withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= dates)
+    some = some.groupBy("supplier_tax_id", "amount").agg(F.array_sort(F.collect_list("issue_date")).alias("dates"))
+    return g.join(some, ["supplier_tax_id", "amount"], "left").withColumn("dates", F.coalesce("dates", F.array().cast("array<date>")))
 
 
 def award_burst(d: DataFrame, awards: int = BURST_AWARDS, days: int = BURST_DAYS) -> DataFrame:
     """Of each supplier the first award with so many direct awards from it on within so many days."""
     a = d.filter(F.col("decision_type").isin(*V.DIRECT_AWARD_TYPES) & F.col("supplier_tax_id").isNotNull() & F.col("issue_date").isNotNull())
-    a = a.withColumn("__day", F.unix_date("issue_date"))
-    ahead = Window.partitionBy("supplier_tax_id").orderBy("__day").rangeBetween(0, days)
-    a = a.withColumns({"awards_in_window": F.count("*").over(ahead), "window_end": F.max("issue_date").over(ahead), "total_amount": F.sum("amount").over(ahead)})
-    first = F.struct("issue_date", "awards_in_window", "window_end", "total_amount")
+    a = daily(a, ["supplier_tax_id"], {"n": F.count("*"), "amount": F.sum("amount")})
+    a = over_days(a, ["supplier_tax_id"], 0, days, {"awards_in_window": F.sum("n"), "window_end": F.max("day"), "total_amount": F.sum("amount")})
+    first = F.struct("day", "awards_in_window", "window_end", "total_amount")
     f = a.filter(F.col("awards_in_window") >= awards).groupBy("supplier_tax_id").agg(F.min(first).alias("f"))
-    return f.select("supplier_tax_id", F.col("f.issue_date").alias("window_start"), "f.window_end", "f.awards_in_window", "f.total_amount")
+    return f.select("supplier_tax_id", F.date_from_unix_date("f.day").alias("window_start"), F.date_from_unix_date("f.window_end").alias("window_end"), "f.awards_in_window", "f.total_amount")
 
 
 def standard_prices(d: DataFrame, suppliers: int = LEAST_SUPPLIERS) -> DataFrame:
