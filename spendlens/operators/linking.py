@@ -17,6 +17,7 @@ from ..functions.numbers import amount_bucket, cents
 from ..functions.text import canonical_text, compact_text, text_tokens, token_overlap
 from .components import connected_components
 from .durable import cut
+from .near_amounts import tolerance_links
 from .similar import letters, links, sides, title_links, title_pairs
 
 TOLERANCE, WINDOW_DAYS = 0.02, 180
@@ -67,24 +68,21 @@ def same_rows(rows: DataFrame) -> DataFrame:
     return rows.join(first, alike).select(F.col("id").alias("src"), "dst").filter("src <> dst")
 
 
-def all_tolerance_pairs(rows: DataFrame, strict_supplier: bool = False, **options) -> DataFrame:
-    """(src, dst), src the smaller: every pair that ``tolerance_pairs`` speaks of, those of rows alike in amount, date and supplier too.
+def tolerance_classes(rows: DataFrame, **options) -> DataFrame:
+    """(src, dst, kind): the pairs of ``tolerance_pairs``, src the smaller, and every row with the first of those alike in amount, date and supplier.
 
-    As many rows as there are pairs, so a group of n alike rows makes n (n - 1) / 2. ids are unique.
+    kind `pair`: two that differ, each by its first; `member`: a row and its first. A row has the pairs of its first, and members match each
+    other (with ``strict_supplier`` those of a known supplier). ids are unique.
     """
-    firsts = rows.filter("amount > 0").groupBy("amount", "issue_date", "supplier_tax_id").agg(F.min("id").alias("id"))
-    member = same_rows(rows).unionByName(firsts.select(F.col("id").alias("src"), F.col("id").alias("dst")))
-    of = lambda end: member.select(F.col("src").alias(f"m_{end}"), F.col("dst").alias(end))
-    across = tolerance_pairs(rows, strict_supplier=strict_supplier, **options).join(of("src"), "src").join(of("dst"), "dst")
-    known = firsts.filter("supplier_tax_id is not null") if strict_supplier else firsts
-    inside = known.select(F.col("id").alias("src")).join(of("src"), "src").withColumnRenamed("m_src", "a").join(of("src"), "src").filter("a < m_src")
-    pairs = across.select(F.col("m_src").alias("a"), F.col("m_dst").alias("b")).unionByName(inside.select("a", F.col("m_src").alias("b")))
-    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    pairs = tolerance_pairs(rows, **options)
+    pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.lit("pair").alias("kind"))
+    return pairs.unionByName(same_rows(rows).withColumn("kind", F.lit("member")))
 
 
-def contract_members(rows: DataFrame, **options) -> DataFrame:
+def contract_members(rows: DataFrame, tolerance: float = TOLERANCE, days: int = WINDOW_DAYS, strict_supplier: bool = False) -> DataFrame:
     """rows with component: the smallest id of those linked, its own where none is (rows without an amount always)."""
-    edges = tolerance_pairs(rows, **options).unionByName(same_rows(rows))
+    alike = cut(rows.filter("amount > 0").groupBy("amount", "issue_date", "supplier_tax_id").agg(F.min("id").alias("id")))
+    edges = tolerance_links(alike, tolerance, days, strict_supplier).unionByName(same_rows(rows))
     found = connected_components(edges)
     return rows.join(found, rows["id"] == found["node"], "left").drop("node").withColumn("component", F.coalesce("component", "id"))
 

@@ -27,8 +27,38 @@ def test_all_pairs_of_repeated_rows(spark):
                     supplier = a[3] == b[3] if a[3] and b[3] else not strict
                     dates = abs((a[2] - b[2]).days) <= 180 if a[2] and b[2] else True
                     want += [(a[0], b[0])] * (supplier and dates)
-        got = linking.all_tolerance_pairs(df, strict_supplier=strict).collect()
-        assert sorted((x.src, x.dst) for x in got) == want
+        got = expanded(linking.tolerance_classes(df, strict_supplier=strict).collect())
+        if strict:  # members without a supplier do not match each other
+            got = {(i, j) for i, j in got if rows[i][3] and rows[j][3]}
+        assert sorted(got) == want
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_components_with_unknown_dates_and_suppliers(spark, strict):
+    """Members of contracts against comparing all rows with all, at cells' edges and diagonals; links stay linear where a third is unknown."""
+    from spendlens.operators.near_amounts import tolerance_links
+
+    for seed in range(3):
+        r = random.Random(seed)
+        day = lambda: datetime.date(2020, 1, 1) + datetime.timedelta(r.choice([r.randint(0, 900), 180, 360, 0]))
+        rows = [(i, r.choice([100.0, 100.0 / 0.98, 98.0, round(100 * 1.013 ** r.randint(0, 130), 2), 0.0, None]), day() if r.random() < 0.8 else None, r.choice("abcdefgh") if r.random() < 0.85 else None) for i in range(160 if seed else 60)]
+        df = spark.createDataFrame(rows, "id long, amount double, issue_date date, supplier_tax_id string")
+        group = {row[0]: row[0] for row in rows}
+        pairs = []
+        for a, b in combinations(rows, 2):
+            if a[1] and b[1] and abs(a[1] - b[1]) / max(a[1], b[1]) <= 0.02:
+                supplier = a[3] == b[3] if a[3] and b[3] else not strict or (a[1:] == b[1:])
+                pairs += [(a[0], b[0])] * (supplier and (not a[2] or not b[2] or abs((a[2] - b[2]).days) <= 180))
+        while True:
+            before = dict(group)
+            for i, j in pairs:
+                group[i] = group[j] = min(group[i], group[j])
+            if before == group:
+                break
+        got = {x.id: x.component for x in linking.contract_members(df, strict_supplier=strict).collect()}
+        assert got == group
+    hot = spark.range(3_000).select("id", (F.lit(100.0) + F.col("id") / 10_000).alias("amount"), F.when(F.col("id") % 3 > 0, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 400).cast("int"))).alias("issue_date"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 5)).alias("supplier_tax_id"))
+    assert tolerance_links(hot, 0.02, 180).count() < 40 * 3_000
 
 
 def fixture_of_decisions(seed):
