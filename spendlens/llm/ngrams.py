@@ -38,7 +38,7 @@ from . import pretokens
 from .common import cut, shared_dir, small_batches, stored
 
 #: Tokens that a shard and a block shall hold, shards at most, and the least share of a block with which a word may be a hot one.
-SHARD_TOKENS, BLOCK_TOKENS, MAX_SHARDS, LEAST_SHARE = 4_000_000, 4_000_000, 1 << 16, 1 / (1 << 14)
+SHARD_TOKENS, BLOCK_TOKENS, MAX_SHARDS, LEAST_SHARE = 3_000_000, 1_500_000, 1 << 16, 1 / (1 << 14)
 FALLBACK = (0.5, 1.0, 1.5)
 
 
@@ -408,17 +408,18 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
             order = np.argsort(places)  # words that are not there stand together behind the others
             count = np.empty(len(distinct), np.int64)
             count[order] = model.at(places[order], "counts")
-            first = np.unique(_before(words, bounds), return_inverse=True)
             base = np.log10((count + 1) / (model.tokens + model.words + 1))[inverse]
             ids = np.array([r[0] or 0 for r in rows], np.int64)
             state = np.array([2 * (r[0] is None) + bool(r[1]) for r in rows], np.int64)
             sums = np.bincount(doc, base, len(rows))
             yield _asked(row // len(rows) % model.shards, 0, pack(np.array([row]), ids, state, np.diff(bounds), np.bincount(doc, count[inverse] > 0, len(rows)).astype(np.int64), sums.view(np.int64)))
+            shard = model.shard(_before(words, bounds), words)
+            place = places[inverse]
             # START is no word of the vocabulary and stands behind those that are not there.
-            before_place = places[np.minimum(np.searchsorted(distinct, first[0]), len(distinct) - 1)]
-            before_place[first[0] == START] = model.words + 1
-            before, place = before_place[first[1]], places[inverse]
-            for s, at in _by_shard(model.shard(_before(words, bounds), words), model.shards):
+            before = np.r_[model.words + 1, place[:-1]]
+            before[bounds[:-1]] = model.words + 1
+            del base, inverse, distinct, words
+            for s, at in _by_shard(shard, model.shards):
                 known, order, b, w = _coded(before[at], place[at])
                 yield _asked(s, 1, pack(np.array([row]), known, b, w, doc[at][order]))
             row += len(rows)
