@@ -48,14 +48,14 @@ def keep_first(d: DataFrame, order: list[Column | str], key: str = "ada") -> Dat
     return d.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def keep_richest(d: DataFrame, score: Column, order: list[Column | str], key: str = "ada") -> DataFrame:
+def keep_richest(d: DataFrame, score: Column, order: list[str], key: str = "ada") -> DataFrame:
     """Of rows with one key the one with the most filled, its nulls filled from the next; rows without a key all stay. duplicates: how many it stands for."""
-    named = d.filter(F.col(key).isNotNull())
-    w = Window.partitionBy(key).orderBy(score.desc(), *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = d.filter(F.col(key).isNotNull()).withColumn("__by", F.struct((-score).alias("s"), *order))
     rest = [c for c in d.columns if c != key]
-    filled = named.select(key, *[F.first(c, ignorenulls=True).over(w).alias(c) for c in rest], F.row_number().over(Window.partitionBy(key).orderBy(score.desc(), *order)).alias("__n"), F.count("*").over(Window.partitionBy(key)).alias("duplicates"))
+    # Of each column the value of the first row that has one: aggregates, so that a key's rows meet partly before the shuffle.
+    filled = named.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__by"))).alias(c) for c in rest], F.count("*").alias("duplicates"))
     alone = d.filter(F.col(key).isNull()).withColumn("duplicates", F.lit(1).cast("long"))
-    return filled.filter("__n = 1").drop("__n").unionByName(alone.select(key, *rest, "duplicates"))
+    return filled.unionByName(alone.select(key, *rest, "duplicates"))
 
 
 def merge_windows(existing: DataFrame, fetched: DataFrame, key: str = "ada") -> DataFrame:

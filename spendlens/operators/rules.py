@@ -5,12 +5,12 @@ Input as for signals; cpv is a category code, signer a person, org an organisati
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
-from ..functions.text import canonical_text
+from ..functions.text import bound, canonical_text
 from .rolling import daily, over_days, quantiles
 from .signals import procurement_only
 
@@ -127,10 +127,36 @@ def registry_red_flags(awards: DataFrame, registry: DataFrame, activity_words: D
     }).drop("__words", "first_award")
 
 
+#: Letters of a name's word from which on one of them may differ.
+LEAST_LETTERS = 4
+
+
+def _name_keys(name: Column) -> Column:
+    """array<struct<rest, near, word>>: of a name's words, in any order, each in turn: the others, and the word whole and without each of its letters."""
+
+    def turn(words: Column, i: Column) -> Column:
+        word, rest = F.get(words, i), F.array_join(F.concat(F.slice(words, 1, i), F.slice(words, i + 2, F.size(words))), " ")
+        less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda j: F.concat(F.substring(word, F.lit(1), j - 1), F.substring(word, j + 1, F.length(word))))
+        near = F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= LEAST_LETTERS, less).otherwise(F.array().cast("array<string>"))))
+        return F.transform(near, lambda x: F.struct(rest.alias("rest"), x.alias("near"), word.alias("word")))
+
+    words = F.array_sort(F.filter(F.split(canonical_text(name), " "), lambda w: w != ""))
+    return bound(words, lambda ws: F.when(F.size(ws) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: turn(ws, i)))))
+
+
 def signer_links(d: DataFrame, persons: DataFrame) -> DataFrame:
-    """(ada, supplier_tax_id, person): decisions signed by someone named like a person (supplier_tax_id, person) of the supplier."""
-    p = persons.select("supplier_tax_id", "person", canonical_text(F.col("person")).alias("__n")).filter("__n <> ''")
-    return d.withColumn("__n", canonical_text(F.col("signer"))).join(p, ["supplier_tax_id", "__n"]).select("ada", "supplier_tax_id", "person")
+    """(ada, supplier_tax_id, person): decisions signed by someone named like a person (supplier_tax_id, person) of the supplier.
+
+    Names are alike if their words are, in any order, but for one letter (added, left out or another) of one word of LEAST_LETTERS or more.
+    Names meet by all words but one and what is left of that one without a letter, once for each different name of a supplier.
+    """
+    key = ["supplier_tax_id", "rest", "near"]
+    of = lambda rows, name: rows.filter(F.col("supplier_tax_id").isNotNull() & F.col(name).isNotNull()).select("supplier_tax_id", name).distinct().withColumn("k", F.explode(_name_keys(F.col(name)))).select("supplier_tax_id", name, "k.rest", "k.near", F.col("k.word").alias(f"{name}_word"))
+    met = of(d, "signer").join(of(persons, "person"), key)
+    long = F.least(F.length("signer_word"), F.length("person_word")) >= LEAST_LETTERS
+    alike = (F.col("signer_word") == F.col("person_word")) | (long & (F.levenshtein("signer_word", "person_word", 1) == 1))
+    pairs = met.filter(alike).select("supplier_tax_id", "signer", "person").distinct()
+    return d.join(pairs, ["supplier_tax_id", "signer"]).select("ada", "supplier_tax_id", "person")
 
 
 def absent_from(d: DataFrame, register: DataFrame, key: str, least: float = 140_000) -> DataFrame:

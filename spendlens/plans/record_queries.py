@@ -62,30 +62,31 @@ def cached_months(spark, sf_dir):
     return X.cached_months(spark.read.parquet(path))
 
 
-@query("src3_read_details", "SELECT 'org' AS org, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, CASE WHEN o_orderkey % 16 = 3 THEN 'O-' || o_orderkey ELSE 'F-' || o_orderkey END AS ada, CAST(o_totalprice AS VARCHAR) AS amount FROM orders WHERE o_orderkey % 1000 = 3 OR o_orderkey % 1000 = 11")
+@query("src3_read_details", "SELECT 'org' AS org, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, CASE WHEN o_orderkey % 16 = 3 THEN 'O-' || o_orderkey ELSE 'F-' || o_orderkey END AS ada, CAST(o_totalprice AS VARCHAR) AS amount FROM orders")
 def read_details(spark, sf_dir):
-    """Detail records, one a file, wrapped and not, some without an id of their own: those have that of their file."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 1000 in (3, 11)")  # a file each: the feature is the file's name
+    """Detail records, one a file, wrapped and not, most without an id of their own: those have that of their file."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     key = F.col("o_orderkey").cast("string")
     record = F.to_json(F.struct(F.when(F.col("o_orderkey") % 16 == 3, F.concat(F.lit("O-"), key)).alias("ada"), F.col("o_totalprice").cast("string").alias("amount")))
-    text = F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit('{"decision": '), record, F.lit("}")))
+    text = F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit('{"decision": '), record, F.lit("}"))).otherwise(record)
     path = folder(spark, "details")
-    rows = o.select(F.lit("org").alias("organization_uid"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.concat(F.lit("F-"), key).alias("name"), text.alias("value"))
-    rows.repartition(4).write.partitionBy("organization_uid", "year", "month", "name").text(f"{path}/parts")
-    _rename_parts(spark, f"{path}/parts", f"{path}/root")
-    d = X.read_details(spark, f"{path}/root")
+    X.write_details(o.select(F.lit("org").alias("org"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), F.concat(F.lit("F-"), key).alias("name"), text.alias("detail")), path)
+    d = X.read_details(spark, path)
     return d.select("org", "year", "month", "ada", F.get_json_object("detail", "$.amount").alias("amount"))
 
 
-def _rename_parts(spark, parts: str, root: str) -> None:
-    """Moves organization_uid=/year=/month=/name=<n>/part-* to organization_uid=/year=/month=/decisions/<n>.json, in the file system that holds them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(parts).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.globStatus(path(f"{parts}/*/*/*/*/part-*")):
-        *_, org, year, month, name, _file = status.getPath().toString().split("/")
-        target = f"{root}/{org}/{year}/{month}/decisions"
-        fs.mkdirs(path(target))
-        fs.rename(status.getPath(), path(f"{target}/{name.partition('=')[2]}.json"))
+@query("snk3_checked_write", f"WITH {D}, u AS (SELECT org, ada, min(amount) AS amount FROM d GROUP BY org, ada) SELECT org, count(*) AS decisions, round(sum(amount), 2) AS amount FROM u GROUP BY org")
+def checked_write(spark, sf_dir):
+    """One row for each decision, written with its checks, and read back; a second write with repeated ids is refused and leaves the first."""
+    path, d = folder(spark, "checked"), decisions(spark, sf_dir).select("org", "ada", "amount")
+    one = d.groupBy("org", "ada").agg(F.min("amount").alias("amount"))
+    X.write_checked(one.withColumn("key", F.concat_ws("|", "org", "ada")), path, "key", ("amount",), ("org",))
+    try:
+        X.write_checked(one.unionByName(one).withColumn("key", F.concat_ws("|", "org", "ada")), path, "key", ("amount",), ("org",))
+    except ValueError:
+        back = spark.read.schema("ada string, amount double, key string, org string").parquet(path)
+        return back.groupBy("org").agg(F.count("*").alias("decisions"), F.round(F.sum("amount"), 2).alias("amount"))
+    raise AssertionError("repeated ids were written")
 
 
 @query("src10_read_either", f"WITH {D} SELECT 'csv' AS kind, ada, amount FROM d UNION ALL SELECT 'parquet', ada, amount FROM d WHERE month = 1")

@@ -426,6 +426,19 @@ def signer_links(spark, sf_dir):
     return rules.signer_links(decisions(spark, sf_dir), s)
 
 
+@query("doc_t7_names_spelled_otherwise", f"""WITH {D}, w AS (SELECT *, CAST(split_part(signer, ' ', 2) AS INT) AS k, CAST(split_part(ada, '-', 2) AS INT) % 3 AS way FROM d), x AS (SELECT *, CASE way WHEN 1 THEN 'nikl' ELSE 'nikol' END || chr(97 + k % 20) || chr(97 + k // 20) || 'idis' AS word FROM w),
+s AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS supplier_tax_id, 'nikol' || chr(97 + s_suppkey % 40 % 20) || chr(97 + s_suppkey % 40 // 20) || 'idis' AS word FROM supplier)
+SELECT ada, supplier_tax_id, 'Géorg ' || s.word AS person FROM x JOIN s USING (supplier_tax_id) WHERE levenshtein(x.word, s.word) <= 1""")
+def names_spelled_otherwise(spark, sf_dir):
+    """Signers with their names the other way round, or with a letter left out, and neighbours whose names differ by one."""
+    word = lambda k, stem: F.concat(stem, F.char(F.lit(97) + k % 20), F.char(F.lit(97) + F.floor(k / 20)), F.lit("idis"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("supplier_tax_id"), F.concat(F.lit("Géorg "), word(F.col("s_suppkey") % 40, F.lit("nikol"))).alias("person"))
+    k, way = F.split("signer", " ")[1].cast("int"), F.split("ada", "-")[1].cast("int") % 3
+    name = word(k, F.when(way == 1, "nikl").otherwise("nikol"))
+    d = decisions(spark, sf_dir).withColumn("signer", F.when(way == 0, F.concat(F.upper(name), F.lit(", GEORG"))).otherwise(F.concat(F.lit("georg "), name)))
+    return rules.signer_links(d, s)
+
+
 @query("doc_t9_absent", f"WITH {D}, {P} SELECT ada, amount, org FROM p WHERE amount >= 80000 AND split_part(ada, '-', 1) NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F')")
 def absent(spark, sf_dir):
     register = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("order_id"))

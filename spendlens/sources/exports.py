@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -50,6 +56,26 @@ def read_details(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("ada", F.coalesce(F.nullif(as_map(F.col("detail"))["ada"], F.lit("")), F.col("file"))).drop("file")
 
 
+def write_details(details: DataFrame, root: str) -> None:
+    """Detail records (org, year, month, name, detail), one a file below organization_uid=/year=/month=/decisions, written where they are; for folders that pyarrow reaches."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pyarrow.fs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        made, n = set(), 0
+        for batch in batches:
+            for org, year, month, name, detail in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{base}/organization_uid={quote(org, safe='')}/year={year}/month={month}/decisions"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{folder}/{quote(name, safe='')}.json") as f:
+                    f.write(detail.encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    details.select("org", "year", "month", "name", "detail").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def first_months(df: DataFrame, n: int) -> DataFrame:
     """The rows of the first n months of each organisation."""
     months = df.select("org", "year", "month").distinct()
@@ -154,6 +180,38 @@ def write_split(df: DataFrame, good: F.Column | str, path: str, quarantine: str)
     df.filter(~condition).write.mode("overwrite").json(quarantine)
 
 
+def write_checked(df: DataFrame, path: str, key: str = "ada", required: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> dict[str, int]:
+    """``df`` as Parquet at ``path`` if every key is there once and no required column is null; else an error, and what was there stays.
+
+    The checks are metrics of the write itself (rows, repeated, missing), which goes to a folder beside ``path`` and is moved there only if they
+    hold. Keys that are null are not compared. Returns the metrics.
+    """
+    same = Window.partitionBy(key, F.when(F.col(key).isNull(), F.xxhash64(F.to_json(F.struct(*df.columns)))))
+    observed = Observation()
+    counted = df.withColumn("__n", F.when(F.col(key).isNotNull(), F.count("*").over(same)))
+    lacks = F.lit(False)
+    for c in required:
+        lacks = lacks | F.col(c).isNull()
+    repeated = F.col("__n") > 1
+    checked = counted.observe(observed, F.count(F.lit(1)).alias("rows"), F.count_if(repeated).alias("repeated"), F.count_if(lacks).alias("missing"), F.min(F.when(repeated, F.col(key).cast("string"))).alias("example")).drop("__n")
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    draft, target, old = hadoop(f"{path}.draft-{uuid.uuid4().hex}"), hadoop(path), hadoop(f"{path}.old-{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    checked.write.partitionBy(*by).parquet(draft.toString())
+    found = observed.get
+    if found["repeated"] or found["missing"]:
+        fs.delete(draft, True)
+        raise ValueError(f"{path} not written: {found['repeated']} rows with a repeated {key} (such as {found['example']}), {found['missing']} without {', '.join(required)}")
+    if fs.exists(target):
+        fs.rename(target, old)
+    if not fs.rename(draft, target):
+        fs.rename(old, target)
+        raise OSError(f"{path}: the new table could not be moved to its place")
+    fs.delete(old, True)
+    return {k: found[k] for k in ("rows", "repeated", "missing")}
+
+
 def write_documents(df: DataFrame, path: str, key: str) -> None:
     """JSON documents below key=<value>."""
     df.write.partitionBy(key).mode("overwrite").json(path)

@@ -163,3 +163,37 @@ def test_one_month_from_files(spark, tmp_path):
 def test_envelopes(spark, text, n):
     got = spark.createDataFrame([(text,)], "v string").select(exports.unwrap_envelope(F.col("v"))).first()[0]
     assert (len(got) if got is not None else None) == n
+
+
+def test_a_checked_write_leaves_the_old_table_where_a_check_fails(spark, tmp_path):
+    import os
+
+    from spendlens.sources import exports
+
+    path = str(tmp_path / "decisions")
+    good = spark.createDataFrame([("a", 1.0), ("b", 2.0), (None, 3.0), (None, 3.0)], "ada string, amount double")
+    assert exports.write_checked(good, path) == {"rows": 4, "repeated": 0, "missing": 0}
+    for bad, words in ((good.unionByName(good), "4 rows with a repeated ada (such as a)"), (good.withColumn("amount", F.when(F.col("ada") == "a", F.col("amount"))), "3 without amount")):
+        with pytest.raises(ValueError) as said:
+            exports.write_checked(bad, path, required=("amount",))
+        assert words in str(said.value)
+        assert spark.read.parquet(path).count() == 4 and os.listdir(tmp_path) == ["decisions"]
+    exports.write_checked(good.filter("ada = 'a'"), path)
+    assert spark.read.parquet(path).count() == 1 and os.listdir(tmp_path) == ["decisions"]
+
+
+def test_richest_rows_are_aggregates(spark):
+    from spendlens.operators import normalize
+
+    d = spark.createDataFrame([("k", 1, "x", None, 5), ("k", 9, None, "y", 4), ("k", 9, "z", None, 6), (None, 1, "p", None, 1), (None, 1, "p", None, 1)], "ada string, s int, a string, b string, o int")
+    found = normalize.keep_richest(d, F.col("s"), ["o"])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("k", 9, "z", "y", 4, 3), (None, 1, "p", None, 1, 1), (None, 1, "p", None, 1, 1)], key=str)
+    assert "partial_min_by" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signers_named_otherwise(spark):
+    from spendlens.operators import rules
+
+    d = spark.createDataFrame([("1", "ΓΕΩΡΓΙΟΣ ΠΑΠΑΔΟΠΟΥΛΟΣ"), ("2", "Παπαδόπουλος, Γεώργιος"), ("3", "ΠΑΠΑΔΟΠΟΛΟΣ ΓΕΩΡΓΙΟΣ"), ("4", "ΑΠΑΔΟΠΟΥΛΟΣ ΓΕΩΡΓΙΟΣ"), ("5", "ΠΑΠΑΔΟΠΟΛΟΣ ΓΕΟΡΓΙΟΣ"), ("6", "Α ΠΑΠΑΔΟΠΟΥΛΟΣ"), ("7", None), ("8", ""), ("9", "ΠΑΠΑΔΟΠΟΥΛΟΣ ΓΕΩΡΓΙΟΣ ΠΕΤΡΟΥ")], "ada string, signer string").withColumn("supplier_tax_id", F.lit("s"))
+    people = spark.createDataFrame([("s", "ΠΑΠΑΔΟΠΟΥΛΟΣ ΓΕΩΡΓΙΟΣ"), ("s", "Β ΠΑΠΑΔΟΠΟΥΛΟΣ"), ("t", "ΠΕΤΡΟΥ"), ("s", None)], "supplier_tax_id string, person string")
+    assert sorted((r.ada, r.person) for r in rules.signer_links(d, people).collect()) == [(str(i), "ΠΑΠΑΔΟΠΟΥΛΟΣ ΓΕΩΡΓΙΟΣ") for i in (1, 2, 3, 4)]

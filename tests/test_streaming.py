@@ -28,3 +28,24 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     run(monthly.month_totals(monthly.read_new_files(spark, str(folder), files_a_batch=1)), tmp_path, "totals")
     got = spark.read.parquet(str(tmp_path / "totals")).collect()
     assert [(r.decisions, r.amount) for r in got] == [(2, 3.0)]
+
+
+def months(spark, *given):
+    return spark.createDataFrame([(a, 2024, m, x) for a, m, x in given], "ada string, year int, month int, amount double").coalesce(1)
+
+
+def test_a_month_that_is_fetched_again_a_year_later_is_merged(spark, tmp_path):
+    """Existing rows win, additions are kept however late they are, repeated batches add nothing, rows without a key all stay."""
+    folder, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+
+    def fetch(*given):
+        months(spark, *given).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("ada string, year int, month int, amount double").parquet(folder)
+        monthly.merge_months(stream, out, mark).awaitTermination(120)
+        return sorted((r.ada or "", r.month, r.amount) for r in spark.read.parquet(out).collect())
+
+    first = fetch(("a", 1, 1.0), ("b", 1, 2.0), ("b", 1, 1.5), (None, 1, 9.0))
+    assert first == [("", 1, 9.0), ("a", 1, 1.0), ("b", 1, 1.5)]
+    fetch(("c", 12, 3.0))
+    again = fetch(("a", 1, 100.0), ("d", 1, 4.0), ("d", 2, 5.0))
+    assert again == sorted([*first, ("c", 12, 3.0), ("d", 1, 4.0), ("d", 2, 5.0)])
