@@ -35,6 +35,8 @@ BUCKET_KEYS = 1 << 18
 GAMMA, LEVELS = 2, 64
 #: Counts in a piece of the dense vectors, tasks that make one each at most, and vectors that one task of the tree sums.
 PIECE, COUNT_TASKS, FAN = 1 << 16, 4096, 32
+#: Bytes of ids that are aligned at once; a longer document is so by itself.
+PART_BYTES = 1 << 20
 
 
 def default_pieces() -> str:
@@ -240,14 +242,26 @@ def _aligned(both: Pair, batch: pa.RecordBatch) -> Aligned:
     return Aligned(both, *parts)
 
 
+def _parts(both: Pair, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
+    """Documents of about PART_BYTES of ids, aligned; what the encoder remembers is not needed any more and given back."""
+    both.a._forget()
+    for batch in batches:
+        sizes = sum(np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)) for c in (batch.column(batch.schema.get_field_index(x)) for x in "ab"))
+        cut_at = np.flatnonzero(np.diff(np.cumsum(sizes) // PART_BYTES)) + 1
+        edges = [0, *cut_at.tolist(), batch.num_rows]
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            part = batch.slice(s, e - s)
+            yield part, _aligned(both, part)
+
+
 def distinct_pairs(rows: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """(key) of every id pair that is linked anywhere, each once; a task says a pair once."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, known = pair(*paths), np.empty(0, np.uint64)
         there = bpe.Lookup(known)
-        for batch in batches:
-            pairs = _aligned(both, batch).pairs().astype(np.uint64)
+        for _, aligned in _parts(both, batches):
+            pairs = aligned.pairs().astype(np.uint64)
             new = np.unique(pairs[there(pairs) < 0] if len(known) else pairs)
             if len(new):
                 known = np.concatenate([known, new])
@@ -350,8 +364,8 @@ def count_pairs(rows: DataFrame, paths: tuple[str, str], hashed: str, n: int) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, total, part = pair(*paths), np.zeros(n, np.int64), TaskContext.get().partitionId()
-        for batch in batches:
-            np.add.at(total, numbers(hashed, _aligned(both, batch).pairs()), 1)
+        for _, aligned in _parts(both, batches):
+            np.add.at(total, numbers(hashed, aligned.pairs()), 1)
         for i in range(0, n, PIECE):
             some = total[i : i + PIECE]
             if some.any():
@@ -396,8 +410,7 @@ def align(docs: DataFrame, text: str = "text", id_col: str = "doc_id", a: str |
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(*paths)
         counts, best = _counts(counted, hashed)
-        for batch in batches:
-            found = _aligned(both, batch)
+        for batch, found in _parts(both, batches):
             at = numbers(hashed, found.pairs())
             if (at < 0).any():
                 raise ValueError("a pair was not counted: the documents have changed")
