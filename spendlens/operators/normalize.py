@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import json_fields as J
@@ -50,7 +51,9 @@ def keep_first(d: DataFrame, order: list[Column | str], key: str = "ada") -> Dat
 
 def keep_richest(d: DataFrame, score: Column, order: list[str], key: str = "ada") -> DataFrame:
     """Of rows with one key the one with the most filled, its nulls filled from the next; rows without a key all stay. duplicates: how many it stands for."""
-    named = d.filter(F.col(key).isNotNull()).withColumn("__by", F.struct((-score).alias("s"), *order))
+    kind = d.select(score.alias("s")).schema["s"].dataType
+    least = F.struct(*[-score[f] for f in kind.names]) if isinstance(kind, T.StructType) else -score  # a score may be several numbers
+    named = d.filter(F.col(key).isNotNull()).withColumn("__by", F.struct(least.alias("s"), *order))
     rest = [c for c in d.columns if c != key]
     # Of each column the value of the first row that has one: aggregates, so that a key's rows meet partly before the shuffle.
     filled = named.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__by"))).alias(c) for c in rest], F.count("*").alias("duplicates"))

@@ -427,7 +427,7 @@ def signer_links(spark, sf_dir):
 
 
 @query("doc_t7_names_spelled_otherwise", f"""WITH {D}, w AS (SELECT *, CAST(split_part(signer, ' ', 2) AS INT) AS k, CAST(split_part(ada, '-', 2) AS INT) % 3 AS way FROM d), x AS (SELECT *, CASE way WHEN 1 THEN 'nikl' ELSE 'nikol' END || chr(97 + k % 20) || chr(97 + k // 20) || 'idis' AS word FROM w),
-s AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS supplier_tax_id, 'nikol' || chr(97 + s_suppkey % 40 % 20) || chr(97 + s_suppkey % 40 // 20) || 'idis' AS word FROM supplier)
+s AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS supplier_tax_id, 'nikol' || chr(CAST(97 + s_suppkey % 40 % 20 AS INT)) || chr(CAST(97 + s_suppkey % 40 // 20 AS INT)) || 'idis' AS word FROM supplier)
 SELECT ada, supplier_tax_id, 'Géorg ' || s.word AS person FROM x JOIN s USING (supplier_tax_id) WHERE levenshtein(x.word, s.word) <= 1""")
 def names_spelled_otherwise(spark, sf_dir):
     """Signers with their names the other way round, or with a letter left out, and neighbours whose names differ by one."""
