@@ -387,7 +387,7 @@ def probabilities(model: Model, shard: int, before: np.ndarray, words: np.ndarra
     return np.maximum(n - d[np.minimum(n, 3)], 0) / total[back] + left[back] * own
 
 
-SCORES = "row long, id long, out boolean, n_tokens long, n_known long, base double, score double"
+SCORES = "id long, out boolean, n_tokens long, n_known long, base double, score double"
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id", out: Column | None = None) -> DataFrame:
@@ -396,7 +396,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
     Tokens are the words and one end. score: log10 of the model's probability of the text; perplexity: 10 to minus its mean over tokens.
     base_score: as counts with one added have it; n_known: tokens that the training documents have. Null and empty texts are the end
     alone; repeated rows each come back; an empty table gives an empty result; a model of no documents gives every word the same
-    probability. ``docs`` should be a stored table, so that a repeated task numbers its rows alike.
+    probability. ``docs`` should be a stored table, so that a repeated task forms the same blocks.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,23 +429,41 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
             for s, kind, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 (row,), *rest = unpack(packed.as_py())
                 if kind == 0:
-                    ids, state, n, n_known, base = rest
-                    columns = [row + np.arange(len(ids)), pa.array(ids, mask=state >= 2), state % 2 == 1, n, n_known, base.view(np.float64), np.zeros(len(ids))]
+                    yield _asked(int(row), 0, packed.as_py())
+                    continue
+                steps, b, w, doc = rest
+                known, b = np.cumsum(steps), np.cumsum(b)
+                words, own = model.at(known, "words"), model.own(model.at(known, "behind"))
+                words[known == model.words], words[known == model.words + 1] = NO_WORD, START
+                sums = np.bincount(doc, np.log10(probabilities(model, s, words[b], words[w], own[w])))
+                some = np.unique(doc)
+                yield _asked(int(row), 1, pack(np.diff(some, prepend=0), sums[some].view(np.int64)))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's documents come first, then what each shard says of them."""
+        rows, scores = None, None
+
+        def done() -> pa.RecordBatch:
+            ids, state, n, n_known, base = rows
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=state >= 2), pa.array(state % 2 == 1), *map(pa.array, (n, n_known, base.view(np.float64), scores))], ["id", "out", "n_tokens", "n_known", "base", "score"])
+
+        for batch in batches:
+            for kind, packed in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                arrays = unpack(packed.as_py())
+                if kind == 0:
+                    if rows:
+                        yield done()
+                    rows, scores = arrays[1:], np.zeros(len(arrays[1]))
                 else:
-                    steps, b, w, doc = rest
-                    known, b = np.cumsum(steps), np.cumsum(b)
-                    words, own = model.at(known, "words"), model.own(model.at(known, "behind"))
-                    words[known == model.words], words[known == model.words + 1] = NO_WORD, START
-                    sums = np.bincount(doc, np.log10(probabilities(model, s, words[b], words[w], own[w])))
-                    some = np.unique(doc)
-                    zero, none = np.zeros(len(some), np.int64), pa.nulls(len(some), pa.int64())
-                    columns = [row + some, none, pa.nulls(len(some), pa.bool_()), zero, zero, np.zeros(len(some)), sums[some]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["row", "id", "out", "n_tokens", "n_known", "base", "score"])
+                    scores[np.cumsum(arrays[0])] += arrays[1].view(np.float64)
+        if rows:
+            yield done()
 
     asked = _rows(docs, text, id_col, held_out(id_col) if out is None else out).mapInArrow(ask, "shard long, kind int, pairs binary")
     # A shard's pairs come in its rows one after the other, so the file that is mapped serves all of them.
-    sums = asked.repartition(model.shards, "shard").sortWithinPartitions("shard").mapInArrow(answer, SCORES)
-    one = sums.groupBy("row").agg(F.max("id").alias(id_col), F.max("out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    said = asked.repartition(model.shards, "shard").sortWithinPartitions("shard").mapInArrow(answer, "block long, kind int, said binary")
+    one = said.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(total, SCORES)
+    one = one.withColumnsRenamed({"id": id_col, "out": "held_out"})
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return one.select(id_col, "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", perplexity.alias("perplexity"))
 
