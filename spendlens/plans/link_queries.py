@@ -78,6 +78,14 @@ def executive(spark, sf_dir):
     return summary.executive(months, m, L.contracts(m)).withColumns({"raw_spend": F.round("raw_spend", 2), "clean_spend": F.round("clean_spend", 2)})
 
 
+@query("agg6_contracts_without_amount", f"WITH {O} SELECT id, 'contract:' || substr(sha1(ada), 1, 12) AS contract_id, 0.0::DOUBLE AS amount, ada, decision_type, 1 AS stage_count FROM o WHERE id % 5 = 0")
+def contracts_without_amount(spark, sf_dir):
+    """A fifth of the decisions have no amount, or none above 0: each of them is a contract of its own, with amount 0."""
+    o = orders(spark, sf_dir).withColumn("amount", F.when(F.col("id") % 5 > 0, F.col("amount")).when(F.col("id") % 2 == 0, F.lit(0.0)))
+    c = L.contracts(L.contract_members(o)).filter("amount = 0")
+    return c.select(F.col("component").alias("id"), "contract_id", "amount", "ada", "decision_type", F.col("stage_count").cast("int").alias("stage_count"))
+
+
 @query("ord9_largest_contracts", f"WITH RECURSIVE {CONTRACTS} SELECT contract_id, amount, ada, stage_count FROM c ORDER BY amount DESC, ada LIMIT 20")
 def largest_contracts(spark, sf_dir):
     return L.contracts(members(spark, sf_dir)).orderBy(F.desc("amount"), "ada").limit(20).select("contract_id", "amount", "ada", "stage_count")
