@@ -39,6 +39,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def row_hash(df: DataFrame, row: str, *more: str) -> Column:
+    """A 128-bit hash of a row that stands in one struct column (and of more columns), as a struct of two numbers.
+
+    Maps have no hash in Spark, so a row with a map or a variant in it is hashed as JSON.
+    """
+    unhashed = any(kind in df.schema[row].dataType.simpleString() for kind in ("map<", "variant"))
+    values = [F.to_json(row, {"ignoreNullFields": "false"}) if unhashed else F.col(row), *[F.col(c) for c in more]]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
+
+
 def text_of(name: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, text_of, without
+from .common import WHITE, cut, row_hash, text_of, without
 
 MAX_WORDS = 1 << 20
 ROWS_PER_WORD = 4
@@ -79,8 +79,9 @@ def resolve(rows: DataFrame, narrow: DataFrame, id_col: str = "doc_id", order: s
     # Rows that are there several times over, id and all, are counted map-side and dealt out again, one of them as kept.
     again = (F.col("kept") & (F.col("__best.n") > 1))
     drop = ("__maybe", "__best", "__points", order)
-    once, more = several.filter(~again).drop(*drop), several.filter(again).drop(*drop)
-    more = more.groupBy(*more.columns).agg(F.count("*").alias("__n"))
+    once, more = several.filter(~again).drop(*drop), several.filter(again).drop(*[c for c in drop if c != order])
+    whole = [c for c in more.columns if c == "row"]  # its hash is ``order``
+    more = more.groupBy(*[c for c in more.columns if c not in whole]).agg(*[F.first(c).alias(c) for c in whole], F.count("*").alias("__n")).drop(order)
     more = more.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / BLOCK)))).repartition("text_sha256", "__block")
     more = more.withColumn("__i", F.explode(F.sequence(F.col("__block") * BLOCK, F.least(F.col("__n"), (F.col("__block") + 1) * BLOCK) - 1))).withColumn("kept", F.col("__i") == 0)
     return single.drop(*drop).unionByName(once).unionByName(more.drop("__n", "__block", "__i"))
@@ -90,13 +91,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     """Every row of ``docs`` with keep_id, group_size, kept and text_sha256.
 
     Of equal texts the row with the most code points, then the smallest id stays; null ids come last,
-    and of rows equal in every column one stays. Null text counts as empty, empty texts are equal.
+    and of rows equal (maps: as JSON) in every column one stays. Null text counts as empty, empty texts are equal.
     An empty table gives an empty result. Columns of the added names are replaced.
     """
     docs = without(docs, *ADDED)
     # The row as it is travels in one column, so that its names meet none of ours.
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    rows = keyed(packed).withColumn("__tie", F.xxhash64("row")).drop("text")
+    rows = keyed(packed).withColumn("__tie", row_hash(packed, "row")).drop("text")
     narrow = cut(rows.select("id", "text_sha256", "__points", "__tie"))
     return resolve(rows, narrow, "id").select("row.*", *ADDED)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, text_of
+from .common import WORD, cut, row_hash, text_of
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -59,30 +59,37 @@ def source_targets(sizes: DataFrame, source: str = "source") -> DataFrame:
     return s.select(source, "source_size", F.least(MAX_REPEATS * F.col("source_size").cast("double"), F.col("level") * F.col("weight")).alias("target"), "slope")
 
 
-def mix(docs: DataFrame, sizes: DataFrame | None = None, source: str = "source", id_col: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``docs`` (with size) plus source_size, target, taken (words the mix takes, repeats counted) and position.
 
     taken is between 0 and MAX_REPEATS times size; of a source it adds up to its target rounded to a word. position in 0..1
     is where the document first comes up, null if it is not taken. Null sources are one source, the last; null and
-    wordless texts have size 0 and are not taken; rows with the same id follow one another. Empty table: empty result.
-    sizes: the same rows' (source, size, id) where they are stored already.
+    wordless texts have size 0 and are not taken; rows with the same id follow one another. Columns of the added names are
+    replaced, other names may be any. Empty table: empty result.
     """
     docs = docs.drop(*[c for c in ADDED if c != "size"])
-    sizes = docs.select(source, "size", id_col) if sizes is None else sizes
+    # The row as it is travels in one column, so that its names meet none of ours.
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col("size"), F.col(id_col).alias("id"))
+    return placed(rows).select("row.*", "source_size", "target", "taken", "position")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """Rows of (source, size, id) plus source_size, target, slope, taken, position and __before, the words of the source before the row."""
+    sizes = docs.select("source", "size", "id")
     digits = max(1, math.ceil(math.log(max(1, sizes.count()) / ROWS_PER_RANGE, 16))) if sizes.take(1) else 1
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     chunk = F.substring(order, 1, digits)
 
-    targets = source_targets(sizes, source)
-    ranges = sizes.groupBy(F.col(source).alias("__s"), chunk.alias("__range")).agg(F.sum("size").alias("__words"))
+    targets = source_targets(sizes)
+    ranges = sizes.groupBy(F.col("source").alias("__s"), chunk.alias("__range")).agg(F.sum("size").alias("__words"))
     before = Window.partitionBy("__s").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("__s", "__range", F.coalesce(F.sum("__words").over(before), F.lit(0)).alias("__start"))
-    ranges = ranges.join(targets.withColumnRenamed(source, "__t"), F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
+    ranges = ranges.join(targets.withColumnRenamed("source", "__t"), F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
 
-    inside = Window.partitionBy(source, "__range").orderBy("__order", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "__range").orderBy("__order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     df = docs.withColumns({"__order": order, "__range": chunk})
     df = df.withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    df = df.join(ranges.withColumnRenamed("__range", "__r"), F.col(source).eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r"))).drop("__s", "__r", "__range", "__order")
+    df = df.join(ranges.withColumnRenamed("__range", "__r"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r"))).drop("__s", "__r", "__range", "__order")
     df = df.withColumn("__before", F.col("__before") + F.col("__start"))
     # Whole passes, and the words of the last one.
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -103,22 +110,24 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", id_col: s
     """The mix itself: every document as often as at least half of it is taken, in training order, with the columns of ``docs``.
 
     Positions are worked out on (source, size, id, hash of the row) alone; the rows join them once and are sorted once.
+    Rows are known by a 128-bit hash of all their columns (maps: as JSON); those without an id are spread by it.
     """
-    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(id_col).alias("id")).withColumn("hash", F.xxhash64("row", "id"))
-    sizes = cut(sized(packed.drop("row")).drop("text"))
-    df = mix(sizes, sizes, "source", "id").filter((F.col("taken") > 0) & (F.col("taken") * 2 >= F.col("size")))
+    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(id_col).alias("doc"))
+    packed = packed.withColumn("hash", row_hash(packed, "row"))
+    sizes = cut(sized(packed.drop("row")).drop("text").withColumn("id", F.coalesce(F.col("doc").cast("string"), F.concat_ws("|", "hash.a", "hash.b"))))
+    df = placed(sizes).filter((F.col("taken") > 0) & (F.col("taken") * 2 >= F.col("size")))
     copies = F.sequence(F.lit(0), F.round(F.col("taken") / F.col("size")).cast("int") - 1)
     df = df.withColumn("__copy", F.explode(copies))
-    df = df.select("hash", due(F.col("__before") + F.col("__copy") * F.col("source_size") + F.col("size") / 2).alias("at"), F.col("id").alias("__id"), F.col("__copy").alias("copy"))
+    df = df.select("hash", due(F.col("__before") + F.col("__copy") * F.col("source_size") + F.col("size") / 2).alias("at"), "doc", F.col("__copy").alias("copy"))
     # Rows alike in all columns, id and all, are one row here; each of them has its own positions.
     rows = packed.select("hash", "row").dropDuplicates(["hash"])
-    return rows.join(df, "hash").orderBy("at", "__id", "copy").select("row.*")
+    return rows.join(df, "hash").orderBy("at", "doc", "copy").select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and position of every document, in training order."""
-    sizes = cut(sized(docs.select("doc_id", "source", "text")).drop("text"))
-    return mix(sizes, sizes).select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+    sizes = cut(sized(docs.select(F.col("doc_id").alias("id"), "source", "text")).drop("text"))
+    return placed(sizes).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
 
 
 SQL = r"""

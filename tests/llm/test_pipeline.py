@@ -10,7 +10,7 @@ import regex
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from spendlens.llm import bpe, mixing
+from spendlens.llm import bpe, exact_dedup, mixing
 
 from .conftest import SCHEMA, prose
 from .test_near_copies import brute, changed
@@ -93,3 +93,20 @@ def test_repeated_rows_are_mixed_as_often_as_they_are_there(spark):
     rows = [(1, "a b c d", "en", "s", 7)] * 3 + [(2, "e f", "en", "t", 3)]
     got = [x.doc_id for x in mixing.mixed(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert got.count(2) == 3 and got.count(1) in (2, 3)
+
+
+def test_rows_with_maps_null_ids_and_clashing_names(spark):
+    """Maps are no hash of Spark's; rows that differ in one only are different rows, and those without an id are spread."""
+    rows = [(i if i % 2 else None, f"a b c {i // 4}", "en", "s", {"k": i // 2}, i % 3, "x", i) for i in range(40)] * 2
+    schema = "doc_id long, text string, lang string, source string, tags map<string, int>, __s int, row string, hash int"
+    docs = spark.createDataFrame(rows, schema)
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert len(got) == 80 and sum(r.kept for r in got) == 10 and {r.group_size for r in got} == {8}
+    assert all((r.keep_id, r.kept) in ((4 * (r.hash // 4) + 1, r.doc_id == r.keep_id), (r.keep_id, False)) for r in got)
+    kept = exact_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4 * i + 1 for i in range(10)]
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    drawn = sorted(r.hash for r in out.collect())
+    assert drawn == sorted([r[7] for r in rows])  # one source: each row as often as it is there
+    assert mixing.mix(mixing.sized(docs)).filter("taken = size").count() == 80
