@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.dates import delay_days
+from ..operators import digest as G
 from ..operators import entities as E
 from ..operators import records as R
 from ..operators.durable import shared_dir
@@ -150,3 +151,37 @@ def monthly_artefacts(spark, sf_dir):
     out = raw.groupBy(*month).agg(F.count("*").alias("value")).select(F.lit("raw_month").alias("artefact"), *month, F.lit(None).cast("string").alias("name"), "value")
     out = out.unionByName(outliers.select(F.lit("outliers").alias("artefact"), *month, F.col("ada").alias("name"), nth.cast("long").alias("value")))
     return out.unionByName(codes.select(F.lit("unmapped_codes").alias("artefact"), *month, F.col("code").alias("name"), F.col("mentions").alias("value")))
+
+
+def digested(spark, sf_dir):
+    """The digest of all orders as records: one in five comes twice, the second time with nothing but a protocol number, and one in sixteen has a leaflet beside it without date and type."""
+    r = records(spark, sf_dir)
+    key = F.substring("ada", 3, 20).cast("long")
+    again = r.filter(key % 5 == 0).select("org", "ada", F.to_json(F.struct("ada", F.concat(F.lit("P"), key.cast("string")).alias("protocolNumber"))).alias("record"))
+    leaflet = r.filter(key % 16 == 5).select("org", F.concat(F.lit("X"), "ada").alias("ada"), F.to_json(F.struct(F.lit("leaflet").alias("subject"))).alias("record"))
+    exports = r.select("org", "ada", "record").unionByName(again).unionByName(leaflet)
+    details = r.filter("detail is not null").select("org", "ada", X.unwrap_detail(F.col("detail")).alias("record"))
+    return G.digest(exports, details, folder(spark, "digest"))
+
+
+@query("g2_digest_decisions", f"""WITH {RECORDS} SELECT ada, subject, CAST(o_orderdate AS DATE) AS issue_date, code AS decision_type_raw, CASE WHEN k < 3 OR o_orderkey % 8 = 3 THEN o_totalprice END AS amount, CASE WHEN o_orderkey % 8 = 3 THEN 'Ann Lee' END AS signer, CASE WHEN o_orderkey % 5 = 0 THEN 'P' || o_orderkey END AS protocol_number,
+CASE WHEN k IN (0, 2) THEN 'tax:' || tax END AS supplier_key, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS duplicates, o_orderkey % 8 = 3 AS enriched FROM r""")
+def digest_decisions(spark, sf_dir):
+    """Decisions that the digest's checks let through."""
+    d = digested(spark, sf_dir).decisions
+    return d.select("ada", "subject", "issue_date", "decision_type_raw", "amount", "signer", "protocol_number", "supplier_key", F.col("duplicates").cast("int").alias("duplicates"), "enriched")
+
+
+@query("g2_digest_stages", """WITH s AS (SELECT count(*) AS n, count_if(o_orderkey % 5 = 0) AS twice, count_if(o_orderkey % 16 = 5) AS leaflets, count_if(o_orderkey % 4 < 3) AS priced, count_if(o_orderkey % 8 = 3) AS detailed, count_if(o_orderkey % 8 = 3 AND o_orderkey % 5 = 0) AS detailed_twice FROM orders)
+SELECT 'found' AS stage, n + twice + leaflets AS decisions, priced AS amounts FROM s UNION ALL SELECT 'enriched', n + twice + leaflets, priced + detailed + detailed_twice FROM s UNION ALL SELECT 'unique', n + leaflets, NULL FROM s UNION ALL SELECT 'malformed', leaflets, NULL FROM s UNION ALL SELECT 'decisions', n, NULL FROM s""")
+def digest_stages(spark, sf_dir):
+    """What each stage counted while it was written."""
+    m = digested(spark, sf_dir).metrics
+    rows = [(s, m[s]["rows"], m[s].get("amounts")) for s in ("found", "enriched", "unique", "malformed", "decisions")]
+    return spark.createDataFrame(rows, "stage string, decisions long, amounts long")
+
+
+@query("g2_top_events")
+def digest_events(spark, sf_dir):
+    """From raw records to the largest purchases; tested against plain Python."""
+    return digested(spark, sf_dir).events()

@@ -87,16 +87,8 @@ def expanded(pairs):
     return found | {tuple(sorted(p)) for i in inner for p in combinations(members[i], 2)}
 
 
-@pytest.mark.parametrize("large", [similar.LARGE, 3])
-def test_duplicates_groups_and_events_against_plain_python(spark, monkeypatch, large):
-    """Pairs, groups, their summary and the largest purchases of a fixture, by comparing all decisions with all; in small blocks and in large ones."""
-    monkeypatch.setattr(similar, "LARGE", large)
-    rows = fixture_of_decisions(3)
-    rows += [(500 + i, f"B-{i}", *r[2:]) for i, r in enumerate(rows[:30] * 2)]
-    d = spark.createDataFrame(rows, "id long, ada string, amount double, issue_date date, title string, decision_type_raw string, decision_type string, supplier_key string")
-    role = classify.lifecycle_role(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"))
-    bought = classify.is_lifecycle_decision(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"), F.col("supplier_key"))
-    seen = {x.id: x for x in d.select("*", role.alias("role"), bought.alias("bought"), text.canonical_text(F.col("title")).alias("canon"), text.text_tokens(F.col("title")).alias("tokens")).collect()}
+def plain_links(seen):
+    """Pairs of ids that are the same decision twice, and pairs that belong to one purchase, by comparing all rows (id to row with role, bought, canon, tokens) with all."""
     ratio = lambda a, b: SequenceMatcher(None, a, b).ratio() if a and b else 0.0
     cents = lambda x: None if x.amount is None else round(x.amount * 100)
     # A ratio may depend on the order: rows are compared as the firsts of those alike with them, the smaller id left.
@@ -122,6 +114,20 @@ def test_duplicates_groups_and_events_against_plain_python(spark, monkeypatch, l
             overlap = shared / union if a.tokens and b.tokens else 0.0
             if same and days <= 90 and (other or overlap >= 0.18 or alike >= 0.35) or a.supplier_key and other and days <= 45 and (overlap >= 0.12 or alike >= 0.25):
                 linked.add((i, j))
+    return twice, linked
+
+
+@pytest.mark.parametrize("large", [similar.LARGE, 3])
+def test_duplicates_groups_and_events_against_plain_python(spark, monkeypatch, large):
+    """Pairs, groups, their summary and the largest purchases of a fixture, by comparing all decisions with all; in small blocks and in large ones."""
+    monkeypatch.setattr(similar, "LARGE", large)
+    rows = fixture_of_decisions(3)
+    rows += [(500 + i, f"B-{i}", *r[2:]) for i, r in enumerate(rows[:30] * 2)]
+    d = spark.createDataFrame(rows, "id long, ada string, amount double, issue_date date, title string, decision_type_raw string, decision_type string, supplier_key string")
+    role = classify.lifecycle_role(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"))
+    bought = classify.is_lifecycle_decision(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"), F.col("supplier_key"))
+    seen = {x.id: x for x in d.select("*", role.alias("role"), bought.alias("bought"), text.canonical_text(F.col("title")).alias("canon"), text.text_tokens(F.col("title")).alias("tokens")).collect()}
+    twice, linked = plain_links(seen)
     assert expanded(linking.duplicate_pairs(d).collect()) == twice and twice
     assert expanded(linking.lifecycle_pairs(d).collect()) == linked and linked
     group = {i: i for i in seen}
