@@ -55,6 +55,8 @@ FEW_SHINGLES = 32
 SHORT_LIST = 16
 #: Orders in which lists give one pair a member, before those that are left give all; at first longer lists do so under every TURNS-th tuple.
 ROUNDS, TURNS = 2, 8
+#: Bytes of a sketch that a post of the later rounds carries at most, and pairs whose sketches are compared at once.
+MOST_SKETCH, PAIRS = 128, 1 << 17
 #: Members of a long list that are compared with all others at once.
 ROWS = 64
 
@@ -127,8 +129,16 @@ def _prints(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
 
 
-def _posts(nodes: DataFrame, texts: int) -> DataFrame:
-    """(key, node, n, p, q, comp): every node (node, n, print, comp) under its tuples of positional bytes; p and q: the first 128 bits of its fingerprint."""
+def _folded(sketch: bytes) -> bytes:
+    """The sketch, folded to MOST_SKETCH bytes if it is longer: its parities still differ no more often than the sets do."""
+    return sketch if len(sketch) <= MOST_SKETCH else np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, MOST_SKETCH)).tobytes()
+
+
+def _posts(nodes: DataFrame, texts: int, sketched: bool = False) -> DataFrame:
+    """(key, node, n, p, q, comp): every node (node, n, print, comp) under its tuples of positional bytes; p and q: the first 128 bits of its fingerprint.
+
+    sketched: with sk, the node's sketch, folded.
+    """
     k = tuple_bytes(texts)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +146,7 @@ def _posts(nodes: DataFrame, texts: int) -> DataFrame:
         for b in batches:
             node, n, found, comp = b.column(0).to_numpy(), b.column(1).to_numpy(), _prints(b.column(2)), b.column(3).to_numpy()
             head = np.ascontiguousarray(found[:, :16]).view(np.int64)
+            sketches = pa.array([_folded(s) for s in b.column(4).to_pylist()], pa.binary()) if sketched else None
             for rows, tuples in ((np.arange(len(n)), slice(0, len(at) // 2)), (np.flatnonzero(n < FEW_SHINGLES), slice(len(at) // 2, None))):
                 if not len(rows):
                     continue
@@ -143,17 +154,45 @@ def _posts(nodes: DataFrame, texts: int) -> DataFrame:
                 for c in range(k):
                     key = key << 8 | found[rows][:, at[tuples, c]]
                 again = np.repeat(rows, key.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(node[again]), pa.array(n[again]), pa.array(head[again, 0]), pa.array(head[again, 1]), pa.array(comp[again])], ["key", "node", "n", "p", "q", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(node[again]), pa.array(n[again]), pa.array(head[again, 0]), pa.array(head[again, 1]), pa.array(comp[again]), *([sketches.take(pa.array(again))] if sketched else [])], names)
 
-    return small_batches(nodes.select("node", "n", "print", "comp")).mapInArrow(post, "key long, node long, n long, p long, q long, comp long")
+    names = ["key", "node", "n", "p", "q", "comp", *(["sk"] if sketched else [])]
+    return small_batches(nodes.select("node", "n", "print", "comp", *(["sketch"] if sketched else []))).mapInArrow(post, "key long, node long, n long, p long, q long, comp long" + ", sk binary" * sketched)
 
 
 class _Lists:
-    """Rows (key, node, n, p, q, comp) of whole lists, sorted by key."""
+    """Rows (key, node, n, p, q, comp), in later rounds with sk too, of whole lists, sorted by key."""
 
     def __init__(self, columns: list[np.ndarray]):
-        self.key, self.node, self.n, p, q, self.comp = columns
+        self.key, self.node, self.n, p, q, self.comp = columns[:6]
         self.p, self.q = p.view(np.uint64), q.view(np.uint64)
+        self.sketch = columns[6] if len(columns) > 6 else None
+        self.width = None if self.sketch is None else np.fromiter(map(len, self.sketch), np.int64, len(self.sketch))
+        self.folds: dict[int, np.ndarray] = {}
+
+    def _fold(self, width: int) -> np.ndarray:
+        """The sketches of so many bytes or more, folded to them, as 64-bit words."""
+        if width not in self.folds:
+            out = np.zeros((len(self.node), width), np.uint8)
+            for w in np.unique(self.width[self.width >= width]).tolist():
+                rows = np.flatnonzero(self.width == w)
+                out[rows] = np.bitwise_xor.reduce(np.frombuffer(b"".join(self.sketch[rows]), np.uint8).reshape(-1, w // width, width), axis=1)
+            self.folds[width] = out.view(np.uint64)
+        return self.folds[width]
+
+    def sift(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of rows the sketches do not rule out: of sets this similar at most (t - s) / (t + s) of both sizes is apart."""
+        keep = np.ones(len(a), bool)
+        if self.sketch is None:
+            return keep
+        (s, t), width = SHARE, np.minimum(self.width[a], self.width[b])
+        for w in np.unique(width).tolist():
+            fold, of = self._fold(w), np.flatnonzero(width == w)
+            for at in range(0, len(of), PAIRS):
+                i = of[at : at + PAIRS]
+                apart = np.bitwise_count(fold[a[i]] ^ fold[b[i]]).sum(axis=1, dtype=np.int64)
+                keep[i] = apart * (t + s) <= (self.n[a[i]] + self.n[b[i]]) * (t - s)
+        return keep
 
     def may(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
         """Which pairs of rows sizes, the first 128 bits and their components do not rule out."""
@@ -169,7 +208,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[_Lists]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy() for i in range(6)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         last = int(np.searchsorted(columns[0], columns[0][-1]))
         if last or (held and held[-1][0][-1] != columns[0][0]):
             held.append([c[:last] for c in columns])
@@ -194,6 +233,7 @@ def _short_pairs(x: _Lists, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(same):
             break
         same = same[x.may(same, same + d)]
+        same = same[x.sift(same, same + d)]
         found.append((same, same + d))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
@@ -222,6 +262,8 @@ def _outsiders(x: _Lists, rank: np.ndarray, a: int, b: int, whole: bool) -> Iter
     for at in range(0, len(outside) if len(values) > 1 else 0, ROWS):
         one = outside[at : at + ROWS]
         near = x.may(one[:, None], rows[None, :])
+        i, j = np.nonzero(near)
+        near[i, j] = x.sift(one[i], rows[j])
         if whole:
             i, j = np.nonzero(near)
             yield one[i], rows[j], False
@@ -335,8 +377,8 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             return found
         # Every node comes again with its component, but only posts that may be in a list with more pairs are shuffled.
         label = connected_components(found).withColumnRenamed("node", "of")
-        labelled = nodes.join(label, F.col("node") == F.col("of"), "left").select("node", "n", "print", F.coalesce("component", "node").alias("comp"))
-        posts = KeyFilter(more, "hash", n).flag(_posts(labelled, texts).withColumn("hash", F.xxhash64("key")), "hash", "__may").filter("__may").select("key", "node", "n", "p", "q", "comp")
+        labelled = nodes.join(label, F.col("node") == F.col("of"), "left").select("node", "n", "print", "sketch", F.coalesce("component", "node").alias("comp"))
+        posts = KeyFilter(more, "hash", n).flag(_posts(labelled, texts, sketched=True).withColumn("hash", F.xxhash64("key")), "hash", "__may").filter("__may").drop("hash", "__may")
 
 
 def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -103,3 +103,23 @@ def test_representatives_on_hard_rows(hard, none):
     kept = [x.doc_id for x in got.collect()]
     assert kept.count(None) == 2 and {i for i in kept if i is not None} == {c for _, c in brute([r[:2] for r in rows]) if c is not None} and len(kept) == len(set(kept)) + 1
     assert simhash.representatives(none, verified=True).collect() == []
+
+
+def test_sketches_of_posts_rule_out_no_pair():
+    """Folded sketches of any two widths differ in no more parities than the sets differ in members; pairs at the threshold pass, far ones do not."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    sets = []
+    for n in (1, 6, 30, 120, 500, 3_000, 40_000):
+        a = draw(n)
+        sets += [a, np.concatenate([a[: n - n // 9], draw(n // 9)]), np.concatenate([a[: n // 2], draw(n - n // 2)])]
+    sketches = [near_copies._folded(near_copies._wide_sketch(s)) for s in sets]
+    assert max(map(len, sketches)) == near_copies.MOST_SKETCH and len(set(map(len, sketches))) > 2
+    words = np.zeros(len(sets), np.int64)
+    x = near_copies._Lists([words, words, np.array([len(s) for s in sets]), words, words, words, np.array(sketches, object)])
+    a, b = np.triu_indices(len(sets), 1)
+    kept = x.sift(a, b)
+    for i, j, k in zip(a, b, kept):
+        shared, both = len(np.intersect1d(sets[i], sets[j])), len(np.union1d(sets[i], sets[j]))
+        assert k or shared * 5 < both * 4
+    assert not kept[[(i, j) in {(9, 11), (12, 14)} for i, j in zip(a.tolist(), b.tolist())]].any()
