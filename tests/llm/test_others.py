@@ -103,6 +103,13 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.filter("page_id < 0")).collect() == []
 
 
+def test_url_rules_are_the_contracts(spark):
+    fixed = {("com", "/en/"): "block", ("example.com", "/en/7"): "allow", ("net", "/de/"): "allow", ("example.net", "/de/8"): "block", ("org", "/es/"): "block"}
+    df = spark.createDataFrame([(i, f"http://a.{h}{p}x") for i, (h, p) in enumerate(fixed)], "page_id long, url string")
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filter.filter_urls(df).collect()}
+    assert got == {i: (h + p, v) for i, ((h, p), v) in enumerate(fixed.items())}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = spark.range(20_000).selectExpr("concat('k', id) as key")
     listed = [f"k{i}" for i in range(0, 20_000, 7)][:1500]
