@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from spendlens.functions import classify, text
 from spendlens.operators import linking, similar
 from spendlens.operators.components import connected_components
+from spendlens.plans.link_queries import tolerance_pairs
+from spendlens.plans.views import orders
 
 
 def test_all_pairs_of_repeated_rows(spark):
@@ -33,6 +35,15 @@ def test_all_pairs_of_repeated_rows(spark):
         assert sorted(got) == want
 
 
+def test_tolerance_query_has_every_pair_of_orders(spark):
+    """Orders that differ by less than a thousand, or by days of one month, are pairs of their own, not members of a rounded class."""
+    sf = "/root/testdata/sf0.001"
+    o = [(r.id, r.amount, r.issue_date, r.supplier_tax_id) for r in orders(spark, sf).select("id", "amount", "issue_date", "supplier_tax_id").collect()]
+    want = {(min(a[0], b[0]), max(a[0], b[0])) for a, b in combinations(o, 2) if a[3] == b[3] and abs(a[1] - b[1]) / max(a[1], b[1]) <= 0.02 and abs((a[2] - b[2]).days) <= 180}
+    got = {(r.src, r.dst) for r in tolerance_pairs(spark, sf).collect()}
+    assert want and want <= got
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_components_with_unknown_dates_and_suppliers(spark, strict):
     """Members of contracts against comparing all rows with all, at cells' edges and diagonals; links stay linear where a third is unknown."""
