@@ -191,6 +191,17 @@ def test_links_join_what_pairs_join_in_a_large_block(spark):
     assert {i: found.get(i, i) for i in group} == group
 
 
+def test_contract_components_work_on_the_firsts_only(spark, monkeypatch):
+    """Rows alike in amount, date and supplier take their first's component; they are no edges of the component search."""
+    seen = []
+    monkeypatch.setattr(linking, "connected_components", lambda edges: seen.append(edges) or connected_components(edges))
+    day = datetime.date(2024, 1, 1)
+    rows = [(i, 100.0 + i % 2, day, None if i % 3 else "t") for i in range(600)] + [(1000, 900.0, None, None), (1001, 900.0, None, None), (1002, None, day, "t"), (1003, 0.0, day, "t")]
+    got = {x.id: x.component for x in linking.contract_members(spark.createDataFrame(rows, "id long, amount double, issue_date date, supplier_tax_id string")).collect()}
+    assert got == {**{i: 0 for i in range(600)}, 1000: 1000, 1001: 1000, 1002: 1002, 1003: 1003}
+    assert {n for e in seen[0].collect() for n in (e.src, e.dst)} <= set(range(6))
+
+
 def test_numbered_letters_bound_the_ratio():
     r = random.Random(4)
     for _ in range(300):
