@@ -191,6 +191,17 @@ def test_links_join_what_pairs_join_in_a_large_block(spark):
     assert {i: found.get(i, i) for i in group} == group
 
 
+def test_ratios_are_told_early(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcde ") for _ in range(r.randint(0, 30)))
+    texts = [(word(), word()) for _ in range(300)] + [("ab" * 120, "ba" * 130), ("", "a"), (None, "a"), ("a", "a")]
+    rows = [(i, a, b, x) for i, (a, b) in enumerate(texts) for x in (0.0, 0.25, 0.35, 0.5, 0.82, 1.0, None)]
+    df = spark.createDataFrame(rows, "i long, a string, b string, x double").withColumn("got", linking.title_reaches("a", "b", F.col("x")))
+    for row in df.collect():
+        want = bool(row.a and row.b and row.x is not None and SequenceMatcher(None, row.a, row.b).ratio() >= row.x)
+        assert row.got == want, row
+
+
 def test_contract_components_work_on_the_firsts_only(spark, monkeypatch):
     """Rows alike in amount, date and supplier take their first's component; they are no edges of the component search."""
     seen = []
