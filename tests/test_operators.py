@@ -165,6 +165,18 @@ def test_envelopes(spark, text, n):
     assert (len(got) if got is not None else None) == n
 
 
+def test_details_are_listed_by_folder(spark, tmp_path):
+    """Folders of months are the paths that are listed, however many files there are, and files are written by several tasks."""
+    rows = [("org", 2024, m, f"F-{i}", '{"decision": {"amount": "%d"}}' % i) for m in (1, 2) for i in range(m * 40, m * 40 + 40)]
+    exports.write_details(spark.createDataFrame(rows, "org string, year int, month int, name string, detail string").coalesce(1), f"file://{tmp_path}")
+    (tmp_path / "organization_uid=org/year=2024/month=1/decisions/notes.txt").write_text("no detail")
+    d = exports.read_details(spark, str(tmp_path))
+    assert {(r.month, r.ada, r.detail) for r in d.collect()} == {(m, n, t[13:-1].replace(" ", "")) for _, _, m, n, t in rows}
+    leaf = d._jdf.queryExecution().analyzed().collectLeaves().head()
+    assert leaf.relation().location().rootPaths().size() == 2
+
+
+
 def test_a_checked_write_leaves_the_old_table_where_a_check_fails(spark, tmp_path):
     import os
 
