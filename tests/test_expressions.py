@@ -133,3 +133,42 @@ def test_values_of_odd_records(spark):
     assert {t: record_values.named(t) for t in named} == named
     said = spark.createDataFrame([(t,) for t in named], "t string").select("t", json_fields.named_text(F.col("t")).alias("n")).collect()
     assert {r.t: r.n for r in said} == named
+
+
+def test_searches_find_the_same_in_what_they_may_count(spark):
+    """Of a deep record few values are kept, and every search finds in them what it finds in all."""
+    import json
+    import random
+
+    from spendlens.functions import record_values
+    from spendlens.functions import vocabulary as V
+
+    r = random.Random(5)
+    keys = [*V.LABEL_KEYS, *V.VALUE_KEYS, *V.AMOUNT_KEYS[:3], *V.SUBJECT_KEYS[:2], "supplierName", "contractor", "afm", "supplierAFM", "signer", "signedByWhom", "unitName", "τμήμα", "fundingSource", "extraFieldValues", "organization", "a", "b", "c"]
+    says = ["Ποσό", "Επωνυμία αναδόχου", "ΑΦΜ αναδόχου", "Υπογραφή", "Μονάδα", "Funding source", "x"]
+
+    def value(depth):
+        kind = r.random()
+        if depth and kind < 0.5:
+            return {k: value(depth - 1) for k in r.sample(keys, r.randint(1, 5))}
+        if depth and kind < 0.65:
+            return [value(depth - 1) for _ in range(r.randint(0, 3))]
+        return r.choice([*says, "1.234,56", "12 ευρώ", "EL123456789", "987654321", 5, 7.25, None, True, ""])
+
+    texts = [json.dumps({k: value(5) for k in r.sample(keys, 6)}) for _ in range(300)] + [json.dumps([value(4), value(4)]) for _ in range(50)] + [json.dumps({"label": "Ποσό", "value": "5"}), "", "7", None]
+    every, kept = (sum(len(list(record_values.walked(t, all_))) for t in texts) for all_ in (True, False))
+    assert kept < every
+    deep = json.dumps(dict(a={"b": [{"c": i, "d": {"e": "f"}} for i in range(50)], "amount": "5"}))
+    assert [x[3] for x in record_values.walked(deep, False)] == ["a", "a.amount"]
+    J = json_fields
+    found = lambda v: [J.amounts(v), J.any_amounts(v), J.supplier_fields(v), J.supplier_fields_in_context(v), *[J.labelled_text(v, k, w) for k, w in ((V.SIGNER_KEYS, V.SIGNER_LABELS), (V.UNIT_KEYS, V.UNIT_LABELS), (V.BUDGET_KEYS, V.BUDGET_LABELS))], J.named_first(J.as_map(F.col("j")), v, ("a", "b", "amount"))]
+    df = spark.createDataFrame([(t,) for t in texts], "j string").select("j", J.values(F.col("j")).alias("v"), J.sought(F.col("j")).alias("s"))
+    rows = df.select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(found(F.col("v")))]).alias("all"), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(found(F.col("s")))]).alias("few")).collect()
+    assert all(x["all"] == x.few for x in rows)
+    assert all(any(x[i] is not None for x in (y["all"] for y in rows)) for i in range(8)) and len(rows) == len(texts)
+
+
+def test_records_of_one_file_are_searched_by_all_cores(spark):
+    from spendlens.plans.link_queries import deep_records
+
+    assert deep_records(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
