@@ -172,3 +172,19 @@ def test_records_of_one_file_are_searched_by_all_cores(spark):
     from spendlens.plans.link_queries import deep_records
 
     assert deep_records(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_words_share_their_beginnings(spark):
+    """A pattern tries each letter once, and finds what the words one by one find."""
+    import re
+
+    from spendlens.functions import vocabulary as V
+    from spendlens.functions.text import any_word, contains_any
+
+    assert any_word(("ab", "ac", "abd", "x.")) == r"(?:a(?:b|c)|x\.)" and any_word((" ab", " ac")) == r"\ a(?:b|c)"
+    words = (*V.NOT_PROCUREMENT, *V.PERSONNEL_PHRASES)
+    phrases = [f" {w}" for w in words]
+    texts = [f"x{p[:-1]} y" for p in phrases] + [f"x{p}z" for p in phrases] + [f"x{p[1:]}" for p in phrases] + ["", " ", "x"]
+    got = [r.c for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(contains_any(F.col("t"), phrases).alias("c")).collect()]
+    assert got == [any(p in t for p in phrases) for t in texts] and any(got) and not all(got)
+    assert len(re.findall("ανακληση", any_word(tuple(phrases)))) <= 1 and any_word(tuple(phrases)).startswith(r"\ (?:")
