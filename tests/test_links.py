@@ -219,3 +219,18 @@ def test_numbered_letters_bound_the_ratio():
         a, b = ("".join(r.choice("abcd ") for _ in range(r.randint(1, 20))) for _ in range(2))
         shared = len(set(similar.numbered_letters(a)) & set(similar.numbered_letters(b)))
         assert SequenceMatcher(None, a, b).ratio() <= 2 * shared / (len(a) + len(b)) + 1e-12
+
+
+@pytest.mark.parametrize("large, whole", [(64, 16), (3, 1)])
+def test_pairs_of_dense_blocks_are_not_spread_by_letters(spark, monkeypatch, large, whole):
+    """Blocks of over LARGE titles make no posts up to WHOLE times that; beyond it posts find the same pairs, and no pair twice."""
+    titles = sorted(set(hot_block(90)))
+    monkeypatch.setattr(similar, "LARGE", large)
+    monkeypatch.setattr(similar, "WHOLE", whole, raising=False)
+    posted, prefix = [], similar._prefix
+    monkeypatch.setattr(similar, "_prefix", lambda *x: posted.append(1) or prefix(*x))
+    want = {(i, j) for i, j in combinations(range(len(titles)), 2) if SequenceMatcher(None, titles[i], titles[j]).ratio() >= 0.82}
+    nodes = spark.createDataFrame(list(enumerate(titles)), "id long, title string").withColumns({"letters": similar.letters(F.col("title")), "block": F.lit(1)})
+    got = similar.title_pairs(nodes, ["block"], 0.82, linking.title_ratio).collect()
+    assert {(x.src, x.dst) for x in got} == want and len(got) == len(want) and want
+    assert bool(posted) == (large == 3)
