@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .durable import cut
+from .durable import cut, stored
 
 #: Windows of days in one stretch of time: a task holds the daily sums of a stretch and of one window before or behind it.
 STRETCH = 16
@@ -43,7 +43,7 @@ def quantiles(d: DataFrame, by: list[str], value: str, at: dict[str, float]) ->
     """
     keys = [F.coalesce(F.to_json(F.struct(*by)), F.lit("")) if by else F.lit("")]
     rows = d.select(*by, keys[0].alias("__g"), F.col(value).cast("double").alias("v")).withColumn("v", F.when(~F.isnan("v"), F.col("v") + F.lit(0.0)))
-    rows = cut(rows.filter("v is not null").groupBy("__g", "v").agg(F.count("*").alias("n")))
+    rows = stored(rows.filter("v is not null").groupBy("__g", "v").agg(F.count("*").alias("n")))
     ends = cut(rows.groupBy("__g").agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("distinct")))
     small = ends.filter(F.col("distinct") <= SMALL).select("__g")
     one = rows.join(small, "__g").groupBy("__g").agg(*[F.percentile("v", F.lit(float(q)), F.col("n")).alias(n) for n, q in at.items()])

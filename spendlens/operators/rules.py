@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vocabulary as V
 from ..functions.text import bound, canonical_text
+from .durable import stored
 from .rolling import daily, over_days, quantiles
 from .signals import procurement_only
 
@@ -166,8 +167,9 @@ def absent_from(d: DataFrame, register: DataFrame, key: str, least: float = 140_
 
 def price_outliers(d: DataFrame, times: float = 2.0, by: tuple[str, ...] = ("cpv", "year")) -> DataFrame:
     """Awards so many times the median of their category and year."""
-    m = quantiles(procurement_only(d), list(by), "amount", {"median_amount": 0.5})
-    j = procurement_only(d).join(m, list(by)).withColumn("times", F.try_divide("amount", "median_amount"))
+    p = stored(procurement_only(d).select("ada", *by, "amount"))  # read three times, worked out once
+    m = stored(quantiles(p, list(by), "amount", {"median_amount": 0.5}))  # a row a group; its size is known when it meets the awards
+    j = p.join(m, list(by)).withColumn("times", F.try_divide("amount", "median_amount"))
     return j.filter(F.col("times") > times).select("ada", *by, "amount", "median_amount", "times")
 
 

@@ -209,3 +209,23 @@ def test_signers_named_otherwise(spark):
     d = spark.createDataFrame([("1", "ΓΕΩΡΓΙΟΣ ΠΑΠΑΔΟΠΟΥΛΟΣ"), ("2", "Παπαδόπουλος, Γεώργιος"), ("3", "ΠΑΠΑΔΟΠΟΛΟΣ ΓΕΩΡΓΙΟΣ"), ("4", "ΑΠΑΔΟΠΟΥΛΟΣ ΓΕΩΡΓΙΟΣ"), ("5", "ΠΑΠΑΔΟΠΟΛΟΣ ΓΕΟΡΓΙΟΣ"), ("6", "Α ΠΑΠΑΔΟΠΟΥΛΟΣ"), ("7", None), ("8", ""), ("9", "ΠΑΠΑΔΟΠΟΥΛΟΣ ΓΕΩΡΓΙΟΣ ΠΕΤΡΟΥ")], "ada string, signer string").withColumn("supplier_tax_id", F.lit("s"))
     people = spark.createDataFrame([("s", "ΠΑΠΑΔΟΠΟΥΛΟΣ ΓΕΩΡΓΙΟΣ"), ("s", "Β ΠΑΠΑΔΟΠΟΥΛΟΣ"), ("t", "ΠΕΤΡΟΥ"), ("s", None)], "supplier_tax_id string, person string")
     assert sorted((r.ada, r.person) for r in rules.signer_links(d, people).collect()) == [(str(i), "ΠΑΠΑΔΟΠΟΥΛΟΣ ΓΕΩΡΓΙΟΣ") for i in (1, 2, 3, 4)]
+
+
+def told(spark, d):
+    """``d`` and a counter of the rows of it that are worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return d.mapInArrow(count, d.schema), seen
+
+
+def test_price_outliers_work_decisions_out_once(spark):
+    from spendlens.operators import rules
+
+    d, seen = told(spark, award(spark, ("2020-01-01", 10.0, "a"), ("2020-02-01", 12.0, "a"), ("2020-03-01", 90.0, "b")).withColumn("cpv", F.lit("x")))
+    assert [(x.ada, x.median_amount, x.times) for x in rules.price_outliers(d).collect()] == [("A2", 12.0, 7.5)]
+    assert seen.value == 3
