@@ -56,9 +56,13 @@ def clusters(s: DataFrame) -> DataFrame:
 
 def cluster_procurements(c: DataFrame, p: DataFrame) -> DataFrame:
     """(cluster_id, procurement's columns): by member key or by tax id, each procurement once in a cluster."""
-    by_key = c.select("cluster_id", F.explode("member_keys").alias("supplier_key")).join(p, "supplier_key")
-    by_tax = c.filter("supplier_tax_id is not null").select("cluster_id", F.col("supplier_tax_id").alias("__t")).join(p, F.col("__t") == p["supplier_tax_id"]).drop("__t")
-    return by_key.unionByName(by_tax).dropDuplicates()
+    # A procurement gets the clusters of its key and of its tax id side by side, so it is no more than one row before it meets its like.
+    by_key = c.select("cluster_id", F.explode("member_keys").alias("__k")).groupBy("__k").agg(F.collect_set("cluster_id").alias("__a"))
+    by_tax = c.filter("supplier_tax_id is not null").groupBy(F.col("supplier_tax_id").alias("__t")).agg(F.collect_set("cluster_id").alias("__b"))
+    j = p.join(by_key, p["supplier_key"] == F.col("__k"), "left").join(by_tax, p["supplier_tax_id"] == F.col("__t"), "left")
+    none = F.array().cast("array<string>")
+    found = F.array_union(F.coalesce("__a", none), F.coalesce("__b", none))
+    return j.select(F.explode(found).alias("cluster_id"), *[p[x] for x in p.columns]).dropDuplicates()
 
 
 def intelligence(d: DataFrame) -> DataFrame:

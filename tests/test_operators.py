@@ -229,3 +229,13 @@ def test_price_outliers_work_decisions_out_once(spark):
     d, seen = told(spark, award(spark, ("2020-01-01", 10.0, "a"), ("2020-02-01", 12.0, "a"), ("2020-03-01", 90.0, "b")).withColumn("cpv", F.lit("x")))
     assert [(x.ada, x.median_amount, x.times) for x in rules.price_outliers(d).collect()] == [("A2", 12.0, 7.5)]
     assert seen.value == 3
+
+
+def test_procurements_of_clusters_are_read_once(spark):
+    """By key, by tax id and by both, in two clusters of one tax id, rows alike once."""
+    c = spark.createDataFrame([("c1", ["k1", "k2"], "1"), ("c2", ["k3"], None), ("c3", ["k4"], "1")], "cluster_id string, member_keys array<string>, supplier_tax_id string")
+    p = [("a", "k1", "1"), ("a", "k1", "1"), ("b", "k3", None), ("c", None, "1"), ("d", "k9", "9"), ("e", "k3", "1"), ("f", None, None)]
+    d, seen = told(spark, spark.createDataFrame(p, "ada string, supplier_key string, supplier_tax_id string"))
+    got = entities.cluster_procurements(c, d).collect()
+    assert sorted((x.ada, x.cluster_id) for x in got) == [("a", "c1"), ("a", "c3"), ("b", "c2"), ("c", "c1"), ("c", "c3"), ("e", "c1"), ("e", "c2"), ("e", "c3")]
+    assert seen.value == len(p)
