@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import vocabulary as V
 from ..functions.classify import is_emergency
 from ..functions.numbers import is_non_round
+from .durable import stored
 from .rolling import daily, over_days
 
 EMERGENCY_SHARE, EMERGENCY_AMOUNT = 0.15, 60_000
@@ -110,6 +111,11 @@ def _priced(d: DataFrame) -> DataFrame:
     return procurement_only(d).filter((F.col("amount") > 0) & is_non_round(F.col("amount")) & F.col("supplier_tax_id").isNotNull())
 
 
+def copies_of_amounts(d: DataFrame, copies: int = LEAST_COPIES) -> DataFrame:
+    """How often the same amount, no multiple of 100, went to the same supplier, where it did again: numbers only, so that a task holds a small row for each."""
+    return _priced(d).groupBy("supplier_tax_id", "amount").agg(F.count("ada").alias("occurrences")).filter(F.col("occurrences") >= copies)
+
+
 def copied_amounts(d: DataFrame, copies: int = LEAST_COPIES, dates: int = 5) -> DataFrame:
     """The same amount, no multiple of 100, to the same supplier again, with its first dates."""
     p = _priced(d)
@@ -172,17 +178,30 @@ DETECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "T6": _t6,
     "T8": _t8,
     "T9A": lambda d: _findings(committee_capture(d), "T9A", "committee_capture", F.col("body"), F.lit(None), F.col("share"), BODY_SHARE),
-    "T9B": lambda d: _findings(copied_amounts(d), "T9B", "copied_amount", F.col("supplier_tax_id"), F.lit(None), F.col("occurrences"), LEAST_COPIES),
+    "T9B": lambda d: _findings(copies_of_amounts(d), "T9B", "copied_amount", F.col("supplier_tax_id"), F.lit(None), F.col("occurrences"), LEAST_COPIES),
     "T9C": lambda d: _findings(award_burst(d), "T9C", "award_burst", F.col("supplier_tax_id"), F.col("window_start"), F.col("awards_in_window"), BURST_AWARDS),
     "T9D": lambda d: _findings(standard_prices(d), "T9D", "standard_price", F.col("amount"), F.lit(None), F.col("distinct_suppliers"), LEAST_SUPPLIERS),
 }
 
 
+#: What each detector reads.
+READS = {
+    "T5": ("ada", "issue_date", "year", "decision_type", "subject", "amount", "supplier_name"),
+    "T6": ("ada", "issue_date", "year", "month", "decision_type", "amount"),
+    "T8": ("year", "decision_type", "amount", "supplier_tax_id"),
+    "T9A": ("decision_type", "subject"),
+    "T9B": ("ada", "decision_type", "amount", "supplier_tax_id"),
+    "T9C": ("issue_date", "decision_type", "amount", "supplier_tax_id"),
+    "T9D": ("ada", "decision_type", "amount", "supplier_tax_id"),
+}
+
+
 def detect(d: DataFrame, tenets: list[str] | None = None) -> DataFrame:
-    """The findings of the named detectors (all by default) in one table."""
+    """The findings of the named detectors (all by default) in one table; decisions are worked out once for all of them."""
     names = list(DETECTORS) if tenets is None else tenets
     if unknown := [n for n in names if n not in DETECTORS]:
         raise ValueError(f"unknown detectors: {', '.join(unknown)}")
+    d = stored(d.select(*sorted({c for n in names for c in READS[n]})))
     found = DETECTORS[names[0]](d)
     for n in names[1:]:
         found = found.unionByName(DETECTORS[n](d))

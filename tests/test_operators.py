@@ -223,6 +223,19 @@ def told(spark, d):
     return d.mapInArrow(count, d.schema), seen
 
 
+def test_detectors_work_decisions_out_once(spark):
+    d, seen = told(spark, award(spark, ("2020-01-04", 9150.5, "a"), ("2020-01-05", 9150.5, "a"), ("2020-12-25", 9000.0, "b")))
+    found = signals.detect(d, ["T9B", "T6"])
+    assert sorted((x.rule, x.metric) for x in found.collect()) == [("copied_amount", 2.0), ("holiday", 9000.0), ("weekend", 9150.5), ("weekend", 9150.5)]
+    assert seen.value == 3
+    assert "Window" not in signals.detect(award(spark, ("2020-01-04", 9150.5, "a")), ["T9B"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_detectors_read_what_is_named(spark):
+    assert set(signals.READS) == set(signals.DETECTORS)
+    assert signals.detect(award(spark, ("2020-01-04", 9000.0, "a"))).count() > 0
+
+
 def test_price_outliers_work_decisions_out_once(spark):
     from spendlens.operators import rules
 
