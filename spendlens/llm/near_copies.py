@@ -20,9 +20,10 @@ that is missed is under one in a hundred at 0.8 and falls quickly above
 Only components are asked for, so a list full of near copies does not make all
 its pairs: each member goes to the first, in one order of all nodes, that may be
 near it, the same one in most lists, and where lists are long one list in
-``TURNS`` is enough for that. Lists with more pairs come again with another order,
-and at last with all their pairs, but only pairs of different components count
-then, and these are few.
+``TURNS`` is enough for that. Lists with more pairs come again with all their
+pairs, but only pairs of different components that their sketches do not rule out
+count then, and these are few; a post comes again once at most (once more for each
+of ``ROUNDS`` over 1, with another order).
 """
 
 from __future__ import annotations
@@ -53,8 +54,8 @@ BYTE_MATCH, MISSED, BY_CHANCE = 0.2687, 0.008, 1_000
 FEW_SHINGLES = 32
 #: Lists up to SHORT_LIST are compared with array operations over many lists.
 SHORT_LIST = 16
-#: Orders in which lists give one pair a member, before those that are left give all; at first longer lists do so under every TURNS-th tuple.
-ROUNDS, TURNS = 2, 8
+#: Rounds in which lists give one pair a member, before those that are left give all; at first longer lists do so under every TURNS-th tuple.
+ROUNDS, TURNS = 1, 8
 #: Bytes of a sketch that a post of the later rounds carries at most, and pairs whose sketches are compared at once.
 MOST_SKETCH, PAIRS = 128, 1 << 17
 #: Members of a long list that are compared with all others at once.

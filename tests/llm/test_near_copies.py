@@ -123,3 +123,14 @@ def test_sketches_of_posts_rule_out_no_pair():
         shared, both = len(np.intersect1d(sets[i], sets[j])), len(np.union1d(sets[i], sets[j]))
         assert k or shared * 5 < both * 4
     assert not kept[[(i, j) in {(9, 11), (12, 14)} for i, j in zip(a.tolist(), b.tolist())]].any()
+
+
+def test_posts_of_lists_with_more_pairs_come_again_once(spark, monkeypatch):
+    """A group of near copies, some of them near to few: after the first meeting one more finds every pair that is left."""
+    met, meet = [], near_copies._meet
+    monkeypatch.setattr(near_copies, "_meet", lambda posts, salt, whole, size: met.append(whole) or meet(posts, salt, whole, size))
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    rows = [(i, changed(r, " ".join(base), r.randrange(5))) for i in range(80)]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x.doc_id, x.component_id) for x in got), key=str) == brute(rows) and met == [False, True]
