@@ -56,8 +56,8 @@ FEW_SHINGLES = 32
 SHORT_LIST = 16
 #: Rounds in which lists give one pair a member, before those that are left give all; at first longer lists do so under every TURNS-th tuple.
 ROUNDS, TURNS = 1, 8
-#: Bytes of a sketch that a post of the later rounds carries at most, and pairs whose sketches are compared at once.
-MOST_SKETCH, PAIRS = 128, 1 << 17
+#: Parities of a sketch for each hash; bytes of it that a post of the later rounds carries at most, and pairs whose sketches are compared at once.
+SPARE, MOST_SKETCH, PAIRS = 4, 128, 1 << 17
 #: Members of a long list that are compared with all others at once.
 ROWS = 64
 
@@ -97,8 +97,8 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
 
 
 def _wide_sketch(hashes: np.ndarray) -> bytes:
-    """A sketch of as many parities as there are hashes at least."""
-    bits = 1 << max(7, len(hashes).bit_length())
+    """A sketch of SPARE times as many parities as there are hashes at least: with few of them, hashes that only one set has would cancel each other out."""
+    bits = 1 << max(7, (SPARE * len(hashes)).bit_length())
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 

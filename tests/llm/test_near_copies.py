@@ -134,3 +134,18 @@ def test_posts_of_lists_with_more_pairs_come_again_once(spark, monkeypatch):
     rows = [(i, changed(r, " ".join(base), r.randrange(5))) for i in range(80)]
     got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((x.doc_id, x.component_id) for x in got), key=str) == brute(rows) and met == [False, True]
+
+
+def test_sketches_rule_out_most_pairs_just_below_the_threshold():
+    """Sets of 146 shingles with 40 that only one has (0.76) pass for nearly none, those with 32 (0.80) all: else members of a large group that are near no other would be tested with most of it."""
+    rng, kept = np.random.default_rng(3), {}
+    for apart in (32, 40):
+        sets = []
+        for _ in range(300):
+            h = rng.integers(0, 2**63, 146 + apart // 2).astype(np.uint64)
+            sets += [h[:146], h[apart // 2 :]]
+        words = np.zeros(600, np.int64)
+        sketches = [near_copies._folded(near_copies._wide_sketch(s)) for s in sets]
+        x = near_copies._Lists([words, words, np.full(600, 146), words, words, words, np.array(sketches, object)])
+        kept[apart] = x.sift(np.arange(0, 600, 2), np.arange(1, 600, 2)).mean()
+    assert kept[32] == 1 and kept[40] < 0.05, kept
