@@ -46,10 +46,19 @@ def normalize_text(text: Column) -> Column:
 
 def compact_text(text: Column, words: int = 12) -> Column:
     """The first canonical words joined by hyphens, or `untitled`."""
-    return F.coalesce(F.nullif(F.array_join(F.slice(F.split(canonical_text(text), " "), 1, words), "-"), F.lit("")), F.lit("untitled"))
+    return compact(canonical_text(text), words)
 
 
-def text_tokens(text: Column, least: int = 4) -> Column:
+def compact(canonical: Column | str, words: int = 12) -> Column:
+    """As compact_text, of a text that is canonical already."""
+    return F.coalesce(F.nullif(F.array_join(F.slice(F.split(canonical, " "), 1, words), "-"), F.lit("")), F.lit("untitled"))
+
+
+#: Letters of a canonical word that counts as a token.
+TOKEN = 4
+
+
+def text_tokens(text: Column, least: int = TOKEN) -> Column:
     """The set of canonical words of so many letters."""
     return F.array_distinct(F.filter(F.split(canonical_text(text), " "), lambda t: F.length(t) >= least))
 

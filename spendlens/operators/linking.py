@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from ..functions.classify import is_lifecycle_decision, lifecycle_role, stage_au
 from ..functions.dates import within_days
 from ..functions.ids import contract_id, hashed_id
 from ..functions.numbers import amount_bucket, cents
-from ..functions.text import canonical_text, compact_text, text_tokens, token_overlap
+from ..functions.text import TOKEN, canonical_text, compact
 from .components import connected_components
 from .durable import stored
 from .near_amounts import tolerance_links
@@ -184,20 +185,50 @@ def reaches(left: str | None, right: str | None, least: float | None) -> bool:
     return 2.0 * found / both >= least
 
 
-def _reached(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([reaches(*x) for x in zip(left, right, least.astype(object).where(least.notna(), None), strict=True)], dtype=bool)
+#: Pairs of titles that a worker remembers: where titles repeat, the same two meet again and again.
+REMEMBERED = 1 << 18
 
 
-def title_reaches(left: Column | str, right: Column | str, least: Column) -> Column:
-    """Whether the ratio of two canonical titles is ``least`` or more; where ``least`` is null nothing is worked out, and it is False."""
+@functools.lru_cache(maxsize=REMEMBERED)
+def _meets(left: str, right: str, least: float, overlap: float) -> bool:
+    """Whether two canonical titles share so much of their words (as ``token_overlap`` of ``text_tokens``), or have a ratio of ``least``."""
+    a, b = ({w for w in t.split(" ") if len(w) >= TOKEN} for t in (left, right))
+    return bool(a and b and len(a & b) / len(a | b) >= overlap) or reaches(left, right, least)
+
+
+def _reached(left: pd.Series, right: pd.Series, least: pd.Series, overlap: pd.Series) -> pd.Series:
+    # Titles are interned, so that pairs that are remembered share them. A number that is missing differs from itself.
+    asked = zip(left, right, least.astype(float).tolist(), overlap.astype(float).fillna(math.inf).tolist(), strict=True)
+    return pd.Series([bool(x == x and a and b) and _meets(sys.intern(a), sys.intern(b), x, y) for a, b, x, y in asked], dtype=bool)
+
+
+def title_reaches(left: Column | str, right: Column | str, least: Column, overlap: Column | None = None) -> Column:
+    """Whether the ratio of two canonical titles is ``least`` or more, or ``overlap`` of their words are shared; where ``least`` is null nothing is worked out, and it is False."""
     asked = lambda title: F.when(least.isNotNull(), F.col(title) if isinstance(title, str) else title)
-    return F.pandas_udf(_reached, "boolean")(asked(left), asked(right), least)
+    return F.pandas_udf(_reached, "boolean")(asked(left), asked(right), least, F.lit(None).cast("double") if overlap is None else overlap)
+
+
+TEXTS = ["title", "decision_type_raw", "decision_type", "supplied"]
+
+
+def read_texts(d: DataFrame) -> DataFrame:
+    """d with canon (canonical title), role and bought (whether it may belong to a purchase), worked out once for each text that differs.
+
+    d: title, decision_type, decision_type_raw, supplier_key and any others; read twice, so store it first if it is much work. Where few texts
+    differ they are broadcast, by the size of their file.
+    """
+    supplied = d.withColumn("supplied", F.col("supplier_key").isNotNull())
+    label = F.col("decision_type_raw"), F.col("title"), F.col("decision_type")
+    told = {"canon": canonical_text(F.col("title")), "role": lifecycle_role(*label), "bought": is_lifecycle_decision(*label, F.when(F.col("supplied"), F.lit("")))}
+    texts = stored(supplied.select(*TEXTS).distinct().withColumns(told)).withColumnsRenamed({c: f"__{c}" for c in TEXTS})
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in TEXTS])
+    return supplied.join(texts, same).drop("supplied", *[f"__{c}" for c in TEXTS])
 
 
 def _titled(d: DataFrame) -> DataFrame:
-    """Decisions that may have duplicates, with cents and canonical title, and the first of those alike in date, cents and title."""
-    rows = d.filter("amount is not null and issue_date is not null").select("id", "issue_date", cents(F.col("amount")).alias("cents"), canonical_text(F.col("title")).alias("title"))
-    return rows.filter("title <> ''").withColumn("first", F.min("id").over(Window.partitionBy("issue_date", "cents", "title")))
+    """Decisions that may have duplicates, with cents and canonical title, and the first of those alike in date, cents and title. d: as of read_texts."""
+    rows = d.filter("amount is not null and issue_date is not null and canon <> ''").select("id", "issue_date", cents(F.col("amount")).alias("cents"), F.col("canon").alias("title"))
+    return rows.withColumn("first", F.min("id").over(Window.partitionBy("issue_date", "cents", "title")))
 
 
 def _title_nodes(rows: DataFrame) -> DataFrame:
@@ -214,25 +245,24 @@ def duplicate_pairs(d: DataFrame, similarity: float = DUPLICATE_SIMILARITY) -> D
     kind `pair`: two different titles, each by the first of its rows. kind `member`: a row and the first of those with its date, cents and
     title. A row has the pairs of its first. Titles that are empty are like none.
     """
-    rows = stored(_titled(d))
+    rows = stored(_titled(d.withColumn("canon", canonical_text(F.col("title")))))
     pairs = title_pairs(_title_nodes(rows), ["issue_date", "cents"], similarity, title_ratio).withColumn("kind", F.lit("pair"))
     return pairs.unionByName(_members(rows).withColumns({"similarity": F.lit(1.0), "kind": F.lit("member")}))
 
 
-def duplicate_links(d: DataFrame, similarity: float = DUPLICATE_SIMILARITY) -> DataFrame:
-    """(src, dst) that join all that duplicate_pairs joins, without every pair of a large block."""
+def _duplicate_links(d: DataFrame, similarity: float = DUPLICATE_SIMILARITY) -> DataFrame:
+    """(src, dst) that join all that duplicate_pairs joins, without every pair of a large block. d: as of read_texts."""
     rows = stored(_titled(d))
     return title_links(stored(_title_nodes(rows).withColumn("letters", letters(F.col("title")))), ["issue_date", "cents"], similarity, title_ratio).unionByName(_members(rows))
 
 
 def _purchases(d: DataFrame) -> DataFrame:
-    """Decisions that may belong to a purchase, and the first of those alike in supplier, month, cents, role, title and tokens.
+    """Decisions that may belong to a purchase, and the first of those alike in supplier, month, cents, role and title. d: as of read_texts.
 
     Without a supplier only equal cents can match, so those rows meet by cents too (block) and make no pairs of a whole month.
     """
-    role = lifecycle_role(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"))
-    rows = d.filter(is_lifecycle_decision(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"), F.col("supplier_key")) & F.col("issue_date").isNotNull())
-    rows = rows.select("id", F.coalesce("supplier_key", F.lit("unknown-supplier")).alias("supplier"), F.date_format("issue_date", "yyyy-MM").alias("month"), cents(F.col("amount")).alias("cents"), role.alias("role"), canonical_text(F.col("title")).alias("title"), text_tokens(F.col("title")).alias("tokens"))
+    rows = d.filter(F.col("bought") & F.col("issue_date").isNotNull())
+    rows = rows.select("id", F.coalesce("supplier_key", F.lit("unknown-supplier")).alias("supplier"), F.trunc("issue_date", "month").alias("month"), cents(F.col("amount")).alias("cents"), "role", F.col("canon").alias("title"))
     known = F.col("supplier") != "unknown-supplier"
     rows = rows.filter(known | F.col("cents").isNotNull()).withColumn("block", F.when(known, F.lit(0).cast("long")).otherwise(F.col("cents")))
     return rows.withColumn("first", F.min("id").over(Window.partitionBy("supplier", "month", "block", "cents", "role", "title")))
@@ -248,11 +278,11 @@ def _purchase_match(pairs: DataFrame) -> DataFrame:
     same_cents = F.coalesce(F.col("l_cents") == F.col("r_cents"), no)
     known = F.col("supplier") != "unknown-supplier"
     # What needs no similarity is decided first; titles are compared for the remaining candidates only, and only as far as it takes to tell.
-    pairs = pairs.filter(same_cents | (known & other_role)).withColumn("overlap", token_overlap(F.col("l_tokens"), F.col("r_tokens")))
-    enough = (same_cents & other_role) | (same_cents & (F.col("overlap") >= 0.18)) | (known & other_role & (F.col("overlap") >= 0.12))
-    least = F.when(enough, None).when(known & other_role, 0.25).when(same_cents, 0.35).cast("double")  # the lower one, where both rules may apply
-    pairs = pairs.withColumns({"enough": enough, "least": least})
-    return pairs.filter(F.col("enough") | title_reaches("l_title", "r_title", F.col("least")))
+    enough = same_cents & other_role
+    pairs = pairs.filter(same_cents | (known & other_role)).withColumn("enough", enough)
+    # Of the rest one rule may apply: of those different in role the lower one.
+    least, overlap = (F.when(~F.col("enough"), F.when(known & other_role, low).otherwise(high)) for low, high in ((0.25, 0.35), (0.12, 0.18)))
+    return pairs.filter(F.col("enough") | title_reaches("l_title", "r_title", least, overlap))
 
 
 #: Whether rows alike in all that decides are linked: they need an amount, and a title to be alike in.
@@ -267,14 +297,14 @@ def lifecycle_pairs(d: DataFrame) -> DataFrame:
     the first of the rows alike in supplier, month, cents, role and title; `member`: a row linked to its first; `alike`: a row with the
     pairs of its first that is not linked to it itself.
     """
-    rows = stored(_purchases(d))
+    rows = stored(_purchases(read_texts(stored(d))))
     pairs = _purchase_match(sides(rows.filter("id = first").drop("first"), PURCHASE)).select(F.col("l_id").alias("src"), F.col("r_id").alias("dst"), F.lit("pair").alias("kind"))
     more = rows.filter("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst"), F.when(F.expr(_INNER), "member").otherwise("alike").alias("kind"))
     return pairs.unionByName(more)
 
 
-def lifecycle_links(d: DataFrame) -> DataFrame:
-    """(src, dst) that join all that lifecycle_pairs joins, without every pair of a large block."""
+def _lifecycle_links(d: DataFrame) -> DataFrame:
+    """(src, dst) that join all that lifecycle_pairs joins, without every pair of a large block. d: as of read_texts."""
     rows = stored(_purchases(d))
     nodes = rows.filter("id = first").drop("first")
     # Of one amount, whatever differs in role is linked: with two roles or more, all that have one hang together.
@@ -291,21 +321,18 @@ def lifecycle_links(d: DataFrame) -> DataFrame:
 
 def grouped(d: DataFrame) -> DataFrame:
     """Decisions with group (smallest id linked), the group's size, whether it is a purchase, its canonical decision and id."""
-    edges = duplicate_links(d).unionByName(lifecycle_links(d))
-    found = connected_components(edges)
-    role = lifecycle_role(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"))
-    bought = is_lifecycle_decision(F.col("decision_type_raw"), F.col("title"), F.col("decision_type"), F.col("supplier_key"))
+    d = read_texts(d.drop("role"))
+    found = connected_components(_duplicate_links(d).unionByName(_lifecycle_links(d)))
     g = d.join(found, d["id"] == found["node"], "left").drop("node").withColumn("group", F.coalesce("component", "id")).drop("component")
-    g = g.withColumns({"role": role, "__bought": bought})
     w = Window.partitionBy("group")
-    g = g.withColumns({"group_size": F.count("*").over(w), "is_purchase": F.max("__bought").over(w)})
+    g = g.withColumns({"group_size": F.count("*").over(w), "is_purchase": F.max("bought").over(w)})
     turn = F.coalesce(*[F.when(F.col("role") == r, F.lit(i)) for i, r in enumerate(V.ROLE_ORDER)], F.lit(99))
-    order = w.orderBy(F.when(F.col("is_purchase"), turn).otherwise(0), F.coalesce(F.col("issue_date").cast("string"), F.lit("")), amount_bucket(F.col("amount")), compact_text(F.col("title")), "ada", "id")
-    basis = F.first(F.struct("id", "ada", "issue_date", "amount", "title", "supplier_key")).over(order)
+    order = w.orderBy(F.when(F.col("is_purchase"), turn).otherwise(0), F.coalesce(F.col("issue_date").cast("string"), F.lit("")), amount_bucket(F.col("amount")), compact("canon"), "ada", "id")
+    basis = F.first(F.struct("id", "ada", "issue_date", "amount", "canon", "supplier_key")).over(order)
     g = g.withColumn("__b", basis)
     prefix = F.when(F.col("is_purchase"), "procurement-").otherwise("decision-")
-    name = hashed_id("", F.col("__b.issue_date").cast("string"), amount_bucket(F.col("__b.amount")), F.col("__b.supplier_key"), compact_text(F.col("__b.title")))
-    return g.withColumns({"canonical_id": F.concat(prefix, name), "canonical_ada": F.col("__b.ada"), "is_canonical": F.col("id") == F.col("__b.id")}).drop("__b", "__bought")
+    name = hashed_id("", F.col("__b.issue_date").cast("string"), amount_bucket(F.col("__b.amount")), F.col("__b.supplier_key"), compact("__b.canon"))
+    return g.withColumns({"canonical_id": F.concat(prefix, name), "canonical_ada": F.col("__b.ada"), "is_canonical": F.col("id") == F.col("__b.id")}).drop("__b", "bought", "canon")
 
 
 def group_summary(g: DataFrame) -> DataFrame:

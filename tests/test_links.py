@@ -6,6 +6,7 @@ from collections import Counter
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,17 @@ def test_pairs_of_dense_blocks_are_not_spread_by_letters(spark, monkeypatch, lar
     got = similar.title_pairs(nodes, ["block"], 0.82, linking.title_ratio).collect()
     assert {(x.src, x.dst) for x in got} == want and len(got) == len(want) and want
     assert bool(posted) == (large == 3)
+
+
+def test_what_titles_say_is_worked_out_once(spark, monkeypatch):
+    """Rows of few titles ask the texts' functions once a title, and pairs of them are compared once in a worker."""
+    seen = []
+    monkeypatch.setattr(linking, "reaches", lambda a, b, least: bool(seen.append((a, b, least))))
+    linking._meets.cache_clear()
+    pairs = pd.DataFrame([("μια δαπανη", "αλλο ποσο", 0.25, 0.12)] * 50 + [("μια δαπανη", "αλλο ποσο", 0.35, 0.18), ("αλλη δαπανη", "μια δαπανη", 0.25, 0.12), ("α", None, 0.25, 0.12), ("α", "α", None, None)])
+    assert linking._reached(*(pairs[c] for c in pairs)).tolist() == [False] * 51 + [True, False, False]
+    assert seen == [("μια δαπανη", "αλλο ποσο", 0.25), ("μια δαπανη", "αλλο ποσο", 0.35)]
+    linking._meets.cache_clear()
+    d = spark.range(500).select((F.col("id") % 3).cast("string").alias("title"), F.lit("x").alias("decision_type_raw"), F.lit(None).cast("string").alias("decision_type"), F.when(F.col("id") % 2 == 0, "k").alias("supplier_key"))
+    plan = linking.read_texts(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert linking.read_texts(d).count() == 500 and "translate" not in plan  # canonical texts come from their own file
