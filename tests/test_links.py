@@ -249,3 +249,14 @@ def test_what_titles_say_is_worked_out_once(spark, monkeypatch):
     d = spark.range(500).select((F.col("id") % 3).cast("string").alias("title"), F.lit("x").alias("decision_type_raw"), F.lit(None).cast("string").alias("decision_type"), F.when(F.col("id") % 2 == 0, "k").alias("supplier_key"))
     plan = linking.read_texts(d)._jdf.queryExecution().optimizedPlan().toString()
     assert linking.read_texts(d).count() == 500 and "translate" not in plan  # canonical texts come from their own file
+
+
+def test_groups_are_summed_up_without_windows(spark):
+    """A group of most decisions is not gathered in one task, and lists only of the largest purchases."""
+    rows = [(i, f"A-{i}", 100.0, datetime.date(2020, 1, 1), "αγορά", "Δ.1", None, "k") for i in range(300)] + [(900, "A-900", 7.0, None, "άλλο", "Γ.2", None, None)]
+    d = spark.createDataFrame(rows, "id long, ada string, amount double, issue_date date, title string, decision_type_raw string, decision_type string, supplier_key string")
+    g = linking.grouped(d)
+    assert "Window" not in g._jdf.queryExecution().optimizedPlan().toString()
+    assert {(x.group, x.group_size, x.canonical_ada) for x in g.collect()} == {(0, 300, "A-0"), (900, 1, "A-900")}
+    top = linking.top_events(g.withColumns({"tags": F.array().cast("array<string>"), "is_revocation": F.lit(False)}), 3).collect()
+    assert [(x.amount, x.decisions, len(x.related_adas)) for x in top] == [(100.0, 300, 300)]
