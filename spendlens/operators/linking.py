@@ -19,7 +19,8 @@ from ..functions.numbers import amount_bucket, cents
 from ..functions.text import TOKEN, canonical_text, compact
 from .components import connected_components
 from .durable import stored
-from .near_amounts import tolerance_links
+from .near_amounts import CLASS, class_links, classed
+from .near_amounts import members as class_members
 from .similar import links, sides, title_links, title_pairs
 
 TOLERANCE, WINDOW_DAYS = 0.02, 180
@@ -83,13 +84,13 @@ def tolerance_classes(rows: DataFrame, **options) -> DataFrame:
 
 def contract_members(rows: DataFrame, tolerance: float = TOLERANCE, days: int = WINDOW_DAYS, strict_supplier: bool = False) -> DataFrame:
     """rows with component: the smallest id of those linked, its own where none is (rows without an amount always)."""
-    keys = ["amount", "issue_date", "supplier_tax_id"]
-    alike = stored(rows.filter("amount > 0").groupBy(*keys).agg(F.min("id").alias("id")))
-    # Rows alike in all three are linked to their first, so only the firsts need components: the rest have theirs.
-    found = connected_components(tolerance_links(alike, tolerance, days, strict_supplier))
-    firsts = alike.join(found, alike["id"] == found["node"], "left").select(*[F.col(c).alias(f"__{c}") for c in keys], F.coalesce("component", "id").alias("component"))
-    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
-    return rows.join(firsts, same, "left").drop(*[f"__{c}" for c in keys]).withColumn("component", F.coalesce("component", "id"))
+    there = F.coalesce(F.col("amount") > 0, F.lit(False))
+    some = classed(rows.filter(there), tolerance, days, strict_supplier)
+    # Rows of one class are linked, so only the classes need components: rows have theirs.
+    classes, found = class_links(some, tolerance, days, strict_supplier)
+    found = connected_components(found)
+    known = stored(classes.join(found, "node", "left").select(*CLASS, F.coalesce("component", "node").alias("component")))
+    return class_members(some, known).drop("undated", "k", "b", "x").unionByName(rows.filter(~there).withColumn("component", F.col("id")))
 
 
 def contracts(members: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendlens.functions import classify, text
-from spendlens.operators import linking, similar
+from spendlens.operators import linking, near_amounts, similar
 from spendlens.operators.components import connected_components
 from spendlens.plans.link_queries import tolerance_pairs
 from spendlens.plans.views import orders
@@ -260,3 +260,11 @@ def test_groups_are_summed_up_without_windows(spark):
     assert {(x.group, x.group_size, x.canonical_ada) for x in g.collect()} == {(0, 300, "A-0"), (900, 1, "A-900")}
     top = linking.top_events(g.withColumns({"tags": F.array().cast("array<string>"), "is_revocation": F.lit(False)}), 3).collect()
     assert [(x.amount, x.decisions, len(x.related_adas)) for x in top] == [(100.0, 300, 300)]
+
+
+def test_classes_of_a_dense_cell_are_linked_by_their_ends_only(spark):
+    """Rows of few cells: links between classes do not grow with the rows, and components are those of all pairs."""
+    rows = spark.range(4_000).select("id", (F.lit(100.0) + F.col("id") % 40 / 10).alias("amount"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7 % 400).cast("int")).alias("issue_date"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("supplier_tax_id"))
+    classes, links = near_amounts.class_links(near_amounts.classed(rows, 0.02, 180), 0.02, 180)
+    assert classes.count() <= 24 and links.count() <= 48
+    assert sorted(x.component for x in linking.contract_members(rows).select("component").distinct().collect()) == [0, 1]
