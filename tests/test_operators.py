@@ -252,3 +252,14 @@ def test_procurements_of_clusters_are_read_once(spark):
     got = entities.cluster_procurements(c, d).collect()
     assert sorted((x.ada, x.cluster_id) for x in got) == [("a", "c1"), ("a", "c3"), ("b", "c2"), ("c", "c1"), ("c", "c3"), ("e", "c1"), ("e", "c2"), ("e", "c3")]
     assert seen.value == len(p)
+
+
+def test_documents_are_written_by_several_tasks(spark, tmp_path):
+    """A small table in one partition, as small results of a shuffle are: its documents are not all written by one task."""
+    from spendlens.sources import exports
+
+    df = spark.range(60).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") * 2).alias("n")).coalesce(1)
+    exports.write_documents(df, str(tmp_path / "d"), "key")
+    files = list((tmp_path / "d").glob("key=*/part-*.json"))
+    assert len(files) == 60 and len({f.name.split("-")[1] for f in files}) > 2
+    assert {(r.key, r.n) for r in spark.read.schema("n long, key string").json(str(tmp_path / "d")).collect()} == {(f"k{i}", 2 * i) for i in range(60)}
