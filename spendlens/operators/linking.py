@@ -210,21 +210,22 @@ def title_reaches(left: Column | str, right: Column | str, least: Column, overla
     return F.pandas_udf(_reached, "boolean")(asked(left), asked(right), least, F.lit(None).cast("double") if overlap is None else overlap)
 
 
-TEXTS = ["title", "decision_type_raw", "decision_type", "supplied"]
+def _told(d: DataFrame, texts: list[str], told: dict[str, Column]) -> DataFrame:
+    """d with columns made of its ``texts`` columns, worked out once for each text that differs; where those are few they are broadcast, by the size of their file."""
+    found = stored(d.select(*texts).distinct().withColumns(told)).withColumnsRenamed({c: f"__{c}" for c in texts})
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in texts])
+    return d.join(found, same).drop(*[f"__{c}" for c in texts])
 
 
 def read_texts(d: DataFrame) -> DataFrame:
-    """d with canon (canonical title), role and bought (whether it may belong to a purchase), worked out once for each text that differs.
+    """d with canon (canonical title), role and bought (whether it may belong to a purchase).
 
-    d: title, decision_type, decision_type_raw, supplier_key and any others; read twice, so store it first if it is much work. Where few texts
-    differ they are broadcast, by the size of their file.
+    d: title, decision_type, decision_type_raw, supplier_key and any others; read twice, so store it first if it is much work.
     """
-    supplied = d.withColumn("supplied", F.col("supplier_key").isNotNull())
     label = F.col("decision_type_raw"), F.col("title"), F.col("decision_type")
     told = {"canon": canonical_text(F.col("title")), "role": lifecycle_role(*label), "bought": is_lifecycle_decision(*label, F.when(F.col("supplied"), F.lit("")))}
-    texts = stored(supplied.select(*TEXTS).distinct().withColumns(told)).withColumnsRenamed({c: f"__{c}" for c in TEXTS})
-    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in TEXTS])
-    return supplied.join(texts, same).drop("supplied", *[f"__{c}" for c in TEXTS])
+    supplied = d.withColumn("supplied", F.col("supplier_key").isNotNull())
+    return _told(supplied, ["title", "decision_type_raw", "decision_type", "supplied"], told).drop("supplied")
 
 
 def _titled(d: DataFrame) -> DataFrame:
@@ -247,7 +248,8 @@ def duplicate_pairs(d: DataFrame, similarity: float = DUPLICATE_SIMILARITY) -> D
     kind `pair`: two different titles, each by the first of its rows. kind `member`: a row and the first of those with its date, cents and
     title. A row has the pairs of its first. Titles that are empty are like none.
     """
-    rows = stored(_titled(d.withColumn("canon", canonical_text(F.col("title")))))
+    d = stored(d.filter("amount is not null and issue_date is not null").select("id", "amount", "issue_date", "title"))
+    rows = stored(_titled(_told(d, ["title"], {"canon": canonical_text(F.col("title"))})))
     pairs = title_pairs(_title_nodes(rows), ["issue_date", "cents"], similarity, title_ratio).withColumn("kind", F.lit("pair"))
     return pairs.unionByName(_members(rows).withColumns({"similarity": F.lit(1.0), "kind": F.lit("member")}))
 

@@ -268,3 +268,13 @@ def test_classes_of_a_dense_cell_are_linked_by_their_ends_only(spark):
     classes, links = near_amounts.class_links(near_amounts.classed(rows, 0.02, 180), 0.02, 180)
     assert classes.count() <= 24 and links.count() <= 48
     assert sorted(x.component for x in linking.contract_members(rows).select("component").distinct().collect()) == [0, 1]
+
+
+def test_titles_of_duplicates_are_read_once(spark, monkeypatch):
+    """Pairs of rows that share titles: the canonical text is not worked out for each row."""
+    asked, told = [], linking._told
+    monkeypatch.setattr(linking, "_told", lambda d, texts, made: asked.append((texts, list(made))) or told(d, texts, made))
+    d = spark.range(40).select("id", F.lit(5.0).alias("amount"), F.lit("2020-01-01").cast("date").alias("issue_date"), F.when(F.col("id") % 2 == 0, "Αγορά υλικών").when(F.col("id") % 3 == 0, "αγορά υλικού").alias("title"))
+    got = linking.duplicate_pairs(d).collect()
+    assert asked == [(["title"], ["canon"])]
+    assert Counter(x.kind for x in got) == {"member": 25, "pair": 1}
